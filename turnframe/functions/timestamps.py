@@ -51,8 +51,10 @@ def export_timestamp(month: Column, day: Column, year2: Column,
 
 
 def iso_string(ts: Column) -> Column:
-    """``datetime.isoformat()`` for whole-second values."""
-    return F.date_format(ts, ISO_FORMAT)
+    """``datetime.isoformat()``: seconds, plus ``.ffffff`` when the
+    microseconds are not zero."""
+    return F.when(F.date_format(ts, "SSSSSS") == F.lit("000000"), F.date_format(ts, ISO_FORMAT)).otherwise(
+        F.date_format(ts, ISO_FORMAT + ".SSSSSS"))
 
 
 def iso_sort_key(timestamp: Column) -> Column:
