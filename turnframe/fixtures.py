@@ -56,14 +56,15 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("parts", F.split(header, "\n", -1)).withColumn("nl", F.size("parts"))
     numbered = running_before(rows, ["source_file"], F.floor(F.col("conv_id") / F.lit(CONV_BLOCK)),
                               [F.col("conv_id"), F.col("turn")], F.col("nl"), "before", how="sum")
-    body_lines = numbered.select(
+    # The first row of a file (nothing before it) also emits the preamble.
+    first = F.col("before") == 0
+    parts = F.when(first, F.concat(F.array(F.lit(PREAMBLE)), F.col("parts"))).otherwise(F.col("parts"))
+    start = F.when(first, F.lit(1)).otherwise(F.col("before") + 2)
+    return numbered.select(
         F.col("source_file").alias("source_path"),
-        F.posexplode("parts").alias("pos", "value"),
-        (F.col("before") + 2).alias("line_start"),
+        F.posexplode(parts).alias("pos", "value"),
+        start.alias("line_start"),
     ).select("source_path", (F.col("line_start") + F.col("pos")).cast("long").alias("line_no"), "value")
-    preamble = (rows.select(F.col("source_file").alias("source_path")).distinct()
-                .select("source_path", F.lit(1).cast("long").alias("line_no"), F.lit(PREAMBLE).alias("value")))
-    return body_lines.unionByName(preamble)
 
 
 def fx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,36 +81,28 @@ def fx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _quoted(c):
-    """JSON string literal of ``c`` (to_json of a one-element array, brackets cut)."""
-    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
-
-
 def fx_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSONL line per fx row ``(line_no, value)`` covering the type and
-    presence cases of the turn reader."""
+    presence cases of the turn reader, by ``(conv_id + turn) % 11``:
+    0 text is a number, 1 no timestamp, 2 blank text, 3 line_start is a
+    digit string, 4 no line_start, 5 no source_file, 6 source_file is null,
+    7 padded speaker, else regular.  ``to_json`` omits NULL fields; two
+    sentinels become a JSON null and a JSON number afterwards."""
     r = fx_rows(spark, sf_dir)
     sel = (F.col("conv_id") + F.col("turn")) % 11
-    ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    line_start = F.concat(F.lit("\"line_start\": "), F.col("turn").cast("string"))
-    src = F.concat(F.lit("\"source_file\": "), _quoted(F.col("source_file")))
-    fields = F.when(sel == 0, F.array(
-        F.concat(F.lit("\"timestamp\": "), _quoted(ts)), F.concat(F.lit("\"speaker\": "), _quoted(F.col("speaker"))),
-        F.lit("\"text\": 123"), src, line_start)
-    ).when(sel == 1, F.array(
-        F.concat(F.lit("\"speaker\": "), _quoted(F.col("speaker"))), F.concat(F.lit("\"text\": "), _quoted(F.col("body"))),
-        src, line_start)
-    ).otherwise(F.array(
-        F.concat(F.lit("\"timestamp\": "), _quoted(ts)),
-        F.concat(F.lit("\"speaker\": "),
-                 _quoted(F.when(sel == 7, F.concat(F.lit("  "), F.col("speaker"), F.lit(" "))).otherwise(F.col("speaker")))),
-        F.concat(F.lit("\"text\": "), _quoted(F.when(sel == 2, F.lit(" \t ")).otherwise(F.col("body")))),
-        F.when(sel == 5, F.lit(None)).when(sel == 6, F.lit("\"source_file\": null")).otherwise(src),
-        F.when(sel == 3, F.concat(F.lit("\"line_start\": \""), F.col("turn").cast("string"), F.lit("\"")))
-         .when(sel == 4, F.lit(None)).otherwise(line_start),
-    ))
-    value = F.concat(F.lit("{"), F.array_join(fields, ", "), F.lit("}"))
-    return r.select((F.col("conv_id") * 8 + F.col("turn") + 1).alias("line_no"), value.alias("value"))
+    null_tok, num_tok = "@@null@@", "@@number@@"
+    rec = F.struct(
+        F.when(sel != 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("timestamp"),
+        F.when(sel == 7, F.concat(F.lit("  "), F.col("speaker"), F.lit(" "))).otherwise(F.col("speaker")).alias("speaker"),
+        F.when(sel == 0, F.lit(num_tok)).when(sel == 2, F.lit(" \t ")).otherwise(F.col("body")).alias("text"),
+        F.when(sel == 6, F.lit(null_tok)).when(sel != 5, F.col("source_file")).alias("source_file"),
+        F.when(sel != 4, F.col("turn").cast("string")).alias("line_start"),
+    )
+    js = F.to_json(rec)
+    js = F.regexp_replace(js, '"' + null_tok + '"', "null")
+    js = F.regexp_replace(js, '"' + num_tok + '"', "123")
+    js = F.when(sel == 3, js).otherwise(F.regexp_replace(js, '"line_start":"([0-9]+)"', '"line_start":$1'))
+    return r.select((F.col("conv_id") * 8 + F.col("turn") + 1).alias("line_no"), js.alias("value"))
 
 
 def fx_context(spark: SparkSession, sf_dir: str) -> DataFrame:

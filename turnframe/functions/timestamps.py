@@ -37,17 +37,31 @@ def _num(c: Column) -> Column:
 def export_timestamp(month: Column, day: Column, year2: Column,
                      hour: Column, minute: Column, second: Column) -> Column:
     """TIMESTAMP_NTZ for the header fields, NULL when the reference would
-    raise."""
+    raise.
+
+    Fast path for ASCII digits: with at most two digits per field the
+    format's alternatives reduce to the calendar ranges, which
+    ``try_make_timestamp_ntz`` checks (second 60 is rejected explicitly:
+    Spark rolls it over).  Other decimal digits take the per-field rules.
+    """
+    fields = [month, day, year2, hour, minute, second]
+    ints = [f.try_cast("int") for f in fields]
+    ascii_ok = ints[0].isNotNull()
+    for i in ints[1:]:
+        ascii_ok = ascii_ok & i.isNotNull()
+    m, d, yy, hh, mi, ss = ints
+    fast = F.when(ss <= 59, F.try_make_timestamp_ntz(
+        yy + F.when(yy >= 69, F.lit(1900)).otherwise(F.lit(2000)), m, d, hh, mi, ss))
     ok = (F.regexp_like(month, F.lit(_FIELD_RULES["month"]))
           & F.regexp_like(day, F.lit(_FIELD_RULES["day"]))
           & F.regexp_like(year2, F.lit(_FIELD_RULES["year"]))
           & F.regexp_like(hour, F.lit(_FIELD_RULES["hour"]))
           & F.regexp_like(minute, F.lit(_FIELD_RULES["minute"]))
           & F.regexp_like(second, F.lit(_FIELD_RULES["second"])))
-    yy = _num(year2)
-    year = yy + F.when(yy >= 69, F.lit(1900)).otherwise(F.lit(2000))
-    ts = F.try_make_timestamp_ntz(year, _num(month), _num(day), _num(hour), _num(minute), _num(second))
-    return F.when(ok, ts)
+    uyy = _num(year2)
+    year = uyy + F.when(uyy >= 69, F.lit(1900)).otherwise(F.lit(2000))
+    slow = F.try_make_timestamp_ntz(year, _num(month), _num(day), _num(hour), _num(minute), _num(second))
+    return F.when(ascii_ok, fast).otherwise(F.when(ok, slow))
 
 
 def iso_string(ts: Column) -> Column:

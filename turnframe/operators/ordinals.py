@@ -17,37 +17,45 @@ from ..session import materialize, shuffle_partitions
 
 DEFAULT_BLOCK = 1 << 16
 
-_AGGS = {"sum": F.sum, "max": F.max, "count": F.count}
-
-
 def running_before(df: DataFrame, keys: list[str], block: Column, order: list[Column | str],
                    value: Column, out: str, how: str = "sum", inclusive: bool = False) -> DataFrame:
-    """Add ``out`` = aggregate (sum or max) of ``value`` over the rows of the
-    same ``keys`` that come before this row in ``order`` (and the row itself
-    when ``inclusive``).
+    """Add ``out`` = aggregate (``sum`` of non-negative values, or ``max``)
+    of ``value`` over the rows of the same ``keys`` that come before this
+    row in ``order`` (and the row itself when ``inclusive``).
 
     ``block`` must be a monotone coarsening of ``order`` (for example
     ``line_no div 65536``) so that a block has a bounded number of rows.
     Empty results are NULL for max and 0 for sum.
+
+    One shuffle of the rows (by key and block).  Block totals are read off
+    the same window output (the last running value of a block), so the
+    input is scanned once and the exchange is reused; the running value
+    over earlier blocks is a window over the small block table.
     """
-    agg = _AGGS[how]
+    if how not in ("sum", "max"):
+        raise ValueError("how must be 'sum' or 'max'")
+    agg = F.sum if how == "sum" else F.max
     blk, val = "__blk", "__val"
     base = df.withColumn(blk, block).withColumn(val, value)
-    # Within one block: a bounded window.
-    w_in = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    base = base.withColumn("__in", agg(val).over(w_in))
-    # Per block totals (partial aggregation before the shuffle), then a
-    # running value over the block table, which has rows/block rows.
-    totals = base.groupBy(*keys, blk).agg(agg(val).alias("__tot"))
+    w_in = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    base = base.withColumn("__inc", agg(val).over(w_in))
+    # Running sums of non-negative values and running maxima both peak at
+    # the block's last row, so max() gives the block total.
+    totals = base.groupBy(*keys, blk).agg(F.max("__inc").alias("__tot"))
     w_blk = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.withColumn("__carry", agg("__tot").over(w_blk)).drop("__tot")
     joined = base.join(carry, on=[*keys, blk], how="left")
     if how == "max":
-        res = F.greatest(F.col("__carry"), F.col("__in"))
+        mine = F.col("__inc") if inclusive else None
+        if mine is None:
+            raise ValueError("exclusive max is not supported")
+        res = F.greatest(F.col("__carry"), mine)
     else:
-        res = F.coalesce(F.col("__carry"), F.lit(0)) + F.coalesce(F.col("__in"), F.lit(0))
-    return joined.withColumn(out, res).drop(blk, val, "__in", "__carry")
+        mine = F.coalesce(F.col("__inc"), F.lit(0))
+        if not inclusive:
+            mine = mine - F.coalesce(F.col(val), F.lit(0))
+        res = F.coalesce(F.col("__carry"), F.lit(0)) + mine
+    return joined.withColumn(out, res).drop(blk, val, "__inc", "__carry")
 
 
 def dense_position(df: DataFrame, keys: list[str], pos: Column, out: str,

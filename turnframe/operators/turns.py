@@ -20,29 +20,28 @@ def _kind(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.variant_get(v, path, "variant"))
 
 
-def _python_str(v: Column, path: str) -> Column:
-    """``str(value)`` of a JSON field as Python would print it, for the
-    types that occur in practice (string, null, boolean, integer, decimal)."""
-    kind = _kind(v, path)
-    as_str = F.try_variant_get(v, path, "string")
-    return (F.when(kind == "STRING", as_str)
+_FIELDS = {"ts": "$.timestamp", "sp": "$.speaker", "tx": "$.text", "src": "$.source_file", "ls": "$.line_start"}
+
+
+def _python_str(kind: Column, s: Column) -> Column:
+    """``str(value)`` of a JSON field as Python prints it, for the types that
+    occur in practice (string, null, boolean, integer, decimal); ``s`` is the
+    variant cast to string."""
+    return (F.when(kind == "STRING", s)
             .when(kind == "VOID", F.lit("None"))
-            .when(kind == "BOOLEAN", F.when(as_str == "true", F.lit("True")).otherwise(F.lit("False")))
-            .when(kind.isin(_INTEGRAL), as_str)
-            .otherwise(F.to_json(F.variant_get(v, path, "variant"))))
+            .when(kind == "BOOLEAN", F.when(s == "true", F.lit("True")).otherwise(F.lit("False")))
+            .otherwise(s))
 
 
-def _line_start(v: Column, where: Column, on_bad: str) -> Column:
+def _line_start(kind: Column, s: Column, where: Column, on_bad: str) -> Column:
     """``int(x) if isinstance(x, int) or str(x).isdigit() else 0``."""
-    kind = _kind(v, "$.line_start")
-    s = F.try_variant_get(v, "$.line_start", "string")
     decimal_digits = F.regexp_like(s, F.lit(r"^\p{Nd}+$"))
     any_digits = F.regexp_like(s, F.lit(r"^(?:\p{Nd}|" + digit_not_decimal_class() + ")+$"))
-    bad = F.raise_error(F.concat(F.lit("line_start is not an integer at line "), where))
-    res = (F.when(kind.isin(_INTEGRAL), F.try_variant_get(v, "$.line_start", "bigint"))
+    res = (F.when(kind.isin(_INTEGRAL), s.try_cast("bigint"))
            .when(kind == "BOOLEAN", F.when(s == "true", F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
            .when((kind == "STRING") & decimal_digits, ascii_digits(s).try_cast("bigint")))
     if on_bad == "fail":
+        bad = F.raise_error(F.concat(F.lit("line_start is not an integer at line "), where))
         res = res.when((kind == "STRING") & any_digits, bad.cast("bigint"))
     return res.otherwise(F.lit(0).cast("bigint"))
 
@@ -57,33 +56,38 @@ def turns_from_json(lines: DataFrame, on_bad: str = "fail", line_col: str = "lin
     ``text`` is not a JSON string, or whose text is blank, are dropped;
     ``source_file`` and ``line_start`` are coerced as the reference does.
     Output: ``timestamp, speaker, text, source_file, line_start, input_line``.
+
+    Fields are extracted once into columns (type name and string value per
+    field) so each projection stays small enough for whole-stage codegen.
     """
     if on_bad not in ("fail", "skip"):
         raise ValueError("on_bad must be 'fail' or 'skip'")
-    stripped = strip(F.col(value_col))
     where = F.col("input_line").cast("string")
-    base = (lines.select(F.col(line_col).cast("long").alias("input_line"), stripped.alias("__s"))
+    base = (lines.select(F.col(line_col).cast("long").alias("input_line"), strip(F.col(value_col)).alias("__s"))
             .where(F.length("__s") > 0)
-            .withColumn("__v", F.try_parse_json(F.col("__s"))))
+            .select("input_line", F.try_parse_json(F.col("__s")).alias("__v")))
     v = F.col("__v")
     obj_ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     if on_bad == "fail":
-        base = base.withColumn("__ok", F.when(obj_ok, F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("Invalid JSONL at line "), where)).cast("boolean")))
+        ok = F.when(obj_ok, F.lit(True)).otherwise(
+            F.raise_error(F.concat(F.lit("Invalid JSONL at line "), where)).cast("boolean"))
     else:
-        base = base.withColumn("__ok", obj_ok)
-    base = base.where(F.col("__ok"))
-    is_str = lambda p: F.coalesce(_kind(v, p) == "STRING", F.lit(False))
-    text = F.try_variant_get(v, "$.text", "string")
-    kept = base.where(is_str("$.timestamp") & is_str("$.speaker") & is_str("$.text")
-                      & (F.length(strip(text)) > 0))
-    src_kind = _kind(v, "$.source_file")
+        ok = obj_ok
+    base = base.where(ok)
+    fields = base.select(
+        "input_line",
+        *[_kind(v, p).alias(f"k_{k}") for k, p in _FIELDS.items()],
+        *[F.try_variant_get(v, p, "string").alias(f"s_{k}") for k, p in _FIELDS.items()],
+    )
+    is_str = lambda k: F.coalesce(F.col(f"k_{k}") == "STRING", F.lit(False))
+    kept = fields.where(is_str("ts") & is_str("sp") & is_str("tx") & (F.length(strip(F.col("s_tx"))) > 0))
     return kept.select(
-        F.try_variant_get(v, "$.timestamp", "string").alias("timestamp"),
-        strip(F.try_variant_get(v, "$.speaker", "string")).alias("speaker"),
-        strip(text).alias("text"),
-        F.when(src_kind.isNull(), F.lit("unknown")).otherwise(_python_str(v, "$.source_file")).alias("source_file"),
-        _line_start(v, where, on_bad).alias("line_start"),
+        F.col("s_ts").alias("timestamp"),
+        strip(F.col("s_sp")).alias("speaker"),
+        strip(F.col("s_tx")).alias("text"),
+        F.when(F.col("k_src").isNull(), F.lit("unknown"))
+         .otherwise(_python_str(F.col("k_src"), F.col("s_src"))).alias("source_file"),
+        _line_start(F.col("k_ls"), F.col("s_ls"), where, on_bad).alias("line_start"),
         "input_line",
     )
 

@@ -36,6 +36,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     }
     if master and master.startswith("local"):
         conf.setdefault("spark.driver.memory", "16g")
+        # Small local inputs: let AQE keep enough partitions to use the
+        # cores for regex-heavy stages (cluster sizes are far above this).
+        conf.setdefault("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
