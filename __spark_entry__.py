@@ -24,11 +24,14 @@ from turnframe.functions import constants as C  # noqa: E402
 from turnframe.functions.text import is_media_placeholder, is_system_text, strip  # noqa: E402
 from turnframe.operators.assemble import assemble_messages  # noqa: E402
 from turnframe.operators.clean import README_FLAGS, clean_turns, parse_counters, with_drop_reason  # noqa: E402
-from turnframe.operators.examples import build_examples, format_turn  # noqa: E402
+from turnframe.operators.examples import build_examples, format_turn, split_stats  # noqa: E402
 from turnframe.operators.headers import split_header, timestamp_or_fail  # noqa: E402
 from turnframe.operators.turns import turn_index, turns_from_json  # noqa: E402
 from turnframe.operators.windows import count_windows, window_members  # noqa: E402
 from turnframe.plans.dataset import build_dataset, export_turns, path_order  # noqa: E402
+from turnframe.operators.chat import (context_lines, generated_lines, inference_prompts, tag_lines,  # noqa: E402
+                                      transcript_tail)
+from turnframe.operators.render import TOKEN_REGEX, regex_tokens, render_chat, tokenize_truncate  # noqa: E402
 from turnframe.sources.exports import explode_lines  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -189,7 +192,10 @@ def _split_examples_params(chunk, stride, min_turns):
 
 
 def q_split_stats(spark, d):
-    s = _dataset(spark, d).stats
+    # Statistics follow from the number of valid turns alone: no ordering.
+    turns = _turns(spark, d).where(F.length(strip(F.col("text"))) > 0)
+    s = split_stats(turns, C.DEFAULT_CHUNK_TURNS, C.DEFAULT_PROMPT_TURNS, C.DEFAULT_STRIDE,
+                    C.DEFAULT_MIN_TURNS, speaker_control=True)
     return s.select("input_turns", "examples", "chunk_turns", "prompt_turns", "stride", "min_turns",
                     "speaker_control", F.col("split.train").alias("train"), F.col("split.val").alias("val"),
                     F.col("split.test").alias("test"), F.col("ratios.val_ratio").alias("val_ratio"),
@@ -200,6 +206,55 @@ def q_turns_from_json(spark, d):
     return turns_from_json(fx.fx_json(spark, d))
 
 
+def _context(spark, d):
+    return context_lines(fx.fx_context(spark, d))
+
+
+def q_context_lines(spark, d):
+    return _context(spark, d)
+
+
+def q_inference_prompts(spark, d):
+    p = inference_prompts(_context(spark, d), fx.fx_transcripts(spark, d))
+    return p.select("transcript_id", F.col("messages")[0]["content"].alias("system_content"),
+                    F.col("messages")[1]["content"].alias("user_content"),
+                    render_chat(F.col("messages"), add_generation_prompt=True).alias("prompt_text"))
+
+
+def q_inference_prompts_speaker(spark, d):
+    p = inference_prompts(_context(spark, d), fx.fx_transcripts(spark, d), speaker="user_1",
+                          seed_line=C.DEFAULT_SEED_LINE)
+    return p.select("transcript_id", F.col("messages")[1]["content"].alias("user_content"))
+
+
+def q_transcript_tail(spark, d):
+    return transcript_tail(_context(spark, d), C.DEFAULT_TAIL_LINES)
+
+
+def q_tag_lines(spark, d):
+    raw = fx.fx_context(spark, d).select(
+        "transcript_id", "seq", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return tag_lines(raw)
+
+
+def q_generated_lines(spark, d):
+    return generated_lines(fx.fx_generated(spark, d), _context(spark, d))
+
+
+def q_render_chat(spark, d):
+    return fx.fx_chat(spark, d).select("conv_id", render_chat(F.col("messages")).alias("text"))
+
+
+def q_tokenize_truncate(spark, d):
+    text = fx.fx_chat(spark, d).select("conv_id", render_chat(F.col("messages")).alias("text"))
+    toks = text.select("conv_id", F.slice(regex_tokens(F.col("text")), 1, C.DEFAULT_MAX_SEQ_LENGTH).alias("t"))
+    ids = tokenize_truncate(text, C.DEFAULT_MAX_SEQ_LENGTH, keep=["conv_id"])
+    return toks.join(ids, "conv_id").select(
+        "conv_id", F.size("input_ids").cast("long").alias("n_tokens"),
+        F.element_at("t", 1).alias("first_token"), F.element_at("t", -1).alias("last_token"),
+        (F.size("attention_mask") == F.size("input_ids")).alias("mask_ok"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: export lines -> turns -> windows -> examples -> split."""
     return q_split_examples(spark, SMOKE_DIR)
@@ -231,6 +286,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_examples_20_5_8": _split_examples_params(20, 5, 8),
         "split_stats": q_split_stats,
         "turns_from_json": q_turns_from_json,
+        "context_lines": q_context_lines,
+        "inference_prompts": q_inference_prompts,
+        "inference_prompts_speaker": q_inference_prompts_speaker,
+        "transcript_tail": q_transcript_tail,
+        "tag_lines": q_tag_lines,
+        "generated_lines": q_generated_lines,
+        "render_chat": q_render_chat,
+        "tokenize_truncate": q_tokenize_truncate,
     }
 
 
@@ -262,6 +325,7 @@ def oracle_sql() -> dict[str, str]:
     win = O.windows_cte("w", "fx_turns", 32, 8, 12)
     ex = O.examples_cte("w", "fx_turns", 16)
     split = O.split_cte("w", 0.1, 0.1)
+    ctx = _with(O.FX_ROWS) + O.CONTEXT_LINES
     return {
         "explode_lines": """
             SELECT source_path, CAST(unnest(generate_series(1, len(parts))) AS BIGINT) AS line_no,
@@ -322,4 +386,53 @@ def oracle_sql() -> dict[str, str]:
               CAST(CASE sel WHEN 4 THEN 0 ELSE turn END AS BIGINT) AS line_start,
               CAST(conv_id * 8 + turn + 1 AS BIGINT) AS input_line
             FROM j WHERE sel NOT IN (0, 1, 2) AND length(trim(body, {ws})) > 0""",
+        "context_lines": ctx + " SELECT transcript_id, line_no, line FROM ctx_lines",
+        "inference_prompts": ctx + f""",
+            tr AS (SELECT DISTINCT conv_id AS transcript_id FROM conversations),
+            jt AS (SELECT tr.transcript_id, {O.trim_ws("coalesce(string_agg(c.line, chr(10) ORDER BY c.line_no), '')")} AS t
+                   FROM tr LEFT JOIN ctx_lines c ON c.transcript_id = tr.transcript_id GROUP BY tr.transcript_id),
+            up AS (SELECT transcript_id, {O.user_sql("CASE WHEN length(t) = 0 THEN '(empty)' ELSE t END", None)} AS user_content FROM jt)
+            SELECT transcript_id, {O.SYSTEM_PROMPT_SQL} AS system_content, user_content,
+              '<|im_start|>system' || chr(10) || {O.SYSTEM_PROMPT_SQL} || '<|im_end|>' || chr(10)
+              || '<|im_start|>user' || chr(10) || user_content || '<|im_end|>' || chr(10)
+              || '<|im_start|>assistant' || chr(10) AS prompt_text
+            FROM up""",
+        "inference_prompts_speaker": ctx + f""",
+            tr AS (SELECT DISTINCT conv_id AS transcript_id FROM conversations),
+            jt AS (SELECT tr.transcript_id, {O.trim_ws("coalesce(string_agg(c.line, chr(10) ORDER BY c.line_no), 'arnav:')")} AS t
+                   FROM tr LEFT JOIN ctx_lines c ON c.transcript_id = tr.transcript_id GROUP BY tr.transcript_id)
+            SELECT transcript_id, {O.user_sql("CASE WHEN length(t) = 0 THEN '(empty)' ELSE t END", "'user_1'")} AS user_content
+            FROM jt""",
+        "transcript_tail": ctx + """
+            SELECT transcript_id, line_no, line FROM (
+              SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY line_no DESC) AS r FROM ctx_lines) x
+            WHERE r <= 20""",
+        "tag_lines": _with(O.FX_ROWS) + f""",
+            raw AS (SELECT conv_id AS transcript_id, turn AS seq,
+                      CAST(unnest(generate_series(0, len(string_split(body, chr(10))) - 1)) AS INTEGER) AS pos,
+                      unnest(string_split(body, chr(10))) AS line FROM fx_rows),
+            st AS (SELECT transcript_id, seq, pos, {O.trim_ws("line")} AS s FROM raw)
+            SELECT transcript_id, seq, pos,
+              CASE WHEN contains(s, ':') THEN s ELSE 'You: ' || s END AS line
+            FROM st WHERE length(s) > 0""",
+        "generated_lines": ctx + f""",
+            last AS (SELECT conv_id, max_by(text, turn) AS text FROM conversations GROUP BY conv_id),
+            g AS (SELECT conv_id, '  ' || replace(text, chr(10), chr(10) || '  ' || chr(10) || ' ') || chr(10) || chr(10) || '   ' || chr(10) AS gen FROM last),
+            parts AS (SELECT conv_id, unnest(generate_series(1, len(p))) AS k, unnest(p) AS raw
+                      FROM (SELECT conv_id, string_split(gen, chr(10)) AS p FROM g) q),
+            kept AS (SELECT conv_id, k, {O.trim_ws("raw")} AS line FROM parts WHERE length({O.trim_ws("raw")}) > 0),
+            cnt AS (SELECT transcript_id, max(line_no) AS last_no FROM ctx_lines GROUP BY transcript_id)
+            SELECT kept.conv_id AS transcript_id,
+              CAST(coalesce(cnt.last_no, 0) + row_number() OVER (PARTITION BY kept.conv_id ORDER BY k) AS BIGINT) AS line_no,
+              line
+            FROM kept LEFT JOIN cnt ON cnt.transcript_id = kept.conv_id""",
+        "render_chat": """
+            SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
+            FROM conversations GROUP BY conv_id""",
+        "tokenize_truncate": f"""
+            WITH r AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
+                       FROM conversations GROUP BY conv_id),
+            t AS (SELECT conv_id, regexp_extract_all(text, {O._lit(TOKEN_REGEX)}) AS toks FROM r)
+            SELECT conv_id, CAST(least(len(toks), 4096) AS BIGINT) AS n_tokens, toks[1] AS first_token,
+              toks[least(len(toks), 4096)] AS last_token, true AS mask_ok FROM t""",
     }

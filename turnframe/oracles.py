@@ -142,3 +142,15 @@ def split_cte(name: str, val: float, test: float) -> str:
 
 
 SYSTEM_PROMPT_SQL = _lit(C.DEFAULT_SYSTEM_PROMPT)
+
+
+# Transcript lines: every row's body is a piece; str.splitlines() boundaries;
+# blank lines dropped, kept lines unstripped; dense numbering per transcript.
+SPLITLINES_RE = _lit(r"\r\n|[\n\r\x{B}\x{C}\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]")
+CONTEXT_LINES = """,
+ctx_raw AS (
+  SELECT conv_id AS transcript_id, turn AS seq, unnest(generate_series(1, len(p))) AS pos, unnest(p) AS line
+  FROM (SELECT conv_id, turn, regexp_split_to_array(body, {re}) AS p FROM fx_rows) q),
+ctx_lines AS (
+  SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY seq, pos) AS BIGINT) AS line_no, line
+  FROM ctx_raw WHERE length({trimmed}) > 0)""".format(re=SPLITLINES_RE, trimmed=trim_ws("line"))
