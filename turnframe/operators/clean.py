@@ -67,15 +67,17 @@ def parse_counters(messages: DataFrame, input_files=None, exclude_speakers=tuple
                    drop_system: bool = False, drop_media: bool = False,
                    strip_edits: bool = False) -> DataFrame:
     """One row: ``input_files, raw_messages, dropped_speaker, dropped_system,
-    dropped_media, written``.  ``input_files`` is a DataFrame of listed files
+    dropped_media, written``.  ``input_files`` is the number of listed files
     (an empty file still counts); without it, distinct paths seen in
     ``messages`` are counted."""
     tagged = with_drop_reason(messages, exclude_speakers, drop_system, drop_media, strip_edits)
     r = F.col("drop_reason")
     if input_files is None:
         files = F.count_distinct("source_path")
+    elif isinstance(input_files, int):
+        # The file listing is driver metadata already; its size is one number.
+        files = F.lit(input_files)
     else:
-        # The listing is driver metadata already; its count is one number.
         files = F.lit(input_files.count())
     return tagged.agg(
         files.cast("long").alias("input_files"),

@@ -31,6 +31,35 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath) and fs.getFileStatus(hpath).isFile()
 
 
+def list_export_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """``(path, length)`` of the inputs, listed on the driver with the
+    Hadoop FileSystem API (where Spark lists files too): the path itself if
+    it is a file, else every ``*.txt`` below it, skipping names that start
+    with ``_`` or ``.`` as Spark's file index does.  Zero-length files are
+    included (the reference counts them; Spark's scan skips them)."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    status = fs.getFileStatus(root)
+    if status.isFile():
+        return [(status.getPath().toString(), int(status.getLen()))]
+    out = []
+    stack = [root]
+    while stack:
+        for st in fs.listStatus(stack.pop()):
+            name = st.getPath().getName()
+            if name.startswith("_") or name.startswith("."):
+                continue
+            if st.isDirectory():
+                stack.append(st.getPath())
+            elif name.endswith(".txt"):
+                out.append((st.getPath().toString(), int(st.getLen())))
+    return sorted(out, key=lambda t: t[0].split("/"))
+
+
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
     """``(source_path, content)``, one row per file, sorted by path
     components when collected in order.  Raises if no file is found."""
@@ -58,13 +87,13 @@ def explode_lines(files: DataFrame, path_col: str = "source_path", text_col: str
     ).select("source_path", (F.col("pos") + 1).cast("long").alias("line_no"), "value")
 
 
-def read_export_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_export_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Line-level reader for exports of any size: ``(source_path, line_no,
     value)``.  Lines are numbered per split in scan order, then offset by
     the line counts of earlier splits of the same file (a small table).
     The text source drops a leading BOM (the whole-file reader keeps it)."""
     reader = spark.read.option("recursiveFileLookup", "true")
-    if not _is_file(spark, path):
+    if isinstance(path, str) and not _is_file(spark, path):
         reader = reader.option("pathGlobFilter", "*.txt")
     raw = reader.text(path).select(
         F.col("_metadata.file_path").alias("source_path"),
