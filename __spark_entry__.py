@@ -26,7 +26,7 @@ from turnframe.operators.assemble import assemble_messages  # noqa: E402
 from turnframe.operators.clean import README_FLAGS, clean_turns, parse_counters, with_drop_reason  # noqa: E402
 from turnframe.operators.examples import build_examples, format_turn, split_stats  # noqa: E402
 from turnframe.operators.headers import split_header, timestamp_or_fail  # noqa: E402
-from turnframe.operators.turns import turn_index, turns_from_json  # noqa: E402
+from turnframe.operators.turns import turn_index, turn_index_with_count, turns_from_json  # noqa: E402
 from turnframe.operators.windows import count_windows, window_members  # noqa: E402
 from turnframe.plans.dataset import build_dataset, export_turns, path_order  # noqa: E402
 from turnframe.operators.chat import (context_lines, generated_lines, inference_prompts, tag_lines,  # noqa: E402
@@ -48,9 +48,10 @@ def _turns(spark, d):
 
 
 def _indexed_turns(spark, d):
+    """(indexed turns, number of turns)."""
     turns = _turns(spark, d)
     turns = turns.where(F.length(strip(F.col("text"))) > 0)
-    return turn_index(turns, tiebreak=[path_order()])
+    return turn_index_with_count(turns, tiebreak=[path_order()])
 
 
 def _dataset(spark, d, chunk=C.DEFAULT_CHUNK_TURNS, prompt=C.DEFAULT_PROMPT_TURNS, stride=C.DEFAULT_STRIDE,
@@ -129,7 +130,7 @@ def q_parse_counters(spark, d):
 
 
 def q_turn_index(spark, d):
-    return _indexed_turns(spark, d).select("source_file", "line_start", "turn_idx")
+    return _indexed_turns(spark, d)[0].select("source_file", "line_start", "turn_idx")
 
 
 def q_event_turn_index(spark, d):
@@ -139,21 +140,21 @@ def q_event_turn_index(spark, d):
 
 def _window_index(chunk, stride, min_turns):
     def q(spark, d):
-        w = count_windows(_indexed_turns(spark, d), chunk, stride, min_turns)
+        idx, n = _indexed_turns(spark, d)
+        w = count_windows(idx, chunk, stride, min_turns, n=n)
         return w.select("chunk_index", "start_turn_index", "n_turns")
     return q
 
 
 def q_event_windows(spark, d):
-    ev = turn_index(fx.fx_events(spark, d).drop("ts"), tiebreak=["event_id"])
-    w = count_windows(ev, C.DEFAULT_CHUNK_TURNS, C.DEFAULT_STRIDE, C.DEFAULT_MIN_TURNS)
+    ev, n = turn_index_with_count(fx.fx_events(spark, d).drop("ts"), tiebreak=["event_id"])
+    w = count_windows(ev, C.DEFAULT_CHUNK_TURNS, C.DEFAULT_STRIDE, C.DEFAULT_MIN_TURNS, n=n)
     return w.select("chunk_index", "start_turn_index", "n_turns",
                     F.element_at("turns", -1)["turn_idx"].alias("last_turn_index"))
 
 
 def q_window_members(spark, d):
-    idx = _indexed_turns(spark, d)
-    n = idx.count()
+    idx, n = _indexed_turns(spark, d)
     return window_members(idx, n, C.DEFAULT_CHUNK_TURNS, C.DEFAULT_STRIDE, C.DEFAULT_MIN_TURNS).select(
         "chunk_index", "turn_idx", "source_file", "line_start")
 
@@ -164,8 +165,8 @@ def q_format_turns(spark, d):
 
 
 def q_build_examples(spark, d):
-    idx = _indexed_turns(spark, d)
-    w = count_windows(idx, C.DEFAULT_CHUNK_TURNS, C.DEFAULT_STRIDE, C.DEFAULT_MIN_TURNS)
+    idx, n = _indexed_turns(spark, d)
+    w = count_windows(idx, C.DEFAULT_CHUNK_TURNS, C.DEFAULT_STRIDE, C.DEFAULT_MIN_TURNS, n=n)
     ex = build_examples(w, C.DEFAULT_PROMPT_TURNS)
     return ex.select("chunk_index", *[F.col("messages")[i]["content"].alias(n)
                                       for i, n in enumerate(["system_content", "user_content", "assistant_content"])])

@@ -3,7 +3,7 @@ data, no window partitioned by a whole file."""
 
 from turnframe import fixtures as fx
 from turnframe.operators.assemble import assemble_messages
-from turnframe.operators.turns import turn_index
+from turnframe.operators.turns import turn_index, turn_index_with_count
 from turnframe.plans.dataset import export_turns, path_order
 
 SF = "/root/testdata/sf0.001"
@@ -15,12 +15,14 @@ def _plan(df):
 
 def test_turn_index_has_no_single_partition_over_rows(spark):
     ev = fx.fx_events(spark, SF).drop("ts")
-    idx = turn_index(ev, tiebreak=["event_id"])
-    plan = idx._jdf.queryExecution().optimizedPlan().toString()
-    # The only global window is over the per-partition counts table.
-    assert "RepartitionByExpression" not in plan or "SinglePartition" not in plan
+    idx, n = turn_index_with_count(ev, tiebreak=["event_id"])
+    assert n == 1000
     text = _plan(idx)
-    assert "BroadcastExchange" in text or "BroadcastHashJoin" in text
+    assert "SinglePartition" not in text
+    assert "Window" not in text
+    # Offsets are a per-partition literal table: ordinals are 0..n-1.
+    got = sorted(r[0] for r in idx.select("turn_idx").collect())
+    assert got == list(range(n))
 
 
 def test_assembly_windows_are_blockwise(spark):

@@ -66,17 +66,24 @@ def dense_position(df: DataFrame, keys: list[str], pos: Column, out: str,
                           out, how="sum", inclusive=True)
 
 
+# Above this many range partitions the offsets are joined as a broadcast
+# table instead of being inlined as a literal array.
+INLINE_OFFSETS_MAX = 8192
+
+
 def global_ordinal(df: DataFrame, order: list[Column | str], out: str,
-                   num_partitions: int | None = None, label: str = "ordinal") -> DataFrame:
-    """0-based position of each row in the total order ``order`` (which must
-    be unique, i.e. end with tie-breakers), without a single-partition sort.
+                   num_partitions: int | None = None, label: str = "ordinal") -> tuple[DataFrame, int]:
+    """``(df with out, row count)``: 0-based position of each row in the
+    total order ``order`` (which must be unique, i.e. end with
+    tie-breakers), without a single-partition sort.
 
     Range-partition on the full order key (balanced even when one leading
     value holds a third of the rows, because the key is unique), sort inside
     partitions, tag rows with ``monotonically_increasing_id`` (partition id
     in the high bits, position in the low bits) and materialise, so that
-    the tags are fixed.  The per-partition counts table has one row per
-    range partition (a size bound we choose), so it is broadcast.
+    the tags are fixed.  The per-partition counts have one row per range
+    partition (a bound we choose), so they are collected and turned into
+    offsets on the driver; the total is the timeline length.
     """
     spark = df.sparkSession
     n_parts = num_partitions or shuffle_partitions(spark)
@@ -84,13 +91,19 @@ def global_ordinal(df: DataFrame, order: list[Column | str], out: str,
     tagged = materialize(ranged.withColumn("__mid", F.monotonically_increasing_id()), label)
     pid = F.shiftrightunsigned(F.col("__mid"), 33)
     pos = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = tagged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__cnt"))
-    offsets = counts.withColumn(
-        "__off",
-        F.coalesce(F.sum("__cnt").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)),
-    ).drop("__cnt")
-    return (tagged.withColumn("__pid", pid)
-            .join(F.broadcast(offsets), on="__pid", how="inner")
-            .withColumn(out, F.col("__off") + pos)
-            .drop("__pid", "__off", "__mid"))
+    counts = sorted((r[0], r[1]) for r in tagged.groupBy(pid.alias("p")).agg(F.count(F.lit(1))).collect())
+    offsets, total = {}, 0
+    for p_id, c in counts:
+        offsets[p_id] = total
+        total += c
+    if not counts:
+        return tagged.withColumn(out, pos).drop("__mid"), 0
+    if len(counts) <= INLINE_OFFSETS_MAX:
+        top = max(offsets)
+        table = F.array(*[F.lit(offsets.get(i, 0)) for i in range(top + 1)])
+        res = tagged.withColumn(out, F.get(table, pid.cast("int")) + pos)
+        return res.drop("__mid"), total
+    off_df = spark.createDataFrame(sorted(offsets.items()), "__pid long, __off long")
+    res = (tagged.withColumn("__pid", pid).join(F.broadcast(off_df), on="__pid", how="inner")
+           .withColumn(out, F.col("__off") + pos).drop("__pid", "__off", "__mid"))
+    return res, total

@@ -69,11 +69,13 @@ def turns_from_json(lines: DataFrame, on_bad: str = "fail", line_col: str = "lin
     v = F.col("__v")
     obj_ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     if on_bad == "fail":
-        ok = F.when(obj_ok, F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("Invalid JSONL at line "), where)).cast("boolean"))
-    else:
-        ok = obj_ok
-    base = base.where(ok)
+        # The reference stops at the first malformed line: find the smallest
+        # one with a partial aggregation (tasks run in any order, so an
+        # in-plan raise could name a later line).
+        first_bad = base.where(~obj_ok).agg(F.min("input_line")).first()[0]
+        if first_bad is not None:
+            raise ValueError(f"Invalid JSONL at line {first_bad}")
+    base = base.where(obj_ok)
     fields = base.select(
         "input_line",
         *[_kind(v, p).alias(f"k_{k}") for k, p in _FIELDS.items()],
@@ -95,6 +97,13 @@ def turns_from_json(lines: DataFrame, on_bad: str = "fail", line_col: str = "lin
 def turn_index(turns: DataFrame, tiebreak: list[Column | str] | None = None,
                partition_by: list[str] | None = None, out: str = "turn_idx",
                on_bad: str = "fail", num_partitions: int | None = None) -> DataFrame:
+    """The timeline with ``turn_idx``; see ``turn_index_with_count``."""
+    return turn_index_with_count(turns, tiebreak, partition_by, out, on_bad, num_partitions)[0]
+
+
+def turn_index_with_count(turns: DataFrame, tiebreak: list[Column | str] | None = None,
+                          partition_by: list[str] | None = None, out: str = "turn_idx",
+                          on_bad: str = "fail", num_partitions: int | None = None) -> tuple[DataFrame, int]:
     """Add the 0-based position of each turn in the timeline.
 
     Order: ``fromisoformat(timestamp)``, ``source_file``, ``line_start``,
@@ -105,9 +114,9 @@ def turn_index(turns: DataFrame, tiebreak: list[Column | str] | None = None,
     ``partition_by=None`` is one timeline over everything (the reference);
     with keys, every key gets its own 0-based timeline.
 
-    Plan: range partitioning on the whole key and a broadcast table of
-    per-partition offsets (``ordinals.global_ordinal``); never a window
-    without a partition key.
+    Plan: range partitioning on the whole key and per-partition offsets
+    (``ordinals.global_ordinal``); never a window without a partition key.
+    ``turn_index_with_count`` also returns the number of turns.
     """
     keys = list(partition_by or [])
     sort_ts = iso_sort_key(F.col("timestamp"))
@@ -125,9 +134,9 @@ def turn_index(turns: DataFrame, tiebreak: list[Column | str] | None = None,
         tb.append(f"__tb{i}")
     order = [*keys, "__ts", "source_file", "line_start", *tb]
     gidx = "__gidx" if keys else out
-    indexed = global_ordinal(df, [F.col(c) for c in order], gidx, num_partitions, label="timeline")
+    indexed, total = global_ordinal(df, [F.col(c) for c in order], gidx, num_partitions, label="timeline")
     if keys:
         first = indexed.groupBy(*keys).agg(F.min(gidx).alias("__first"))
         indexed = (indexed.join(first, on=keys, how="inner")
                    .withColumn(out, F.col(gidx) - F.col("__first")).drop(gidx, "__first"))
-    return indexed.drop("__ts", *tb)
+    return indexed.drop("__ts", *tb), total

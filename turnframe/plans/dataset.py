@@ -14,8 +14,8 @@ from ..functions.text import is_blank, strip
 from ..operators.assemble import assemble_messages
 from ..operators.clean import clean_turns
 from ..operators.examples import build_examples, split_examples, split_label, split_stats
-from ..operators.turns import turn_index
-from ..operators.windows import DEFAULT_PAYLOAD, count_windows, layout, timeline_lengths
+from ..operators.turns import turn_index_with_count
+from ..operators.windows import DEFAULT_PAYLOAD, count_windows, layout
 
 
 def export_turns(lines: DataFrame, exclude_speakers=tuple(C.DEFAULT_EXCLUDE_SPEAKERS), drop_system=True,
@@ -64,7 +64,7 @@ def build_dataset(turns: DataFrame, chunk_turns: int = C.DEFAULT_CHUNK_TURNS,
              .withColumn("speaker", strip(F.col("speaker"))).withColumn("text", strip(F.col("text"))))
     if tiebreak is None and "source_path" in turns.columns:
         tiebreak = [path_order()]
-    indexed = turn_index(turns, tiebreak=tiebreak, partition_by=keys)
+    indexed, total = turn_index_with_count(turns, tiebreak=tiebreak, partition_by=keys)
     stats = split_stats(indexed, chunk_turns, prompt_turns, stride, min_turns, speaker_control,
                         val_ratio, test_ratio, partition_by=keys)
     if keys:
@@ -75,7 +75,7 @@ def build_dataset(turns: DataFrame, chunk_turns: int = C.DEFAULT_CHUNK_TURNS,
               .withColumn("split", split_label(F.col("chunk_index"), F.col("__tr"), F.col("__va")))
               .drop("__tr", "__va"))
         return Dataset(indexed, None, windows, ex, stats)
-    _, n = timeline_lengths(indexed, None)
+    n = total
     if dataset_checks:
         checks.check_dataset_counts(n, layout(n, chunk_turns, stride, min_turns).windows)
     windows = count_windows(indexed, chunk_turns, stride, min_turns, n=n)
