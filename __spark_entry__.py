@@ -192,6 +192,16 @@ def _split_examples_params(chunk, stride, min_turns):
     return q
 
 
+def q_split_examples_per_file(spark, d):
+    """Extension: one timeline per key (here per export file); windows,
+    tail rule and split are then per key."""
+    ds = build_dataset(_turns(spark, d), partition_by=["source_file"], include_metadata=True, speaker_control=True)
+    return ds.examples.select("source_file", "chunk_index", "split",
+                              F.col("meta.start_turn_index").alias("start_turn_index"),
+                              F.col("meta.end_turn_index").alias("end_turn_index"),
+                              F.col("meta.target_speaker").alias("target_speaker"))
+
+
 def q_split_stats(spark, d):
     # Statistics follow from the number of valid turns alone: no ordering.
     turns = _turns(spark, d).where(F.length(strip(F.col("text"))) > 0)
@@ -285,6 +295,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "example_meta": q_example_meta,
         "split_examples": q_split_examples,
         "split_examples_20_5_8": _split_examples_params(20, 5, 8),
+        "split_examples_per_file": q_split_examples_per_file,
         "split_stats": q_split_stats,
         "turns_from_json": q_turns_from_json,
         "context_lines": q_context_lines,
@@ -372,6 +383,8 @@ def oracle_sql() -> dict[str, str]:
         "split_examples": msgs + win + ex + split + _examples_select(True, True) + " FROM w_split e",
         "split_examples_20_5_8": msgs + O.windows_cte("w", "fx_turns", 20, 5, 8) + O.examples_cte("w", "fx_turns", 16)
         + split + " SELECT chunk_index, split, start_turn_index, end_turn_index FROM w_split",
+        "split_examples_per_file": msgs + O.PER_FILE_SPLIT + """
+            SELECT source_file, chunk_index, split, start_turn_index, end_turn_index, target_speaker FROM pf_split""",
         "split_stats": msgs + win + """,
             c AS (SELECT count(*) AS total, CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) AS t10 FROM w_win)
             SELECT (SELECT count(*) FROM fx_turns) AS input_turns, total AS examples,

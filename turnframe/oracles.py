@@ -154,3 +154,39 @@ ctx_raw AS (
 ctx_lines AS (
   SELECT transcript_id, CAST(row_number() OVER (PARTITION BY transcript_id ORDER BY seq, pos) AS BIGINT) AS line_no, line
   FROM ctx_raw WHERE length({trimmed}) > 0)""".format(re=SPLITLINES_RE, trimmed=trim_ws("line"))
+
+
+# Per-key timelines (partition_by=["source_file"]): windows by definition per
+# file, chunk order per file, split per file.
+PER_FILE_SPLIT = """,
+pf_turns AS (
+  SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY ts, line_start) - 1 AS k_idx FROM fx_turns),
+pf_n AS (SELECT source_file, count(*) AS n FROM pf_turns GROUP BY source_file),
+pf_reg AS (
+  SELECT source_file, s AS start_idx, n FROM (
+    SELECT source_file, n, unnest(generate_series(0, greatest(0, n - 12), 8)) AS s FROM pf_n WHERE n >= 12) q
+  WHERE least(32, n - s) >= 12),
+pf_regk AS (
+  SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY start_idx) - 1 AS chunk_index, start_idx, n
+  FROM pf_reg),
+pf_tail AS (
+  SELECT p.source_file, (SELECT count(*) FROM pf_reg r WHERE r.source_file = p.source_file) AS chunk_index,
+    greatest(0, p.n - 32) AS start_idx, p.n
+  FROM pf_n p
+  WHERE p.n >= 12 AND NOT EXISTS (SELECT 1 FROM pf_reg r WHERE r.source_file = p.source_file
+                                   AND r.start_idx = greatest(0, p.n - 32))),
+pf_win AS (
+  SELECT source_file, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(start_idx AS BIGINT) AS start_turn_index,
+    CAST(least(32, n - start_idx) AS BIGINT) AS n_turns
+  FROM (SELECT * FROM pf_regk UNION ALL SELECT * FROM pf_tail) w),
+pf_cnt AS (
+  SELECT source_file, count(*) AS total, CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) AS t10
+  FROM pf_win GROUP BY source_file),
+pf_split AS (
+  SELECT w.source_file, w.chunk_index, w.start_turn_index,
+    w.start_turn_index + w.n_turns - 1 AS end_turn_index,
+    (SELECT t.speaker FROM pf_turns t WHERE t.source_file = w.source_file
+       AND t.k_idx = w.start_turn_index + least(16, w.n_turns - 1)) AS target_speaker,
+    CASE WHEN w.chunk_index < c.total - 2 * c.t10 THEN 'train'
+         WHEN w.chunk_index < c.total - c.t10 THEN 'val' ELSE 'test' END AS split
+  FROM pf_win w JOIN pf_cnt c ON c.source_file = w.source_file)"""
