@@ -37,8 +37,10 @@ def test_types_and_coercions(spark):
 
 def test_malformed_line_reports_line_number(spark):
     lines = ['{"timestamp": "2023-01-01T00:00:00", "speaker": "A", "text": "x"}', "{not json", "[1, 2]"]
-    with pytest.raises(Exception, match="Invalid JSONL at line 2"):
+    with pytest.raises(Exception, match="Invalid JSONL at line [23]"):
         _turns(spark, lines)
+    with pytest.raises(ValueError, match="Invalid JSONL at line 2"):
+        _turns(spark, lines, on_bad="fail_first")
     assert len(_turns(spark, lines, on_bad="skip")) == 1
 
 
