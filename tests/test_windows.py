@@ -78,3 +78,31 @@ def test_examples_layout(spark):
     assert "\n\nTARGET_SPEAKER=s2\nContinue the conversation naturally." in user
     assert r4["messages"][2]["content"] == "s2: t44"
     assert [m["role"] for m in r4["messages"]] == ["system", "user", "assistant"]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_frames_equal_explode_and_definition(spark, seed):
+    rnd = random.Random(100 + seed)
+    n, chunk, stride = rnd.randint(0, 120), rnd.randint(2, 20), rnd.randint(1, 25)
+    min_turns = rnd.randint(2, 20)
+    block = rnd.choice([None, 1, 3, 7, 50])
+    idx = _indexed(spark, n)
+    exp = [(k, s, ln) for k, (s, ln) in enumerate(reference_windows(n, chunk, stride, min_turns))]
+    for method in ("frames", "explode"):
+        w = count_windows(idx, chunk, stride, min_turns, method=method, block_turns=block)
+        rows = w.collect()
+        assert sorted((r["chunk_index"], r["start_turn_index"], r["n_turns"]) for r in rows) == exp, method
+        for r in rows:
+            assert [t["turn_idx"] for t in r["turns"]] == list(range(r["start_turn_index"],
+                                                                     r["start_turn_index"] + r["n_turns"]))
+
+
+def test_frames_per_key(spark):
+    rows = [(k, i, "2023-01-01T00:00:00", "s", f"t{i}", "f") for k, m in ((1, 45), (2, 11), (3, 100)) for i in range(m)]
+    df = spark.createDataFrame(rows, "key long, turn_idx long, timestamp string, speaker string, text string, "
+                                     "source_file string")
+    got = sorted((r["key"], r["chunk_index"], r["start_turn_index"], r["n_turns"])
+                 for r in count_windows(df, 32, 8, 12, partition_by=["key"], block_turns=16).collect())
+    exp = sorted((k, c, s, ln) for k, m in ((1, 45), (2, 11), (3, 100))
+                 for c, (s, ln) in enumerate(reference_windows(m, 32, 8, 12)))
+    assert got == exp

@@ -13,19 +13,33 @@ turns iff ``n > chunk and (n - chunk) mod stride != 0``.  Turn ``i`` lies
 in regular windows ``max(0, ceil((i - chunk + 1) / stride)) .. min(K, i div
 stride)`` and in the tail iff ``i >= n - chunk``.
 
-Plan: every turn is exploded to the ids of the windows holding it (about
-``chunk / stride`` copies, the replication the output itself has), then
-grouped by window id.  A group never exceeds ``chunk`` rows, whatever the
-skew of the input, and ``n`` is a single number.
+Two plans with the same result (``method``):
+
+* ``"frames"`` (default): turns are grouped by ``idx div stride`` (a window
+  starts at a group boundary and spans ``H = (chunk - 1) div stride + 1``
+  groups).  Rows are hash-partitioned once by a block of groups; the first
+  ``H - 1`` groups of each block are also copied to the previous block,
+  which needs them for its last windows.  Inside a partition, groups are
+  collected and a bounded window frame (``ROWS 0 .. H-1 FOLLOWING``)
+  assembles each window.  About one copy of the turns is shuffled; blocks
+  have a bounded size whatever the skew.
+* ``"explode"``: every turn is exploded to the ids of the windows holding
+  it (about ``chunk / stride`` copies) and grouped by window id (groups of
+  at most ``chunk`` rows, map-side partial aggregation).
+
+The tail window is one group of ``chunk`` turns.  ``n`` is a single number
+(or one per key).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shuffle_partitions
+
 DEFAULT_PAYLOAD = ["timestamp", "speaker", "text", "source_file"]
 
 
@@ -108,7 +122,8 @@ def timeline_lengths(indexed: DataFrame, partition_by: list[str] | None) -> tupl
 
 def count_windows(indexed: DataFrame, chunk: int, stride: int, min_turns: int,
                   partition_by: list[str] | None = None, payload: list[str] = DEFAULT_PAYLOAD,
-                  idx_col: str = "turn_idx", n: int | None = None) -> DataFrame:
+                  idx_col: str = "turn_idx", n: int | None = None, method: str = "frames",
+                  block_turns: int | None = None) -> DataFrame:
     """Windows ``(*partition_by, chunk_index, start_turn_index, n_turns,
     turns)`` where ``turns`` is ``array<struct<turn_idx, *payload>>`` in
     timeline order.  Pass ``n`` when the timeline length is already known."""
@@ -117,9 +132,14 @@ def count_windows(indexed: DataFrame, chunk: int, stride: int, min_turns: int,
         indexed, n = timeline_lengths(indexed, keys)
     member = F.struct(F.col(idx_col).alias("turn_idx"), *[F.col(c) for c in payload])
     extra = [] if isinstance(n, int) else ["__n"]
-    exploded = window_members(indexed.select(*keys, idx_col, *payload, *extra),
-                              n, chunk, stride, min_turns, idx_col)
-    grouped = exploded.groupBy(*keys, "chunk_index").agg(F.collect_list(member).alias("turns"))
+    base = indexed.select(*keys, idx_col, *payload, *extra)
+    if method == "explode":
+        exploded = window_members(base, n, chunk, stride, min_turns, idx_col)
+        grouped = exploded.groupBy(*keys, "chunk_index").agg(F.collect_list(member).alias("turns"))
+    elif method == "frames":
+        grouped = _frames(base, member, n, chunk, stride, min_turns, keys, idx_col, block_turns)
+    else:
+        raise ValueError("method must be 'frames' or 'explode'")
     turns = F.array_sort("turns")
     return grouped.select(
         *keys, "chunk_index",
@@ -127,3 +147,45 @@ def count_windows(indexed: DataFrame, chunk: int, stride: int, min_turns: int,
         F.size(turns).cast("long").alias("n_turns"),
         turns.alias("turns"),
     )
+
+
+def _frames(base: DataFrame, member: Column, n: Column | int, chunk: int, stride: int, min_turns: int,
+            keys: list[str], idx_col: str, block_turns: int | None) -> DataFrame:
+    """``(*keys, chunk_index, turns)`` with one shuffle of the turns."""
+    n_col = F.lit(n).cast("long") if isinstance(n, int) else F.col("__n")
+    lay = layout_columns(n_col, chunk, stride, min_turns)
+    h = (chunk - 1) // stride + 1                     # groups spanned by a window
+    if block_turns is None:
+        # Enough blocks to spread over the cores when n is known, at most
+        # 2^16 turns per block.
+        parts = shuffle_partitions(base.sparkSession)
+        want = -(-n // (4 * parts)) if isinstance(n, int) else 1 << 16
+        block_turns = min(1 << 16, max(want, 1))
+    groups_per_block = max(h, -(-block_turns // stride))
+    i = F.col(idx_col)
+    g = _div(i, stride)
+    blk = _div(g, groups_per_block)
+    # A turn is in some regular window only if it lies in the first `chunk`
+    # turns of its group (matters when stride > chunk).
+    regular_member = lay["valid"] & (i - g * F.lit(stride) < F.lit(chunk)) & (g <= lay["K"] + F.lit(h - 1))
+    halo = (F.pmod(g, F.lit(groups_per_block)) < F.lit(h - 1)) & (blk > 0)
+    tail_member = lay["tail"] & (i >= n_col - F.lit(chunk))
+    target = lambda b, grp: F.array(F.struct(b.cast("long").alias("b"), grp.cast("long").alias("g")))
+    none = F.array().cast("array<struct<b:bigint,g:bigint>>")
+    # One scan: each turn goes to its own block, to the previous block if
+    # that block's last windows need it, and to block -1 (the tail window).
+    targets = F.concat(
+        F.when(regular_member, target(blk, g)).otherwise(none),
+        F.when(regular_member & halo, target(blk - 1, g)).otherwise(none),
+        F.when(tail_member, target(F.lit(-1), lay["K"] + 1)).otherwise(none),
+    )
+    rows = base.select(*keys, F.explode(targets).alias("__t"), member.alias("__m"), lay["K"].alias("__K"))
+    rows = rows.select(*keys, F.col("__t.b").alias("__blk"), F.col("__t.g").alias("__g"), "__m", "__K")
+    groups = rows.repartition(*keys, "__blk").groupBy(*keys, "__blk", "__g").agg(
+        F.array_sort(F.collect_list("__m")).alias("__ga"), F.max("__K").alias("__K"))
+    frame = Window.partitionBy(*keys, "__blk").orderBy("__g").rowsBetween(0, h - 1)
+    framed = groups.withColumn("__frame", F.collect_list("__ga").over(frame))
+    own = (F.col("__blk") == -1) | ((_div(F.col("__g"), groups_per_block) == F.col("__blk"))
+                                    & (F.col("__g") <= F.col("__K")))
+    return framed.where(own).select(*keys, F.col("__g").alias("chunk_index"),
+                                    F.slice(F.flatten("__frame"), 1, chunk).alias("turns"))
