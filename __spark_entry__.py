@@ -86,7 +86,7 @@ def q_explode_lines(spark, d):
 
 
 def q_parse_headers(spark, d):
-    lines = fx.fx_lines(spark, d).withColumn("h", split_header(F.col("value")))
+    lines = fx.fx_lines(spark, d).withColumn("h", split_header("value"))
     where = F.concat(F.col("source_path"), F.lit(" line "), F.col("line_no").cast("string"))
     return lines.where("h.is_header").select(
         "source_path", "line_no", timestamp_or_fail(F.col("h.ts"), where, "fail").alias("timestamp"),

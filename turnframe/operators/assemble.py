@@ -36,7 +36,7 @@ def assemble_messages(lines: DataFrame, on_bad: str = "fail", block_lines: int =
     text``.  Lines before a file's first header are dropped (P-2);
     continuation lines, blank ones included, are appended with "\\n".
     """
-    hdr = split_header(F.col("value"))
+    hdr = split_header("value")
     parsed = (lines.select(F.col(path_col).alias("source_path"), "line_no", "value")
               .withColumn("h", hdr))
     owned = running_before(
@@ -83,7 +83,7 @@ def parse_export_text(files: DataFrame, on_bad: str = "fail", path_col: str = "s
     exploded = (files.select(F.col(path_col).alias("source_path"), lines.alias("__lines"))
                 .withColumn("__heads", heads)
                 .select("source_path", F.explode(msgs.alias("m")).alias("m")))
-    h = split_header(F.col("m.header"), F.lit(True))
+    h = split_header("m.header", known_header=True)
     where = F.concat(F.col("source_path"), F.lit(" line "), F.col("m.line_start").cast("string"))
     with_h = exploded.withColumn("h", h)
     return with_h.select(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions.memo import memo_expr
 from ..functions.text import is_media_placeholder, is_system_text, strip, strip_edit_marker
 
 README_FLAGS = dict(drop_system=True, drop_media=True, strip_edits=True)
@@ -31,22 +32,29 @@ def with_drop_reason(messages: DataFrame, exclude_speakers=tuple(C.DEFAULT_EXCLU
                      strip_edits: bool = False) -> DataFrame:
     """Adds ``clean_text`` and ``drop_reason`` (NULL = kept,
     'speaker' | 'system' | 'media')."""
-    ct = clean_text(F.col("text"), strip_edits)
-    reason = F.lit(None).cast("string")
+    names = tuple(exclude_speakers or ())
+    ct = memo_expr(("clean_text", strip_edits), lambda: clean_text(F.col("text"), strip_edits))
+    reason = memo_expr(("drop_reason", names, drop_system, drop_media),
+                       lambda: drop_reason(names, drop_system, drop_media))
+    return messages.withColumns({"clean_text": ct}).withColumns({"drop_reason": reason})
+
+
+def drop_reason(names, drop_system: bool, drop_media: bool):
+    """First rule wins: speaker, then system text, then media placeholder
+    (on ``clean_text``); NULL when kept."""
     rules = []
-    names = list(exclude_speakers or [])
     if names:
-        rules.append((F.col("speaker").isin(names), "speaker"))
+        rules.append((F.col("speaker").isin(list(names)), "speaker"))
     if drop_system:
         rules.append((is_system_text(F.col("clean_text")), "system"))
     if drop_media:
         rules.append((is_media_placeholder(F.col("clean_text")), "media"))
-    if rules:
-        expr = F.when(rules[0][0], F.lit(rules[0][1]))
-        for cond, name in rules[1:]:
-            expr = expr.when(cond, F.lit(name))
-        reason = expr
-    return messages.withColumn("clean_text", ct).withColumn("drop_reason", reason)
+    if not rules:
+        return F.lit(None).cast("string")
+    expr = F.when(rules[0][0], F.lit(rules[0][1]))
+    for cond, name in rules[1:]:
+        expr = expr.when(cond, F.lit(name))
+    return expr
 
 
 def clean_turns(messages: DataFrame, exclude_speakers=tuple(C.DEFAULT_EXCLUDE_SPEAKERS),

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions.memo import memo_expr
 from ..functions.text import strip
 from ..functions.timestamps import export_timestamp, iso_string
 
@@ -28,14 +29,18 @@ def is_header(value: Column) -> Column:
     return F.regexp_like(value, F.lit(HEADER_REGEX))
 
 
-def split_header(value: Column, header: Column | None = None) -> Column:
+def split_header(value: Column | str, known_header: bool = False) -> Column:
     """Struct ``(is_header, ts, speaker, text)``.
 
     Non-header lines give ``is_header=false`` and NULL fields.  ``ts`` is
     NULL for a header whose date/time the reference would reject (see
     ``on_bad`` in the callers).  ``speaker`` is stripped, ``text`` is raw.
+    ``known_header`` skips the test when every input line is a header.
     """
-    hdr = is_header(value) if header is None else header
+    if isinstance(value, str):
+        return memo_expr(("split_header", value, known_header),
+                         lambda: split_header(F.col(value), known_header))
+    hdr = F.lit(True) if known_header else is_header(value)
     parts = F.split(F.regexp_replace(value, F.lit(HEADER_REGEX), F.lit(_FIELDS)), ":", 8)
     g = [F.get(parts, i) for i in range(8)]
     ts = export_timestamp(g[0], g[1], g[2], g[3], g[4], g[5])
