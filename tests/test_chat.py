@@ -52,3 +52,32 @@ def test_render_and_tokens(spark):
     assert cut["input_ids"] == full["input_ids"][:3]
     custom = tokenize_truncate(text, 2, keep=["id"], tokenizer=lambda xs: [[len(x), 7, 9] for x in xs]).first()
     assert custom["input_ids"] == [20, 7] and "text" not in tokenize_truncate(text, 2).columns
+
+
+def test_training_and_transcript_plans(spark, tmpdir_path):
+    import json
+    import os
+    from turnframe.plans.training import training_tokens, transcript_prompts
+
+    os.makedirs(f"{tmpdir_path}/ds")
+    rows = [{"messages": [{"role": "system", "content": "S"}, {"role": "user", "content": "hello there"},
+                          {"role": "assistant", "content": "a: b"}], "meta": {"chunk_index": i}} for i in range(3)]
+    with open(f"{tmpdir_path}/ds/train.jsonl", "w") as f:
+        f.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    with open(f"{tmpdir_path}/ds/val.jsonl", "w") as f:
+        f.write(json.dumps(rows[0]) + "\n")
+    toks = training_tokens(spark, f"{tmpdir_path}/ds/train.jsonl", f"{tmpdir_path}/ds/val.jsonl", max_length=5)
+    got = toks.collect()
+    assert sorted(r["split"] for r in got) == ["train", "train", "train", "validation"]
+    assert all(len(r["input_ids"]) == 5 and r["attention_mask"] == [1] * 5 for r in got)
+    assert set(toks.columns) == {"split", "input_ids", "attention_mask"}
+
+    os.makedirs(f"{tmpdir_path}/tr")
+    with open(f"{tmpdir_path}/tr/a.txt", "w", encoding="utf-8") as f:
+        f.write("Ann: hi\n\n  \nBob: yo\r\n")
+    with open(f"{tmpdir_path}/tr/empty.txt", "w", encoding="utf-8") as f:
+        f.write("\n \n")
+    p = {os.path.basename(r["transcript_id"]): r for r in transcript_prompts(spark, f"{tmpdir_path}/tr").collect()}
+    assert p["a.txt"]["messages"][1]["content"].startswith("Group chat transcript so far:\nAnn: hi\nBob: yo\n\n")
+    assert "(empty)" in p["empty.txt"]["messages"][1]["content"]
+    assert p["a.txt"]["prompt_text"].endswith("<|im_start|>assistant\n")

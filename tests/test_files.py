@@ -6,7 +6,7 @@ import os
 
 from turnframe.plans.dataset import build_dataset
 from turnframe.plans.exports import parse_exports
-from turnframe.sources.exports import explode_lines, list_export_files, read_export_lines, read_exports
+from turnframe.sources.exports import count_input_files, explode_lines, read_export_lines, read_exports
 from turnframe.sources.sinks import append_transcript, verify_counts, write_splits, write_stats, write_turns
 
 H = "[12/7/23, 09:15:{:02d}] {}: {}"
@@ -36,7 +36,7 @@ def test_read_exports_decoding(spark, tmpdir_path):
     assert got[("b.txt", 2)] == "end��"
     assert not any(k[0] == "c.TXT" for k in got)
     assert files.count() == 2  # Spark's scan skips the empty file ...
-    assert len(list_export_files(spark, tmpdir_path)) == 3  # ... the listing counts it
+    assert count_input_files(spark, tmpdir_path) == 3  # ... the file index counts it
     single = read_exports(spark, f"{tmpdir_path}/c.TXT")
     assert single.count() == 1
 
@@ -62,10 +62,12 @@ def test_parse_exports_routes_and_counters(spark, tmpdir_path):
     _write(f"{tmpdir_path}/two/empty.txt", b"")
     flags = dict(drop_system=True, drop_media=True, strip_edits=True)
     res = {}
-    for route in ("whole", "lines", "auto"):
-        p = parse_exports(spark, tmpdir_path, route=route, **flags)
+    for route, limit in (("whole", None), ("lines", None), ("auto", None), ("auto", 100)):
+        p = parse_exports(spark, tmpdir_path, route=route, **flags) if limit is None else \
+            parse_exports(spark, tmpdir_path, route=route, whole_file_limit=limit, **flags)
+        route = route if limit is None else "mixed"
         res[route] = (sorted(tuple(r) for r in p.turns.collect()), tuple(p.counters.first()))
-    assert res["whole"] == res["lines"] == res["auto"]
+    assert res["whole"] == res["lines"] == res["auto"] == res["mixed"]
     turns, counters = res["whole"]
     assert counters == (2, 5, 1, 1, 1, 2)
     # The marker regex also eats the newline after it: neighbours fuse.

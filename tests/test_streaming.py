@@ -23,3 +23,20 @@ def test_stream_matches_batch(spark, tmpdir_path):
     batch = sorted(tuple(r) for r in parse_exports(spark, src, **flags).turns.select(
         "timestamp", "speaker", "text", "source_file", "line_start").collect())
     assert streamed == batch and len(batch) == 30
+
+
+def test_stream_running_counters(spark, tmpdir_path):
+    from turnframe.streaming.exports import running_counters, stream_export_messages
+
+    src = f"{tmpdir_path}/in"
+    os.makedirs(src)
+    body = "\n".join(H.format(i, "Meta AI" if i == 0 else "Ann", "image omitted" if i == 1 else f"m{i}")
+                     for i in range(5))
+    with open(f"{src}/a.txt", "w", encoding="utf-8") as fh:
+        fh.write(body)
+    counters = running_counters(stream_export_messages(spark, src), drop_system=True, drop_media=True)
+    q = counters.writeStream.format("memory").queryName("tf_counters").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    row = spark.sql("SELECT * FROM tf_counters").first()
+    assert (row["raw_messages"], row["dropped_speaker"], row["dropped_media"], row["written"]) == (5, 1, 1, 3)

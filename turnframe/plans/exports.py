@@ -3,8 +3,9 @@
 ``route="auto"`` reads small files whole (one row each, parsed inside the
 row with array functions: no shuffle) and files above ``whole_file_limit``
 bytes line by line (split across tasks, messages assembled with a bounded
-block window and one grouping).  File names and sizes come from the
-driver-side listing (``sources.exports.list_export_files``).
+block window and one grouping).  File sizes come from Spark's file index
+(``sources.exports.export_index``); only large files' paths reach the
+driver.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..operators.assemble import assemble_messages, parse_export_text
 from ..operators.clean import clean_turns, parse_counters
-from ..sources.exports import _is_file, list_export_files, read_export_lines
+from ..sources.exports import _is_file, count_input_files, export_index, read_export_lines
 
 WHOLE_FILE_LIMIT = 64 << 20
 
 
 @dataclass
 class ParsedExports:
-    files: list[tuple[str, int]]
+    input_files: int
     messages: DataFrame
     turns: DataFrame
     counters: DataFrame
@@ -36,37 +37,39 @@ def parse_exports(spark: SparkSession, path: str, exclude_speakers=tuple(C.DEFAU
                   whole_file_limit: int = WHOLE_FILE_LIMIT) -> ParsedExports:
     """Files -> messages -> kept turns, plus the counters row.  Flags
     default to off as in the reference's command line."""
-    files = list_export_files(spark, path)
-    if not files:
+    n_files = count_input_files(spark, path)
+    if n_files == 0:
         raise FileNotFoundError(f"No .txt files found under: {path}")
-    small = [p for p, n in files if 0 < n <= whole_file_limit]
-    big = [p for p, n in files if n > whole_file_limit]
-    if route == "auto":
-        route = "whole" if not big else "mixed"
     parts = []
     if route == "whole":
         parts.append(parse_export_text(_contents(spark, path), on_bad=on_bad))
     elif route == "lines":
         parts.append(assemble_messages(read_export_lines(spark, path), on_bad=on_bad))
-    elif route == "mixed":
-        if small:
-            parts.append(parse_export_text(_contents(spark, small), on_bad=on_bad))
-        parts.append(assemble_messages(read_export_lines(spark, big), on_bad=on_bad))
+    elif route == "auto":
+        # Only the (few) large files are listed to the driver; the small ones
+        # are read through a length filter the binaryFile source pushes down.
+        big = [r[0] for r in export_index(spark, path).where(F.col("length") > whole_file_limit).collect()]
+        parts.append(parse_export_text(
+            _contents(spark, path, max_length=whole_file_limit if big else None), on_bad=on_bad))
+        if big:
+            parts.append(assemble_messages(read_export_lines(spark, big), on_bad=on_bad))
     else:
-        raise ValueError("route must be 'auto', 'whole', 'lines' or 'mixed'")
+        raise ValueError("route must be 'auto', 'whole' or 'lines'")
     messages = parts[0]
     for p in parts[1:]:
         messages = messages.unionByName(p)
     turns = clean_turns(messages, exclude_speakers, drop_system, drop_media, strip_edits, minimal=minimal,
                         keep_path=not minimal)
-    counters = parse_counters(messages, len(files), exclude_speakers, drop_system, drop_media, strip_edits)
-    return ParsedExports(files, messages, turns, counters)
+    counters = parse_counters(messages, n_files, exclude_speakers, drop_system, drop_media, strip_edits)
+    return ParsedExports(n_files, messages, turns, counters)
 
 
-def _contents(spark: SparkSession, path) -> DataFrame:
+def _contents(spark: SparkSession, path, max_length: int | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile")
     if isinstance(path, str) and not _is_file(spark, path):
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
     raw = reader.load(path)
+    if max_length is not None:
+        raw = raw.where(F.col("length") <= max_length)
     return raw.select(F.col("path").alias("source_path"),
                       F.make_valid_utf8(F.col("content").cast("string")).alias("content"))

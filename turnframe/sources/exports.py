@@ -31,33 +31,21 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath) and fs.getFileStatus(hpath).isFile()
 
 
-def list_export_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """``(path, length)`` of the inputs, listed on the driver with the
-    Hadoop FileSystem API (where Spark lists files too): the path itself if
-    it is a file, else every ``*.txt`` below it, skipping names that start
-    with ``_`` or ``.`` as Spark's file index does.  Zero-length files are
-    included (the reference counts them; Spark's scan skips them)."""
-    sc = spark.sparkContext
-    jvm = sc._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    status = fs.getFileStatus(root)
-    if status.isFile():
-        return [(status.getPath().toString(), int(status.getLen()))]
-    out = []
-    stack = [root]
-    while stack:
-        for st in fs.listStatus(stack.pop()):
-            name = st.getPath().getName()
-            if name.startswith("_") or name.startswith("."):
-                continue
-            if st.isDirectory():
-                stack.append(st.getPath())
-            elif name.endswith(".txt"):
-                out.append((st.getPath().toString(), int(st.getLen())))
-    return sorted(out, key=lambda t: t[0].split("/"))
+def export_index(spark: SparkSession, path: str) -> DataFrame:
+    """The input files as ``(source_path, length)`` through Spark's file
+    index (parallel listing; the content column is pruned, so nothing is
+    read): the path itself if it is a file, else every ``*.txt`` below it.
+    Like Spark's reads, names starting with ``_`` or ``.`` are skipped."""
+    reader = spark.read.format("binaryFile")
+    if not _is_file(spark, path):
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+    return reader.load(path).select(F.col("path").alias("source_path"), "length")
+
+
+def count_input_files(spark: SparkSession, path: str) -> int:
+    """Number of input files, zero-length ones included (the reference
+    counts them; Spark's scan skips them, its file index does not)."""
+    return len(export_index(spark, path).inputFiles())
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
