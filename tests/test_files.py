@@ -98,3 +98,25 @@ def test_outputs(spark, tmpdir_path):
     append_transcript(lines, f"{tmpdir_path}/tr")
     append_transcript(lines, f"{tmpdir_path}/tr")
     assert spark.read.text(f"{tmpdir_path}/tr").count() == 4
+
+
+def test_lone_cr_line_reader(spark, tmpdir_path):
+    _write(f"{tmpdir_path}/cr.txt", _export(50, sep="\r") + b"\r")
+    by_lines = sorted(tuple(r) for r in read_export_lines(spark, tmpdir_path).collect())
+    whole = sorted(tuple(r) for r in explode_lines(read_exports(spark, tmpdir_path)).collect())
+    assert by_lines == whole and len(whole) == 50
+
+
+def test_same_name_files_order_by_path(spark, tmpdir_path):
+    same = H.format(1, "Ann", "x")
+    _write(f"{tmpdir_path}/b/chat.txt", (same + "\n" + H.format(2, "Ann", "b2")).encode())
+    _write(f"{tmpdir_path}/a-b/chat.txt", (same + "\n" + H.format(2, "Ann", "ab2")).encode())
+    _write(f"{tmpdir_path}/a/chat.txt", (same + "\n" + H.format(2, "Ann", "a2")).encode())
+    p = parse_exports(spark, tmpdir_path)
+    ds = build_dataset(p.turns, chunk_turns=6, prompt_turns=2, stride=6, min_turns=2)
+    ordered = [t["source_file"] + ":" + t["text"] for t in ds.windows.first()["turns"]]
+    # Ties on (time, base name, line) keep the reference's input order:
+    # paths sorted by components, so "a" < "a-b" < "b".
+    assert [t.split(":", 1)[1] for t in ordered] == ["x", "x", "x", "a2", "ab2", "b2"]
+    paths = [r["source_path"] for r in ds.indexed.orderBy("turn_idx").collect()]
+    assert [pth.rsplit("/", 2)[1] for pth in paths] == ["a", "a-b", "b", "a", "a-b", "b"]
