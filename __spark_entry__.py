@@ -22,7 +22,7 @@ from turnframe import fixtures as fx  # noqa: E402
 from turnframe import oracles as O  # noqa: E402
 from turnframe.functions import constants as C  # noqa: E402
 from turnframe.functions.text import is_media_placeholder, is_system_text, strip  # noqa: E402
-from turnframe.operators.assemble import assemble_messages  # noqa: E402
+from turnframe.operators.assemble import assemble_messages, parse_export_text  # noqa: E402
 from turnframe.operators.clean import README_FLAGS, clean_turns, parse_counters, with_drop_reason  # noqa: E402
 from turnframe.operators.examples import build_examples, format_turn, split_stats  # noqa: E402
 from turnframe.operators.headers import split_header, timestamp_or_fail  # noqa: E402
@@ -93,6 +93,12 @@ def q_parse_headers(spark, d):
         F.col("h.speaker").alias("speaker"), F.col("h.text").alias("text"))
 
 
+def q_parse_export_files(spark, d):
+    """Whole-file route: every file parsed inside its row (no shuffle)."""
+    msgs = parse_export_text(fx.fx_files(spark, d))
+    return msgs.select("source_path", "line_start", "timestamp", "speaker", "text")
+
+
 def q_assemble_messages(spark, d):
     return _messages(spark, d).select("source_file", "line_start", "timestamp", "speaker", "text")
 
@@ -275,6 +281,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "explode_lines": q_explode_lines,
         "parse_headers": q_parse_headers,
+        "parse_export_files": q_parse_export_files,
         "assemble_messages": q_assemble_messages,
         "strip_edits": q_strip_edits,
         "flag_system": q_flag_system,
@@ -347,6 +354,9 @@ def oracle_sql() -> dict[str, str]:
         "parse_headers": msgs + """
             SELECT source_file AS source_path, line_start AS line_no, timestamp, speaker,
                    string_split(body, chr(10))[1] AS text FROM fx_msgs""",
+        "parse_export_files": msgs + """
+            SELECT 'exports/conv_' || CAST(conv_id AS VARCHAR) || '/turn_' || CAST(turn AS VARCHAR) || '.txt' AS source_path,
+                   CAST(2 AS BIGINT) AS line_start, timestamp, speaker, body AS text FROM fx_msgs""",
         "assemble_messages": msgs + " SELECT source_file, line_start, timestamp, speaker, body AS text FROM fx_msgs",
         "strip_edits": msgs + " SELECT source_file, line_start, clean_text AS text FROM fx_clean",
         "flag_system": msgs + f" SELECT source_file, line_start, regexp_matches(clean_text, {O.SYS_RE}) AS is_system FROM fx_clean",

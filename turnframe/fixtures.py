@@ -67,6 +67,20 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("source_path", (F.col("line_start") + F.col("pos")).cast("long").alias("line_no"), "value")
 
 
+def fx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole export files ``(source_path, content)``, one per conversation
+    row: a preamble line, then the row's header line and body lines, with
+    CRLF line ends on odd turns."""
+    rows = fx_rows(spark, sf_dir)
+    header = F.concat(F.lit("["), F.date_format("ts", "M/d/yy, HH:mm:ss"), F.lit("] "),
+                      F.col("speaker"), F.lit(": "), F.col("body"))
+    text = F.concat(F.lit(PREAMBLE + "\n"), header, F.lit("\n"))
+    text = F.when(F.col("turn") % 2 == 1, F.regexp_replace(text, "\n", "\r\n")).otherwise(text)
+    path = F.concat(F.lit("exports/conv_"), F.col("conv_id").cast("string"), F.lit("/turn_"),
+                    F.col("turn").cast("string"), F.lit(".txt"))
+    return rows.select(path.alias("source_path"), text.alias("content"))
+
+
 def fx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a timeline of turns (100,000 rows at sf0.1)."""
     e = table(spark, sf_dir, "events")
