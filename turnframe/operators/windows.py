@@ -157,11 +157,13 @@ def _frames(base: DataFrame, member: Column, n: Column | int, chunk: int, stride
     h = (chunk - 1) // stride + 1                     # groups spanned by a window
     if block_turns is None:
         # Enough blocks to spread over the cores when n is known, at most
-        # 2^16 turns per block.
+        # 2^16 turns per block, and at least 8 windows' worth of groups so
+        # the halo copies stay under 1/8 of the rows.
         parts = shuffle_partitions(base.sparkSession)
         want = -(-n // (4 * parts)) if isinstance(n, int) else 1 << 16
-        block_turns = min(1 << 16, max(want, 1))
-    groups_per_block = max(h, -(-block_turns // stride))
+        groups_per_block = max(8 * h, -(-min(1 << 16, max(want, 1)) // stride))
+    else:
+        groups_per_block = max(h, -(-block_turns // stride))
     i = F.col(idx_col)
     g = _div(i, stride)
     blk = _div(g, groups_per_block)
