@@ -21,9 +21,6 @@ from ..functions.text import split_newlines
 from .headers import HEADER_REGEX, split_header, timestamp_or_fail
 from .ordinals import DEFAULT_BLOCK, running_before
 
-MESSAGE_COLUMNS = ["source_path", "source_file", "line_start", "timestamp", "speaker", "text"]
-
-
 def base_name(path_col):
     return F.element_at(F.split(path_col, "/"), -1)
 

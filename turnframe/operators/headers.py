@@ -22,9 +22,6 @@ HEADER_REGEX = (
 # before the text can contain ':', so a split with limit 8 is exact.
 _FIELDS = "$1:$2:$3:$4:$5:$6:$7:$8"
 
-HEADER_SCHEMA = "is_header boolean, ts timestamp_ntz, speaker string, text string"
-
-
 def is_header(value: Column) -> Column:
     return F.regexp_like(value, F.lit(HEADER_REGEX))
 

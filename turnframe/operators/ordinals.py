@@ -58,14 +58,6 @@ def running_before(df: DataFrame, keys: list[str], block: Column, order: list[Co
     return joined.withColumn(out, res).drop(blk, val, "__inc", "__carry")
 
 
-def dense_position(df: DataFrame, keys: list[str], pos: Column, out: str,
-                   block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """1-based rank of ``pos`` (distinct integers) within ``keys``, exact,
-    computed block-wise (no per-key window)."""
-    return running_before(df, keys, F.floor(pos / F.lit(block_size)), [pos], F.lit(1),
-                          out, how="sum", inclusive=True)
-
-
 # Above this many range partitions the offsets are joined as a broadcast
 # table instead of being inlined as a literal array.
 INLINE_OFFSETS_MAX = 8192

@@ -10,7 +10,6 @@ from ..functions.text import ascii_digits, digit_not_decimal_class, strip
 from ..functions.timestamps import iso_sort_key
 from .ordinals import global_ordinal
 
-TURN_COLUMNS = ["timestamp", "speaker", "text", "source_file", "line_start"]
 _INTEGRAL = ["TINYINT", "SMALLINT", "INT", "BIGINT"]
 
 
@@ -56,7 +55,9 @@ def turns_from_json(lines: DataFrame, on_bad: str = "fail", line_col: str = "lin
     skipped with ``'skip'``.  Rows whose ``timestamp``, ``speaker`` or
     ``text`` is not a JSON string, or whose text is blank, are dropped;
     ``source_file`` and ``line_start`` are coerced as the reference does.
-    Output: ``timestamp, speaker, text, source_file, line_start, input_line``.
+    Output: ``timestamp, speaker, text, source_file, line_start, input_line``
+    (plus ``input_file`` when the lines carry ``source_path``: the input
+    order for the timeline's tie-break is then file, line).
 
     Fields are extracted once into columns (type name and string value per
     field) so each projection stays small enough for whole-stage codegen.
@@ -64,9 +65,11 @@ def turns_from_json(lines: DataFrame, on_bad: str = "fail", line_col: str = "lin
     if on_bad not in ("fail", "fail_first", "skip"):
         raise ValueError("on_bad must be 'fail', 'fail_first' or 'skip'")
     where = F.col("input_line").cast("string")
-    base = (lines.select(F.col(line_col).cast("long").alias("input_line"), strip(F.col(value_col)).alias("__s"))
+    carry = [F.col("source_path").alias("input_file")] if "source_path" in lines.columns else []
+    keep = ["input_file"] if carry else []
+    base = (lines.select(*carry, F.col(line_col).cast("long").alias("input_line"), strip(F.col(value_col)).alias("__s"))
             .where(F.length("__s") > 0)
-            .select("input_line", F.try_parse_json(F.col("__s")).alias("__v")))
+            .select(*keep, "input_line", F.try_parse_json(F.col("__s")).alias("__v")))
     v = F.col("__v")
     obj_ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     if on_bad == "fail":
@@ -84,7 +87,7 @@ def turns_from_json(lines: DataFrame, on_bad: str = "fail", line_col: str = "lin
                 raise ValueError(f"Invalid JSONL at line {first_bad}")
         base = base.where(obj_ok)
     fields = base.select(
-        "input_line",
+        *keep, "input_line",
         *[_kind(v, p).alias(f"k_{k}") for k, p in _FIELDS.items()],
         *[F.try_variant_get(v, p, "string").alias(f"s_{k}") for k, p in _FIELDS.items()],
     )
@@ -97,7 +100,7 @@ def turns_from_json(lines: DataFrame, on_bad: str = "fail", line_col: str = "lin
         F.when(F.col("k_src").isNull(), F.lit("unknown"))
          .otherwise(_python_str(F.col("k_src"), F.col("s_src"))).alias("source_file"),
         _line_start(F.col("k_ls"), F.col("s_ls"), where, on_bad).alias("line_start"),
-        "input_line",
+        *keep, "input_line",
     )
 
 

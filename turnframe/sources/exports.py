@@ -61,11 +61,6 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def file_paths(path_col: str = "source_path"):
-    """Strip the URI scheme Spark adds (``file:/x`` -> ``/x``)."""
-    return F.regexp_replace(F.col(path_col), r"^file:", "")
-
-
 def explode_lines(files: DataFrame, path_col: str = "source_path", text_col: str = "content") -> DataFrame:
     """Whole-file rows -> ``(source_path, line_no, value)`` with Python's
     universal newlines; 1-based; no extra line after a final newline."""
@@ -75,14 +70,14 @@ def explode_lines(files: DataFrame, path_col: str = "source_path", text_col: str
     ).select("source_path", (F.col("pos") + 1).cast("long").alias("line_no"), "value")
 
 
-def read_export_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | None = "*.txt") -> DataFrame:
     """Line-level reader for exports of any size: ``(source_path, line_no,
     value)``.  Lines are numbered per split in scan order, then offset by
     the line counts of earlier splits of the same file (a small table).
     The text source drops a leading BOM (the whole-file reader keeps it)."""
     reader = spark.read.option("recursiveFileLookup", "true")
-    if isinstance(path, str) and not _is_file(spark, path):
-        reader = reader.option("pathGlobFilter", "*.txt")
+    if glob and isinstance(path, str) and not _is_file(spark, path):
+        reader = reader.option("pathGlobFilter", glob)
     raw = reader.text(path).select(
         F.col("_metadata.file_path").alias("source_path"),
         F.col("_metadata.file_block_start").alias("__split"),
@@ -95,9 +90,10 @@ def read_export_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSONL text -> ``(line_no, value)`` (1-based, per file; use one file
-    per run for line numbers that match an editor's)."""
-    lines = read_export_lines(spark, path)
+    """JSONL text -> ``(line_no, value, source_path)``: one file, or every
+    file of a folder such as Spark's JSON output (line numbers are per
+    file; the input order is file, then line)."""
+    lines = read_export_lines(spark, path, glob=None)
     return lines.select("line_no", "value", "source_path")
 
 
