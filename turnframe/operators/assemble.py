@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_newlines
 from .headers import HEADER_REGEX, split_header, timestamp_or_fail
+from ..session import materialize
 from .ordinals import DEFAULT_BLOCK, running_before
 
 def base_name(path_col):
@@ -26,16 +27,24 @@ def base_name(path_col):
 
 
 def assemble_messages(lines: DataFrame, on_bad: str = "fail", block_lines: int = DEFAULT_BLOCK,
-                      path_col: str = "source_path") -> DataFrame:
+                      path_col: str = "source_path", stage: bool = True) -> DataFrame:
     """Lines ``(source_path, line_no, value)`` -> one row per message.
 
     Output: ``source_path, source_file, line_start, timestamp, speaker,
     text``.  Lines before a file's first header are dropped (P-2);
     continuation lines, blank ones included, are appended with "\\n".
+
+    The owner of a line needs two passes over the parsed lines (block
+    summaries, then the lines with their carry).  With ``stage`` the parsed
+    line table is written once under the checkpoint folder and both passes
+    read it (the summary pass reads three columns), instead of recomputing
+    the input and the header parse twice.
     """
     hdr = split_header("value")
     parsed = (lines.select(F.col(path_col).alias("source_path"), "line_no", "value")
               .withColumn("h", hdr))
+    if stage:
+        parsed = materialize(parsed, "lines")
     owned = running_before(
         parsed, ["source_path"], F.floor(F.col("line_no") / F.lit(block_lines)), [F.col("line_no")],
         F.when(F.col("h.is_header"), F.col("line_no")), "line_start", how="max", inclusive=True)

@@ -19,7 +19,7 @@ DEFAULT_BLOCK = 1 << 16
 
 def running_before(df: DataFrame, keys: list[str], block: Column, order: list[Column | str],
                    value: Column, out: str, how: str = "sum", inclusive: bool = False) -> DataFrame:
-    """Add ``out`` = aggregate (``sum`` of non-negative values, or ``max``)
+    """Add ``out`` = aggregate (``sum`` or ``max``)
     of ``value`` over the rows of the same ``keys`` that come before this
     row in ``order`` (and the row itself when ``inclusive``).
 
@@ -27,10 +27,10 @@ def running_before(df: DataFrame, keys: list[str], block: Column, order: list[Co
     ``line_no div 65536``) so that a block has a bounded number of rows.
     Empty results are NULL for max and 0 for sum.
 
-    One shuffle of the rows (by key and block).  Block totals are read off
-    the same window output (the last running value of a block), so the
-    input is scanned once and the exchange is reused; the running value
-    over earlier blocks is a window over the small block table.
+    One shuffle of the rows (by key and block) for the in-block window;
+    block totals are a partial aggregation of the same input (it is read
+    twice, so callers stage expensive inputs first); the running value over
+    earlier blocks is a window over the small block table.
     """
     if how not in ("sum", "max"):
         raise ValueError("how must be 'sum' or 'max'")
@@ -38,10 +38,8 @@ def running_before(df: DataFrame, keys: list[str], block: Column, order: list[Co
     blk, val = "__blk", "__val"
     base = df.withColumn(blk, block).withColumn(val, value)
     w_in = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = base.groupBy(*keys, blk).agg(agg(val).alias("__tot"))
     base = base.withColumn("__inc", agg(val).over(w_in))
-    # Running sums of non-negative values and running maxima both peak at
-    # the block's last row, so max() gives the block total.
-    totals = base.groupBy(*keys, blk).agg(F.max("__inc").alias("__tot"))
     w_blk = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.withColumn("__carry", agg("__tot").over(w_blk)).drop("__tot")
     joined = base.join(carry, on=[*keys, blk], how="left")

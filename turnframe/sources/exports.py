@@ -6,7 +6,8 @@
 * ``explode_lines(files)``: whole-file rows -> numbered lines.
 * ``read_export_lines(path)``: the line reader for files too large for one
   row: Spark's text source splits files, and line numbers come from
-  per-split counts plus a prefix over splits (no per-file task).
+  per-split counts plus a prefix over splits (no per-file task, no shuffle
+  of lines).
 * ``read_jsonl_lines``, ``read_transcripts``, ``read_chat_dataset``.
 
 Deviation kept from Spark's file index: names starting with ``_`` or ``.``
@@ -15,11 +16,10 @@ are skipped when listing a folder (the reference reads them).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_newlines
-from ..operators.ordinals import running_before
 
 CHAT_SCHEMA = "messages array<struct<role:string,content:string>>"
 
@@ -72,8 +72,11 @@ def explode_lines(files: DataFrame, path_col: str = "source_path", text_col: str
 
 def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | None = "*.txt") -> DataFrame:
     """Line-level reader for exports of any size: ``(source_path, line_no,
-    value)``.  Lines are numbered per split in scan order, then offset by
-    the line counts of earlier splits of the same file (a small table).
+    value)``.  Spark's text source splits files; inside a split the rows are
+    read in order, so their ``monotonically_increasing_id`` values are
+    consecutive and ``line_no = lines in earlier splits of the file + (id -
+    first id of the split) + 1``.  The only aggregation is one row per split
+    (a table bounded by the number of splits); lines are not shuffled.
     The text source drops a leading BOM (the whole-file reader keeps it)."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob and isinstance(path, str) and not _is_file(spark, path):
@@ -82,11 +85,17 @@ def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | No
         F.col("_metadata.file_path").alias("source_path"),
         F.col("_metadata.file_block_start").alias("__split"),
         F.monotonically_increasing_id().alias("__mid"),
-        F.make_valid_utf8(F.col("value")).alias("value"),
+        F.col("value"),
     )
-    numbered = running_before(raw, ["source_path"], F.col("__split"), [F.col("__mid")], F.lit(1),
-                              "line_no", how="sum", inclusive=True)
-    return numbered.select("source_path", F.col("line_no").cast("long"), "value")
+    splits = raw.groupBy("source_path", "__split").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy("source_path").orderBy("__split")
+                               .rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("source_path", "__split", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    numbered = raw.join(splits, on=["source_path", "__split"], how="inner")
+    return numbered.select(
+        "source_path",
+        (F.col("__before") + F.col("__mid") - F.col("__first") + 1).cast("long").alias("line_no"),
+        F.make_valid_utf8(F.col("value")).alias("value"))
 
 
 def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
