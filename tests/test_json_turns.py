@@ -68,3 +68,12 @@ def test_bad_timeline_timestamp_fails(spark):
                                "timestamp string, speaker string, text string, source_file string, line_start long, input_line long")
     with pytest.raises(Exception, match="Invalid isoformat"):
         turn_index(df, tiebreak=["input_line"]).collect()
+
+
+def test_duplicate_keys_without_session_setting(spark):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    try:
+        got = _turns(spark, ['{"timestamp": "2023-01-01T00:00:00", "speaker": "A", "text": "a", "text": "b"}'])
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    assert [g[2] for g in got] == ["b"]

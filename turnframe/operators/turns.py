@@ -64,6 +64,9 @@ def turns_from_json(lines: DataFrame, on_bad: str = "fail", line_col: str = "lin
     """
     if on_bad not in ("fail", "fail_first", "skip"):
         raise ValueError("on_bad must be 'fail', 'fail_first' or 'skip'")
+    # Python's json.loads keeps the last of duplicate keys; VARIANT parsing
+    # rejects duplicates unless this is on.
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     where = F.col("input_line").cast("string")
     carry = [F.col("source_path").alias("input_file")] if "source_path" in lines.columns else []
     keep = ["input_file"] if carry else []
