@@ -80,3 +80,25 @@ def test_universal_newlines(spark):
     got = _eval(spark, values, split_newlines)
     expected = [[ln.rstrip("\n") for ln in io.StringIO(v, newline=None)] for v in values]
     assert got == expected
+
+
+def test_prefilter_anchors_are_exact_supersets():
+    from turnframe.functions import constants as C
+    from turnframe.functions.text import MEDIA_ANCHORS, SYSTEM_ANCHORS
+    for phrase in C.SYSTEM_PHRASES:
+        assert any(a in phrase.lower() for a in SYSTEM_ANCHORS), phrase
+    for phrase in C.MEDIA_PHRASES:
+        assert any(a in phrase.lower() for a in MEDIA_ANCHORS), phrase
+    # No letter with extra case-insensitive equivalents.
+    assert not any(set(a) & set("isk") for a in SYSTEM_ANCHORS + MEDIA_ANCHORS)
+
+
+def test_case_variants(spark):
+    cases = ["I LEFT", "ıMAGE omitted", "meſſages and calls are end-to-end encrypted", "you're now an admİn",
+             "only admıns can", "ADDED", "Removed!", "this messaGe was deleted"]
+    got = _eval(spark, cases, is_system_text)
+    import re
+    word = re.compile(r"\b(created group|added|removed|left|joined using this group's invite link|changed "
+                      r"(this group's icon|the group name|group settings|group description)|messages and calls "
+                      r"are end-to-end encrypted|you're now an admin|only admins can)\b", re.IGNORECASE)
+    assert got == [word.search(c) is not None for c in cases]

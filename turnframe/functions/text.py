@@ -66,12 +66,28 @@ MEDIA_REGEX = word_pattern(C.MEDIA_PHRASES)
 EDIT_MARKER_REGEX = f"(?iu){WS_CLASS}*{_escape(C.EDIT_MARKER)}{WS_CLASS}*"
 
 
+# Prefilter anchors: every phrase contains one of these (lower case), and
+# none uses i, s or k, the letters with extra case-insensitive equivalents
+# (dotless/dotted i, long s, Kelvin sign), so ``lower(text)`` containing one
+# of them is a superset of the regex matches.  The regex runs only then.
+SYSTEM_ANCHORS = ["left", "added", "removed", "created", "group", "changed", "end-to-end", "adm"]
+MEDIA_ANCHORS = ["tted", "deleted"]
+
+
+def _any_anchor(col: Column, anchors) -> Column:
+    low = F.lower(col)
+    cond = low.contains(anchors[0])
+    for a in anchors[1:]:
+        cond = cond | low.contains(a)
+    return cond
+
+
 def is_system_text(col: Column) -> Column:
-    return F.regexp_like(col, F.lit(SYSTEM_REGEX))
+    return F.when(_any_anchor(col, SYSTEM_ANCHORS), F.regexp_like(col, F.lit(SYSTEM_REGEX))).otherwise(F.lit(False))
 
 
 def is_media_placeholder(col: Column) -> Column:
-    return F.regexp_like(col, F.lit(MEDIA_REGEX))
+    return F.when(_any_anchor(col, MEDIA_ANCHORS), F.regexp_like(col, F.lit(MEDIA_REGEX))).otherwise(F.lit(False))
 
 
 def strip_edit_marker(col: Column) -> Column:
