@@ -127,6 +127,15 @@ def q_clean_turns(spark, d):
     return clean_turns(_messages(spark, d), **README_FLAGS)
 
 
+def q_clean_turns_defaults(spark, d):
+    """The reference's default flags: only the speaker exclusion."""
+    return clean_turns(_messages(spark, d))
+
+
+def q_parse_counters_defaults(spark, d):
+    return parse_counters(_messages(spark, d))
+
+
 def q_minimal_turns(spark, d):
     return clean_turns(_messages(spark, d), minimal=True, **README_FLAGS)
 
@@ -288,6 +297,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flag_media": q_flag_media,
         "drop_reasons": q_drop_reasons,
         "clean_turns": q_clean_turns,
+        "clean_turns_defaults": q_clean_turns_defaults,
+        "parse_counters_defaults": q_parse_counters_defaults,
         "minimal_turns": q_minimal_turns,
         "parse_counters": q_parse_counters,
         "turn_index": q_turn_index,
@@ -364,6 +375,13 @@ def oracle_sql() -> dict[str, str]:
         "drop_reasons": msgs + " SELECT source_file, line_start, drop_reason FROM fx_reason",
         "clean_turns": msgs + """
             SELECT timestamp, speaker, clean_text AS text, source_file, line_start FROM fx_reason WHERE drop_reason IS NULL""",
+        "clean_turns_defaults": msgs + """
+            SELECT timestamp, speaker, strip_text AS text, source_file, line_start FROM fx_msgs_s WHERE speaker <> 'Meta AI'""",
+        "parse_counters_defaults": msgs + """
+            SELECT CAST(count(DISTINCT source_file) AS BIGINT) AS input_files, count(*) AS raw_messages,
+              count(*) FILTER (WHERE speaker = 'Meta AI') AS dropped_speaker, CAST(0 AS BIGINT) AS dropped_system,
+              CAST(0 AS BIGINT) AS dropped_media, count(*) FILTER (WHERE speaker <> 'Meta AI') AS written
+            FROM fx_msgs""",
         "minimal_turns": msgs + " SELECT speaker, clean_text AS text FROM fx_reason WHERE drop_reason IS NULL",
         "parse_counters": msgs + """
             SELECT CAST(count(DISTINCT source_file) AS BIGINT) AS input_files, count(*) AS raw_messages,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_newlines
-from .headers import HEADER_REGEX, split_header, timestamp_or_fail
+from .headers import is_header, split_header, timestamp_or_fail
 from ..session import materialize
 from .ordinals import DEFAULT_BLOCK, running_before
 
@@ -75,7 +75,7 @@ def parse_export_text(files: DataFrame, on_bad: str = "fail", path_col: str = "s
     slice of lines up to the next header.
     """
     lines = split_newlines(F.col(text_col))
-    idx = F.transform(F.col("__lines"), lambda l, i: F.when(F.regexp_like(l, F.lit(HEADER_REGEX)), i + 1))
+    idx = F.transform(F.col("__lines"), lambda l, i: F.when(is_header(l), i + 1))
     heads = F.filter(idx, lambda x: x.isNotNull())
     msgs = F.transform(
         F.col("__heads"),

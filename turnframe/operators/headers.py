@@ -23,7 +23,9 @@ HEADER_REGEX = (
 _FIELDS = "$1:$2:$3:$4:$5:$6:$7:$8"
 
 def is_header(value: Column) -> Column:
-    return F.regexp_like(value, F.lit(HEADER_REGEX))
+    """A header starts with '[' or with one marker then '[': that cheap test
+    runs first, the full pattern only on candidates."""
+    return (F.instr(F.substring(value, 1, 2), "[") > 0) & F.regexp_like(value, F.lit(HEADER_REGEX))
 
 
 def split_header(value: Column | str, known_header: bool = False) -> Column:

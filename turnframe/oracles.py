@@ -60,6 +60,7 @@ fx_clean AS (
   SELECT *, {strip_body} AS strip_text,
     {clean} AS clean_text
   FROM fx_msgs),
+fx_msgs_s AS (SELECT *, {strip_body} AS strip_text FROM fx_msgs),
 fx_reason AS (
   SELECT *, CASE WHEN speaker = 'Meta AI' THEN 'speaker'
     WHEN regexp_matches(clean_text, {sys}) THEN 'system'
