@@ -141,3 +141,14 @@ def test_turns_file_handoff(spark, tmpdir_path):
     b = build_dataset(back, tiebreak=["input_file", "input_line"], **kw).examples
     cols = ["chunk_index", "messages", "meta", "split"]
     assert sorted(map(str, a.select(*cols).collect())) == sorted(map(str, b.select(*cols).collect()))
+
+
+def test_awkward_file_names(spark, tmpdir_path):
+    name = f"{tmpdir_path}/sub dir/Chat with Ann é#1 %20 a+b.txt"
+    _write(name, (H.format(1, "Ann", "hi") + "\nmore").encode())
+    whole = parse_exports(spark, tmpdir_path, route="whole").turns.collect()
+    lines = parse_exports(spark, tmpdir_path, route="lines").turns.collect()
+    mixed = parse_exports(spark, tmpdir_path, whole_file_limit=1).turns.collect()
+    assert [tuple(r) for r in whole] == [tuple(r) for r in lines] == [tuple(r) for r in mixed]
+    assert whole[0]["source_file"] == "Chat with Ann é#1 %20 a+b.txt"
+    assert whole[0]["source_path"].endswith("/sub dir/Chat with Ann é#1 %20 a+b.txt")

@@ -48,6 +48,15 @@ def count_input_files(spark: SparkSession, path: str) -> int:
     return len(export_index(spark, path).inputFiles())
 
 
+def metadata_path(col: str = "_metadata.file_path"):
+    """File path as the ``binaryFile`` source writes it.  ``_metadata``
+    paths are URI strings (``file:///a%20b.txt``); decode them (a literal
+    '+' is protected, the decoder would turn it into a space) and use the
+    short ``file:/`` form, so both readers give the same path."""
+    decoded = F.url_decode(F.regexp_replace(F.col(col), r"\+", "%2B"))
+    return F.regexp_replace(decoded, "^file:///", "file:/")
+
+
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
     """``(source_path, content)``, one row per file, sorted by path
     components when collected in order.  Raises if no file is found."""
@@ -82,7 +91,7 @@ def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | No
     if glob and isinstance(path, str) and not _is_file(spark, path):
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.text(path).select(
-        F.col("_metadata.file_path").alias("source_path"),
+        metadata_path().alias("source_path"),
         F.col("_metadata.file_block_start").alias("__split"),
         F.monotonically_increasing_id().alias("__mid"),
         F.col("value"),
@@ -111,7 +120,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     piece per file (``transcript_id`` = file path); see
     ``operators.chat.context_lines`` for the line split."""
     df = spark.read.text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("transcript_id"), F.lit(0).alias("seq"),
+    return df.select(metadata_path().alias("transcript_id"), F.lit(0).alias("seq"),
                      F.make_valid_utf8(F.col("value")).alias("text"))
 
 

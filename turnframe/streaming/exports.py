@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import constants as C
 from ..operators.assemble import parse_export_text
 from ..operators.clean import FULL_COLUMNS, MINIMAL_COLUMNS, with_drop_reason
+from ..sources.exports import metadata_path
 
 
 def stream_export_messages(spark: SparkSession, in_dir: str, on_bad: str = "null",
@@ -27,7 +28,7 @@ def stream_export_messages(spark: SparkSession, in_dir: str, on_bad: str = "null
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.text(f"{in_dir.rstrip('/')}/*.txt", wholetext=True)
-    files = raw.select(F.col("_metadata.file_path").alias("source_path"),
+    files = raw.select(metadata_path().alias("source_path"),
                        F.make_valid_utf8(F.col("value")).alias("content"))
     return parse_export_text(files, on_bad=on_bad)
 
