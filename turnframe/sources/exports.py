@@ -31,17 +31,21 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath) and fs.getFileStatus(hpath).isFile()
 
 
-def export_index(spark: SparkSession, path: str) -> DataFrame:
+def export_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The input files as ``(source_path, length)`` through Spark's file
     index (parallel listing; the content column is pruned, so nothing is
     read): the path itself if it is a file, else every ``*.txt`` below it.
     Like Spark's reads, names starting with ``_`` or ``.`` are skipped."""
     reader = spark.read.format("binaryFile")
-    if not _is_file(spark, path):
+    if isinstance(path, str) and not _is_file(spark, path):
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
     return reader.load(path).select(F.col("path").alias("source_path"), "length")
 
 
+# Broadcast the per-split table of the line reader up to this many rows.
+SPLIT_TABLE_BROADCAST_MAX = 1_000_000
+
+
 def count_input_files(spark: SparkSession, path: str) -> int:
     """Number of input files, zero-length ones included (the reference
     counts them; Spark's scan skips them, its file index does not)."""
@@ -84,8 +88,10 @@ def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | No
     value)``.  Spark's text source splits files; inside a split the rows are
     read in order, so their ``monotonically_increasing_id`` values are
     consecutive and ``line_no = lines in earlier splits of the file + (id -
-    first id of the split) + 1``.  The only aggregation is one row per split
-    (a table bounded by the number of splits); lines are not shuffled.
+    first id of the split) + 1``.  The only aggregation is one row per split;
+    that table's size is bounded from the file listing, and under
+    ``SPLIT_TABLE_BROADCAST_MAX`` rows it is broadcast, so lines are not
+    shuffled.
     The text source drops a leading BOM (the whole-file reader keeps it)."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob and isinstance(path, str) and not _is_file(spark, path):
@@ -100,6 +106,14 @@ def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | No
     before = F.sum("__n").over(Window.partitionBy("source_path").orderBy("__split")
                                .rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("source_path", "__split", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    # Bound on the split table from the file listing (no content read):
+    # each file has at most ceil(size / maxPartitionBytes) + 1 splits.
+    max_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
+    idx = export_index(spark, path) if glob or not isinstance(path, str) else \
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    bound = idx.agg(F.sum(F.ceil(F.col("length") / F.lit(max_bytes)) + 1)).first()[0] or 0
+    if bound <= SPLIT_TABLE_BROADCAST_MAX:
+        splits = F.broadcast(splits)
     numbered = raw.join(splits, on=["source_path", "__split"], how="inner")
     return numbered.select(
         "source_path",
