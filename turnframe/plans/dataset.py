@@ -50,11 +50,12 @@ def build_dataset(turns: DataFrame, chunk_turns: int = C.DEFAULT_CHUNK_TURNS,
     """E2: turns -> examples with ``split``.
 
     Steps: drop blank turns (the turn reader already does for JSON input),
-    index the timeline (range-partitioned ordinal), explode turns to window
-    ids and group (groups of at most ``chunk`` rows), build messages with
-    array functions, label splits from the closed-form example count.
+    index the timeline (range-partitioned ordinal, materialised; its row
+    count is the timeline length), build windows with one shuffle
+    (``operators.windows.count_windows``), build messages with array
+    functions, label splits from the closed-form example count.
     ``dataset_checks`` raises the reference's "no turns / no examples"
-    errors (it runs one count).
+    errors (from the known length, no extra job).
     """
     checks.check_split_ratios(val_ratio, test_ratio)
     checks.check_chunking(chunk_turns, prompt_turns, stride, min_turns)
