@@ -36,7 +36,13 @@ def with_drop_reason(messages: DataFrame, exclude_speakers=tuple(C.DEFAULT_EXCLU
     ct = memo_expr(("clean_text", strip_edits), lambda: clean_text(F.col("text"), strip_edits))
     reason = memo_expr(("drop_reason", names, drop_system, drop_media),
                        lambda: drop_reason(names, drop_system, drop_media))
-    return messages.withColumns({"clean_text": ct}).withColumns({"drop_reason": reason})
+    # clean_text is produced by a one-element explode: the optimizer neither
+    # inlines it into later projections nor pushes filters that use it below
+    # it, so the strip and edit-marker work runs once per message instead of
+    # once per rule and anchor.
+    cols = [c for c in messages.columns if c != "clean_text"]
+    once = messages.select(*cols, F.explode(F.array(ct)).alias("clean_text"))
+    return once.withColumns({"drop_reason": reason})
 
 
 def drop_reason(names, drop_system: bool, drop_media: bool):
