@@ -25,7 +25,7 @@ from turnframe.functions.text import is_media_placeholder, is_system_text, strip
 from turnframe.operators.assemble import assemble_messages, parse_export_text  # noqa: E402
 from turnframe.operators.clean import README_FLAGS, clean_turns, parse_counters, with_drop_reason  # noqa: E402
 from turnframe.operators.examples import build_examples, format_turn, split_stats  # noqa: E402
-from turnframe.operators.headers import split_header, timestamp_or_fail  # noqa: E402
+from turnframe.operators.headers import timestamp_or_fail, with_header  # noqa: E402
 from turnframe.operators.turns import turn_index, turn_index_with_count, turns_from_json  # noqa: E402
 from turnframe.operators.windows import count_windows, window_members  # noqa: E402
 from turnframe.plans.dataset import build_dataset, export_turns, path_order  # noqa: E402
@@ -86,7 +86,7 @@ def q_explode_lines(spark, d):
 
 
 def q_parse_headers(spark, d):
-    lines = fx.fx_lines(spark, d).withColumn("h", split_header("value"))
+    lines = with_header(fx.fx_lines(spark, d))
     where = F.concat(F.col("source_path"), F.lit(" line "), F.col("line_no").cast("string"))
     return lines.where("h.is_header").select(
         "source_path", "line_no", timestamp_or_fail(F.col("h.ts"), where, "fail").alias("timestamp"),

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_newlines
-from .headers import is_header, split_header, timestamp_or_fail
+from .headers import is_header, timestamp_or_fail, with_header
 from ..session import materialize
 from .ordinals import DEFAULT_BLOCK, running_before
 
@@ -40,9 +40,7 @@ def assemble_messages(lines: DataFrame, on_bad: str = "fail", block_lines: int =
     read it (the summary pass reads three columns), instead of recomputing
     the input and the header parse twice.
     """
-    hdr = split_header("value")
-    parsed = (lines.select(F.col(path_col).alias("source_path"), "line_no", "value")
-              .withColumn("h", hdr))
+    parsed = with_header(lines.select(F.col(path_col).alias("source_path"), "line_no", "value"))
     if stage:
         parsed = materialize(parsed, "lines")
     owned = running_before(
@@ -88,15 +86,18 @@ def parse_export_text(files: DataFrame, on_bad: str = "fail", path_col: str = "s
     )
     exploded = (files.select(F.col(path_col).alias("source_path"), lines.alias("__lines"))
                 .withColumn("__heads", heads)
-                .select("source_path", F.explode(msgs.alias("m")).alias("m")))
-    h = split_header("m.header", known_header=True)
-    where = F.concat(F.col("source_path"), F.lit(" line "), F.col("m.line_start").cast("string"))
-    with_h = exploded.withColumn("h", h)
+                .select("source_path", F.explode(msgs.alias("m")).alias("m"))
+                # Flat columns before the next Generate (nested-field pruning
+                # across two Generates loses struct fields).
+                .select("source_path", F.col("m.line_start").alias("__start"), F.col("m.header").alias("__header"),
+                        F.col("m.cont").alias("__cont")))
+    where = F.concat(F.col("source_path"), F.lit(" line "), F.col("__start").cast("string"))
+    with_h = with_header(exploded, "__header", known_header=True)
     return with_h.select(
         "source_path",
         base_name(F.col("source_path")).alias("source_file"),
-        F.col("m.line_start").cast("long").alias("line_start"),
+        F.col("__start").cast("long").alias("line_start"),
         timestamp_or_fail(F.col("h.ts"), where, on_bad).alias("timestamp"),
         F.col("h.speaker").alias("speaker"),
-        F.array_join(F.concat(F.array(F.col("h.text")), F.col("m.cont")), "\n").alias("text"),
+        F.array_join(F.concat(F.array(F.col("h.text")), F.col("__cont")), "\n").alias("text"),
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.memo import memo_expr
+from ..functions.memo import memo_expr, with_once
 from ..functions.text import strip
 from ..functions.timestamps import export_timestamp, iso_string
 
@@ -53,6 +53,23 @@ def split_header(value: Column | str, known_header: bool = False) -> Column:
     )
 
 
+def with_header(df: DataFrame, value_col: str = "value", out: str = "h", known_header: bool = False) -> DataFrame:
+    """``df`` plus the header struct ``out`` (see ``split_header``), with the
+    one regex pass that splits the fields evaluated once per line."""
+    value = F.col(value_col)
+    hdr = F.lit(True) if known_header else is_header(value)
+    parts = F.when(hdr, F.split(F.regexp_replace(value, F.lit(HEADER_REGEX), F.lit(_FIELDS)), ":", 8))
+    df = with_once(df, "__hparts", parts)
+    g = [F.get(F.col("__hparts"), i) for i in range(8)]
+    ts = export_timestamp(g[0], g[1], g[2], g[3], g[4], g[5])
+    h = F.when(F.col("__hparts").isNotNull(),
+               F.struct(F.lit(True).alias("is_header"), ts.alias("ts"), strip(g[6]).alias("speaker"),
+                        g[7].alias("text"))).otherwise(
+        F.struct(F.lit(False).alias("is_header"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+                 F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("string").alias("text")))
+    return with_once(df, out, h).drop("__hparts")
+
+
 def timestamp_or_fail(ts: Column, where: Column, on_bad: str) -> Column:
     """ISO string of a parsed header time.  ``on_bad='fail'`` raises like
     the reference (the column must be consumed); ``'null'`` keeps NULL."""

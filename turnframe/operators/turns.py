@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_digits, digit_not_decimal_class, strip
 from ..functions.timestamps import iso_sort_key
+from ..functions.memo import with_once
 from .ordinals import global_ordinal
 
 _INTEGRAL = ["TINYINT", "SMALLINT", "INT", "BIGINT"]
@@ -70,9 +71,9 @@ def turns_from_json(lines: DataFrame, on_bad: str = "fail", line_col: str = "lin
     where = F.col("input_line").cast("string")
     carry = [F.col("source_path").alias("input_file")] if "source_path" in lines.columns else []
     keep = ["input_file"] if carry else []
-    base = (lines.select(*carry, F.col(line_col).cast("long").alias("input_line"), strip(F.col(value_col)).alias("__s"))
-            .where(F.length("__s") > 0)
-            .select(*keep, "input_line", F.try_parse_json(F.col("__s")).alias("__v")))
+    base = with_once(lines.select(*carry, F.col(line_col).cast("long").alias("input_line"), F.col(value_col)),
+                     "__s", strip(F.col(value_col))).where(F.length("__s") > 0)
+    base = with_once(base.select(*keep, "input_line", "__s"), "__v", F.try_parse_json(F.col("__s"))).drop("__s")
     v = F.col("__v")
     obj_ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     if on_bad == "fail":
@@ -89,11 +90,9 @@ def turns_from_json(lines: DataFrame, on_bad: str = "fail", line_col: str = "lin
             if first_bad is not None:
                 raise ValueError(f"Invalid JSONL at line {first_bad}")
         base = base.where(obj_ok)
-    fields = base.select(
-        *keep, "input_line",
-        *[_kind(v, p).alias(f"k_{k}") for k, p in _FIELDS.items()],
-        *[F.try_variant_get(v, p, "string").alias(f"s_{k}") for k, p in _FIELDS.items()],
-    )
+    f = F.struct(*[_kind(v, p).alias(f"k_{k}") for k, p in _FIELDS.items()],
+                 *[F.try_variant_get(v, p, "string").alias(f"s_{k}") for k, p in _FIELDS.items()])
+    fields = with_once(base, "__f", f).select(*keep, "input_line", "__f.*")
     is_str = lambda k: F.coalesce(F.col(f"k_{k}") == "STRING", F.lit(False))
     kept = fields.where(is_str("ts") & is_str("sp") & is_str("tx") & (F.length(strip(F.col("s_tx"))) > 0))
     return kept.select(
