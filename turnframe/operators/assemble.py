@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import split_newlines
+from ..functions.memo import with_once
+from ..functions.text import NEWLINE_REGEX, drop_trailing_empty
 from .headers import is_header, timestamp_or_fail, with_header
 from ..session import materialize
 from .ordinals import DEFAULT_BLOCK, running_before
@@ -72,7 +73,6 @@ def parse_export_text(files: DataFrame, on_bad: str = "fail", path_col: str = "s
     are found with ``filter`` over the line array and every message takes the
     slice of lines up to the next header.
     """
-    lines = split_newlines(F.col(text_col))
     idx = F.transform(F.col("__lines"), lambda l, i: F.when(is_header(l), i + 1))
     heads = F.filter(idx, lambda x: x.isNotNull())
     msgs = F.transform(
@@ -84,8 +84,10 @@ def parse_export_text(files: DataFrame, on_bad: str = "fail", path_col: str = "s
                     F.coalesce(F.get(F.col("__heads"), j + 1), F.size(F.col("__lines")) + 1) - h - 1).alias("cont"),
         ),
     )
-    exploded = (files.select(F.col(path_col).alias("source_path"), lines.alias("__lines"))
-                .withColumn("__heads", heads)
+    exploded = (with_once(with_once(files.select(F.col(path_col).alias("source_path"),
+                                                 F.split(F.col(text_col), NEWLINE_REGEX, -1).alias("__parts")),
+                                    "__lines", drop_trailing_empty(F.col("__parts"))).drop("__parts"),
+                          "__heads", heads)
                 .select("source_path", F.explode(msgs.alias("m")).alias("m"))
                 # Flat columns before the next Generate (nested-field pruning
                 # across two Generates loses struct fields).

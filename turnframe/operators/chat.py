@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import split_lines, strip
+from ..functions.memo import with_once
+from ..functions.text import SPLITLINES_REGEX, drop_trailing_empty, split_lines, strip
 from .examples import chat_message, user_content
 from .ordinals import running_before
 
@@ -32,8 +33,11 @@ def context_lines(pieces: DataFrame, id_col: str = "transcript_id", seq_col: str
     in (piece, position) order.  The in-piece rank comes from filtering the
     line array; the offset of a piece is a running sum of line counts over
     the (small) piece table."""
-    p = pieces.select(F.col(id_col).alias("transcript_id"), F.col(seq_col).alias("seq"),
-                      _nonblank(split_lines(F.col(text_col))).alias("lines"))
+    p = with_once(pieces.select(F.col(id_col).alias("transcript_id"), F.col(seq_col).alias("seq"),
+                                F.col(text_col).alias("__text")),
+                  "__parts", F.split(F.col("__text"), SPLITLINES_REGEX, -1))
+    p = with_once(p.select("transcript_id", "seq", "__parts"), "lines",
+                  _nonblank(drop_trailing_empty(F.col("__parts")))).drop("__parts")
     p = p.withColumn("cnt", F.size("lines"))
     p = running_before(p, ["transcript_id"], F.floor(F.col("seq") / F.lit(PIECE_BLOCK)), [F.col("seq")],
                        F.col("cnt"), "offset", how="sum")

@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import split_newlines
+from ..functions.memo import with_once
+from ..functions.text import NEWLINE_REGEX, drop_trailing_empty
 
 CHAT_SCHEMA = "messages array<struct<role:string,content:string>>"
 
@@ -77,9 +78,11 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 def explode_lines(files: DataFrame, path_col: str = "source_path", text_col: str = "content") -> DataFrame:
     """Whole-file rows -> ``(source_path, line_no, value)`` with Python's
     universal newlines; 1-based; no extra line after a final newline."""
-    return files.select(
-        F.col(path_col).alias("source_path"),
-        F.posexplode(split_newlines(F.col(text_col))).alias("pos", "value"),
+    raw = with_once(files.select(F.col(path_col).alias("source_path"), F.col(text_col).alias("__text")),
+                    "__parts", F.split(F.col("__text"), NEWLINE_REGEX, -1))
+    return raw.select(
+        "source_path",
+        F.posexplode(drop_trailing_empty(F.col("__parts"))).alias("pos", "value"),
     ).select("source_path", (F.col("pos") + 1).cast("long").alias("line_no"), "value")
 
 
