@@ -38,3 +38,23 @@ def test_turns_pipeline_runs(spark):
     t = export_turns(fx.fx_lines(spark, SF))
     idx = turn_index(t.where("length(text) > 0"), tiebreak=[path_order()])
     assert idx.count() == 67
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_expensive_expressions_evaluated_once(spark):
+    from pyspark.sql import functions as F
+    from turnframe.operators.clean import README_FLAGS, clean_turns
+    from turnframe.operators.headers import with_header
+    from turnframe.operators.turns import turns_from_json
+
+    df = spark.createDataFrame([("a", "b", " x ", "f", 1, "p")], "timestamp string, speaker string, text string, "
+                                                               "source_file string, line_start long, source_path string")
+    assert _optimized(clean_turns(df, **README_FLAGS)).count("regexp_replace(") == 1
+    lines = spark.createDataFrame([("f", 1, "[1/2/23, 10:00:00] A: x")], "source_path string, line_no long, value string")
+    h = with_header(lines).select("h.ts", "h.speaker", "h.text").where(F.col("speaker") != "")
+    assert _optimized(h).count("regexp_replace(") == 1
+    js = spark.createDataFrame([(1, '{"timestamp": "t", "speaker": "s", "text": "x"}')], "line_no long, value string")
+    assert _optimized(turns_from_json(js)).count("parse_json(") == 1
