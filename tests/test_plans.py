@@ -57,4 +57,4 @@ def test_expensive_expressions_evaluated_once(spark):
     h = with_header(lines).select("h.ts", "h.speaker", "h.text").where(F.col("speaker") != "")
     assert _optimized(h).count("regexp_replace(") == 1
     js = spark.createDataFrame([(1, '{"timestamp": "t", "speaker": "s", "text": "x"}')], "line_no long, value string")
-    assert _optimized(turns_from_json(js)).count("parse_json(") == 1
+    assert _optimized(turns_from_json(js)).count("parseJson") == 1
