@@ -380,7 +380,8 @@ def oracle_sql() -> dict[str, str]:
         "parse_counters_defaults": msgs + """
             SELECT CAST(count(DISTINCT source_file) AS BIGINT) AS input_files, count(*) AS raw_messages,
               count(*) FILTER (WHERE speaker = 'Meta AI') AS dropped_speaker, CAST(0 AS BIGINT) AS dropped_system,
-              CAST(0 AS BIGINT) AS dropped_media, count(*) FILTER (WHERE speaker <> 'Meta AI') AS written
+              CAST(0 AS BIGINT) AS dropped_media, count(*) FILTER (WHERE speaker <> 'Meta AI') AS written,
+              CAST(0 AS BIGINT) AS bad_timestamps
             FROM fx_msgs""",
         "minimal_turns": msgs + " SELECT speaker, clean_text AS text FROM fx_reason WHERE drop_reason IS NULL",
         "parse_counters": msgs + """
@@ -388,7 +389,7 @@ def oracle_sql() -> dict[str, str]:
               count(*) FILTER (WHERE drop_reason = 'speaker') AS dropped_speaker,
               count(*) FILTER (WHERE drop_reason = 'system') AS dropped_system,
               count(*) FILTER (WHERE drop_reason = 'media') AS dropped_media,
-              count(*) FILTER (WHERE drop_reason IS NULL) AS written
+              count(*) FILTER (WHERE drop_reason IS NULL) AS written, CAST(0 AS BIGINT) AS bad_timestamps
             FROM fx_reason""",
         "turn_index": msgs + " SELECT source_file, line_start, CAST(turn_idx AS BIGINT) AS turn_idx FROM fx_turns",
         "event_turn_index": _with(O.FX_EVENTS) + " SELECT event_id, CAST(turn_idx AS BIGINT) AS turn_idx FROM fx_events",

@@ -69,7 +69,7 @@ def test_parse_exports_routes_and_counters(spark, tmpdir_path):
         res[route] = (sorted(tuple(r) for r in p.turns.collect()), tuple(p.counters.first()))
     assert res["whole"] == res["lines"] == res["auto"] == res["mixed"]
     turns, counters = res["whole"]
-    assert counters == (2, 5, 1, 1, 1, 2)
+    assert counters == (2, 5, 1, 1, 1, 2, 0)
     # The marker regex also eats the newline after it: neighbours fuse.
     assert [t[2] for t in turns] == ["hi", "okmore"]
 

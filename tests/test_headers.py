@@ -90,3 +90,13 @@ def test_assembly_across_blocks(spark):
 def test_timestamp_or_fail_null_mode(spark):
     df = spark.createDataFrame([(None,)], "ts timestamp_ntz")
     assert df.select(timestamp_or_fail(F.col("ts"), F.lit("x"), "null")).first()[0] is None
+
+
+def test_bad_timestamp_fails_counters(spark):
+    from turnframe.operators.clean import parse_counters
+    df = spark.createDataFrame([("f.txt", 1, "[13/2/23, 10:00:00] A: x"), ("f.txt", 2, "[1/2/23, 10:00:00] B: y")],
+                               "source_path string, line_no long, value string")
+    with pytest.raises(Exception, match="unparsable export timestamp"):
+        parse_counters(assemble_messages(df)).collect()
+    row = parse_counters(assemble_messages(df, on_bad="null")).first()
+    assert (row["raw_messages"], row["bad_timestamps"]) == (2, 1)

@@ -81,7 +81,8 @@ def parse_counters(messages: DataFrame, input_files=None, exclude_speakers=tuple
                    drop_system: bool = False, drop_media: bool = False,
                    strip_edits: bool = False) -> DataFrame:
     """One row: ``input_files, raw_messages, dropped_speaker, dropped_system,
-    dropped_media, written``.  ``input_files`` is the number of listed files
+    dropped_media, written`` (the reference's counters) and
+    ``bad_timestamps``.  ``input_files`` is the number of listed files
     (an empty file still counts); without it, distinct paths seen in
     ``messages`` are counted."""
     tagged = with_drop_reason(messages, exclude_speakers, drop_system, drop_media, strip_edits)
@@ -100,4 +101,8 @@ def parse_counters(messages: DataFrame, input_files=None, exclude_speakers=tuple
         F.count_if(r == "system").alias("dropped_system"),
         F.count_if(r == "media").alias("dropped_media"),
         F.count_if(r.isNull()).alias("written"),
+        # Header dates the reference could not parse.  Evaluating the
+        # timestamp here also fails the run under on_bad='fail', as a bad
+        # date aborts the reference.
+        F.count_if(F.col("timestamp").isNull()).alias("bad_timestamps"),
     )

@@ -67,4 +67,5 @@ def running_counters(messages: DataFrame, **flags) -> DataFrame:
         F.count_if(r == "system").alias("dropped_system"),
         F.count_if(r == "media").alias("dropped_media"),
         F.count_if(r.isNull()).alias("written"),
+        F.count_if(F.col("timestamp").isNull()).alias("bad_timestamps"),
     )
