@@ -152,3 +152,10 @@ def test_awkward_file_names(spark, tmpdir_path):
     assert [tuple(r) for r in whole] == [tuple(r) for r in lines] == [tuple(r) for r in mixed]
     assert whole[0]["source_file"] == "Chat with Ann é#1 %20 a+b.txt"
     assert whole[0]["source_path"].endswith("/sub dir/Chat with Ann é#1 %20 a+b.txt")
+
+
+def test_clear_staged(spark):
+    from turnframe.session import clear_staged, materialize
+    df = materialize(spark.range(10), "tmp")
+    assert df.count() == 10
+    assert clear_staged(spark) >= 1

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CKPT: dict[int, str] = {}
+_STAGED: list[str] = []
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -81,8 +82,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _STAGED.append(path)
     return spark.read.parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the folders ``materialize`` wrote in this process (call at the
+    end of a run, once no DataFrame reading them is used any more).
+    Returns how many were removed."""
+    sc = spark.sparkContext
+    removed = 0
+    while _STAGED:
+        path = _STAGED.pop()
+        jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
+        if fs.exists(jpath):
+            fs.delete(jpath, True)
+            removed += 1
+    return removed
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
