@@ -442,7 +442,7 @@ def oracle_sql() -> dict[str, str]:
             FROM up""",
         "inference_prompts_speaker": ctx + f""",
             tr AS (SELECT DISTINCT conv_id AS transcript_id FROM conversations),
-            jt AS (SELECT tr.transcript_id, {O.trim_ws("coalesce(string_agg(c.line, chr(10) ORDER BY c.line_no), 'arnav:')")} AS t
+            jt AS (SELECT tr.transcript_id, {O.trim_ws("coalesce(string_agg(c.line, chr(10) ORDER BY c.line_no), " + O._lit(C.DEFAULT_SEED_LINE.strip()) + ")")} AS t
                    FROM tr LEFT JOIN ctx_lines c ON c.transcript_id = tr.transcript_id GROUP BY tr.transcript_id)
             SELECT transcript_id, {O.user_sql("CASE WHEN length(t) = 0 THEN '(empty)' ELSE t END", "'user_1'")} AS user_content
             FROM jt""",

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from turnframe.functions import constants as C
+
 from turnframe.operators.chat import (context_lines, generated_lines, inference_prompts, tag_lines,
                                       transcript_tail)
 from turnframe.operators.render import render_chat, tokenize_truncate
@@ -23,8 +25,9 @@ def test_context_lines_and_prompts(spark):
     assert "(empty)" in p[2][1]["content"]
     assert [m["role"] for m in p[1]] == ["system", "user"]
     seeded = {r["transcript_id"]: r["messages"] for r in
-              inference_prompts(lines, ids, speaker="Ann", seed_line=" arnav: ").collect()}
-    assert seeded[2][1]["content"].startswith("Group chat transcript so far:\narnav:\n\nTARGET_SPEAKER=Ann\n")
+              inference_prompts(lines, ids, speaker="Ann", seed_line=" " + C.DEFAULT_SEED_LINE).collect()}
+    assert seeded[2][1]["content"].startswith(
+        "Group chat transcript so far:\n" + C.DEFAULT_SEED_LINE.strip() + "\n\nTARGET_SPEAKER=Ann\n")
 
 
 def test_tail_tag_generated(spark):
