@@ -159,3 +159,15 @@ def test_clear_staged(spark):
     df = materialize(spark.range(10), "tmp")
     assert df.count() == 10
     assert clear_staged(spark) >= 1
+
+
+def test_json_sink_keeps_non_ascii(spark, tmpdir_path):
+    turns = spark.createDataFrame([("2023-01-01T00:00:00", "Zoë", "ça va? 😀\nnext", "a.txt", 2, "/x/a.txt")],
+                                  "timestamp string, speaker string, text string, source_file string, "
+                                  "line_start long, source_path string")
+    write_turns(turns, f"{tmpdir_path}/t")
+    part = [f for f in os.listdir(f"{tmpdir_path}/t") if f.startswith("part-") and f.endswith(".json")][0]
+    raw = open(f"{tmpdir_path}/t/{part}", encoding="utf-8").read()
+    assert "Zoë" in raw and "😀" in raw and "\\u" not in raw
+    assert json.loads(raw.splitlines()[0]) == {"timestamp": "2023-01-01T00:00:00", "speaker": "Zoë",
+                                               "text": "ça va? 😀\nnext", "source_file": "a.txt", "line_start": 2}
