@@ -171,3 +171,20 @@ def test_json_sink_keeps_non_ascii(spark, tmpdir_path):
     assert "Zoë" in raw and "😀" in raw and "\\u" not in raw
     assert json.loads(raw.splitlines()[0]) == {"timestamp": "2023-01-01T00:00:00", "speaker": "Zoë",
                                                "text": "ça va? 😀\nnext", "source_file": "a.txt", "line_start": 2}
+
+
+def test_split_parts_in_chunk_order(spark, tmpdir_path):
+    n = 400
+    rows = [(f"2023-01-01T00:{i // 60:02d}:{i % 60:02d}", f"S{i % 3}", f"t{i}", "f.txt", i) for i in range(n)]
+    turns = spark.createDataFrame(rows, "timestamp string, speaker string, text string, source_file string, "
+                                        "line_start long")
+    ds = build_dataset(turns, chunk_turns=8, prompt_turns=4, stride=2, min_turns=4, include_metadata=True)
+    counts = write_splits(ds.examples, f"{tmpdir_path}/ds")
+    from turnframe.operators.windows import layout
+    assert sum(counts.values()) == layout(n, 8, 2, 4).windows == 199
+    parts = sorted(f for f in os.listdir(f"{tmpdir_path}/ds/train") if f.startswith("part-"))
+    seen = []
+    for f in parts:
+        for line in open(f"{tmpdir_path}/ds/train/{f}", encoding="utf-8"):
+            seen.append(json.loads(line)["meta"]["chunk_index"])
+    assert seen == list(range(counts["train"]))

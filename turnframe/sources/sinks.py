@@ -26,8 +26,8 @@ def write_turns(turns: DataFrame, path: str, order=("source_path", "line_start")
 
 
 def write_splits(examples: DataFrame, out_dir: str, stats: DataFrame | None = None) -> dict[str, int]:
-    """S-8: ``train``, ``val`` and ``test`` folders in chunk order; empty
-    splits are still written.  The examples are materialised once (under
+    """S-8: ``train``, ``val`` and ``test`` folders in chunk order (part files
+    in name order); empty splits are still written.  The examples are materialised once (under
     the checkpoint folder) and the three writes read that copy.  Returns
     the per-split counts; raises the reference's errors for no examples."""
     staged = materialize(examples, "examples")
@@ -40,8 +40,10 @@ def write_splits(examples: DataFrame, out_dir: str, stats: DataFrame | None = No
         raise ValueError("No chunked examples generated; check chunk settings")
     body = [c for c in staged.columns if c != "split"]
     for name in SPLITS:
+        # A global sort: part files are range-ordered, so reading them in
+        # name order gives chunk order, and many tasks write in parallel.
         (staged.where(F.col("split") == name).orderBy("chunk_index").select(*body)
-         .coalesce(1).write.mode("overwrite").json(f"{out_dir}/{name}"))
+         .write.mode("overwrite").json(f"{out_dir}/{name}"))
     return {name: int(counts.get(name, 0)) for name in SPLITS}
 
 
