@@ -3,9 +3,9 @@
 ``route="auto"`` reads small files whole (one row each, parsed inside the
 row with array functions: no shuffle) and files above ``whole_file_limit``
 bytes line by line (split across tasks, messages assembled with a bounded
-block window and one grouping).  File sizes come from Spark's file index
-(``sources.exports.export_index``); only large files' paths reach the
-driver.
+block window and one grouping).  Both reads filter on file size inside
+Spark (``length`` for ``binaryFile``, ``_metadata.file_size`` for text), so
+no path list reaches the driver.
 """
 
 from __future__ import annotations
@@ -46,13 +46,15 @@ def parse_exports(spark: SparkSession, path: str, exclude_speakers=tuple(C.DEFAU
     elif route == "lines":
         parts.append(assemble_messages(read_export_lines(spark, path), on_bad=on_bad))
     elif route == "auto":
-        # Only the (few) large files are listed to the driver; the small ones
-        # are read through a length filter the binaryFile source pushes down.
-        big = [r[0] for r in export_index(spark, path).where(F.col("length") > whole_file_limit).collect()]
+        # Small files are read whole through a length filter the binaryFile
+        # source pushes down; large ones line by line through a file-size
+        # filter on the text scan.  No path list reaches the driver.
+        has_big = not export_index(spark, path).where(F.col("length") > whole_file_limit).isEmpty()
         parts.append(parse_export_text(
-            _contents(spark, path, max_length=whole_file_limit if big else None), on_bad=on_bad))
-        if big:
-            parts.append(assemble_messages(read_export_lines(spark, big), on_bad=on_bad))
+            _contents(spark, path, max_length=whole_file_limit if has_big else None), on_bad=on_bad))
+        if has_big:
+            parts.append(assemble_messages(read_export_lines(spark, path, min_file_size=whole_file_limit),
+                                           on_bad=on_bad))
     else:
         raise ValueError("route must be 'auto', 'whole' or 'lines'")
     messages = parts[0]

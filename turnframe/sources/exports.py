@@ -86,7 +86,8 @@ def explode_lines(files: DataFrame, path_col: str = "source_path", text_col: str
     ).select("source_path", (F.col("pos") + 1).cast("long").alias("line_no"), "value")
 
 
-def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | None = "*.txt") -> DataFrame:
+def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | None = "*.txt",
+                      min_file_size: int | None = None) -> DataFrame:
     """Line-level reader for exports of any size: ``(source_path, line_no,
     value)``.  Spark's text source splits files; inside a split the rows are
     read in order, so their ``monotonically_increasing_id`` values are
@@ -99,7 +100,12 @@ def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | No
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob and isinstance(path, str) and not _is_file(spark, path):
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(path).select(
+    scan = reader.text(path)
+    if min_file_size is not None:
+        # Only files larger than this (the others go through the whole-file
+        # route); a filter on file metadata, no path list on the driver.
+        scan = scan.where(F.col("_metadata.file_size") > F.lit(min_file_size))
+    raw = scan.select(
         metadata_path().alias("source_path"),
         F.col("_metadata.file_block_start").alias("__split"),
         F.monotonically_increasing_id().alias("__mid"),
@@ -114,6 +120,8 @@ def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | No
     max_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
     idx = export_index(spark, path) if glob or not isinstance(path, str) else \
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    if min_file_size is not None:
+        idx = idx.where(F.col("length") > F.lit(min_file_size))
     bound = idx.agg(F.sum(F.ceil(F.col("length") / F.lit(max_bytes)) + 1)).first()[0] or 0
     if bound <= SPLIT_TABLE_BROADCAST_MAX:
         splits = F.broadcast(splits)
