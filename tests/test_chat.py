@@ -81,6 +81,9 @@ def test_training_and_transcript_plans(spark, tmpdir_path):
     with open(f"{tmpdir_path}/tr/empty.txt", "w", encoding="utf-8") as f:
         f.write("\n \n")
     p = {os.path.basename(r["transcript_id"]): r for r in transcript_prompts(spark, f"{tmpdir_path}/tr").collect()}
+    by_line = {os.path.basename(r["transcript_id"]): r
+               for r in transcript_prompts(spark, f"{tmpdir_path}/tr", whole=False).collect()}
+    assert by_line["a.txt"]["messages"] == p["a.txt"]["messages"]
     assert p["a.txt"]["messages"][1]["content"].startswith("Group chat transcript so far:\nAnn: hi\nBob: yo\n\n")
     assert "(empty)" in p["empty.txt"]["messages"][1]["content"]
     assert p["a.txt"]["prompt_text"].endswith("<|im_start|>assistant\n")

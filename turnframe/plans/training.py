@@ -32,9 +32,9 @@ def training_tokens(spark: SparkSession, train: str, val: str | None = None,
 
 
 def transcript_prompts(spark: SparkSession, path: str, speaker: str | None = None,
-                       seed_line: str | None = None) -> DataFrame:
+                       seed_line: str | None = None, whole: bool = True) -> DataFrame:
     """``(transcript_id, messages, prompt_text)`` for transcript files."""
-    pieces = read_transcripts(spark, path)
+    pieces = read_transcripts(spark, path, whole=whole)
     lines = context_lines(pieces)
     ids = pieces.select("transcript_id").distinct()
     prompts = inference_prompts(lines, ids, speaker=speaker, seed_line=seed_line)

@@ -140,10 +140,16 @@ def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("line_no", "value", "source_path")
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """S-6: transcript files -> ``(transcript_id, seq, text)`` with one
-    piece per file (``transcript_id`` = file path); see
-    ``operators.chat.context_lines`` for the line split."""
+def read_transcripts(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """S-6: transcript files -> ``(transcript_id, seq, text)``
+    (``transcript_id`` = file path); see ``operators.chat.context_lines``
+    for the line split.  ``whole``: one piece per file; otherwise one piece
+    per line from the split-aware line reader (files of any size; the text
+    source drops a leading BOM)."""
+    if not whole:
+        lines = read_export_lines(spark, path, glob=None)
+        return lines.select(F.col("source_path").alias("transcript_id"), F.col("line_no").alias("seq"),
+                            F.col("value").alias("text"))
     df = spark.read.text(path, wholetext=True)
     return df.select(metadata_path().alias("transcript_id"), F.lit(0).alias("seq"),
                      F.make_valid_utf8(F.col("value")).alias("text"))
