@@ -168,6 +168,15 @@ def q_event_windows(spark, d):
                     F.element_at("turns", -1)["turn_idx"].alias("last_turn_index"))
 
 
+def q_event_windows_per_file(spark, d):
+    """Per-key timelines at scale: the events, one timeline per source file."""
+    ev = fx.fx_events(spark, d).drop("ts")
+    idx = turn_index(ev, tiebreak=["event_id"], partition_by=["source_file"])
+    w = count_windows(idx, C.DEFAULT_CHUNK_TURNS, C.DEFAULT_STRIDE, C.DEFAULT_MIN_TURNS, partition_by=["source_file"])
+    return w.select("source_file", "chunk_index", "start_turn_index", "n_turns",
+                    F.element_at("turns", -1)["turn_idx"].alias("last_turn_index"))
+
+
 def q_window_members(spark, d):
     idx, n = _indexed_turns(spark, d)
     return window_members(idx, n, C.DEFAULT_CHUNK_TURNS, C.DEFAULT_STRIDE, C.DEFAULT_MIN_TURNS).select(
@@ -307,6 +316,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "window_index_32_10_12": _window_index(32, 10, 12),
         "window_index_20_5_8": _window_index(20, 5, 8),
         "event_windows": q_event_windows,
+        "event_windows_per_file": q_event_windows_per_file,
         "window_members": q_window_members,
         "format_turns": q_format_turns,
         "build_examples": q_build_examples,
@@ -398,6 +408,11 @@ def oracle_sql() -> dict[str, str]:
         "window_index_20_5_8": _window_index_sql(20, 5, 8),
         "event_windows": _with(O.FX_EVENTS, O.windows_cte("w", "fx_events", 32, 8, 12)) + """
             SELECT chunk_index, start_turn_index, n_turns, start_turn_index + n_turns - 1 AS last_turn_index FROM w_win""",
+        "event_windows_per_file": _with(O.FX_EVENTS) + """,
+            ek AS (SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY ts, event_id) - 1 AS k_idx
+                   FROM fx_events)""" + O.windows_by_key_cte("pk", "ek", "source_file", "k_idx", 32, 8, 12) + """
+            SELECT source_file, chunk_index, start_turn_index, n_turns,
+              start_turn_index + n_turns - 1 AS last_turn_index FROM pk_win""",
         "window_members": msgs + win + """
             SELECT w.chunk_index, CAST(t.turn_idx AS BIGINT) AS turn_idx, t.source_file, t.line_start
             FROM w_win w JOIN fx_turns t

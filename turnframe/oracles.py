@@ -191,3 +191,28 @@ pf_split AS (
     CASE WHEN w.chunk_index < c.total - 2 * c.t10 THEN 'train'
          WHEN w.chunk_index < c.total - c.t10 THEN 'val' ELSE 'test' END AS split
   FROM pf_win w JOIN pf_cnt c ON c.source_file = w.source_file)"""
+
+
+def windows_by_key_cte(name: str, turns: str, key: str, idx: str, chunk: int, stride: int, min_turns: int) -> str:
+    """Per-key windows by definition over ``turns`` with a per-key 0-based
+    ``idx``; output ``{name}_win(key, chunk_index, start_turn_index, n_turns)``."""
+    return f""",
+{name}_n AS (SELECT {key}, count(*) AS n FROM {turns} GROUP BY {key}),
+{name}_reg AS (
+  SELECT {key}, s AS start_idx, n FROM (
+    SELECT {key}, n, unnest(generate_series(0, greatest(0, n - {min_turns}), {stride})) AS s FROM {name}_n
+    WHERE n >= {min_turns}) q
+  WHERE least({chunk}, n - s) >= {min_turns}),
+{name}_regk AS (
+  SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY start_idx) - 1 AS chunk_index, start_idx, n
+  FROM {name}_reg),
+{name}_tail AS (
+  SELECT p.{key}, (SELECT count(*) FROM {name}_reg r WHERE r.{key} = p.{key}) AS chunk_index,
+    greatest(0, p.n - {chunk}) AS start_idx, p.n
+  FROM {name}_n p
+  WHERE p.n >= {min_turns} AND least({chunk}, p.n - greatest(0, p.n - {chunk})) >= {min_turns}
+    AND NOT EXISTS (SELECT 1 FROM {name}_reg r WHERE r.{key} = p.{key} AND r.start_idx = greatest(0, p.n - {chunk}))),
+{name}_win AS (
+  SELECT {key}, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(start_idx AS BIGINT) AS start_turn_index,
+    CAST(least({chunk}, n - start_idx) AS BIGINT) AS n_turns
+  FROM (SELECT * FROM {name}_regk UNION ALL SELECT * FROM {name}_tail) w)"""
