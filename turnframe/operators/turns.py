@@ -124,7 +124,8 @@ def turn_index_with_count(turns: DataFrame, tiebreak: list[Column | str] | None
     index is deterministic, as the reference's stable sort is.
 
     ``partition_by=None`` is one timeline over everything (the reference);
-    with keys, every key gets its own 0-based timeline.
+    with keys, every key gets its own 0-based timeline and the column
+    ``timeline_turns`` (that timeline's length).
 
     Plan: range partitioning on the whole key and per-partition offsets
     (``ordinals.global_ordinal``); never a window without a partition key.
@@ -148,7 +149,9 @@ def turn_index_with_count(turns: DataFrame, tiebreak: list[Column | str] | None
     gidx = "__gidx" if keys else out
     indexed, total = global_ordinal(df, [F.col(c) for c in order], gidx, num_partitions, label="timeline")
     if keys:
-        first = indexed.groupBy(*keys).agg(F.min(gidx).alias("__first"))
+        # One aggregate gives each key's first global index and its length;
+        # one join (broadcast by AQE when small) applies both.
+        first = indexed.groupBy(*keys).agg(F.min(gidx).alias("__first"), F.count(F.lit(1)).alias("timeline_turns"))
         indexed = (indexed.join(first, on=keys, how="inner")
                    .withColumn(out, F.col(gidx) - F.col("__first")).drop(gidx, "__first"))
     return indexed.drop("__ts", *tb), total

@@ -128,7 +128,9 @@ def count_windows(indexed: DataFrame, chunk: int, stride: int, min_turns: int,
     turns)`` where ``turns`` is ``array<struct<turn_idx, *payload>>`` in
     timeline order.  Pass ``n`` when the timeline length is already known."""
     keys = list(partition_by or [])
-    if keys or n is None:
+    if keys and "timeline_turns" in indexed.columns:
+        indexed, n = indexed.withColumnRenamed("timeline_turns", "__n"), F.col("__n")
+    elif keys or n is None:
         indexed, n = timeline_lengths(indexed, keys)
     member = F.struct(F.col(idx_col).alias("turn_idx"), *[F.col(c) for c in payload])
     extra = [] if isinstance(n, int) else ["__n"]
