@@ -137,17 +137,21 @@ def count_windows(indexed: DataFrame, chunk: int, stride: int, min_turns: int,
     base = indexed.select(*keys, idx_col, *payload, *extra)
     if method == "explode":
         exploded = window_members(base, n, chunk, stride, min_turns, idx_col)
-        grouped = exploded.groupBy(*keys, "chunk_index").agg(F.collect_list(member).alias("turns"))
+        aggs = [F.collect_list(member).alias("turns")] + ([F.max("__n").alias("__n")] if extra else [])
+        grouped = exploded.groupBy(*keys, "chunk_index").agg(*aggs)
     elif method == "frames":
         grouped = _frames(base, member, n, chunk, stride, min_turns, keys, idx_col, block_turns)
     else:
         raise ValueError("method must be 'frames' or 'explode'")
     turns = F.array_sort("turns")
+    # Per-key timelines keep their length, from which the split sizes follow.
+    length = [F.col("__n").cast("long").alias("timeline_turns")] if extra else []
     return grouped.select(
         *keys, "chunk_index",
         F.element_at(turns, 1)["turn_idx"].alias("start_turn_index"),
         F.size(turns).cast("long").alias("n_turns"),
         turns.alias("turns"),
+        *length,
     )
 
 
@@ -183,13 +187,14 @@ def _frames(base: DataFrame, member: Column, n: Column | int, chunk: int, stride
         F.when(regular_member & halo, target(blk - 1, g)).otherwise(none),
         F.when(tail_member, target(F.lit(-1), lay["K"] + 1)).otherwise(none),
     )
-    rows = base.select(*keys, F.explode(targets).alias("__t"), member.alias("__m"), lay["K"].alias("__K"))
-    rows = rows.select(*keys, F.col("__t.b").alias("__blk"), F.col("__t.g").alias("__g"), "__m", "__K")
+    rows = base.select(*keys, F.explode(targets).alias("__t"), member.alias("__m"), lay["K"].alias("__K"),
+                       n_col.alias("__n"))
+    rows = rows.select(*keys, F.col("__t.b").alias("__blk"), F.col("__t.g").alias("__g"), "__m", "__K", "__n")
     groups = rows.repartition(*keys, "__blk").groupBy(*keys, "__blk", "__g").agg(
-        F.array_sort(F.collect_list("__m")).alias("__ga"), F.max("__K").alias("__K"))
+        F.array_sort(F.collect_list("__m")).alias("__ga"), F.max("__K").alias("__K"), F.max("__n").alias("__n"))
     frame = Window.partitionBy(*keys, "__blk").orderBy("__g").rowsBetween(0, h - 1)
     framed = groups.withColumn("__frame", F.collect_list("__ga").over(frame))
     own = (F.col("__blk") == -1) | ((_div(F.col("__g"), groups_per_block) == F.col("__blk"))
                                     & (F.col("__g") <= F.col("__K")))
     return framed.where(own).select(*keys, F.col("__g").alias("chunk_index"),
-                                    F.slice(F.flatten("__frame"), 1, chunk).alias("turns"))
+                                    F.slice(F.flatten("__frame"), 1, chunk).alias("turns"), "__n")

@@ -13,9 +13,9 @@ from ..functions import constants as C
 from ..functions.text import is_blank, strip
 from ..operators.assemble import assemble_messages
 from ..operators.clean import clean_turns
-from ..operators.examples import build_examples, split_examples, split_label, split_stats
+from ..operators.examples import build_examples, split_counts_columns, split_examples, split_label, split_stats
 from ..operators.turns import turn_index_with_count
-from ..operators.windows import DEFAULT_PAYLOAD, count_windows, layout
+from ..operators.windows import DEFAULT_PAYLOAD, count_windows, layout, layout_columns
 
 
 def export_turns(lines: DataFrame, exclude_speakers=tuple(C.DEFAULT_EXCLUDE_SPEAKERS), drop_system=True,
@@ -70,11 +70,12 @@ def build_dataset(turns: DataFrame, chunk_turns: int = C.DEFAULT_CHUNK_TURNS,
                         val_ratio, test_ratio, partition_by=keys)
     if keys:
         windows = count_windows(indexed, chunk_turns, stride, min_turns, partition_by=keys, payload=DEFAULT_PAYLOAD)
-        ex = build_examples(windows, prompt_turns, system_prompt, speaker_control, include_metadata, keep=keys)
-        lengths = stats.select(*keys, F.col("split.train").alias("__tr"), F.col("split.val").alias("__va"))
-        ex = (ex.join(lengths, on=keys, how="inner")
-              .withColumn("split", split_label(F.col("chunk_index"), F.col("__tr"), F.col("__va")))
-              .drop("__tr", "__va"))
+        ex = build_examples(windows, prompt_turns, system_prompt, speaker_control, include_metadata,
+                            keep=keys + ["timeline_turns"])
+        # Split sizes per key follow from the key's timeline length: no join.
+        total = layout_columns(F.col("timeline_turns"), chunk_turns, stride, min_turns)["windows"]
+        train_n, val_n, _ = split_counts_columns(total, val_ratio, test_ratio)
+        ex = ex.withColumn("split", split_label(F.col("chunk_index"), train_n, val_n)).drop("timeline_turns")
         return Dataset(indexed, None, windows, ex, stats)
     n = total
     if dataset_checks:
