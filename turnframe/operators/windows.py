@@ -143,7 +143,9 @@ def count_windows(indexed: DataFrame, chunk: int, stride: int, min_turns: int,
         grouped = _frames(base, member, n, chunk, stride, min_turns, keys, idx_col, block_turns)
     else:
         raise ValueError("method must be 'frames' or 'explode'")
-    turns = F.array_sort("turns")
+    # Frames are already in order (sorted groups collected in group order);
+    # exploded members arrive in any order.
+    turns = F.array_sort("turns") if method == "explode" else F.col("turns")
     # Per-key timelines keep their length, from which the split sizes follow.
     length = [F.col("__n").cast("long").alias("timeline_turns")] if extra else []
     return grouped.select(
