@@ -51,3 +51,16 @@ def test_giant_file_windows_are_blockwise(spark):
     by_start = {r[0]: r[1] for r in rows}
     assert by_start[8] == "x8\n" + "\n".join(f"c{i}" for i in range(9, 15))
     assert by_start[49995] == "x49995\n" + "\n".join(f"c{i}" for i in range(49996, n + 1))
+
+
+def test_offsets_broadcast_branch(spark, monkeypatch):
+    from turnframe.operators import ordinals
+    monkeypatch.setattr(ordinals, "INLINE_OFFSETS_MAX", 2)
+    n = 3000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"))
+    ordered, total = global_ordinal(df, [F.col("k")], "pos", num_partitions=6)
+    assert total == n
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan
+    got = [(r["k"], r["pos"]) for r in ordered.collect()]
+    assert sorted(got) == [(i, i) for i in range(n)]
