@@ -87,3 +87,11 @@ def test_training_and_transcript_plans(spark, tmpdir_path):
     assert p["a.txt"]["messages"][1]["content"].startswith("Group chat transcript so far:\nAnn: hi\nBob: yo\n\n")
     assert "(empty)" in p["empty.txt"]["messages"][1]["content"]
     assert p["a.txt"]["prompt_text"].endswith("<|im_start|>assistant\n")
+
+
+def test_generated_lines_rounds(spark):
+    lines = context_lines(_pieces(spark, [(1, 0, "a: 1\nb: 2")]))
+    gen = spark.createDataFrame([(1, 2, " z: 5 \n"), (1, 1, "x: 3\n\ny: 4"), (2, 1, "w: 1")],
+                                "transcript_id long, round long, generated string")
+    got = sorted(tuple(r) for r in generated_lines(gen, lines, round_col="round").collect())
+    assert got == [(1, 3, "x: 3"), (1, 4, "y: 4"), (1, 5, "z: 5"), (2, 1, "w: 1")]
