@@ -210,3 +210,16 @@ def test_line_reader_split_boundaries(spark, tmpdir_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     whole = sorted(tuple(r) for r in explode_lines(read_exports(spark, tmpdir_path)).collect())
     assert by_lines == whole
+
+
+def test_minimal_turns_sink(spark, tmpdir_path):
+    text = "\n".join(H.format(i, f"S{i % 2}", f"m{i}") for i in range(5))
+    _write(f"{tmpdir_path}/in/b.txt", text.encode())
+    _write(f"{tmpdir_path}/in/a.txt", text.replace("m", "n").encode())
+    p = parse_exports(spark, f"{tmpdir_path}/in")
+    write_turns(p.turns, f"{tmpdir_path}/min", minimal=True)
+    parts = sorted(f for f in os.listdir(f"{tmpdir_path}/min") if f.startswith("part-"))
+    rows = [json.loads(line) for f in parts for line in open(f"{tmpdir_path}/min/{f}", encoding="utf-8")]
+    assert [sorted(r) for r in rows] == [["speaker", "text"]] * 10
+    # File order (a before b), then line order.
+    assert [r["text"] for r in rows] == [f"n{i}" for i in range(5)] + [f"m{i}" for i in range(5)]
