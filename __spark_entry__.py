@@ -34,6 +34,14 @@ from turnframe.operators.chat import (context_lines, generated_lines, inference_
 from turnframe.operators.render import TOKEN_REGEX, regex_tokens, render_chat, tokenize_truncate  # noqa: E402
 from turnframe.sources.exports import explode_lines  # noqa: E402
 
+# The corpus operators are an optional part: without them the rest works.
+try:
+    from corpus_pipeline import QUERIES as CORPUS_QUERIES, ORACLES as CORPUS_ORACLES
+except ImportError as e:
+    if (e.name or "").split(".")[:2] not in (["corpus_pipeline"], ["turnframe", "llm"], ["turnframe"]):
+        raise
+    CORPUS_QUERIES, CORPUS_ORACLES = {}, {}
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -296,6 +304,14 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**library_queries(), **CORPUS_QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**library_oracles(), **CORPUS_ORACLES}
+
+
+def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "explode_lines": q_explode_lines,
         "parse_headers": q_parse_headers,
@@ -359,7 +375,7 @@ def _examples_select(speaker: bool, split: bool) -> str:
     return " SELECT " + ", ".join(cols)
 
 
-def oracle_sql() -> dict[str, str]:
+def library_oracles() -> dict[str, str]:
     ws = O.WS_SQL
     msgs = _with(O.FX_MSGS)
     win = O.windows_cte("w", "fx_turns", 32, 8, 12)
