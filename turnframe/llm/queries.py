@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .decontaminate import op5
+from .langid import op6
 from .mixing import op7
+from .quality_model import op8
 from .quality_rules import op4
 
 QUERIES = {
     "op4_host_quality_rules": op4,
     "op5_wu_manber_decontamination": op5,
+    "op6_byte_gru_language": op6,
     "op7_mix_sources": op7,
+    "op8_ordinal_quality": op8,
 }
