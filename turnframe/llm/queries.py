@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import op5
+from .html_text import op1
 from .langid import op6
 from .mixing import op7
 from .quality_model import op8
 from .quality_rules import op4
 
 QUERIES = {
+    "op1_html_main_text": op1,
     "op4_host_quality_rules": op4,
     "op5_wu_manber_decontamination": op5,
     "op6_byte_gru_language": op6,
