@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op5
 from .html_text import op1
+from .jaccard_join import op2
 from .langid import op6
 from .mixing import op7
 from .quality_model import op8
@@ -11,6 +12,7 @@ from .quality_rules import op4
 
 QUERIES = {
     "op1_html_main_text": op1,
+    "op2_shingle_jaccard_join": op2,
     "op4_host_quality_rules": op4,
     "op5_wu_manber_decontamination": op5,
     "op6_byte_gru_language": op6,
