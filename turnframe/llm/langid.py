@@ -245,8 +245,10 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> ByteGru:
     """Fits the network on documents (doc_id, text, lang) of the given rows."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                     F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    sample = d.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_docs)
-    rows = sample.select("lang", "text").mapInArrow(_sample_words, "lang string, words array<binary>").collect()
+    # only ids meet in one place; the texts are read where they are
+    ids = d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    sample = d.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    rows = sample.mapInArrow(_sample_words, "lang string, words array<binary>").limit(train_docs).collect()
     words, labels = [], []
     for r in rows:
         words += [bytes(x) for x in r["words"]]

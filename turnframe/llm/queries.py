@@ -9,6 +9,7 @@ from .langid import op6
 from .mixing import op7
 from .quality_model import op8
 from .quality_rules import op4
+from .substring_dedup import op9
 
 QUERIES = {
     "op1_html_main_text": op1,
@@ -18,4 +19,5 @@ QUERIES = {
     "op6_byte_gru_language": op6,
     "op7_mix_sources": op7,
     "op8_ordinal_quality": op8,
+    "op9_sparse_suffix_dedup": op9,
 }
