@@ -7,6 +7,7 @@ from .html_text import op1
 from .jaccard_join import op2
 from .langid import op6
 from .mixing import op7
+from .ngram_lm import op10
 from .quality_model import op8
 from .quality_rules import op4
 from .substring_dedup import op9
@@ -20,4 +21,5 @@ QUERIES = {
     "op7_mix_sources": op7,
     "op8_ordinal_quality": op8,
     "op9_sparse_suffix_dedup": op9,
+    "op10_elias_fano_lm": op10,
 }
