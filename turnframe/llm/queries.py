@@ -11,10 +11,12 @@ from .ngram_lm import op10
 from .quality_model import op8
 from .quality_rules import op4
 from .substring_dedup import op9
+from .token_files import op3
 
 QUERIES = {
     "op1_html_main_text": op1,
     "op2_shingle_jaccard_join": op2,
+    "op3_token_files": op3,
     "op4_host_quality_rules": op4,
     "op5_wu_manber_decontamination": op5,
     "op6_byte_gru_language": op6,
@@ -23,3 +25,5 @@ QUERIES = {
     "op9_sparse_suffix_dedup": op9,
     "op10_elias_fano_lm": op10,
 }
+
+ORACLES: dict[str, str] = {}
