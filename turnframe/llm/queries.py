@@ -8,6 +8,7 @@ from .jaccard_join import op2
 from .langid import op6
 from .mixing import op7
 from .ngram_lm import op10
+from .oracles import ORACLES
 from .quality_model import op8
 from .quality_rules import op4
 from .substring_dedup import op9
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_elias_fano_lm": op10,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
