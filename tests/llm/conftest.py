@@ -1,14 +1,7 @@
 import random
 
 import pytest
-
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
-
-
-def words(rng: random.Random, n: int) -> str:
-    """n words, most of them rare."""
-    return " ".join(rng.choice(WORDS) + str(rng.randrange(10_000)) for _ in range(n))
-
+from corpus_texts import words
 
 #: (doc_id, text, lang, source): null ids, texts and sources, empty, blank, repeated, very long, ties, odd spaces.
 def odd_rows() -> list[tuple]:
