@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -25,14 +26,17 @@ from turnframe.functions.text import is_media_placeholder, is_system_text, strip
 from turnframe.operators.assemble import assemble_messages, parse_export_text  # noqa: E402
 from turnframe.operators.clean import README_FLAGS, clean_turns, parse_counters, with_drop_reason  # noqa: E402
 from turnframe.operators.examples import build_examples, format_turn, split_stats  # noqa: E402
-from turnframe.operators.headers import timestamp_or_fail, with_header  # noqa: E402
-from turnframe.operators.turns import turn_index, turn_index_with_count, turns_from_json  # noqa: E402
+from turnframe.operators.headers import checked_timestamps, with_header  # noqa: E402
+from turnframe.operators.turns import json_rejects, turn_index, turn_index_with_count, turns_from_json  # noqa: E402
 from turnframe.operators.windows import count_windows, window_members  # noqa: E402
 from turnframe.plans.dataset import build_dataset, export_turns, path_order  # noqa: E402
 from turnframe.operators.chat import (context_lines, generated_lines, inference_prompts, tag_lines,  # noqa: E402
                                       transcript_tail)
-from turnframe.operators.render import TOKEN_REGEX, regex_tokens, render_chat, tokenize_truncate  # noqa: E402
-from turnframe.sources.exports import explode_lines  # noqa: E402
+from turnframe.operators.render import TOKEN_REGEX, render_chat, text_tokens  # noqa: E402
+from turnframe.plans.exports import header_rejects  # noqa: E402
+from turnframe.session import checkpoint_root  # noqa: E402
+from turnframe.sources import sinks  # noqa: E402
+from turnframe.sources.exports import explode_lines, read_chat_dataset, read_jsonl_lines  # noqa: E402
 
 # The corpus operators are an optional part: without them the rest works.
 try:
@@ -43,6 +47,10 @@ except ImportError as e:
     CORPUS_QUERIES, CORPUS_ORACLES = {}, {}
 
 SMOKE_DIR = "/root/testdata/sf0.001"
+# Tokens kept of a rendered chat; most are longer, so the cut shows.
+TOKEN_LIMIT = 150
+# What a transcript without a line starts from in the speaker prompts.
+SEED_LINE = " user_1: hello "
 
 
 # ---------------------------------------------------------------- helpers
@@ -96,9 +104,9 @@ def q_explode_lines(spark, d):
 def q_parse_headers(spark, d):
     lines = with_header(fx.fx_lines(spark, d))
     where = F.concat(F.col("source_path"), F.lit(" line "), F.col("line_no").cast("string"))
-    return lines.where("h.is_header").select(
-        "source_path", "line_no", timestamp_or_fail(F.col("h.ts"), where, "fail").alias("timestamp"),
-        F.col("h.speaker").alias("speaker"), F.col("h.text").alias("text"))
+    heads = lines.where("h.is_header").select("source_path", "line_no", F.col("h.ts").alias("__ts"),
+                                              F.col("h.speaker").alias("speaker"), F.col("h.text").alias("text"))
+    return checked_timestamps(heads, where, "fail").select("source_path", "line_no", "timestamp", "speaker", "text")
 
 
 def q_parse_export_files(spark, d):
@@ -266,7 +274,7 @@ def q_inference_prompts(spark, d):
 
 def q_inference_prompts_speaker(spark, d):
     p = inference_prompts(_context(spark, d), fx.fx_transcripts(spark, d), speaker="user_1",
-                          seed_line=C.DEFAULT_SEED_LINE)
+                          seed_line=SEED_LINE)
     return p.select("transcript_id", F.col("messages")[1]["content"].alias("user_content"))
 
 
@@ -290,12 +298,102 @@ def q_render_chat(spark, d):
 
 def q_tokenize_truncate(spark, d):
     text = fx.fx_chat(spark, d).select("conv_id", render_chat(F.col("messages")).alias("text"))
-    toks = text.select("conv_id", F.slice(regex_tokens(F.col("text")), 1, C.DEFAULT_MAX_SEQ_LENGTH).alias("t"))
-    ids = tokenize_truncate(text, C.DEFAULT_MAX_SEQ_LENGTH, keep=["conv_id"])
-    return toks.join(ids, "conv_id").select(
-        "conv_id", F.size("input_ids").cast("long").alias("n_tokens"),
-        F.element_at("t", 1).alias("first_token"), F.element_at("t", -1).alias("last_token"),
-        (F.size("attention_mask") == F.size("input_ids")).alias("mask_ok"))
+    return text_tokens(text, TOKEN_LIMIT, keep=["conv_id"]).select(
+        "conv_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+# ---------------------------------------------------------------- files and rejects
+
+EXAMPLE_SCHEMA = ("messages array<struct<role:string,content:string>>, meta struct<chunk_index:bigint,start_turn_index:bigint,"
+                  "end_turn_index:bigint,prompt_turns:bigint,completion_turns:bigint,start_timestamp:string,end_timestamp:string,"
+                  "source_file_start:string,source_file_end:string,target_speaker:string>")
+
+
+def _folder(spark, label):
+    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def q_roundtrip_turns(spark, d):
+    """Turns written as JSON lines and read as the dataset builder does."""
+    path = _folder(spark, "turns")
+    sinks.write_turns(_turns(spark, d), path)
+    return turns_from_json(read_jsonl_lines(spark, path)).select("timestamp", "speaker", "text", "source_file", "line_start")
+
+
+def q_roundtrip_minimal(spark, d):
+    path = _folder(spark, "minimal")
+    turns = clean_turns(_messages(spark, d), minimal=True, keep_path=True, **README_FLAGS)
+    sinks.write_turns(turns, path, minimal=True)
+    return spark.read.schema("speaker string, text string").json(path)
+
+
+def q_roundtrip_splits(spark, d):
+    path, ds = _folder(spark, "splits"), _dataset(spark, d)
+    sinks.write_splits(ds.examples, path, ds.stats)
+    parts = [spark.read.schema(EXAMPLE_SCHEMA).json(f"{path}/{s}").withColumn("split", F.lit(s)) for s in sinks.SPLITS]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _flat_examples(both.withColumn("chunk_index", F.col("meta.chunk_index")), with_split=True)
+
+
+def q_verify_counts(spark, d):
+    path, ds = _folder(spark, "splits"), _dataset(spark, d, include_metadata=False)
+    sinks.write_splits(ds.examples, path)
+    return sinks.verify_counts(spark, path)
+
+
+def q_verify_counts_empty_splits(spark, d):
+    """Without held-out shares, val and test are written and counted 0."""
+    path = _folder(spark, "splits")
+    sinks.write_splits(build_dataset(_turns(spark, d), val_ratio=0.0, test_ratio=0.0).examples, path)
+    return sinks.verify_counts(spark, path)
+
+
+def q_roundtrip_stats(spark, d):
+    path = _folder(spark, "stats")
+    turns = _turns(spark, d).where(F.length(strip(F.col("text"))) > 0)
+    s = split_stats(turns, C.DEFAULT_CHUNK_TURNS, C.DEFAULT_PROMPT_TURNS, C.DEFAULT_STRIDE, C.DEFAULT_MIN_TURNS,
+                    speaker_control=True)
+    sinks.write_stats(s, path)
+    back = spark.read.schema(s.schema).json(f"{path}/split_stats")
+    return back.select("input_turns", "examples", "chunk_turns", "prompt_turns", "stride", "min_turns", "speaker_control",
+                       "split.train", "split.val", "split.test", "ratios.val_ratio", "ratios.test_ratio")
+
+
+def q_append_transcript(spark, d):
+    """Context lines appended twice to one transcript folder."""
+    path, lines = _folder(spark, "transcript"), _context(spark, d)
+    sinks.append_transcript(lines, path)
+    sinks.append_transcript(lines, path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def q_read_chat_dataset(spark, d):
+    path = _folder(spark, "chat")
+    chat = fx.fx_chat(spark, d)
+    for name, part in (("train", chat.where("conv_id % 5 <> 0")), ("val", chat.where("conv_id % 5 = 0"))):
+        part.select("messages").write.json(f"{path}/{name}")
+    rows = read_chat_dataset(spark, f"{path}/train", f"{path}/val")
+    return rows.select("split", render_chat(F.col("messages")).alias("text"))
+
+
+def q_quarantine_headers(spark, d):
+    """Messages whose header date does not exist."""
+    return header_rejects(parse_export_text(fx.fx_bad_files(spark, d), on_bad="quarantine"))
+
+
+def q_quarantine_json(spark, d):
+    return json_rejects(fx.fx_bad_json(spark, d)).select("input_line", "reject")
+
+
+def q_turns_beside_bad_json(spark, d):
+    """The same lines: what stays when the rejects are taken out."""
+    return turns_from_json(fx.fx_bad_json(spark, d), on_bad="quarantine").select("input_line", "timestamp", "speaker", "text")
+
+
+def q_dataset_from_json(spark, d):
+    """JSON lines to the timeline, equal times in input order."""
+    ds = build_dataset(turns_from_json(fx.fx_json(spark, d)))
+    return ds.indexed.select("input_line", "turn_idx")
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -350,6 +448,18 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "generated_lines": q_generated_lines,
         "render_chat": q_render_chat,
         "tokenize_truncate": q_tokenize_truncate,
+        "roundtrip_turns": q_roundtrip_turns,
+        "roundtrip_minimal": q_roundtrip_minimal,
+        "roundtrip_splits": q_roundtrip_splits,
+        "roundtrip_stats": q_roundtrip_stats,
+        "verify_counts": q_verify_counts,
+        "verify_counts_empty_splits": q_verify_counts_empty_splits,
+        "append_transcript": q_append_transcript,
+        "read_chat_dataset": q_read_chat_dataset,
+        "quarantine_headers": q_quarantine_headers,
+        "quarantine_json": q_quarantine_json,
+        "turns_beside_bad_json": q_turns_beside_bad_json,
+        "dataset_from_json": q_dataset_from_json,
     }
 
 
@@ -445,13 +555,7 @@ def library_oracles() -> dict[str, str]:
         + split + " SELECT chunk_index, split, start_turn_index, end_turn_index FROM w_split",
         "split_examples_per_file": msgs + O.PER_FILE_SPLIT + """
             SELECT source_file, chunk_index, split, start_turn_index, end_turn_index, target_speaker FROM pf_split""",
-        "split_stats": msgs + win + """,
-            c AS (SELECT count(*) AS total, CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) AS t10 FROM w_win)
-            SELECT (SELECT count(*) FROM fx_turns) AS input_turns, total AS examples,
-              CAST(32 AS BIGINT) AS chunk_turns, CAST(16 AS BIGINT) AS prompt_turns, CAST(8 AS BIGINT) AS stride,
-              CAST(12 AS BIGINT) AS min_turns, true AS speaker_control,
-              total - 2 * t10 AS train, t10 AS val, t10 AS test, 0.1::DOUBLE AS val_ratio, 0.1::DOUBLE AS test_ratio
-            FROM c""",
+        "split_stats": library_oracle_split_stats(msgs, win),
         "turns_from_json": _with(O.FX_ROWS) + f""",
             j AS (SELECT *, (conv_id + turn) % 11 AS sel FROM fx_rows)
             SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, speaker,
@@ -473,7 +577,7 @@ def library_oracles() -> dict[str, str]:
             FROM up""",
         "inference_prompts_speaker": ctx + f""",
             tr AS (SELECT DISTINCT conv_id AS transcript_id FROM conversations),
-            jt AS (SELECT tr.transcript_id, {O.trim_ws("coalesce(string_agg(c.line, chr(10) ORDER BY c.line_no), " + O._lit(C.DEFAULT_SEED_LINE.strip()) + ")")} AS t
+            jt AS (SELECT tr.transcript_id, {O.trim_ws("coalesce(string_agg(c.line, chr(10) ORDER BY c.line_no), " + O._lit(SEED_LINE.strip()) + ")")} AS t
                    FROM tr LEFT JOIN ctx_lines c ON c.transcript_id = tr.transcript_id GROUP BY tr.transcript_id)
             SELECT transcript_id, {O.user_sql("CASE WHEN length(t) = 0 THEN '(empty)' ELSE t END", "'user_1'")} AS user_content
             FROM jt""",
@@ -506,7 +610,58 @@ def library_oracles() -> dict[str, str]:
         "tokenize_truncate": f"""
             WITH r AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
                        FROM conversations GROUP BY conv_id),
-            t AS (SELECT conv_id, regexp_extract_all(text, {O._lit(TOKEN_REGEX)}) AS toks FROM r)
-            SELECT conv_id, CAST(least(len(toks), 4096) AS BIGINT) AS n_tokens, toks[1] AS first_token,
-              toks[least(len(toks), 4096)] AS last_token, true AS mask_ok FROM t""",
+            t AS (SELECT conv_id, regexp_extract_all(text, {O._lit(TOKEN_REGEX)})[1:{TOKEN_LIMIT}] AS toks FROM r)
+            SELECT conv_id, CAST(len(toks) AS BIGINT) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM t""",
+        **_file_oracles(msgs, win, ex, split, ctx),
+    }
+
+
+def _file_oracles(msgs: str, win: str, ex: str, split: str, ctx: str) -> dict[str, str]:
+    """Round trips give what was written, rejects what was spoiled."""
+    ws = O.WS_SQL
+    json_rows = _with(O.FX_ROWS) + f""",
+            j AS (SELECT *, (conv_id + turn) % 11 AS sel, CAST(conv_id * 8 + turn + 1 AS BIGINT) AS input_line FROM fx_rows),
+            good AS (SELECT input_line, ts, speaker, trim(body, {ws}) AS text,
+                       CASE sel WHEN 5 THEN 'unknown' WHEN 6 THEN 'None' ELSE source_file END AS source_file,
+                       CASE sel WHEN 4 THEN 0 ELSE turn END AS line_start
+                     FROM j WHERE sel NOT IN (0, 1, 2) AND length(trim(body, {ws})) > 0)"""
+    counts = "SELECT s.split, CAST(count({x}) AS BIGINT) AS rows FROM (VALUES ('train'), ('val'), ('test')) s(split) "
+    return {
+        "roundtrip_turns": msgs + """
+            SELECT timestamp, speaker, clean_text AS text, source_file, line_start
+            FROM fx_reason WHERE drop_reason IS NULL AND length(clean_text) > 0""",
+        "roundtrip_minimal": msgs + " SELECT speaker, clean_text AS text FROM fx_reason WHERE drop_reason IS NULL",
+        "roundtrip_splits": msgs + win + ex + split + _examples_select(True, True) + " FROM w_split e",
+        "roundtrip_stats": library_oracle_split_stats(msgs, win),
+        "verify_counts": msgs + win + ex + split + counts.format(x="e.chunk_index")
+        + "LEFT JOIN w_split e ON e.split = s.split GROUP BY s.split",
+        "verify_counts_empty_splits": msgs + win + counts.format(x="w.chunk_index")
+        + "LEFT JOIN w_win w ON s.split = 'train' GROUP BY s.split",
+        "append_transcript": ctx + " SELECT line, CAST(2 * count(*) AS BIGINT) AS n FROM ctx_lines GROUP BY line",
+        "read_chat_dataset": """
+            SELECT CASE WHEN conv_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split,
+              string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
+            FROM conversations GROUP BY conv_id""",
+        "quarantine_headers": msgs + """
+            SELECT 'exports/conv_' || CAST(conv_id AS VARCHAR) || '/turn_' || CAST(turn AS VARCHAR) || '.txt' AS source_path,
+                   CAST(2 AS BIGINT) AS line_start, speaker, body AS text FROM fx_msgs WHERE (conv_id + turn) % 29 = 0""",
+        "quarantine_json": _with(O.FX_ROWS) + """,
+            k AS (SELECT CAST(1000000000 + conv_id * 8 + turn AS BIGINT) AS input_line, (conv_id * 3 + turn) % 13 AS kind FROM fx_rows)
+            SELECT input_line, CASE kind WHEN 0 THEN 'not JSON' WHEN 1 THEN 'not an object'
+              WHEN 2 THEN 'source_file is no plain value' ELSE 'line_start is no integer of 64 bits' END AS reject
+            FROM k WHERE kind <= 4""",
+        "turns_beside_bad_json": json_rows + """
+            SELECT input_line, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, speaker, text FROM good""",
+        "dataset_from_json": json_rows + """
+            SELECT input_line, CAST(row_number() OVER (ORDER BY ts, source_file, line_start, input_line) - 1 AS BIGINT) AS turn_idx FROM good""",
     }
+
+
+def library_oracle_split_stats(msgs: str, win: str) -> str:
+    return msgs + win + """,
+            c AS (SELECT count(*) AS total, CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) AS t10 FROM w_win)
+            SELECT (SELECT count(*) FROM fx_turns) AS input_turns, total AS examples,
+              CAST(32 AS BIGINT) AS chunk_turns, CAST(16 AS BIGINT) AS prompt_turns, CAST(8 AS BIGINT) AS stride,
+              CAST(12 AS BIGINT) AS min_turns, true AS speaker_control,
+              total - 2 * t10 AS train, t10 AS val, t10 AS test, 0.1::DOUBLE AS val_ratio, 0.1::DOUBLE AS test_ratio
+            FROM c"""

@@ -6,7 +6,7 @@ from turnframe.functions import constants as C
 
 from turnframe.operators.chat import (context_lines, generated_lines, inference_prompts, tag_lines,
                                       transcript_tail)
-from turnframe.operators.render import render_chat, tokenize_truncate
+from turnframe.operators.render import render_chat, text_tokens, tokenize_truncate
 
 
 def _pieces(spark, rows):
@@ -25,9 +25,9 @@ def test_context_lines_and_prompts(spark):
     assert "(empty)" in p[2][1]["content"]
     assert [m["role"] for m in p[1]] == ["system", "user"]
     seeded = {r["transcript_id"]: r["messages"] for r in
-              inference_prompts(lines, ids, speaker="Ann", seed_line=" " + C.DEFAULT_SEED_LINE).collect()}
+              inference_prompts(lines, ids, speaker="Ann", seed_line=" Ann: hey ").collect()}
     assert seeded[2][1]["content"].startswith(
-        "Group chat transcript so far:\n" + C.DEFAULT_SEED_LINE.strip() + "\n\nTARGET_SPEAKER=Ann\n")
+        "Group chat transcript so far:\n" + "Ann: hey" + "\n\nTARGET_SPEAKER=Ann\n")
 
 
 def test_tail_tag_generated(spark):
@@ -49,12 +49,11 @@ def test_render_and_tokens(spark):
     assert r["t"] == "<|im_start|>system\nS<|im_end|>\n<|im_start|>user\nU<|im_end|>\n"
     assert r["g"] == r["t"] + "<|im_start|>assistant\n"
     text = spark.createDataFrame([(1, "Hello, world! ça va?")], "id long, text string")
-    full = tokenize_truncate(text, 100, keep=["id"]).first()
-    assert len(full["input_ids"]) == 7 and full["attention_mask"] == [1] * 7
-    cut = tokenize_truncate(text, 3, keep=["id"]).first()
-    assert cut["input_ids"] == full["input_ids"][:3]
-    custom = tokenize_truncate(text, 2, keep=["id"], tokenizer=lambda xs: [[len(x), 7, 9] for x in xs]).first()
-    assert custom["input_ids"] == [20, 7] and "text" not in tokenize_truncate(text, 2).columns
+    full = text_tokens(text, 100, keep=["id"]).first()
+    assert full["tokens"] == ["Hello", ",", "world", "!", "ça", "va", "?"]
+    assert text_tokens(text, 3).columns == ["tokens"] and text_tokens(text, 3).first()["tokens"] == full["tokens"][:3]
+    ids = tokenize_truncate(text, lambda xs: [[len(x), 7, 9] for x in xs], 2, keep=["id"])
+    assert ids.columns == ["id", "input_ids", "attention_mask"] and tuple(ids.first()) == (1, [20, 7], [1, 1])
 
 
 def test_training_and_transcript_plans(spark, tmpdir_path):
@@ -69,7 +68,8 @@ def test_training_and_transcript_plans(spark, tmpdir_path):
         f.write("\n".join(json.dumps(r) for r in rows) + "\n")
     with open(f"{tmpdir_path}/ds/val.jsonl", "w") as f:
         f.write(json.dumps(rows[0]) + "\n")
-    toks = training_tokens(spark, f"{tmpdir_path}/ds/train.jsonl", f"{tmpdir_path}/ds/val.jsonl", max_length=5)
+    toks = training_tokens(spark, f"{tmpdir_path}/ds/train.jsonl", lambda xs: [[ord(c) for c in x] for x in xs],
+                           f"{tmpdir_path}/ds/val.jsonl", max_length=5)
     got = toks.collect()
     assert sorted(r["split"] for r in got) == ["train", "train", "train", "validation"]
     assert all(len(r["input_ids"]) == 5 and r["attention_mask"] == [1] * 5 for r in got)

@@ -1,36 +1,51 @@
-"""V-1 .. V-5: parameter checks raise before any Spark work; data checks."""
+"""V-1 .. V-5: settings are refused before any Spark work; data checks."""
 
 import pytest
 
 from turnframe import checks
-from turnframe.plans.dataset import build_dataset
+from turnframe.plans.dataset import build_dataset, input_order
+
+GOOD = dict(chunk_turns=4, prompt_turns=1, stride=1, min_turns=2)
 
 
 @pytest.mark.parametrize("val,test", [(-0.1, 0.1), (0.1, -0.1), (0.5, 0.5), (0.9, 0.2)])
 def test_bad_ratios(val, test):
-    with pytest.raises(ValueError, match="split ratios"):
-        checks.check_split_ratios(val, test)
+    with pytest.raises(checks.DatasetError, match="_ratio"):
+        checks.check_settings(val, test, **GOOD)
+    checks.check_settings(0.0, 0.0, **GOOD)
 
 
-@pytest.mark.parametrize("chunk,prompt,stride,min_turns", [(1, 1, 1, 2), (4, 0, 1, 2), (4, 1, 0, 2), (4, 1, 1, 1)])
-def test_bad_chunking(chunk, prompt, stride, min_turns):
-    with pytest.raises(ValueError, match="chunk settings"):
-        checks.check_chunking(chunk, prompt, stride, min_turns)
+@pytest.mark.parametrize("name", sorted(checks.LEAST))
+def test_too_small(name):
+    with pytest.raises(checks.DatasetError, match=name):
+        checks.check_settings(0.1, 0.1, **{**GOOD, name: checks.LEAST[name] - 1})
 
 
 def test_prompt_not_below_chunk():
-    with pytest.raises(ValueError, match="prompt_turns must be less"):
-        checks.check_chunking(8, 8, 1, 2)
+    with pytest.raises(checks.DatasetError, match="no turn to complete"):
+        checks.check_settings(0.1, 0.1, chunk_turns=8, prompt_turns=8, stride=1, min_turns=2)
+
+
+def test_all_problems_are_named():
+    with pytest.raises(checks.DatasetError) as e:
+        checks.check_settings(-1, 0.1, **{**GOOD, "stride": 0})
+    assert "stride" in str(e.value) and "val_ratio" in str(e.value)
 
 
 def test_dataset_checks(spark):
-    rows = [("2023-01-01T00:00:%02d" % i, "A", f"t{i}", "f", i) for i in range(5)]
+    rows = [("2023-01-01T00:00:%02d" % i, "A", f"t{i}", "f", i, i) for i in range(5)]
     turns = spark.createDataFrame(rows, "timestamp string, speaker string, text string, source_file string, "
-                                        "line_start long")
-    with pytest.raises(ValueError, match="No chunked examples"):
-        build_dataset(turns, dataset_checks=True)
-    empty = turns.where("false")
-    with pytest.raises(ValueError, match="No valid turns"):
-        build_dataset(empty, dataset_checks=True)
-    ok = build_dataset(turns, chunk_turns=4, prompt_turns=2, stride=1, min_turns=2, dataset_checks=True)
+                                        "line_start long, input_line long")
+    with pytest.raises(checks.DatasetError, match="no example"):
+        build_dataset(turns)
+    with pytest.raises(checks.DatasetError, match="no usable turn"):
+        build_dataset(turns.where("false"))
+    kw = dict(chunk_turns=4, prompt_turns=2, stride=1, min_turns=2)
+    ok = build_dataset(turns, **kw)
     assert ok.n == 5 and ok.examples.count() == 4
+    assert build_dataset(turns.where("false"), dataset_checks=False).examples.count() == 0
+
+
+def test_an_order_is_needed():
+    with pytest.raises(ValueError, match="order equal times"):
+        input_order(["timestamp", "text"])

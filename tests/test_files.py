@@ -4,6 +4,8 @@ no final newline, nested folders, extensions, empty files, outputs."""
 import json
 import os
 
+import pytest
+
 from turnframe.plans.dataset import build_dataset
 from turnframe.plans.exports import parse_exports
 from turnframe.sources.exports import count_input_files, explode_lines, read_export_lines, read_exports
@@ -86,7 +88,8 @@ def test_outputs(spark, tmpdir_path):
     write_stats(ds.stats, f"{tmpdir_path}/ds")
     assert counts == {"train": 4, "val": 0, "test": 0}  # starts 0, 8, 16, 24; no tail
     v = {r["split"]: r["rows"] for r in verify_counts(spark, f"{tmpdir_path}/ds").collect()}
-    assert v.get("train") == 4 and v.get("val", 0) == 0 and v.get("test", 0) == 0
+    assert v == {"train": 4, "val": 0, "test": 0}
+    assert set(spark.read.json(f"{tmpdir_path}/ds/train").columns) == {"messages", "meta"}
     stats_file = [f for f in os.listdir(f"{tmpdir_path}/ds/split_stats") if f.endswith(".json")][0]
     stats = json.loads(open(f"{tmpdir_path}/ds/split_stats/{stats_file}").read())
     assert stats["input_turns"] == 40 and stats["examples"] == 4
@@ -138,7 +141,7 @@ def test_turns_file_handoff(spark, tmpdir_path):
     assert back.count() == 140
     kw = dict(chunk_turns=20, prompt_turns=8, stride=5, min_turns=6, include_metadata=True, speaker_control=True)
     a = build_dataset(p.turns, **kw).examples
-    b = build_dataset(back, tiebreak=["input_file", "input_line"], **kw).examples
+    b = build_dataset(back, **kw).examples  # in the order of input file and line
     cols = ["chunk_index", "messages", "meta", "split"]
     assert sorted(map(str, a.select(*cols).collect())) == sorted(map(str, b.select(*cols).collect()))
 
@@ -175,9 +178,9 @@ def test_json_sink_keeps_non_ascii(spark, tmpdir_path):
 
 def test_split_parts_in_chunk_order(spark, tmpdir_path):
     n = 400
-    rows = [(f"2023-01-01T00:{i // 60:02d}:{i % 60:02d}", f"S{i % 3}", f"t{i}", "f.txt", i) for i in range(n)]
+    rows = [(f"2023-01-01T00:{i // 60:02d}:{i % 60:02d}", f"S{i % 3}", f"t{i}", "f.txt", i, i) for i in range(n)]
     turns = spark.createDataFrame(rows, "timestamp string, speaker string, text string, source_file string, "
-                                        "line_start long")
+                                        "line_start long, input_line long")
     ds = build_dataset(turns, chunk_turns=8, prompt_turns=4, stride=2, min_turns=4, include_metadata=True)
     counts = write_splits(ds.examples, f"{tmpdir_path}/ds")
     from turnframe.operators.windows import layout
@@ -216,10 +219,57 @@ def test_minimal_turns_sink(spark, tmpdir_path):
     text = "\n".join(H.format(i, f"S{i % 2}", f"m{i}") for i in range(5))
     _write(f"{tmpdir_path}/in/b.txt", text.encode())
     _write(f"{tmpdir_path}/in/a.txt", text.replace("m", "n").encode())
-    p = parse_exports(spark, f"{tmpdir_path}/in")
-    write_turns(p.turns, f"{tmpdir_path}/min", minimal=True)
+    p = parse_exports(spark, f"{tmpdir_path}/in", minimal=True)
+    write_turns(p.turns.repartition(3), f"{tmpdir_path}/min", minimal=True)
     parts = sorted(f for f in os.listdir(f"{tmpdir_path}/min") if f.startswith("part-"))
     rows = [json.loads(line) for f in parts for line in open(f"{tmpdir_path}/min/{f}", encoding="utf-8")]
     assert [sorted(r) for r in rows] == [["speaker", "text"]] * 10
     # File order (a before b), then line order.
     assert [r["text"] for r in rows] == [f"n{i}" for i in range(5)] + [f"m{i}" for i in range(5)]
+
+
+def test_byte_order_marks(spark, tmpdir_path):
+    """Both readers keep a byte order mark, so a file parses alike on each."""
+    bom = "\ufeff".encode()
+    bodies = {"none": "", "bom": bom, "bom_lrm": bom + "\u200e".encode(), "two": bom + bom}
+    for name, start in bodies.items():
+        for end in ("\n", "\r\n", ""):
+            text = H.format(1, "Ann", "one") + (end or "\n") + H.format(2, "Bob", "two") + end
+            _write(f"{tmpdir_path}/{name}{len(end)}.txt", (start or b"") + text.encode())
+    _write(f"{tmpdir_path}/badbytes.txt", bom + b"\xff\n" + H.format(3, "Cy", "x\udc80").encode("utf-8", "replace"))
+    whole = sorted(tuple(r) for r in explode_lines(read_exports(spark, tmpdir_path)).collect())
+    assert sorted(tuple(r) for r in read_export_lines(spark, tmpdir_path).collect()) == whole
+    turns = [sorted(tuple(r) for r in parse_exports(spark, tmpdir_path, **kw).turns.collect())
+             for kw in (dict(route="whole"), dict(route="lines"), dict(whole_file_limit=1))]
+    assert turns[0] == turns[1] == turns[2]
+    by_file = [r[3] for r in turns[0]]
+    assert by_file.count("bom1.txt") == 2 and by_file.count("bom_lrm1.txt") == 1
+
+
+def test_partition_size_setting(spark, tmpdir_path):
+    _write(f"{tmpdir_path}/a.txt", _export(20))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    try:
+        assert read_export_lines(spark, tmpdir_path).count() == 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_quarantined_headers(spark, tmpdir_path):
+    _write(f"{tmpdir_path}/a.txt", (H.format(1, "Ann", "ok") + "\n[13/45/23, 10:00:00] Bob: bad\nmore").encode())
+    p = parse_exports(spark, tmpdir_path, on_bad="quarantine", minimal=True)
+    assert [(r["line_start"], r["speaker"], r["text"]) for r in p.rejects.collect()] == [(2, "Bob", "bad\nmore")]
+    assert [r["text"] for r in p.turns.collect()] == ["ok"]
+    with pytest.raises(Exception, match="unparsable"):
+        parse_exports(spark, tmpdir_path, minimal=True).turns.collect()
+
+
+def test_per_key_splits_are_ordered_by_key(spark, tmpdir_path):
+    rows = [(f"2023-01-01T00:00:{i % 60:02d}", "S", f"t{i}", f"f{i % 3}", i, i) for i in range(90)]
+    turns = spark.createDataFrame(rows, "timestamp string, speaker string, text string, source_file string, "
+                                        "line_start long, input_line long")
+    ds = build_dataset(turns, 8, 4, 2, 4, partition_by=["source_file"])
+    write_splits(ds.examples, f"{tmpdir_path}/ds")
+    names = sorted(f for f in os.listdir(f"{tmpdir_path}/ds/train") if f.startswith("part-"))
+    seen = [json.loads(line)["source_file"] for f in names for line in open(f"{tmpdir_path}/ds/train/{f}", encoding="utf-8")]
+    assert seen == sorted(seen) and set(seen) == {"f0", "f1", "f2"}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from turnframe.operators.headers import split_header, timestamp_or_fail
+from turnframe.operators.headers import checked_timestamps, with_header
 from turnframe.operators.assemble import assemble_messages, parse_export_text
 
 H = "[12/7/23, 09:15:50] "
@@ -11,8 +11,7 @@ H = "[12/7/23, 09:15:50] "
 
 def _headers(spark, lines):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, v string")
-    h = split_header(F.col("v"))
-    out = df.select("i", h.alias("h")).select(
+    out = with_header(df, "v").select(
         "i", "h.is_header", F.date_format("h.ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "h.speaker", "h.text")
     return [tuple(r)[1:] for r in out.orderBy("i").collect()]
 
@@ -87,9 +86,28 @@ def test_assembly_across_blocks(spark):
     assert rows[0]["text"] == "start\n" + "\n".join(f"l{i}" for i in range(3, 40))
 
 
-def test_timestamp_or_fail_null_mode(spark):
-    df = spark.createDataFrame([(None,)], "ts timestamp_ntz")
-    assert df.select(timestamp_or_fail(F.col("ts"), F.lit("x"), "null")).first()[0] is None
+def test_missing_timestamps(spark):
+    df = spark.createDataFrame([(None,)], "__ts timestamp_ntz")
+    for on_bad in ("null", "quarantine"):
+        assert checked_timestamps(df, F.lit("x"), on_bad).first()["timestamp"] is None
+    with pytest.raises(Exception, match="unparsable export timestamp at x"):
+        checked_timestamps(df, F.lit("x"), "fail").collect()
+    with pytest.raises(ValueError, match="on_bad"):
+        checked_timestamps(df, F.lit("x"), "ignore")
+
+
+@pytest.mark.parametrize("route", ["whole", "lines"])
+def test_bad_date_of_a_dropped_or_minimal_message_fails(spark, route):
+    from turnframe.operators.clean import clean_turns
+    from turnframe.sources.exports import explode_lines
+
+    text = "[1/2/23, 10:00:00] A: fine\n[13/45/23, 10:00:00] Meta AI: dropped anyway"
+    files = spark.createDataFrame([("/d/a.txt", text)], "source_path string, content string")
+    parse = parse_export_text if route == "whole" else lambda f, **kw: assemble_messages(explode_lines(f), **kw)
+    for minimal in (False, True):
+        with pytest.raises(Exception, match="unparsable export timestamp"):
+            clean_turns(parse(files), minimal=minimal).collect()
+        assert clean_turns(parse(files, on_bad="null"), minimal=minimal).count() == 1
 
 
 def test_bad_timestamp_fails_counters(spark):

@@ -40,3 +40,17 @@ def test_stream_running_counters(spark, tmpdir_path):
     q.stop()
     row = spark.sql("SELECT * FROM tf_counters").first()
     assert (row["raw_messages"], row["dropped_speaker"], row["dropped_media"], row["written"]) == (5, 1, 1, 3)
+
+
+def test_stream_counts_files_exactly(spark, tmpdir_path):
+    from turnframe.streaming.exports import running_file_count, stream_export_files
+
+    for i in range(7):
+        os.makedirs(f"{tmpdir_path}/in/sub{i % 2}", exist_ok=True)
+        with open(f"{tmpdir_path}/in/sub{i % 2}/f{i}.txt", "w", encoding="utf-8") as fh:
+            fh.write("\n".join(H.format(k, "Ann", "x") for k in range(i + 1)))
+    q = running_file_count(stream_export_files(spark, f"{tmpdir_path}/in", 3)).writeStream.format("memory") \
+        .queryName("tf_files").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("SELECT * FROM tf_files").first()["input_files"] == 7

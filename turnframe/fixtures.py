@@ -119,6 +119,30 @@ def fx_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select((F.col("conv_id") * 8 + F.col("turn") + 1).alias("line_no"), js.alias("value"))
 
 
+def fx_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_files`` with a month that does not exist in the header of every
+    file whose ``conv_id + turn`` is divisible by 29."""
+    r = fx_files(spark, sf_dir)
+    number = lambda p: F.regexp_extract("source_path", p, 1).cast("long")
+    spoiled = (number(r"conv_(\d+)/") + number(r"turn_(\d+)\.")) % 29 == 0
+    bad = F.regexp_replace("content", r"(?s)^(.*?\[)\d{1,2}/", "$113/")
+    return r.withColumn("content", F.when(spoiled, bad).otherwise(F.col("content")))
+
+
+def fx_bad_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_json`` and, by ``(conv_id * 3 + turn) % 13``, lines that cannot
+    be read: 0 no JSON, 1 no object, 2 a nested ``source_file``, 3 and 4
+    integers over 64 bits."""
+    start = '{"timestamp": "2023-01-01T00:00:00", "speaker": "A", "text": "x", '
+    lines = ['{"timestamp": "2023-', '[{"text": "x"}]', start + '"source_file": {"name": "f"}}',
+             start + '"line_start": 12345678901234567890123}', start + '"line_start": "98765432109876543210"}']
+    c = table(spark, sf_dir, "conversations").select(
+        (F.lit(1_000_000_000) + F.col("conv_id") * 8 + F.col("turn")).cast("long").alias("line_no"),
+        F.get(F.array(*map(F.lit, lines)), ((F.col("conv_id") * 3 + F.col("turn")) % 13).cast("int")).alias("value"))
+    return fx_json(spark, sf_dir).select(F.col("line_no").cast("long").alias("line_no"), "value") \
+        .unionByName(c.where(F.col("value").isNotNull()))
+
+
 def fx_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript pieces ``(transcript_id, seq, text)``: each conversation is
     a transcript, each row's body a piece in turn order."""

@@ -56,7 +56,6 @@ TARGET_SPEAKER_PREFIX = "TARGET_SPEAKER="
 PROMPT_INSTRUCTION = "Continue the conversation naturally. Keep speaker tags in each line: Name: message"
 EMPTY_TRANSCRIPT = "(empty)"
 LIVE_LINE_PREFIX = "You: "
-DEFAULT_SEED_LINE = "arnav: "
 
 # ---- fixed values: chat template (ChatML, the public format of the default
 # model family; the model's own template is not part of the inputs) ---------

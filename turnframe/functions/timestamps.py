@@ -77,7 +77,15 @@ def iso_sort_key(timestamp: Column) -> Column:
     Spark's cast accepts the forms the pipeline writes (``YYYY-MM-DD``,
     ``YYYY-MM-DDTHH:MM[:SS[.ffffff]]``).  Documented differences: Python also
     takes basic forms such as ``20231207T091550`` and ISO week dates; Spark
-    also takes ``2023-12``; a zone offset is dropped by the NTZ cast where
-    Python would build an aware datetime.
+    also takes ``2023-12``.  A time with a zone offset (or ``Z``) is ordered
+    by its instant; whether a timeline mixes such times with times without an
+    offset, which have no common order, is checked by ``is_aware``.
     """
-    return timestamp.try_cast("timestamp_ntz")
+    instant = timestamp.try_cast("timestamp")
+    utc = F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
+    return F.when(is_aware(timestamp), utc).otherwise(timestamp.try_cast("timestamp_ntz"))
+
+
+def is_aware(timestamp: Column) -> Column:
+    """Whether an ISO time has a zone offset."""
+    return F.regexp_like(timestamp, F.lit(r"\d[T ]\S*(?:Z|[+-]\d\d(?::?\d\d)?)$"))

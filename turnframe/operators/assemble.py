@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from ..functions.memo import with_once
 from ..functions.text import NEWLINE_REGEX, drop_trailing_empty
-from .headers import is_header, timestamp_or_fail, with_header
+from .headers import checked_timestamps, is_header, with_header
 from ..session import materialize
 from .ordinals import DEFAULT_BLOCK, running_before
 
+MESSAGE = ["source_path", "source_file", "line_start", "timestamp", "speaker", "text"]
+
+
 def base_name(path_col):
     return F.element_at(F.split(path_col, "/"), -1)
 
@@ -55,14 +58,15 @@ def assemble_messages(lines: DataFrame, on_bad: str = "fail", block_lines: int =
         F.collect_list(F.struct(F.col("line_no"), part.alias("part"))).alias("parts"),
     )
     where = F.concat(F.col("source_path"), F.lit(" line "), F.col("line_start").cast("string"))
-    return grouped.select(
+    messages = grouped.select(
         "source_path",
         base_name(F.col("source_path")).alias("source_file"),
         F.col("line_start").cast("long").alias("line_start"),
-        timestamp_or_fail(F.col("hd.ts"), where, on_bad).alias("timestamp"),
+        F.col("hd.ts").alias("__ts"),
         F.col("hd.speaker").alias("speaker"),
         F.array_join(F.transform(F.array_sort("parts"), lambda x: x["part"]), "\n").alias("text"),
     )
+    return checked_timestamps(messages, where, on_bad).select(MESSAGE)
 
 
 def parse_export_text(files: DataFrame, on_bad: str = "fail", path_col: str = "source_path",
@@ -93,13 +97,14 @@ def parse_export_text(files: DataFrame, on_bad: str = "fail", path_col: str = "s
                 # across two Generates loses struct fields).
                 .select("source_path", F.col("m.line_start").alias("__start"), F.col("m.header").alias("__header"),
                         F.col("m.cont").alias("__cont")))
-    where = F.concat(F.col("source_path"), F.lit(" line "), F.col("__start").cast("string"))
+    where = F.concat(F.col("source_path"), F.lit(" line "), F.col("line_start").cast("string"))
     with_h = with_header(exploded, "__header", known_header=True)
-    return with_h.select(
+    messages = with_h.select(
         "source_path",
         base_name(F.col("source_path")).alias("source_file"),
         F.col("__start").cast("long").alias("line_start"),
-        timestamp_or_fail(F.col("h.ts"), where, on_bad).alias("timestamp"),
+        F.col("h.ts").alias("__ts"),
         F.col("h.speaker").alias("speaker"),
         F.array_join(F.concat(F.array(F.col("h.text")), F.col("__cont")), "\n").alias("text"),
     )
+    return checked_timestamps(messages, where, on_bad).select(MESSAGE)

@@ -72,8 +72,8 @@ def clean_turns(messages: DataFrame, exclude_speakers=tuple(C.DEFAULT_EXCLUDE_SP
     tagged = with_drop_reason(messages, exclude_speakers, drop_system, drop_media, strip_edits)
     kept = tagged.where(F.col("drop_reason").isNull()).withColumn("text", F.col("clean_text"))
     cols = MINIMAL_COLUMNS if minimal else FULL_COLUMNS
-    if keep_path and not minimal:
-        cols = cols + ["source_path"]
+    if keep_path:
+        cols = cols + (["source_path", "line_start"] if minimal else ["source_path"])
     return kept.select(*cols)
 
 

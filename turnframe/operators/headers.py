@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.memo import memo_expr, with_once
+from ..functions.memo import with_once
 from ..functions.text import strip
 from ..functions.timestamps import export_timestamp, iso_string
 
@@ -28,34 +28,12 @@ def is_header(value: Column) -> Column:
     return (F.instr(F.substring(value, 1, 2), "[") > 0) & F.regexp_like(value, F.lit(HEADER_REGEX))
 
 
-def split_header(value: Column | str, known_header: bool = False) -> Column:
-    """Struct ``(is_header, ts, speaker, text)``.
-
-    Non-header lines give ``is_header=false`` and NULL fields.  ``ts`` is
-    NULL for a header whose date/time the reference would reject (see
-    ``on_bad`` in the callers).  ``speaker`` is stripped, ``text`` is raw.
-    ``known_header`` skips the test when every input line is a header.
-    """
-    if isinstance(value, str):
-        return memo_expr(("split_header", value, known_header),
-                         lambda: split_header(F.col(value), known_header))
-    hdr = F.lit(True) if known_header else is_header(value)
-    parts = F.split(F.regexp_replace(value, F.lit(HEADER_REGEX), F.lit(_FIELDS)), ":", 8)
-    g = [F.get(parts, i) for i in range(8)]
-    ts = export_timestamp(g[0], g[1], g[2], g[3], g[4], g[5])
-    return F.when(
-        hdr,
-        F.struct(F.lit(True).alias("is_header"), ts.alias("ts"),
-                 strip(g[6]).alias("speaker"), g[7].alias("text")),
-    ).otherwise(
-        F.struct(F.lit(False).alias("is_header"), F.lit(None).cast("timestamp_ntz").alias("ts"),
-                 F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("string").alias("text"))
-    )
-
-
 def with_header(df: DataFrame, value_col: str = "value", out: str = "h", known_header: bool = False) -> DataFrame:
-    """``df`` plus the header struct ``out`` (see ``split_header``), with the
-    one regex pass that splits the fields evaluated once per line."""
+    """``df`` plus the header struct ``out``: ``(is_header, ts, speaker,
+    text)``, with the one regex pass that splits the fields evaluated once per
+    line.  Other lines give ``is_header=false`` and NULL fields; ``ts`` is
+    NULL for a date or time that does not exist; ``speaker`` is stripped,
+    ``text`` is raw.  ``known_header`` skips the test of every line."""
     value = F.col(value_col)
     hdr = F.lit(True) if known_header else is_header(value)
     parts = F.when(hdr, F.split(F.regexp_replace(value, F.lit(HEADER_REGEX), F.lit(_FIELDS)), ":", 8))
@@ -70,13 +48,19 @@ def with_header(df: DataFrame, value_col: str = "value", out: str = "h", known_h
     return with_once(df, out, h).drop("__hparts")
 
 
-def timestamp_or_fail(ts: Column, where: Column, on_bad: str) -> Column:
-    """ISO string of a parsed header time.  ``on_bad='fail'`` raises like
-    the reference (the column must be consumed); ``'null'`` keeps NULL."""
-    iso = iso_string(ts)
+ON_BAD = ("fail", "null", "quarantine")
+
+
+def checked_timestamps(messages: DataFrame, where: Column, on_bad: str, ts_col: str = "__ts") -> DataFrame:
+    """Messages with ``timestamp`` (ISO text) in place of the parsed header
+    time ``ts_col``.  With ``on_bad='fail'`` a header date that does not exist
+    fails the run.  That is a filter here, upstream of every drop rule and
+    projection, so it also holds for messages that are dropped later and for
+    outputs without a timestamp.  ``'null'`` and ``'quarantine'`` keep the
+    message with a NULL timestamp."""
+    if on_bad not in ON_BAD:
+        raise ValueError(f"on_bad must be one of {ON_BAD}")
     if on_bad == "fail":
-        return F.when(ts.isNotNull(), iso).otherwise(
-            F.raise_error(F.concat(F.lit("unparsable export timestamp at "), where)))
-    if on_bad == "null":
-        return iso
-    raise ValueError("on_bad must be 'fail' or 'null'")
+        bad = F.raise_error(F.concat(F.lit("unparsable export timestamp at "), where)).cast("boolean")
+        messages = messages.where(F.when(F.col(ts_col).isNotNull(), F.lit(True)).otherwise(bad))
+    return messages.withColumn("timestamp", iso_string(F.col(ts_col))).drop(ts_col)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, shuffle_partitions
+from ..session import materialize, partitions_for
 
 DEFAULT_BLOCK = 1 << 16
 
@@ -62,7 +62,8 @@ INLINE_OFFSETS_MAX = 8192
 
 
 def global_ordinal(df: DataFrame, order: list[Column | str], out: str,
-                   num_partitions: int | None = None, label: str = "ordinal") -> tuple[DataFrame, int]:
+                   num_partitions: int | None = None, label: str = "ordinal",
+                   uniform: Column | None = None) -> tuple[DataFrame, int]:
     """``(df with out, row count)``: 0-based position of each row in the
     total order ``order`` (which must be unique, i.e. end with
     tie-breakers), without a single-partition sort.
@@ -73,15 +74,21 @@ def global_ordinal(df: DataFrame, order: list[Column | str], out: str,
     in the high bits, position in the low bits) and materialise, so that
     the tags are fixed.  The per-partition counts have one row per range
     partition (a bound we choose), so they are collected and turned into
-    offsets on the driver; the total is the timeline length.
+    offsets on the driver; the total is the timeline length.  ``uniform`` has
+    to be alike on all rows (checked in the same job): rows for which it
+    differs have no common order.
     """
     spark = df.sparkSession
-    n_parts = num_partitions or shuffle_partitions(spark)
+    n_parts = num_partitions or partitions_for(df)
     ranged = df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     tagged = materialize(ranged.withColumn("__mid", F.monotonically_increasing_id()), label)
     pid = F.shiftrightunsigned(F.col("__mid"), 33)
     pos = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted((r[0], r[1]) for r in tagged.groupBy(pid.alias("p")).agg(F.count(F.lit(1))).collect())
+    alike = F.lit(True) if uniform is None else uniform
+    found = tagged.groupBy(pid.alias("p")).agg(F.count(F.lit(1)), F.min(alike), F.max(alike)).collect()
+    if len({x for r in found for x in r[2:] if x is not None}) > 1:
+        raise ValueError("times with and without a zone offset have no common order")
+    counts = sorted((r[0], r[1]) for r in found)
     offsets, total = {}, 0
     for p_id, c in counts:
         offsets[p_id] = total

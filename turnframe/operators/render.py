@@ -4,10 +4,10 @@ Re-aimed: the reference delegates both to the model's tokenizer, whose
 template and vocabulary are not part of its inputs.  ``render_chat`` uses
 ChatML (the public format of the default model family) with the template
 strings as parameters; it runs as native array functions.
-``tokenize_truncate`` defaults to a native word/punctuation split with
-hashed ids, so token *boundaries* will not equal a model's; truncation
-(keep the first ``max_length``, no padding) is exact.  A real tokenizer can
-be plugged in as a batch function, run per Arrow batch in a Pandas UDF.
+``tokenize_truncate`` takes the model's tokenizer as a batch function, run
+per Arrow batch in a Pandas UDF; without one, ``text_tokens`` gives word and
+punctuation strings (no ids).  Truncation keeps the first ``max_length``
+tokens, without padding.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from ..functions.text import WS_CLASS
 
 # Word runs, or any single other non-space character.
 TOKEN_REGEX = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + WS_CLASS[1:-1] + "]"
-DEFAULT_VOCAB = 1 << 17
 
 
 def render_chat(messages: Column, add_generation_prompt: bool = False,
@@ -45,24 +44,24 @@ def regex_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_REGEX), 0)
 
 
-def tokenize_truncate(df: DataFrame, max_length: int = C.DEFAULT_MAX_SEQ_LENGTH, text_col: str = "text",
-                      keep: list[str] | None = None, tokenizer: Callable[[list[str]], list[list[int]]] | None = None,
-                      vocab_size: int = DEFAULT_VOCAB) -> DataFrame:
-    """``input_ids`` and ``attention_mask``, truncated to ``max_length``,
-    no padding; ``text`` is dropped (P-12).
-
-    Default: native regex tokens hashed into ``vocab_size`` ids (JVM-side).
-    ``tokenizer``: a batch function ``list[str] -> list[list[int]]`` (for
-    example a ``tokenizers`` tokenizer's ``encode_batch`` wrapper), run in a
-    Pandas UDF over Arrow batches."""
-    if tokenizer is None:
-        ids = F.transform(regex_tokens(F.col(text_col)),
-                          lambda t: F.pmod(F.xxhash64(t), F.lit(vocab_size)).cast("int"))
-    else:
-        @F.pandas_udf("array<int>")
-        def _encode(texts: pd.Series) -> pd.Series:
-            return pd.Series(tokenizer(texts.tolist()))
-        ids = _encode(F.col(text_col))
-    ids = F.slice(ids, 1, max_length)
+def text_tokens(df: DataFrame, max_length: int = C.DEFAULT_MAX_SEQ_LENGTH, text_col: str = "text",
+                keep: list[str] | None = None) -> DataFrame:
+    """``tokens``: the first ``max_length`` word and punctuation strings of
+    a text; ``text`` is dropped (P-12)."""
+    return df.select(*(keep or []), F.slice(regex_tokens(F.col(text_col)), 1, max_length).alias("tokens"))
+
+
+def tokenize_truncate(df: DataFrame, tokenizer: Callable[[list[str]], list[list[int]]],
+                      max_length: int = C.DEFAULT_MAX_SEQ_LENGTH, text_col: str = "text",
+                      keep: list[str] | None = None) -> DataFrame:
+    """``input_ids`` and ``attention_mask``, truncated to ``max_length``, no
+    padding; ``text`` is dropped (P-12).  ``tokenizer`` is a batch function
+    ``list[str] -> list[list[int]]``, for example a wrapper of a tokenizer's
+    ``encode_batch``."""
+    @F.pandas_udf("array<int>")
+    def _encode(texts: pd.Series) -> pd.Series:
+        return pd.Series(tokenizer(texts.tolist()))
+
+    ids = F.slice(_encode(F.col(text_col)), 1, max_length)
     return df.select(*(keep or []), ids.alias("input_ids")).withColumn(
         "attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))

@@ -62,24 +62,6 @@ def layout(n: int, chunk: int, stride: int, min_turns: int) -> Layout:
     return Layout(n, k + 1, tail)
 
 
-def reference_windows(n: int, chunk: int, stride: int, min_turns: int) -> list[tuple[int, int]]:
-    """(start, length) in emission order, by the definition.  Test helper."""
-    out, produced = [], set()
-    if n < min_turns:
-        return out
-    start, max_start = 0, max(0, n - min_turns)
-    while start <= max_start:
-        length = min(chunk, n - start)
-        if length >= min_turns:
-            produced.add(start)
-            out.append((start, length))
-        start += stride
-    tail = max(0, n - chunk)
-    if tail not in produced and min(chunk, n - tail) >= min_turns:
-        out.append((tail, min(chunk, n - tail)))
-    return out
-
-
 def _div(a: Column, b: int) -> Column:
     """Exact integer division for a >= 0 (Spark's ``div``)."""
     return ((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("long")

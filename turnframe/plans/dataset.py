@@ -13,7 +13,7 @@ from ..functions import constants as C
 from ..functions.text import is_blank, strip
 from ..operators.assemble import assemble_messages
 from ..operators.clean import clean_turns
-from ..operators.examples import build_examples, split_counts_columns, split_examples, split_label, split_stats
+from ..operators.examples import build_examples, split_sizes, split_examples, split_label, split_stats
 from ..operators.turns import turn_index_with_count
 from ..operators.windows import DEFAULT_PAYLOAD, count_windows, layout, layout_columns
 
@@ -31,6 +31,16 @@ def path_order(col: str = "source_path"):
     return F.split(F.col(col), "/")
 
 
+def input_order(columns: list[str]) -> list:
+    """What orders turns that are equal on time, file name and line: the
+    path of their export, or the file and line they were read from."""
+    if "source_path" in columns:
+        return [path_order()]
+    if "input_line" in columns:
+        return ([path_order("input_file")] if "input_file" in columns else []) + ["input_line"]
+    raise ValueError("turns need source_path or input_line to order equal times; pass tiebreak=[...] (or [] if none are equal)")
+
+
 @dataclass
 class Dataset:
     indexed: DataFrame
@@ -46,7 +56,7 @@ def build_dataset(turns: DataFrame, chunk_turns: int = C.DEFAULT_CHUNK_TURNS,
                   test_ratio: float = C.DEFAULT_TEST_RATIO, system_prompt: str = C.DEFAULT_SYSTEM_PROMPT,
                   include_metadata: bool = False, speaker_control: bool = False,
                   tiebreak=None, partition_by: list[str] | None = None,
-                  dataset_checks: bool = False) -> Dataset:
+                  dataset_checks: bool = True) -> Dataset:
     """E2: turns -> examples with ``split``.
 
     Steps: drop blank turns (the turn reader already does for JSON input),
@@ -54,17 +64,17 @@ def build_dataset(turns: DataFrame, chunk_turns: int = C.DEFAULT_CHUNK_TURNS,
     count is the timeline length), build windows with one shuffle
     (``operators.windows.count_windows``), build messages with array
     functions, label splits from the closed-form example count.
-    ``dataset_checks`` raises the reference's "no turns / no examples"
-    errors (from the known length, no extra job).
+    ``dataset_checks`` refuses an input without turns or examples (from the
+    known length, no extra job); off, it gives empty examples.
     """
-    checks.check_split_ratios(val_ratio, test_ratio)
-    checks.check_chunking(chunk_turns, prompt_turns, stride, min_turns)
+    checks.check_settings(val_ratio, test_ratio, chunk_turns=chunk_turns, prompt_turns=prompt_turns, stride=stride,
+                          min_turns=min_turns)
     keys = list(partition_by or [])
     # The reference re-reads turns: blank texts are dropped, fields stripped.
     turns = (turns.where(~is_blank(F.col("text")))
              .withColumn("speaker", strip(F.col("speaker"))).withColumn("text", strip(F.col("text"))))
-    if tiebreak is None and "source_path" in turns.columns:
-        tiebreak = [path_order()]
+    if tiebreak is None:
+        tiebreak = input_order(turns.columns)
     indexed, total = turn_index_with_count(turns, tiebreak=tiebreak, partition_by=keys)
     stats = split_stats(indexed, chunk_turns, prompt_turns, stride, min_turns, speaker_control,
                         val_ratio, test_ratio, partition_by=keys)
@@ -74,12 +84,12 @@ def build_dataset(turns: DataFrame, chunk_turns: int = C.DEFAULT_CHUNK_TURNS,
                             keep=keys + ["timeline_turns"])
         # Split sizes per key follow from the key's timeline length: no join.
         total = layout_columns(F.col("timeline_turns"), chunk_turns, stride, min_turns)["windows"]
-        train_n, val_n, _ = split_counts_columns(total, val_ratio, test_ratio)
+        train_n, val_n, _ = split_sizes(total, val_ratio, test_ratio)
         ex = ex.withColumn("split", split_label(F.col("chunk_index"), train_n, val_n)).drop("timeline_turns")
         return Dataset(indexed, None, windows, ex, stats)
     n = total
     if dataset_checks:
-        checks.check_dataset_counts(n, layout(n, chunk_turns, stride, min_turns).windows)
+        checks.check_sizes(n, layout(n, chunk_turns, stride, min_turns).windows)
     windows = count_windows(indexed, chunk_turns, stride, min_turns, n=n)
     ex = build_examples(windows, prompt_turns, system_prompt, speaker_control, include_metadata)
     ex = split_examples(ex, n, chunk_turns, stride, min_turns, val_ratio, test_ratio)

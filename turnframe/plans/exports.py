@@ -29,6 +29,7 @@ class ParsedExports:
     messages: DataFrame
     turns: DataFrame
     counters: DataFrame
+    rejects: DataFrame | None = None
 
 
 def parse_exports(spark: SparkSession, path: str, exclude_speakers=tuple(C.DEFAULT_EXCLUDE_SPEAKERS),
@@ -36,7 +37,12 @@ def parse_exports(spark: SparkSession, path: str, exclude_speakers=tuple(C.DEFAU
                   minimal: bool = False, on_bad: str = "fail", route: str = "auto",
                   whole_file_limit: int = WHOLE_FILE_LIMIT) -> ParsedExports:
     """Files -> messages -> kept turns, plus the counters row.  Flags
-    default to off as in the reference's command line."""
+    default to off.  Minimal turns keep ``source_path`` and ``line_start``, by
+    which the sink orders them, and which it does not write.
+
+    ``on_bad``: a header date that does not exist fails the run (``fail``),
+    gives a NULL timestamp (``null``), or goes to ``rejects`` and not into
+    the turns (``quarantine``)."""
     n_files = count_input_files(spark, path)
     if n_files == 0:
         raise FileNotFoundError(f"No .txt files found under: {path}")
@@ -61,9 +67,20 @@ def parse_exports(spark: SparkSession, path: str, exclude_speakers=tuple(C.DEFAU
     for p in parts[1:]:
         messages = messages.unionByName(p)
     turns = clean_turns(messages, exclude_speakers, drop_system, drop_media, strip_edits, minimal=minimal,
-                        keep_path=not minimal)
+                        keep_path=True)
+    rejects = None
+    if on_bad == "quarantine":
+        rejects = header_rejects(messages)
+        good = messages.where(F.col("timestamp").isNotNull())
+        turns = clean_turns(good, exclude_speakers, drop_system, drop_media, strip_edits, minimal=minimal, keep_path=True)
     counters = parse_counters(messages, n_files, exclude_speakers, drop_system, drop_media, strip_edits)
-    return ParsedExports(n_files, messages, turns, counters)
+    return ParsedExports(n_files, messages, turns, counters, rejects)
+
+
+def header_rejects(messages: DataFrame) -> DataFrame:
+    """Messages parsed with ``on_bad='quarantine'`` whose header date does
+    not exist."""
+    return messages.where(F.col("timestamp").isNull()).select("source_path", "line_start", "speaker", "text")
 
 
 def _contents(spark: SparkSession, path, max_length: int | None = None) -> DataFrame:

@@ -21,14 +21,13 @@ from ..operators.render import render_chat, to_text, tokenize_truncate
 from ..sources.exports import read_chat_dataset, read_transcripts
 
 
-def training_tokens(spark: SparkSession, train: str, val: str | None = None,
-                    max_length: int = C.DEFAULT_MAX_SEQ_LENGTH,
-                    tokenizer: Callable[[list[str]], list[list[int]]] | None = None) -> DataFrame:
+def training_tokens(spark: SparkSession, train: str, tokenizer: Callable[[list[str]], list[list[int]]],
+                    val: str | None = None, max_length: int = C.DEFAULT_MAX_SEQ_LENGTH) -> DataFrame:
     """``(split, input_ids, attention_mask)`` for the train and validation
     files."""
     chats = read_chat_dataset(spark, train, val)
     text = to_text(chats, keep=["split"])
-    return tokenize_truncate(text, max_length, keep=["split"], tokenizer=tokenizer)
+    return tokenize_truncate(text, tokenizer, max_length, keep=["split"])
 
 
 def transcript_prompts(spark: SparkSession, path: str, speaker: str | None = None,

@@ -12,18 +12,18 @@ _LOCAL_CKPT: dict[int, str] = {}
 _STAGED: list[str] = []
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "turnframe", extra: dict | None = None) -> SparkSession:
     """Session with the settings the operators are tuned for.
 
-    On a cluster, pass ``master=None`` and let spark-submit decide; size
-    ``spark.sql.shuffle.partitions`` to the data (AQE coalesces small ones).
+    On a cluster, pass ``master=None``: spark-submit decides, and the
+    cluster's own ``spark.sql.shuffle.partitions`` stays unless one is given
+    here (AQE coalesces small ones).  Local sessions get 8.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
     conf = {
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -35,10 +35,13 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.ui.showConsoleProgress": "false",
     }
     if master and master.startswith("local"):
-        conf.setdefault("spark.driver.memory", "16g")
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
+        conf.setdefault("spark.driver.memory", "8g")
         # Small local inputs: let AQE keep enough partitions to use the
         # cores for regex-heavy stages (cluster sizes are far above this).
         conf.setdefault("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
+    elif shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -102,5 +105,16 @@ def clear_staged(spark: SparkSession) -> int:
     return removed
 
 
+PARTITION_BYTES = 256 << 20
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Number of range partitions for a frame: the session's setting, or
+    more where the optimizer's size estimate asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // PARTITION_BYTES)
+    return max(shuffle_partitions(df.sparkSession), min(wanted, 100_000))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -43,14 +43,15 @@ def export_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return reader.load(path).select(F.col("path").alias("source_path"), "length")
 
 
-# Broadcast the per-split table of the line reader up to this many rows.
-SPLIT_TABLE_BROADCAST_MAX = 1_000_000
+# Broadcast the per-split table of the line reader up to this many bytes.
+SPLIT_TABLE_BROADCAST_MAX = 64 << 20
+SPLIT_ROW_BYTES = 64  # beside the path
 
 
 def count_input_files(spark: SparkSession, path: str) -> int:
     """Number of input files, zero-length ones included (the reference
     counts them; Spark's scan skips them, its file index does not)."""
-    return len(export_index(spark, path).inputFiles())
+    return len(export_index(spark, path)._jdf.inputFiles())  # the array's length, not its paths
 
 
 def metadata_path(col: str = "_metadata.file_path"):
@@ -96,11 +97,11 @@ def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | No
     that table's size is bounded from the file listing, and under
     ``SPLIT_TABLE_BROADCAST_MAX`` rows it is broadcast, so lines are not
     shuffled.
-    The text source drops a leading BOM (the whole-file reader keeps it)."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if glob and isinstance(path, str) and not _is_file(spark, path):
-        reader = reader.option("pathGlobFilter", glob)
-    scan = reader.text(path)
+
+    The text source drops a byte order mark at the start of a file; files
+    that have one are found by their size (see ``marked_files``) and line 1
+    gets it back, so both readers give the same lines."""
+    scan = scan_text(spark, path, glob)
     if min_file_size is not None:
         # Only files larger than this (the others go through the whole-file
         # route); a filter on file metadata, no path list on the driver.
@@ -117,19 +118,50 @@ def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | No
     splits = splits.select("source_path", "__split", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
     # Bound on the split table from the file listing (no content read):
     # each file has at most ceil(size / maxPartitionBytes) + 1 splits.
-    max_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
     idx = export_index(spark, path) if glob or not isinstance(path, str) else \
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("source_path"), "length")
     if min_file_size is not None:
         idx = idx.where(F.col("length") > F.lit(min_file_size))
-    bound = idx.agg(F.sum(F.ceil(F.col("length") / F.lit(max_bytes)) + 1)).first()[0] or 0
+    row_bytes = F.length("source_path") * 4 + SPLIT_ROW_BYTES
+    bound = idx.agg(F.sum((F.ceil(F.col("length") / F.lit(_split_bytes(spark, idx))) + 1) * row_bytes)).first()[0] or 0
+    marked = marked_files(scan_text(spark, path, glob, lineSep="\n"), min_file_size)
     if bound <= SPLIT_TABLE_BROADCAST_MAX:
-        splits = F.broadcast(splits)
-    numbered = raw.join(splits, on=["source_path", "__split"], how="inner")
-    return numbered.select(
+        splits, marked = F.broadcast(splits), F.broadcast(marked)
+    numbered = raw.join(splits, on=["source_path", "__split"], how="inner").select(
         "source_path",
         (F.col("__before") + F.col("__mid") - F.col("__first") + 1).cast("long").alias("line_no"),
         F.make_valid_utf8(F.col("value")).alias("value"))
+    numbered = numbered.join(marked, "source_path", "left")
+    mark = F.when(F.col("__marked") & (F.col("line_no") == 1), F.lit("\ufeff")).otherwise(F.lit(""))
+    return numbered.select("source_path", "line_no", F.concat(mark, F.col("value")).alias("value"))
+
+
+def scan_text(spark: SparkSession, path: str | list[str], glob: str | None, **options) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", "true").options(**options)
+    if glob and isinstance(path, str) and not _is_file(spark, path):
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.text(path)
+
+
+def marked_files(scan: DataFrame, min_file_size: int | None = None) -> DataFrame:
+    """Files that begin with a byte order mark, which the text source takes
+    off: cut at line feeds, a file's values and their line feeds add up to
+    its size, or to one more without a final line feed; with three bytes
+    taken off they add up to less."""
+    if min_file_size is not None:
+        scan = scan.where(F.col("_metadata.file_size") > F.lit(min_file_size))
+    sizes = scan.select(metadata_path().alias("source_path"), F.col("_metadata.file_size").alias("__size"),
+                        (F.octet_length("value") + 1).alias("__read"))
+    found = sizes.groupBy("source_path").agg(F.max("__size").alias("__size"), F.sum("__read").alias("__read"))
+    return found.where(F.col("__size") - F.col("__read") >= 2).select("source_path", F.lit(True).alias("__marked"))
+
+
+def _split_bytes(spark: SparkSession, index: DataFrame) -> int:
+    """Smallest size at which Spark cuts the listed files, as it sets it."""
+    conf = spark._jsparkSession.sessionState().conf()
+    largest, open_cost = conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()
+    total = index.agg(F.sum(F.col("length") + F.lit(open_cost))).first()[0] or 0
+    return max(1, min(largest, max(open_cost, total // max(1, spark.sparkContext.defaultParallelism))))
 
 
 def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -144,8 +176,7 @@ def read_transcripts(spark: SparkSession, path: str, whole: bool = True) -> Data
     """S-6: transcript files -> ``(transcript_id, seq, text)``
     (``transcript_id`` = file path); see ``operators.chat.context_lines``
     for the line split.  ``whole``: one piece per file; otherwise one piece
-    per line from the split-aware line reader (files of any size; the text
-    source drops a leading BOM)."""
+    per line from the split-aware line reader (files of any size)."""
     if not whole:
         lines = read_export_lines(spark, path, glob=None)
         return lines.select(F.col("source_path").alias("transcript_id"), F.col("line_no").alias("seq"),

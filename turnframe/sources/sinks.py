@@ -22,27 +22,31 @@ def write_turns(turns: DataFrame, path: str, order=("source_path", "line_start")
     sort keeps order across part files)."""
     cols = ["speaker", "text"] if minimal else ["timestamp", "speaker", "text", "source_file", "line_start"]
     sort = [F.split(F.col(c), "/") if c == "source_path" else F.col(c) for c in order if c in turns.columns]
-    turns.orderBy(*sort).select(*cols).write.mode("overwrite").json(path)
+    ordered = turns.orderBy(*sort) if sort else turns
+    ordered.select(*cols).write.mode("overwrite").json(path)
 
 
 def write_splits(examples: DataFrame, out_dir: str, stats: DataFrame | None = None) -> dict[str, int]:
     """S-8: ``train``, ``val`` and ``test`` folders in chunk order (part files
     in name order); empty splits are still written.  The examples are materialised once (under
-    the checkpoint folder) and the three writes read that copy.  Returns
-    the per-split counts; raises the reference's errors for no examples."""
+    the checkpoint folder) and the three writes read that copy.  A record
+    is ``messages`` and, if there, ``meta``, after the keys of per-key
+    datasets, which also come first in the order.  Returns the per-split
+    counts; an input without examples is refused."""
     staged = materialize(examples, "examples")
     counts = {r["split"]: r["n"] for r in staged.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     if stats is not None:
         row = stats.select("input_turns").first()
-        checks.check_dataset_counts(row["input_turns"] if row else 0, total)
-    elif total == 0:
-        raise ValueError("No chunked examples generated; check chunk settings")
-    body = [c for c in staged.columns if c != "split"]
+        checks.check_sizes(row["input_turns"] if row else 0, total)
+    else:
+        checks.check_sizes(1, total)
+    record = [c for c in ("messages", "meta") if c in staged.columns]
+    keys = [c for c in staged.columns if c not in ("chunk_index", "split", *record)]
     for name in SPLITS:
         # A global sort: part files are range-ordered, so reading them in
         # name order gives chunk order, and many tasks write in parallel.
-        (staged.where(F.col("split") == name).orderBy("chunk_index").select(*body)
+        (staged.where(F.col("split") == name).orderBy(*keys, "chunk_index").select(*keys, *record)
          .write.mode("overwrite").json(f"{out_dir}/{name}"))
     return {name: int(counts.get(name, 0)) for name in SPLITS}
 
@@ -59,9 +63,7 @@ def append_transcript(lines: DataFrame, path: str, line_col: str = "line") -> No
 
 
 def verify_counts(spark: SparkSession, out_dir: str) -> DataFrame:
-    """A-5: rows per written split file (``wc -l`` of the README)."""
-    parts = [spark.read.text(f"{out_dir}/{name}").select(F.lit(name).alias("split")) for name in SPLITS]
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    return df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    """A-5: lines per written split, 0 for an empty one."""
+    counts = [spark.read.text(f"{out_dir}/{name}").agg(F.count(F.lit(1)).alias("rows"))
+              .select(F.lit(name).alias("split"), "rows") for name in SPLITS]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])

@@ -20,22 +20,31 @@ from ..operators.clean import FULL_COLUMNS, MINIMAL_COLUMNS, with_drop_reason
 from ..sources.exports import metadata_path
 
 
-def stream_export_messages(spark: SparkSession, in_dir: str, on_bad: str = "null",
+def stream_export_messages(spark: SparkSession, in_dir: str, on_bad: str = "fail",
                            max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming messages (with ``drop_reason`` not yet applied) from the
-    ``*.txt`` files of ``in_dir``."""
-    reader = spark.readStream
+    ``*.txt`` files below ``in_dir``, with the batch reader's defaults."""
+    return parse_export_text(stream_export_files(spark, in_dir, max_files_per_trigger), on_bad=on_bad)
+
+
+def stream_export_files(spark: SparkSession, in_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """One streaming row per export file: ``(source_path, content)``."""
+    reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.text(f"{in_dir.rstrip('/')}/*.txt", wholetext=True)
-    files = raw.select(metadata_path().alias("source_path"),
-                       F.make_valid_utf8(F.col("value")).alias("content"))
-    return parse_export_text(files, on_bad=on_bad)
+    raw = reader.text(in_dir, wholetext=True)
+    return raw.select(metadata_path().alias("source_path"), F.make_valid_utf8(F.col("value")).alias("content"))
+
+
+def running_file_count(files: DataFrame) -> DataFrame:
+    """Streaming count of the export files (one row reaches it per file, so
+    it is exact); the other counters are ``running_counters``."""
+    return files.agg(F.count(F.lit(1)).alias("input_files"))
 
 
 def stream_export_turns(spark: SparkSession, in_dir: str, exclude_speakers=tuple(C.DEFAULT_EXCLUDE_SPEAKERS),
                         drop_system: bool = False, drop_media: bool = False, strip_edits: bool = False,
-                        minimal: bool = False, on_bad: str = "null") -> DataFrame:
+                        minimal: bool = False, on_bad: str = "fail") -> DataFrame:
     """Streaming kept turns; stateless, so append mode needs no watermark."""
     msgs = stream_export_messages(spark, in_dir, on_bad)
     tagged = with_drop_reason(msgs, exclude_speakers, drop_system, drop_media, strip_edits)
@@ -57,11 +66,11 @@ def start_turns_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoin
 
 
 def running_counters(messages: DataFrame, **flags) -> DataFrame:
-    """Streaming A-3: the counters as a running aggregate (complete mode)."""
+    """Streaming A-3: the message counters as a running aggregate (complete
+    mode); files are counted by ``running_file_count``."""
     tagged = with_drop_reason(messages, **flags)
     r = F.col("drop_reason")
     return tagged.agg(
-        F.approx_count_distinct("source_path").alias("input_files_approx"),
         F.count(F.lit(1)).alias("raw_messages"),
         F.count_if(r == "speaker").alias("dropped_speaker"),
         F.count_if(r == "system").alias("dropped_system"),
