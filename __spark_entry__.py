@@ -30,8 +30,7 @@ from turnframe.operators.headers import checked_timestamps, with_header  # noqa:
 from turnframe.operators.turns import json_rejects, turn_index, turn_index_with_count, turns_from_json  # noqa: E402
 from turnframe.operators.windows import count_windows, window_members  # noqa: E402
 from turnframe.plans.dataset import build_dataset, export_turns, path_order  # noqa: E402
-from turnframe.operators.chat import (context_lines, generated_lines, inference_prompts, tag_lines,  # noqa: E402
-                                      transcript_tail)
+from turnframe.operators.chat import context_lines, generated_lines, inference_prompts, line_counts, tag_lines  # noqa: E402
 from turnframe.operators.render import TOKEN_REGEX, render_chat, text_tokens  # noqa: E402
 from turnframe.plans.exports import header_rejects  # noqa: E402
 from turnframe.session import checkpoint_root  # noqa: E402
@@ -279,7 +278,7 @@ def q_inference_prompts_speaker(spark, d):
 
 
 def q_transcript_tail(spark, d):
-    return transcript_tail(_context(spark, d), C.DEFAULT_TAIL_LINES)
+    return context_lines(fx.fx_context(spark, d), last=C.DEFAULT_TAIL_LINES)
 
 
 def q_tag_lines(spark, d):
@@ -289,7 +288,7 @@ def q_tag_lines(spark, d):
 
 
 def q_generated_lines(spark, d):
-    return generated_lines(fx.fx_generated(spark, d), _context(spark, d))
+    return generated_lines(fx.fx_generated(spark, d), round_col="round", counts=line_counts(fx.fx_context(spark, d)))
 
 
 def q_render_chat(spark, d):
@@ -566,7 +565,7 @@ def library_oracles() -> dict[str, str]:
             FROM j WHERE sel NOT IN (0, 1, 2) AND length(trim(body, {ws})) > 0""",
         "context_lines": ctx + " SELECT transcript_id, line_no, line FROM ctx_lines",
         "inference_prompts": ctx + f""",
-            tr AS (SELECT DISTINCT conv_id AS transcript_id FROM conversations),
+            tr AS (SELECT DISTINCT conv_id AS transcript_id FROM conversations UNION SELECT max(conv_id) + 1 FROM conversations),
             jt AS (SELECT tr.transcript_id, {O.trim_ws("coalesce(string_agg(c.line, chr(10) ORDER BY c.line_no), '')")} AS t
                    FROM tr LEFT JOIN ctx_lines c ON c.transcript_id = tr.transcript_id GROUP BY tr.transcript_id),
             up AS (SELECT transcript_id, {O.user_sql("CASE WHEN length(t) = 0 THEN '(empty)' ELSE t END", None)} AS user_content FROM jt)
@@ -576,7 +575,7 @@ def library_oracles() -> dict[str, str]:
               || '<|im_start|>assistant' || chr(10) AS prompt_text
             FROM up""",
         "inference_prompts_speaker": ctx + f""",
-            tr AS (SELECT DISTINCT conv_id AS transcript_id FROM conversations),
+            tr AS (SELECT DISTINCT conv_id AS transcript_id FROM conversations UNION SELECT max(conv_id) + 1 FROM conversations),
             jt AS (SELECT tr.transcript_id, {O.trim_ws("coalesce(string_agg(c.line, chr(10) ORDER BY c.line_no), " + O._lit(SEED_LINE.strip()) + ")")} AS t
                    FROM tr LEFT JOIN ctx_lines c ON c.transcript_id = tr.transcript_id GROUP BY tr.transcript_id)
             SELECT transcript_id, {O.user_sql("CASE WHEN length(t) = 0 THEN '(empty)' ELSE t END", "'user_1'")} AS user_content
@@ -594,14 +593,13 @@ def library_oracles() -> dict[str, str]:
               CASE WHEN contains(s, ':') THEN s ELSE 'You: ' || s END AS line
             FROM st WHERE length(s) > 0""",
         "generated_lines": ctx + f""",
-            last AS (SELECT conv_id, max_by(text, turn) AS text FROM conversations GROUP BY conv_id),
-            g AS (SELECT conv_id, '  ' || replace(text, chr(10), chr(10) || '  ' || chr(10) || ' ') || chr(10) || chr(10) || '   ' || chr(10) AS gen FROM last),
-            parts AS (SELECT conv_id, unnest(generate_series(1, len(p))) AS k, unnest(p) AS raw
-                      FROM (SELECT conv_id, string_split(gen, chr(10)) AS p FROM g) q),
-            kept AS (SELECT conv_id, k, {O.trim_ws("raw")} AS line FROM parts WHERE length({O.trim_ws("raw")}) > 0),
+            g AS (SELECT conv_id, turn, '  ' || replace(text, chr(10), chr(10) || '  ' || chr(10) || ' ') || chr(10) || chr(10) || '   ' || chr(10) AS gen FROM conversations),
+            parts AS (SELECT conv_id, turn, unnest(generate_series(1, len(p))) AS k, unnest(p) AS raw
+                      FROM (SELECT conv_id, turn, string_split(gen, chr(10)) AS p FROM g) q),
+            kept AS (SELECT conv_id, turn, k, {O.trim_ws("raw")} AS line FROM parts WHERE length({O.trim_ws("raw")}) > 0),
             cnt AS (SELECT transcript_id, max(line_no) AS last_no FROM ctx_lines GROUP BY transcript_id)
             SELECT kept.conv_id AS transcript_id,
-              CAST(coalesce(cnt.last_no, 0) + row_number() OVER (PARTITION BY kept.conv_id ORDER BY k) AS BIGINT) AS line_no,
+              CAST(coalesce(cnt.last_no, 0) + row_number() OVER (PARTITION BY kept.conv_id ORDER BY turn, k) AS BIGINT) AS line_no,
               line
             FROM kept LEFT JOIN cnt ON cnt.transcript_id = kept.conv_id""",
         "render_chat": """

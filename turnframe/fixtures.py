@@ -151,17 +151,17 @@ def fx_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All transcript ids (a transcript may have no non-blank line)."""
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("transcript_id")).distinct()
+    """All transcript ids, and one more that has no line at all."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("transcript_id"))
+    return c.distinct().unionByName(c.agg((F.max("transcript_id") + 1).alias("transcript_id")))
 
 
 def fx_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation, the text of its last turn padded with blank lines
-    and surrounding spaces, as a model's generated answer."""
+    """Every turn's text padded with blank lines and surrounding spaces, as
+    a model's answer of that round."""
     c = table(spark, sf_dir, "conversations")
-    last = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
     gen = F.concat(F.lit("  "), F.regexp_replace("text", "\n", "\n  \n "), F.lit("\n\n   \n"))
-    return last.select(F.col("conv_id").alias("transcript_id"), gen.alias("generated"))
+    return c.select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("round"), gen.alias("generated"))
 
 
 def fx_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

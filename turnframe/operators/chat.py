@@ -26,21 +26,39 @@ def _nonblank(arr: Column) -> Column:
     return F.filter(arr, lambda x: F.length(strip(x)) > 0)
 
 
-def context_lines(pieces: DataFrame, id_col: str = "transcript_id", seq_col: str = "seq",
-                  text_col: str = "text") -> DataFrame:
-    """Pieces -> ``(transcript_id, line_no, line)``: ``str.splitlines()``,
-    blank lines dropped, kept lines *not* stripped, ``line_no`` dense from 1
-    in (piece, position) order.  The in-piece rank comes from filtering the
-    line array; the offset of a piece is a running sum of line counts over
-    the (small) piece table."""
+def _piece_lines(pieces: DataFrame, id_col: str, seq_col: str, text_col: str) -> DataFrame:
+    """Pieces with their kept lines and how many there are."""
     p = with_once(pieces.select(F.col(id_col).alias("transcript_id"), F.col(seq_col).alias("seq"),
                                 F.col(text_col).alias("__text")),
                   "__parts", F.split(F.col("__text"), SPLITLINES_REGEX, -1))
     p = with_once(p.select("transcript_id", "seq", "__parts"), "lines",
                   _nonblank(drop_trailing_empty(F.col("__parts")))).drop("__parts")
-    p = p.withColumn("cnt", F.size("lines"))
+    return p.withColumn("cnt", F.size("lines"))
+
+
+def line_counts(pieces: DataFrame, id_col: str = "transcript_id", seq_col: str = "seq", text_col: str = "text") -> DataFrame:
+    """``(transcript_id, last)``: the number of context lines, counted in the
+    pieces without exploding them."""
+    return _piece_lines(pieces, id_col, seq_col, text_col).groupBy("transcript_id").agg(F.sum("cnt").alias("last"))
+
+
+def context_lines(pieces: DataFrame, id_col: str = "transcript_id", seq_col: str = "seq",
+                  text_col: str = "text", last: int | None = None) -> DataFrame:
+    """Pieces -> ``(transcript_id, line_no, line)``: ``str.splitlines()``,
+    blank lines dropped, kept lines *not* stripped, ``line_no`` dense from 1
+    in (piece, position) order.  The in-piece rank comes from filtering the
+    line array; the offset of a piece is a running sum of line counts over
+    the (small) piece table.  ``last`` keeps a transcript's last lines only:
+    its total is known from that table, so earlier lines are cut off before
+    the explode."""
+    p = _piece_lines(pieces, id_col, seq_col, text_col)
     p = running_before(p, ["transcript_id"], F.floor(F.col("seq") / F.lit(PIECE_BLOCK)), [F.col("seq")],
-                       F.col("cnt"), "offset", how="sum")
+                       F.col("cnt"), "offset", how="sum", total="n_lines" if last is not None else None)
+    if last is not None:
+        skip = F.greatest(F.lit(0), F.col("n_lines") - F.lit(last) - F.col("offset"))  # of this piece's lines
+        p = p.where(skip < F.col("cnt")).withColumn("skip", skip.cast("int"))
+        p = p.withColumn("lines", F.slice("lines", F.col("skip") + 1, F.col("cnt"))) \
+            .withColumn("offset", F.col("offset") + F.col("skip"))
     return p.select("transcript_id", "offset", F.posexplode("lines").alias("pos", "line")).select(
         "transcript_id", (F.col("offset") + F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
@@ -99,29 +117,33 @@ def tag_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
     return df.withColumn(line_col, tag_live_line(F.col(line_col))).where(F.col(line_col).isNotNull())
 
 
-def generated_lines(generated: DataFrame, lines: DataFrame, id_col: str = "transcript_id",
-                    text_col: str = "generated", round_col: str | None = None) -> DataFrame:
+def generated_lines(generated: DataFrame, lines: DataFrame | None = None, id_col: str = "transcript_id",
+                    text_col: str = "generated", round_col: str | None = None,
+                    counts: DataFrame | None = None) -> DataFrame:
     """F-22: generated text -> new context lines appended after each
     transcript's last line: ``str.splitlines()``, each stripped, blank ones
     dropped, numbered after the existing lines (and after earlier rounds
-    when ``round_col`` orders several generations per transcript)."""
+    when ``round_col`` orders several generations per transcript; without it
+    a transcript must have one).  The transcripts' lines come as ``lines``, or
+    only their number as ``counts`` (see ``line_counts``)."""
     new = F.filter(F.transform(split_lines(F.col(text_col)), lambda x: strip(x)), lambda x: F.length(x) > 0)
     g = generated.select(F.col(id_col).alias("transcript_id"),
                          (F.col(round_col) if round_col else F.lit(0)).alias("round"), new.alias("new"))
     g = g.withColumn("cnt", F.size("new"))
     g = running_before(g, ["transcript_id"], F.floor(F.col("round") / F.lit(PIECE_BLOCK)), [F.col("round")],
                        F.col("cnt"), "before", how="sum")
-    last = lines.groupBy("transcript_id").agg(F.max("line_no").alias("last"))
-    g = g.join(last, on="transcript_id", how="left")
+    if counts is None:
+        counts = lines.groupBy("transcript_id").agg(F.max("line_no").alias("last"))
+    g = g.join(counts, on="transcript_id", how="left")
     base = F.coalesce(F.col("last"), F.lit(0)) + F.col("before")
     return g.select("transcript_id", base.alias("base"), F.posexplode("new").alias("pos", "line")).select(
         "transcript_id", (F.col("base") + F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def transcript_tail(lines: DataFrame, k: int = C.DEFAULT_TAIL_LINES) -> DataFrame:
-    """W-8: the last ``k`` lines of every transcript, in order.  Line
-    numbers are dense, so this is a per-transcript maximum (a partial
-    aggregation) and a filter; no per-transcript sort."""
+    """W-8: the last ``k`` lines of every transcript, from its numbered
+    lines: a per-transcript maximum (a partial aggregation) and a filter.
+    From pieces, ``context_lines(pieces, last=k)`` needs no second read."""
     last = lines.groupBy("transcript_id").agg(F.max("line_no").alias("__last"))
     return (lines.join(last, on="transcript_id", how="inner")
             .where(F.col("line_no") > F.col("__last") - F.lit(k)).drop("__last"))

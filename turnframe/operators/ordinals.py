@@ -18,14 +18,16 @@ from ..session import materialize, partitions_for
 DEFAULT_BLOCK = 1 << 16
 
 def running_before(df: DataFrame, keys: list[str], block: Column, order: list[Column | str],
-                   value: Column, out: str, how: str = "sum", inclusive: bool = False) -> DataFrame:
+                   value: Column, out: str, how: str = "sum", inclusive: bool = False,
+                   total: str | None = None) -> DataFrame:
     """Add ``out`` = aggregate (``sum`` or ``max``)
     of ``value`` over the rows of the same ``keys`` that come before this
     row in ``order`` (and the row itself when ``inclusive``).
 
     ``block`` must be a monotone coarsening of ``order`` (for example
     ``line_no div 65536``) so that a block has a bounded number of rows.
-    Empty results are NULL for max and 0 for sum.
+    Empty results are NULL for max and 0 for sum.  ``total`` names a column
+    for the aggregate over all rows of the keys (from the block table, too).
 
     One shuffle of the rows (by key and block) for the in-block window;
     block totals are a partial aggregation of the same input (it is read
@@ -41,7 +43,10 @@ def running_before(df: DataFrame, keys: list[str], block: Column, order: list[Co
     totals = base.groupBy(*keys, blk).agg(agg(val).alias("__tot"))
     base = base.withColumn("__inc", agg(val).over(w_in))
     w_blk = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.withColumn("__carry", agg("__tot").over(w_blk)).drop("__tot")
+    carry = totals.withColumn("__carry", agg("__tot").over(w_blk))
+    if total:
+        carry = carry.withColumn(total, agg("__tot").over(Window.partitionBy(*keys)))
+    carry = carry.drop("__tot")
     joined = base.join(carry, on=[*keys, blk], how="left")
     if how == "max":
         mine = F.col("__inc") if inclusive else None
