@@ -241,13 +241,14 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
 
 def _code_order0(m: _Lanes, rows, rank, x, coder: _Encoder) -> None:
-    known = rank < m.ranks[rows]
-    top = m.ranks[rows]
-    tot = m.sums[rows, top]
-    r = np.where(known, rank, 0)
-    start = np.where(known, m.sums[rows, r], tot)
-    width = np.where(known, m.sums[rows, r + 1] - m.sums[rows, r], m.fresh[rows])
-    coder.put(rows, start.astype(_U), width.astype(_U), (tot + m.fresh[rows]).astype(_U))
+    top, fresh, flat = m.ranks.take(rows), m.fresh.take(rows), m.sums.reshape(-1)
+    known = rank < top
+    base = rows * m.sums.shape[1]
+    tot = flat.take(base + top)
+    at = base + np.minimum(rank, top)
+    start = np.where(known, flat.take(at), tot)
+    width = np.where(known, flat.take(at + known) - start, fresh)
+    coder.put(rows, start.astype(_U), width.astype(_U), (tot + fresh).astype(_U))
     new = rows[~known]
     if len(new):
         coder.put(new, x[~known].astype(_U), _U(1))
@@ -306,19 +307,21 @@ def decode_blocks(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 
 
 def _read_order0(m: _Lanes, rows, coder: _Decoder, by_rank) -> np.ndarray:
-    top = m.ranks[rows]
-    tot = m.sums[rows, top]
-    total = (tot + m.fresh[rows]).astype(_U)
+    top, fresh, flat = m.ranks.take(rows), m.fresh.take(rows), m.sums.reshape(-1)
+    base = rows * m.sums.shape[1]
+    tot = flat.take(base + top)
+    total = (tot + fresh).astype(_U)
     value = coder.peek(rows, total).astype(np.int64)
     known = value < tot
-    lo, hi = np.zeros(len(rows), np.int64), top.copy()
-    for _ in range(int(top.max()).bit_length()):
-        mid = (lo + hi + 1) >> 1
-        go = m.sums[rows, np.minimum(mid, top)] <= value
-        lo, hi = np.where(go & (mid <= top), mid, lo), np.where(go, hi, mid - 1)
-    lo = np.minimum(lo, np.maximum(top - 1, 0))
-    start = np.where(known, m.sums[rows, lo], tot)
-    width = np.where(known, m.sums[rows, lo + 1] - m.sums[rows, lo], m.fresh[rows])
+    # the last rank whose sum is not over the value; sums past the top do not grow
+    lo = np.zeros(len(rows), np.int64)
+    step = 1 << max(0, int(top.max()).bit_length() - 1)
+    while step:
+        at = lo + step
+        lo += step * ((at < top) & (flat.take(base + np.minimum(at, top)) <= value))
+        step >>= 1
+    start = np.where(known, flat.take(base + lo), tot)
+    width = np.where(known, flat.take(base + lo + 1) - start, fresh)
     coder.take(rows, start.astype(_U), width.astype(_U))
     x = by_rank[rows, lo].astype(np.int64)
     new = rows[~known]
