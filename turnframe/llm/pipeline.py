@@ -23,12 +23,26 @@ from .token_files import token_files
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+BROADCAST_IDS = 1_000_000
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own: operators name documents by
-    doc_id, and the ids of rows may be null or repeated."""
+    """The rows with a number of their own in ``row``, by which operators name
+    them: the doc_id, or, if ids are null or repeated, a number that is fixed
+    by writing the rows out."""
+    unsure = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if unsure.isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
     return materialize(docs.withColumn("row", F.monotonically_increasing_id()), "stage-input")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """A table of row numbers, sent to the tasks when it is counted to be
+    small, so that no text has to move."""
+    rows = materialize(rows, "stage-rows")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal quality model keeps.  It is trained on
     the labelled documents among the stage's input."""
@@ -40,13 +54,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near copies: the one of smallest id
     (null last), and of equal ids the first row."""
     keyed = _keyed(docs)
-    # rows in the order of their ids, so the smallest row number of a group is its smallest id
     numbered = near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text"))
     groups = numbered.join(keyed.select(F.col("row"), F.col("doc_id").alias("id")),
                            numbered["doc_id"] == F.col("row")).select("row", "id", "component_id")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
-    keep = materialize(first.select(F.col("first.row").alias("row")), "kept-rows")
-    return keyed.join(keep, "row", "left_semi").select(*COLUMNS)
+    return keyed.join(_few(first.select(F.col("first.row").alias("row"))), "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +66,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     keyed = _keyed(docs)
     found = find_contamination(keyed.select(F.col("row").alias("doc_id"), "text"),
                                spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = materialize(found.where("contaminated").select(F.col("doc_id").alias("row")), "contaminated")
-    return keyed.join(bad, "row", "left_anti").select(*COLUMNS)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("row"))
+    return keyed.join(_few(bad), "row", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +75,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     the sampled ones; the document a budget ends in goes in whole or not."""
     keyed = _keyed(docs)
     plan = mix_sources(keyed.select(F.col("row").alias("doc_id"), "text", "source"), boundary="nearest")
-    plan = plan.select(F.col("doc_id").alias("row"), "copies").where("copies > 0")
+    plan = _few(plan.select(F.col("doc_id").alias("row"), "copies").where("copies > 0"))
     return keyed.join(plan, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))) \
         .select(*COLUMNS)
 
