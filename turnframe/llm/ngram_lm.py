@@ -15,7 +15,8 @@ known at the word v, so a text's score is a sum of terms found word by word.
 2. Every piece deals its distinct (word before, word) pairs, with training
    counts and the documents they occur in, to shards by a hash of the word;
    pairs of very frequent words are dealt by both words.  A row is one piece's
-   part of one shard, with its codes as Elias-Fano sequences.
+   part of one shard, with its codes as Elias-Fano sequences.  One more row a
+   piece, its head, has the documents' ids and sizes and passes through.
 3. A shard merges the counts into its part of the trie (see ``eliasfano``)
    with quantised logarithms, and looks all its pairs up in it.  Sums by
    document go back to the pieces, which add them up.
@@ -42,7 +43,7 @@ from .text import PLAIN, U64, Words, mix, pieces
 MU = 500.0
 SHARD_TOKENS = 250_000
 HOT = 100_000
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 CODE_BITS = 48
 LEVELS = (1 << 16) - 1
 END, START = U64(0x1234567F9ABCDEF1), U64(0x0FEDCBA987654321)
@@ -135,7 +136,7 @@ def _deal(shared):
                 out_shard.append(int(w_shard[w0]))
             head = np.diff(first).astype("<i8").tobytes() + _ids(b.column(0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([-1] + out_shard, pa.int64()), pa.array([name] * (len(blobs) + 1), pa.int64()),
+                [pa.array([-1 - name % (1 << 30)] + out_shard, pa.int64()), pa.array([name] * (len(blobs) + 1), pa.int64()),
                  pa.array([head] + blobs, pa.binary())], names=["shard", "piece", "data"])
     return run
 
@@ -254,18 +255,23 @@ def _score(shared):
                         size += got.size
                 held = []
 
+        def rows(kind, found):
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([kind] * len(found), pa.int32()),
+                                               pa.array([v for _, v in found], pa.binary())], names=["piece", "kind", "data"])
+
         def flush():
             nonlocal size
             out = list(sums.items())
             sums.clear()
             size = 0
             for i in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out[i:i + 64]], pa.int64()),
-                                                  pa.array([_pack(v) for _, v in out[i:i + 64]], pa.binary())],
-                                                 names=["piece", "data"])
+                yield rows(1, [(k, _pack(v)) for k, v in out[i:i + 64]])
 
         for b in batches:
             for s, piece, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if s < 0:  # a piece's head goes on as it is
+                    yield rows(0, [(piece, data)])
+                    continue
                 if s != shard:
                     close()
                     shard = s
@@ -336,12 +342,11 @@ def score_texts(docs: DataFrame, train, mu: float = MU, shard_tokens: int = SHAR
     stats = {"hot": np.sort(hot_words), "hot_codes": (hot_words >> U64(64 - CODE_BITS))[by_code], "hot_n": hot_n[by_code],
              "shards": shards, "tokens": tokens, "z": tokens + 0.5 * (vocabulary + 1), "mu": mu, "docs": n_docs}
     shared = spark.sparkContext.broadcast(stats)
-    dealt = materialize(d.mapInArrow(_deal(shared), "shard long, piece long, data binary"), "pieces")
+    dealt = d.mapInArrow(_deal(shared), "shard long, piece long, data binary")
     parts = max(1, min(shards // 8, 100_000), spark.sparkContext.defaultParallelism)
-    sums = dealt.where("shard >= 0").repartition(parts, "shard").sortWithinPartitions("shard") \
-        .mapInArrow(_score(shared), "piece long, data binary").select("piece", F.lit(1).alias("kind"), "data")
-    heads = dealt.where("shard < 0").select("piece", F.lit(0).alias("kind"), "data")
-    back = heads.unionByName(sums).repartition("piece").sortWithinPartitions("piece", "kind")
+    scored = dealt.repartition(parts, "shard").sortWithinPartitions("shard") \
+        .mapInArrow(_score(shared), "piece long, kind int, data binary")
+    back = scored.repartition("piece").sortWithinPartitions("piece", "kind")
     out = back.mapInArrow(_collect(shared), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
