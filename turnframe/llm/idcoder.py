@@ -114,7 +114,8 @@ class _Encoder:
     def __init__(self, lanes: int, longest: int):
         self.low = np.zeros(lanes, _U)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-        self.words = np.zeros((lanes, 3 * longest + 4), np.uint32)
+        # an id takes under 64 bits: two chances of 10 bits at most, a rank and an even code of 16
+        self.words = np.zeros((lanes, 2 * longest + 4), np.uint32)
         self.n = np.zeros(lanes, np.int64)
 
     def put(self, rows, start, size, total=None, bits: int = 16) -> None:

@@ -41,8 +41,9 @@ from .text import pieces
 
 BLOCK_IDS = 2048
 LANES = 1024
+READ_LANES = 512  # a lane of the decoder also holds the ranks of all ids
 PART_BYTES = 32 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 END_ID = 2
 BLOCK_SCHEMA = ("part int, block long, start long, n_ids long, crc32 long, data binary, doc_ids array<long>, "
                 "doc_parts array<long>, doc_sizes array<long>, doc_ends array<boolean>")
@@ -151,7 +152,7 @@ def _write(shared, end_id, block_ids, lanes):
         encode = _encoder(shared.value)
         part = _PartWriter(TaskContext.get().partitionId(), block_ids)
         end = np.array([end_id], "<u2").tobytes()
-        for b in pieces(batches, 1, 1 << 20):
+        for b in pieces(batches, 1, 1 << 19):
             for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
                 part.add(doc_id, np.frombuffer(ids + end, "<u2"))
             if len(part.ready) >= lanes and (rows := part.rows()) is not None:
@@ -254,7 +255,7 @@ def _join_pieces(batches):
             names=["part", "start", "doc_id", "n", "crc", "ids"])
 
 
-def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False, lanes: int = LANES) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False, lanes: int = READ_LANES) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of every
     document in a folder of token files."""
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder)
