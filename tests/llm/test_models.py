@@ -70,6 +70,27 @@ def test_language_model(make_docs, shard_tokens):
         assert abs(r["score"] - full) < 2e-4 * len(t)
 
 
+def test_equal_pieces_are_scored_each(spark):
+    rng = random.Random(10)
+    texts = ["the " + words(rng, 30) + " the end", "the end of the end", "other words here"]
+    ids = [0, 0, 1, 0, 2]
+    rows = [texts[i] for i in ids]
+    one_row_parts = spark.sparkContext.parallelize(list(zip(ids, rows)), len(ids))
+    out = score_texts(spark.createDataFrame(one_row_parts, "doc_id long, text string"), F.lit(True)).collect()
+    tokens = [[*t.split(), None] for t in rows]
+    c1, c2 = Counter(x for t in tokens for x in t), Counter(x for t in tokens for x in zip(["<s>", *t], t))
+    n, z = sum(c1.values()), sum(c1.values()) + 0.5 * (len(c1) + 1)
+    assert sorted(r["doc_id"] for r in out) == sorted(ids)
+    for r in out:
+        t = [*texts[r["doc_id"]].split(), None]
+        base = sum(math.log10((c1[x] + 0.5) / z) for x in t)
+        full = sum(math.log10((c2[v, x] + MU * (c1[x] + 0.5) / z) / ((len(rows) if v == "<s>" else c1[v]) + MU))
+                   for v, x in zip(["<s>", *t], t))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), len(t), n)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9)
+        assert abs(r["score"] - full) < 2e-4 * len(t)
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(1)
     blocks = [np.zeros(0, int), np.array([65535]), rng.integers(0, 65536, 700), np.full(3000, 9), np.arange(2500) % 13,

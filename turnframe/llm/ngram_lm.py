@@ -19,7 +19,7 @@ known at the word v, so a text's score is a sum of terms found word by word.
    piece, its head, has the documents' ids and sizes and passes through.
 3. A shard merges the counts into its part of the trie (see ``eliasfano``)
    with quantised logarithms, and looks all its pairs up in it.  Sums by
-   document go back to the pieces, which add them up.
+   document go back to the pieces, which add them up; equal pieces share them.
 
 Words are known by 48 bits of a hash beside the shard's number, words before
 by 32 bits relative to their word.  Null and empty texts have one token, the
@@ -142,12 +142,14 @@ def _deal(shared):
 
 
 def hash_of(b: pa.RecordBatch) -> int:
-    """A number for a piece: from its ids and all its texts."""
+    """A number for a piece: from its ids and all its texts, so a task that
+    runs again gives it again, and equal pieces share it."""
     import xxhash
 
     x = xxhash.xxh3_64(_ids(b.column(0)))
-    for buf in b.column(1).cast(pa.large_string()).to_pylist():
-        x.update(b"\0" if buf is None else buf.encode())
+    for text in b.column(1).cast(pa.large_string()).to_pylist():
+        data = (text or "").encode()
+        x.update((-1 if text is None else len(data)).to_bytes(8, "little", signed=True) + data)
     return x.intdigest()
 
 
@@ -246,7 +248,7 @@ def _score(shared):
             nonlocal held, size
             if held:
                 trie, count, grid = build_shard(held, stats)
-                for b in held:
+                for b in {b.piece: b for b in held}.values():  # equal pieces have equal sums
                     got = np.stack(score_blob(b, trie, count, grid, stats))
                     if b.piece in sums:
                         sums[b.piece] += got
@@ -293,7 +295,7 @@ def _pack(v: np.ndarray) -> bytes:
 def _collect(shared):
     def run(batches):
         z, start = shared.value["z"], np.log10(shared.value["docs"] + shared.value["mu"])
-        piece, head, sums = None, None, None
+        piece, data_of, head, sums, copies = None, None, None, None, 0
 
         def rows():
             counts, ids, nulls = head
@@ -304,10 +306,16 @@ def _collect(shared):
 
         for b in batches:
             for p, kind, data in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if p != piece or kind == 0:
-                    if piece is not None:
+                if p == piece and kind == 0:  # equal pieces: heads come before sums
+                    if data != data_of:
+                        raise ValueError("different pieces of one name")
+                    copies += 1
+                    continue
+                if p != piece:
+                    for _ in range(copies):
                         yield rows()
                     n = len(data) // 17
+                    data_of, copies = data, 1
                     head = (np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n, 8 * n),
                             np.frombuffer(data, np.uint8, n, 16 * n).astype(bool))
                     piece, sums = p, np.zeros((3, n))
@@ -319,7 +327,7 @@ def _collect(shared):
                 sums[0, at] += np.frombuffer(data, "<f8", m, 8 + 4 * m)
                 sums[1, at] += np.frombuffer(data, "<u4", m, 8 + 12 * m)
                 sums[2, at] += np.frombuffer(data, "<f8", m, 8 + 16 * m)
-        if piece is not None:
+        for _ in range(copies):
             yield rows()
     return run
 
