@@ -118,6 +118,28 @@ def test_repeats(make_docs):
     assert out[2]["spans"] == [0, 55] and sum(e[1] for e in expect) > 500
 
 
+def test_repeats_of_repeated_ids(spark):
+    rng = random.Random(11)
+    a, b, c = words(rng, 30), words(rng, 20), words(rng, 25)
+    rows = [(1, a), (2, words(rng, 40) + " " + a + " " + words(rng, 9)), (3, b), (4, c), (7, a), (7, words(rng, 18)),
+            (5, words(rng, 60) + " " + b), (5, b + " " + words(rng, 3)), (5, words(rng, 14)), (5, c + " " + c), (None, a), (None, b),
+            (2, words(rng, 40) + " " + a + " " + words(rng, 9)), (6, words(rng, 5) + " " + c), (9, words(rng, 50) + " " + words(rng, 15))]
+    rows += [rows[1], rows[6], (8, rows[14][1].split(" ", 20)[20])]
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 12 if i is not None else 0):
+            first[tuple(w[k:k + 13])] = min(i, first.get(tuple(w[k:k + 13]), i))
+    expect = []
+    for i, t in rows:
+        w = t.split()
+        gone = {p for k in range(len(w) - 12 if i is not None else 0) if first[tuple(w[k:k + 13])] < i for p in range(k, k + 13)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        expect.append((i or 0, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    out = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == sorted(expect)
+
+
 @pytest.mark.parametrize("block_words", [2_000_000, 60])
 def test_contamination(spark, make_docs, block_words):
     rng = random.Random(6)

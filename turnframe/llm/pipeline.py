@@ -17,7 +17,7 @@ from .decontaminate import find_contamination
 from .jaccard_join import near_duplicates
 from .mixing import mix_sources
 from .quality_model import keep_good, train
-from .staging import materialize
+from .staging import keyed as name_rows, materialize
 from .token_files import token_files
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,16 +26,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BROADCAST_IDS = 1_000_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own in ``row``, by which operators name
-    them: the doc_id, or, if ids are null or repeated, a number that is fixed
-    by writing the rows out."""
-    unsure = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
-    if unsure.isEmpty():
-        return docs.withColumn("row", F.col("doc_id").cast("long"))
-    return materialize(docs.withColumn("row", F.monotonically_increasing_id()), "stage-input")
-
-
 def _few(rows: DataFrame) -> DataFrame:
     """A table of row numbers, sent to the tasks when it is counted to be
     small, so that no text has to move."""
@@ -53,7 +43,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of smallest id
     (null last), and of equal ids the first row."""
-    keyed = _keyed(docs)
+    keyed, _ = name_rows(docs)
     numbered = near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text"))
     groups = numbered.join(keyed.select(F.col("row"), F.col("doc_id").alias("id")),
                            numbered["doc_id"] == F.col("row")).select("row", "id", "component_id")
@@ -63,7 +53,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    keyed = _keyed(docs)
+    keyed, _ = name_rows(docs)
     found = find_contamination(keyed.select(F.col("row").alias("doc_id"), "text"),
                                spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.where("contaminated").select(F.col("doc_id").alias("row"))
@@ -73,7 +63,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole epochs first, then
     the sampled ones; the document a budget ends in goes in whole or not."""
-    keyed = _keyed(docs)
+    keyed, _ = name_rows(docs)
     plan = mix_sources(keyed.select(F.col("row").alias("doc_id"), "text", "source"), boundary="nearest")
     plan = _few(plan.select(F.col("doc_id").alias("row"), "copies").where("copies > 0"))
     return keyed.join(plan, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))) \

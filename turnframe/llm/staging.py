@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, clear_staged, materialize
 
-__all__ = ["checkpoint_root", "clear_staged", "materialize", "word_count", "held_out_hash"]
+__all__ = ["checkpoint_root", "clear_staged", "materialize", "word_count", "held_out_hash", "keyed"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,6 +22,16 @@ def held_out_hash(doc_id: Column, buckets: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % buckets
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows with a number of their own in ``row``, by which operators name
+    them, and whether it is the doc_id.  If ids are null or repeated it is
+    not, but a number that is fixed by writing the rows out."""
+    unsure = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if unsure.isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long")), True
+    return materialize(docs.withColumn("row", F.monotonically_increasing_id()), "stage-input"), False
+
+
 def texts(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, ids as long and texts as string."""
     kind = {"doc_id": "long", "item_id": "long", "page_id": "long"}

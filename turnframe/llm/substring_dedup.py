@@ -21,7 +21,9 @@ settled there, and one row a task goes on, so a passage of very many documents
 never gathers in one place.  Fingerprints are of 64 bits and more.
 
 Null and empty texts have no words.  Rows with a null id are kept whole and
-remove nothing; repeated rows with one id do not remove each other's words.
+remove nothing; rows with one id do not remove each other's words.  Where ids
+repeat, rows are named by a number of their own and the id only tells which
+occurrence is earlier.
 Documents of any length are taken whole; an empty table gives an empty result.
 """
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import materialize, texts
+from .staging import keyed, materialize, texts
 from .text import U64, Words, cover, mix, pieces, window_starts, windows
 
 WINDOW = 13
@@ -48,10 +50,13 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 def _summary(batches):
     for b in batches:
-        words = [t.encode().split() if t else [] for t in b.column(1).to_pylist()]
-        sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(sha)],
-                                         names=["doc_id", "n_words", "sha"])
+        n_words, sha = [], []
+        for text in b.column(1):  # the words of one text at a time
+            words = (text.as_py() or "").encode().split()
+            n_words.append(len(words))
+            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_words, pa.int64()), pa.array(sha, pa.string())],
+                                         names=["row", "doc_id", "n_words", "sha"])
 
 
 def _sliding(x: np.ndarray, k: int, op) -> np.ndarray:
@@ -157,7 +162,7 @@ def _shared_prefixes(batches):
         told = np.isin(key, np.unique(key[pos == ANNOUNCE]))
         give = (pos < 0) | ((shared | told) & (pos != ANNOUNCE))
         pos = np.where(pos < 0, -1 - pos, pos)[give]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[give]), pa.array(pos.astype(np.int32))], names=["doc_id", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[give]), pa.array(pos.astype(np.int32))], names=["row", "pos"])
 
 
 def path_codes(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -171,10 +176,11 @@ def path_codes(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return code, whole
 
 
-def _suffix_rows(window):
+def _suffix_rows(window, row_is_id):
     def run(batches):
         for b in pieces(batches, 1, PIECE_BYTES):
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            names = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = names if row_is_id else b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             w = Words(b.column(1))
             n = len(w)
             h = w.hashes()
@@ -192,14 +198,16 @@ def _suffix_rows(window):
             doc, pos = ids[doc_at], (i - w.first[doc_at])
             order = np.lexsort((doc, whole[i]))
             i, doc, pos, doc_at = i[order], doc[order], pos[order], doc_at[order]
+            row = names[doc_at]
             edge, _ = _groups(whole[i], doc)
             lowest = doc[np.flatnonzero(edge)][np.cumsum(edge) - 1] if len(doc) else doc
             lost = doc > lowest
             go = ~lost
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code[i][go].view(np.int64)), pa.array(whole[i][go].view(np.int64)), pa.array(doc[go]),
-                 pa.array(pos[go].astype(np.int32)), pa.nulls(int(go.sum()), pa.list_(pa.int32()))], names=_SUFFIX)
-            # windows settled in this task: one row a document
+                [pa.array(code[i][go].view(np.int64)), pa.array(whole[i][go].view(np.int64)), pa.array(row[go]),
+                 pa.array(pos[go].astype(np.int32)), pa.nulls(int(go.sum()), pa.list_(pa.int32())),
+                 pa.nulls(int(go.sum()), pa.int64()) if row_is_id else pa.array(doc[go])], names=_SUFFIX)
+            # windows settled in this task: one line for each row of the table
             at = np.flatnonzero(lost)
             if len(at):
                 at = at[np.lexsort((pos[at], doc_at[at]))]
@@ -207,22 +215,24 @@ def _suffix_rows(window):
                 offsets = np.append(start, len(at)).astype(np.int32)
                 m = len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(ids[rows]), pa.nulls(m, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[at].astype(np.int32)))], names=_SUFFIX)
+                    [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(names[rows]), pa.nulls(m, pa.int32()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[at].astype(np.int32))), pa.nulls(m, pa.int64())],
+                    names=_SUFFIX)
     return run
 
 
-_SUFFIX = ["code", "path", "doc_id", "pos", "lost"]
+_SUFFIX = ["code", "path", "row", "pos", "lost", "doc_id"]  # no doc_id where it is the row
 
 
 def _lost_leaves(batches):
     """Suffixes below a deep node whose document is not the node's smallest."""
     for b in _whole_groups(batches, 2):
-        code, path, doc, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        code, path, row, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        doc = b.column(4).to_numpy(zero_copy_only=False) if b.num_columns > 4 else row
         edge = np.ones(len(code), bool)
         edge[1:] = (code[1:] != code[:-1]) | (path[1:] != path[:-1])
         lost = doc > doc[np.flatnonzero(edge)][np.cumsum(edge) - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[lost]), pa.array(pos[lost])], names=["doc_id", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(row[lost]), pa.array(pos[lost])], names=["row", "pos"])
 
 
 def _cut(window, with_text):
@@ -239,7 +249,7 @@ def _cut(window, with_text):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()),
                  pa.array([r[2] for r in out], pa.string()), pa.array([r[3] for r in out], pa.list_(pa.int32()))],
-                names=["doc_id", "n_removed", "kept_sha256", "kept_text", "spans"])
+                names=["row", "n_removed", "kept_sha256", "kept_text", "spans"])
     return run
 
 
@@ -250,37 +260,39 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     if window != WINDOW and window <= PREFIX:
         raise ValueError(f"window must be over {PREFIX} words")
     spark = docs.sparkSession
-    d = texts(docs, "doc_id", "text")
-    summary = materialize(d.mapInArrow(_summary, "doc_id long, n_words long, sha string"), "summary")
+    d, row_is_id = keyed(texts(docs, "doc_id", "text"))
+    d = d.select("row", "text", "doc_id")
+    summary = materialize(d.mapInArrow(_summary, "row long, doc_id long, n_words long, sha string"), "summary")
     first = summary.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     copies = materialize(summary.where(F.col("n_words") >= window)
-                         .join(first.where("n > 1"), "sha").where("doc_id > first_id").select("doc_id").distinct(), "copies")
+                         .join(first.where("n > 1"), "sha").where("doc_id > first_id").select("row"), "copies")
     known = d.where("doc_id is not null")
     shared = None
     if copies.count() <= BROADCAST_IDS:
         shared = spark.sparkContext.broadcast(np.sort(copies.toArrow().column(0).to_numpy().astype(np.int64)))
         firsts = known
     else:
-        firsts = known.join(copies, "doc_id", "left_anti")
-    rows = firsts.mapInArrow(_prefix_rows(shared), "key long, doc long, pos int")
-    places = rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_shared_prefixes, "doc_id long, pos int")
-    places = materialize(places.groupBy("doc_id").agg(F.collect_list("pos").alias("places")), "places")
-    suffixes = _with(known, places).select("doc_id", "text", "places") \
-        .mapInArrow(_suffix_rows(window), "code long, path long, doc_id long, pos int, lost array<int>")
+        firsts = known.join(copies, "row", "left_anti")
+    rows = firsts.select("row", "text").mapInArrow(_prefix_rows(shared), "key long, doc long, pos int")
+    places = rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_shared_prefixes, "row long, pos int")
+    places = materialize(places.groupBy("row").agg(F.collect_list("pos").alias("places")), "places")
+    own_id = [] if row_is_id else ["doc_id"]
+    suffixes = _with(known, places).select("row", "text", "places", *own_id) \
+        .mapInArrow(_suffix_rows(window, row_is_id), "code long, path long, row long, pos int, lost array<int>, doc_id long")
     suffixes = materialize(suffixes, "suffixes")
     tree = suffixes.where("code is not null")
     parts = max(1, -(-tree.count() // GROUP_ROWS), spark.sparkContext.defaultParallelism)
-    leaves = tree.select("code", "path", "doc_id", "pos").repartitionByRange(parts, "code", "path") \
-        .sortWithinPartitions("code", "path", "doc_id").mapInArrow(_lost_leaves, "doc_id long, pos int")
-    one = leaves.groupBy("doc_id").agg(F.collect_list("pos").alias("one"))
-    more = suffixes.where("lost is not null").groupBy("doc_id").agg(F.collect_list("lost").alias("more"))
-    lost = materialize(one.join(more, "doc_id", "full").select(
-        "doc_id", F.coalesce("one", F.array().cast("array<int>")).alias("one"),
+    leaves = tree.select("code", "path", "row", "pos", *own_id).repartitionByRange(parts, "code", "path") \
+        .sortWithinPartitions("code", "path", *(own_id or ["row"])).mapInArrow(_lost_leaves, "row long, pos int")
+    one = leaves.groupBy("row").agg(F.collect_list("pos").alias("one"))
+    more = suffixes.where("lost is not null").groupBy("row").agg(F.collect_list("lost").alias("more"))
+    lost = materialize(one.join(more, "row", "full").select(
+        "row", F.coalesce("one", F.array().cast("array<int>")).alias("one"),
         F.coalesce("more", F.array().cast("array<array<int>>")).alias("more")), "lost")
-    cut = _with(known, lost).select("doc_id", "text", "one", "more") \
-        .mapInArrow(_cut(window, with_text), "doc_id long, n_removed long, kept_sha256 string, kept_text string, spans array<int>")
-    whole = copies.join(lost.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(True).alias("copy"))
-    out = summary.join(cut, "doc_id", "left").join(whole, "doc_id", "left")
+    cut = _with(known, lost).select("row", "text", "one", "more") \
+        .mapInArrow(_cut(window, with_text), "row long, n_removed long, kept_sha256 string, kept_text string, spans array<int>")
+    whole = copies.join(lost.select("row"), "row", "left_anti").select("row", F.lit(True).alias("copy"))
+    out = summary.join(cut, "row", "left").join(whole, "row", "left")
     copy = F.coalesce("copy", F.lit(False))
     return out.select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
@@ -291,12 +303,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
 
 
 def _with(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents joined with what was found about them; the ids alone go to
-    the scan first when they are known to be few, so only those texts move."""
-    ids = found.select("doc_id")
+    """Documents joined with what was found about them; the row numbers alone
+    go to the scan first when they are known to be few, so only those texts
+    move."""
+    rows = found.select("row")
     if found.count() <= BROADCAST_IDS:
-        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return docs.join(found, "doc_id")
+        docs = docs.join(F.broadcast(rows), "row", "left_semi")
+    return docs.join(found, "row")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
