@@ -140,6 +140,22 @@ def test_repeats_of_repeated_ids(spark):
     assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == sorted(expect)
 
 
+@pytest.mark.parametrize("window", [8, 12, 16])
+def test_repeats_of_other_windows(make_docs, window):
+    rng = random.Random(12)
+    passages = [words(rng, n) for n in range(6, 22)]
+    texts = passages + [words(rng, rng.randrange(20)) + " " + p + " " + words(rng, rng.randrange(20)) for p in passages for _ in range(2)]
+    first, expect = {}, []
+    for i, t in enumerate(texts):
+        w, gone = t.split(), set()
+        for k in range(len(w) - window + 1):
+            if first.setdefault(tuple(w[k:k + window]), i) < i:
+                gone |= set(range(k, k + window))
+        expect.append((len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    out = {r["doc_id"]: r for r in remove_repeats(make_docs(texts), window=window).collect()}
+    assert [(out[i]["n_words"], out[i]["n_removed"], out[i]["kept_sha256"]) for i in range(len(texts))] == expect
+
+
 @pytest.mark.parametrize("block_words", [2_000_000, 60])
 def test_contamination(spark, make_docs, block_words):
     rng = random.Random(6)

@@ -1,19 +1,21 @@
 """Removal of word passages that an earlier document already has.
 
-The index is a sparse suffix tree over words, cut into parts by prefix.
+The index is a sparse set of word suffixes, cut into parts by prefix.  It
+stands for the deep nodes of a suffix tree; no tree is built and suffixes are
+not sorted by their words: windows are grouped by fingerprints.
 
 1. Documents equal word for word to one with a smaller id are settled at once.
 2. Sampling: among the ``PREFIX``-word prefixes that begin inside a window of
    ``WINDOW`` words, the one of smallest hash is sampled.  Equal windows sample
    equal prefixes, so a suffix whose sampled prefixes are in no second document
-   hangs alone in the tree and is left out of it.
+   would hang alone in the tree and is left out.
 3. Suffixes that are left get a path code, whose leading bits are the
-   fingerprints of their first 4, then 8, then all 13 words, so sorting by code
-   is the order of a tree.  Range partitioning of the codes cuts the tree at
-   prefixes of varying length into parts of about ``GROUP_ROWS`` suffixes.
-4. Each part is read in order; suffixes with one path of 13 words are the
-   leaves below a deep internal node.  The node's smallest document keeps its
-   window, all others lose theirs.  The union of a document's lost windows are
+   fingerprints of their first 4, then 8, then all 13 words, so suffixes of one
+   beginning lie together.  Range partitioning cuts the codes into parts of
+   about ``GROUP_ROWS`` suffixes, at bounds on the fingerprints' bits.
+4. Each part is read in order; suffixes with one path of 13 words are those
+   below a node of that depth.  The smallest document keeps its window, all
+   others lose theirs.  The union of a document's lost windows are
    its maximal repeated spans.
 
 Within a task, occurrences of a prefix or window in several documents are
@@ -85,7 +87,7 @@ def sampled_prefixes(h: np.ndarray, first: np.ndarray, window: int = WINDOW, pre
     return at, grams[at]
 
 
-def _prefix_rows(gone):
+def _prefix_rows(gone, window):
     def run(batches):
         copies = gone.value if gone is not None else None
         for b in pieces(batches, 1, PIECE_BYTES):
@@ -96,7 +98,7 @@ def _prefix_rows(gone):
             if not b.num_rows:
                 continue
             w = Words(b.column(1))
-            at, g = sampled_prefixes(w.hashes(), w.first)
+            at, g = sampled_prefixes(w.hashes(), w.first, window)
             of = w.doc_of()[at]
             pos, doc = (at - w.first[of]).astype(np.int64), ids[of]
             order = np.lexsort((doc, g))
@@ -273,7 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         firsts = known
     else:
         firsts = known.join(copies, "row", "left_anti")
-    rows = firsts.select("row", "text").mapInArrow(_prefix_rows(shared), "key long, doc long, pos int")
+    rows = firsts.select("row", "text").mapInArrow(_prefix_rows(shared, window), "key long, doc long, pos int")
     places = rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_shared_prefixes, "row long, pos int")
     places = materialize(places.groupBy("row").agg(F.collect_list("pos").alias("places")), "places")
     own_id = [] if row_is_id else ["doc_id"]
