@@ -55,6 +55,26 @@ def test_similar_sets(make_docs, group):
     assert [out[i]["n_shingles"] for i in range(len(texts))] == sizes
 
 
+def test_similar_sets_of_repeated_ids(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(12):
+        a, b = words(rng, 40), words(rng, 60)
+        rows += [(i, a), (i, b), (100 + i, a + " " + words(rng, 2)), (200 + i, b + " " + words(rng, 2)), (100 + i, words(rng, 30))]
+    alone = words(rng, 50)
+    rows += [(None, alone), (None, alone), (300, alone + " more"), (None, words(rng, 20)), (None, None), (None, "new " + alone)]
+    low = [(x is None, x or 0) for x, _ in rows]
+    grams = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in ((t or "").split() for _, t in rows)]
+    links = [(i, j) for i, x in enumerate(grams) for j in range(i) if x and 100 * len(x & grams[j]) >= 80 * len(x | grams[j])]
+    for _ in rows:
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    out = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    key = lambda x: (x is None, x or 0)
+    assert sorted((key(r["doc_id"]), r["n_shingles"], key(r["component_id"])) for r in out) == \
+        sorted((key(x), len(g), c) for (x, _), g, c in zip(rows, grams, low))
+
+
 def test_signatures_meet_unless_out_of_slack():
     rng = np.random.default_rng(4)
     for n in (5, 7, 12, 30, 100, 600):
