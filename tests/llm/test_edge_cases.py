@@ -61,7 +61,7 @@ def test_defined_results(spark, odd_docs):
     assert found[11]["n_hit"] == 200 and found[11]["items"] == [] and found[3]["n_words"] == 0
     near = {r["doc_id"]: r for r in near_duplicates(odd_docs).collect()}
     assert near[3]["n_shingles"] == near[4]["n_shingles"] == near[5]["n_shingles"] == 0
-    assert near[2]["component_id"] == 1 and near[13]["component_id"] == 13 and near[6]["n_shingles"] == 1
+    assert near[2]["component_id"] == 1 and near[13]["component_id"] == 1 and near[6]["n_shingles"] == 1
     gone = remove_repeats(odd_docs).collect()
     assert all(r["n_removed"] == 0 for r in gone if r["doc_id"] in (None, 1, 13))
     assert all((r["n_removed"], r["kept_sha256"]) == (80, EMPTY_SHA) for r in gone if r["doc_id"] == 2)

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by universe partition and the pigeonhole principle.
 
-A document's set is its distinct 5-word shingles.  Equal sets are one class
+A document's set is its distinct 5-word shingles, the letters A-Z lower-cased.  Equal sets are one class
 first, so copies are never compared.  For two sets of sizes a <= b with
 similarity of at least s/100 the symmetric difference is at most
 D = (a + b) (100 - s) / (100 + s).
@@ -114,7 +114,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 def _class_rows(k):
     def run(batches):
         for b in pieces(batches, 1):
-            doc, gram = shingle_sets(Words(b.column(1)), k)
+            doc, gram = shingle_sets(Words(b.column(1), lower=True), k)
             size, key = _set_keys(doc, gram, b.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(size.astype(np.int64)), pa.array(key),
@@ -225,7 +225,7 @@ def _signature_rows(copies, k, similar):
     def run(batches):
         gone = copies.value if copies is not None else None
         for b in pieces(batches, 1):
-            doc, gram = shingle_sets(Words(b.column(1)), k)
+            doc, gram = shingle_sets(Words(b.column(1), lower=True), k)
             size, key = _set_keys(doc, gram, b.num_rows)
             if gone is not None and len(gone):
                 rows = b.column(0).to_numpy(zero_copy_only=False)
@@ -298,7 +298,7 @@ def _shared_groups(batches):
 
 def word_set(text: str | None, k: int = SHINGLE) -> set[tuple[bytes, ...]]:
     """The shingles themselves."""
-    w = (text or "").encode().split()
+    w = (text or "").encode().lower().split()
     if len(w) < k:
         return {tuple(w)} if w else set()
     return set(zip(*(w[i:] for i in range(k))))
@@ -385,7 +385,7 @@ class _Join:
 
         def explode(batches):
             for b in pieces(batches, 1):
-                doc, gram = shingle_sets(Words(b.column(1)), k)
+                doc, gram = shingle_sets(Words(b.column(1), lower=True), k)
                 cls = b.column(0).to_numpy(zero_copy_only=False)
                 n = b.column(2).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(cls[doc]), pa.array(gram.view(np.int64)), pa.array(n[doc])],

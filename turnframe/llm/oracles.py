@@ -89,7 +89,8 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM w LEFT JOIN k ON k.rid = w.rid"""
 
 JACCARD = f"""
-WITH RECURSIVE {DOCS},
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, * FROM documents),
+  w AS (SELECT rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PLAIN}') AS ws FROM d),
   s AS (SELECT DISTINCT rid, doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS g
         FROM (SELECT rid, doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0) x),
   n AS (SELECT rid, doc_id, count(*) AS n FROM s GROUP BY rid, doc_id),
