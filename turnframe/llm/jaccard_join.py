@@ -54,6 +54,7 @@ SIMILAR = 80
 GROUP = 24
 HEAD_ROW = 64
 BROADCAST_IDS = 1_000_000
+SET_BYTES = 1 << 20
 FIRST_LEVEL = 4
 STEP = 1.5
 LOW_SIZE = 0.6
@@ -113,7 +114,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 def _class_rows(k):
     def run(batches):
-        for b in pieces(batches, 1):
+        for b in pieces(batches, 1, SET_BYTES):
             doc, gram = shingle_sets(Words(b.column(1), lower=True), k)
             size, key = _set_keys(doc, gram, b.num_rows)
             yield pa.RecordBatch.from_arrays(
@@ -173,12 +174,12 @@ def allocation(top: int, similar: int) -> tuple[int, int, int]:
 
 
 def signatures(doc: np.ndarray, gram: np.ndarray, size: np.ndarray, similar: int = SIMILAR):
-    """Arrays (signature, document index, slack left).  The two low bits of a
-    signature are its level's parity and whether its segment counts twice.
-    Documents with less than no slack left have one row with signature 0."""
-    out = []
+    """Arrays (signature, document index, slack left), level by level.  The
+    two low bits of a signature are its level's parity and whether its segment
+    counts twice.  Documents with less than no slack left have one row with
+    signature 0."""
     if not len(size) or not size.max():
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return
     tops = level_tops(int(size.max()) * 100 // similar + 1, similar)
     for level, top in enumerate(tops):
         bottom = tops[level - 1] + 1 if level else 1
@@ -213,18 +214,15 @@ def signatures(doc: np.ndarray, gram: np.ndarray, size: np.ndarray, similar: int
         drop = np.flatnonzero(twice[seg] & (count[cell] > 1))
         for sums, cells in ((total[full], full), (total[cell[drop]] - element[drop], cell[drop])):
             of = cells // m
-            out.append((sig(sums, cells), docs[of], left[of]))
+            yield sig(sums, cells), docs[of], left[of]
         gone = np.flatnonzero(left < 0)
-        out.append((np.zeros(len(gone), U64), docs[gone], left[gone]))
-    if not out:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return tuple(np.concatenate(c) for c in zip(*out))
+        yield np.zeros(len(gone), U64), docs[gone], left[gone]
 
 
 def _signature_rows(copies, k, similar):
     def run(batches):
         gone = copies.value if copies is not None else None
-        for b in pieces(batches, 1):
+        for b in pieces(batches, 1, SET_BYTES):
             doc, gram = shingle_sets(Words(b.column(1), lower=True), k)
             size, key = _set_keys(doc, gram, b.num_rows)
             if gone is not None and len(gone):
@@ -233,12 +231,12 @@ def _signature_rows(copies, k, similar):
                 size = np.where(copy, 0, size)
                 keep = ~copy[doc]
                 doc, gram = doc[keep], gram[keep]
-            sig, of, left = signatures(doc, gram, size, similar)
-            cls = key[of]
-            # a document out of slack is marked by a row of its own, dealt by its class
-            sig = np.where(sig == 0, cls, sig.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cls), pa.array(left)],
-                                             names=["sig", "class", "left"])
+            for sig, of, left in signatures(doc, gram, size, similar):
+                cls = key[of]
+                # a document out of slack is marked by a row of its own, dealt by its class
+                sig = np.where(sig == 0, cls, sig.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cls), pa.array(left)],
+                                                 names=["sig", "class", "left"])
     return run
 
 
@@ -384,7 +382,7 @@ class _Join:
         k = self.k
 
         def explode(batches):
-            for b in pieces(batches, 1):
+            for b in pieces(batches, 1, SET_BYTES):
                 doc, gram = shingle_sets(Words(b.column(1), lower=True), k)
                 cls = b.column(0).to_numpy(zero_copy_only=False)
                 n = b.column(2).to_numpy(zero_copy_only=False)

@@ -101,10 +101,69 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, * FROM documents),
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m.low, w.doc_id)) AS component_id
 FROM w LEFT JOIN n ON n.rid = w.rid LEFT JOIN m ON m.rid = w.rid"""
 
+_NEAREST = """SELECT v.rid, v.part, v.x, min(struct_pack(d := list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))), e := c.entry)) AS m
+        FROM v JOIN {book} c ON c.part = v.part GROUP BY v.rid, v.part, v.x"""
+_MEANS = """SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM {book} c LEFT JOIN (
+          SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+            SELECT part, entry, i, sum(y) AS s, count(*) AS n FROM (
+              SELECT part, m.e AS entry, unnest(range(len(x))) AS i, unnest(x) AS y FROM {near}) u GROUP BY part, entry, i) t
+          GROUP BY part, entry) n ON n.part = c.part AND n.entry = c.entry"""
+
+VECTOR_CODES = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * x) AS BIGINT)) AS f
+       FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  v AS MATERIALIZED (SELECT rid, part, f[part * (len(f) // 16) + 1:(part + 1) * (len(f) // 16)] AS x
+       FROM (SELECT rid, f, unnest(range(16)) AS part FROM k) u),
+  c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM v WHERE rid <= 64),
+  n0 AS MATERIALIZED ({_NEAREST.format(book='c0')}),
+  c1 AS MATERIALIZED ({_MEANS.format(book='c0', near='n0')}),
+  n1 AS MATERIALIZED ({_NEAREST.format(book='c1')}),
+  c2 AS MATERIALIZED ({_MEANS.format(book='c1', near='n1')}),
+  n2 AS MATERIALIZED ({_NEAREST.format(book='c2')}),
+  r AS (SELECT rid, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM n2 GROUP BY rid),
+  h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM r JOIN k ON k.rid = r.rid, h"""
+
+PHRASES = f"""
+WITH q AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+  z AS MATERIALIZED (SELECT row_number() OVER () AS rid, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
+       FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM q) x),
+  s AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM z GROUP BY lang),
+  g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+        FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM z, range(1, 6) r(k) WHERE len(ws) >= k) y),
+  f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+  c AS (SELECT lang, phrase, ws, a, unnest(generate_series(1, k - 1)) AS cut FROM f WHERE k >= 2),
+  m AS (SELECT c.lang, c.phrase, c.a, min(struct_pack(score := (1000 * c.a * s.n) // (x.a * y.a), cut := cut, l := x.a, r := y.a)) AS b, any_value(s.n) AS n
+        FROM c JOIN s ON s.lang = c.lang JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:cut], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:], ' ') GROUP BY c.lang, c.phrase, c.a),
+  p AS (SELECT lang, a, array_to_string(ws[i:i + w - 1], ' ') AS part
+        FROM (SELECT lang, a, ws, w, unnest(generate_series(1, len(ws) - w + 1)) AS i FROM f, range(2, 5) r(w) WHERE len(ws) > w) y),
+  o AS (SELECT lang, part, max(a) AS a FROM p GROUP BY lang, part),
+  k AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY b.score DESC, m.a DESC, m.phrase) AS rank
+        FROM m LEFT JOIN o ON o.lang = m.lang AND o.part = m.phrase WHERE o.a IS NULL OR 100 * o.a < 100 * m.a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(b.l AS BIGINT) AS l, CAST(b.r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(b.score AS BIGINT) AS score FROM k WHERE rank <= 2000"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+  g AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x,
+          row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS nth,
+          first_value(page_id) OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS top FROM p),
+  d AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS v FROM g)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((v[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN top END AS refers_to FROM d"""
+
 ORACLES = {
     "op2_shingle_jaccard_join": JACCARD,
     "op4_host_quality_rules": QUALITY_RULES,
     "op5_wu_manber_decontamination": DECONTAMINATION,
     "op7_mix_sources": MIX,
     "op9_sparse_suffix_dedup": REPEATS,
+    "op11_phrase_mining": PHRASES,
+    "op12_vector_codes": VECTOR_CODES,
+    "op13_warc_packages": WARC,
 }

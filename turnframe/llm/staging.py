@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, clear_staged, materialize
 
-__all__ = ["checkpoint_root", "clear_staged", "materialize", "word_count", "held_out_hash", "keyed"]
+__all__ = ["checkpoint_root", "clear_staged", "materialize", "word_count", "held_out_hash", "keyed", "join_groups"]
 
+BROADCAST_GROUPS = 1_000_000
+HOT_SHARE = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -36,3 +38,25 @@ def texts(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, ids as long and texts as string."""
     kind = {"doc_id": "long", "item_id": "long", "page_id": "long"}
     return df.select(*[F.col(f"`{n}`").cast(kind.get(n, "string")).alias(n) for n in names])
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Rows with the columns of their group (nulls match), without ``size``,
+    the number of rows of a group.
+
+    Groups that are counted to be few go to the tasks.  Of more groups, only
+    those with at least one of every ``HOT_SHARE`` rows do (so at most that
+    many groups), and the rows of the others are shuffled: no task gets the
+    rows of a hot group."""
+    def matched(left, right, how="inner"):
+        names = [c for c in right.columns if c not in (key, size)]
+        right = right.select(F.col(key).alias("__key"), *names)
+        return left.join(right, left[key].eqNullSafe(right["__key"]), how).drop("__key")
+
+    if groups.count() <= BROADCAST_GROUPS:
+        return matched(rows, F.broadcast(groups))
+    total = groups.agg(F.sum(size)).first()[0]
+    big = F.col(size) * HOT_SHARE >= total
+    hot = materialize(groups.where(big), "hot-groups")
+    cold = matched(rows, F.broadcast(hot.select(key, size)), "left_anti")
+    return matched(rows, F.broadcast(hot)).unionByName(matched(cold, groups.where(~big)))

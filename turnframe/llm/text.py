@@ -7,6 +7,7 @@ word windows work on integer arrays instead of on Python strings.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,8 @@ def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches, text_at: int, target: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that one piece has about ``target``
-    bytes of text (a longer text is a piece of its own, never cut)."""
+    bytes of text (a longer text is a piece of its own, never cut).  At the
+    end the worker gives freed memory back: it lives on for other stages."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,6 +69,16 @@ def pieces(batches, text_at: int, target: int = CHUNK_BYTES) -> Iterator[pa.Reco
             end = max(start + 1, int(np.searchsorted(at, base + target, "right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Returns this process's freed memory to the system, where the C library
+    can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Words:
