@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from corpus_texts import words
 from turnframe.llm.eliasfano import EliasFano, NgramTrie
-from turnframe.llm.html_text import main_text, trained_tree
+from turnframe.llm.html_text import FEATURES, attributes, main_text, named_words, trained_tree
 from turnframe.llm.idcoder import decode_blocks, encode_blocks
 from turnframe.llm.langid import ByteGru, op6
 from turnframe.llm.mixing import mix_sources
@@ -204,4 +204,67 @@ def test_html_blocks():
       <aside><p>Popular text here is long enough to be prose, really.</p></aside><form><p>Sign up</p></form><footer>foot</footer>
       <script>x<p>no</p></script><!-- <p>not this</p> --></body>"""
     assert main_text(page).split("\n") == ["Title & more", "First para graph with boldtext <x>.", "One.", "Two lines", "item one"]
-    assert len(trained_tree().nodes) > 5
+    used = {FEATURES[n[0]] for n in trained_tree().nodes if n[0] >= 0}
+    assert {"words", "link_density"} <= used and used & {"words_before", "links_before"} and used & {"words_after", "links_after"}
+
+
+def prose(rng, n=4):
+    return [words(rng, rng.randrange(25, 70)) + "." for _ in range(n)]
+
+
+MENU = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
+FOOT = "<footer><p>&copy; 2024 the site.</p></footer>"
+#: Layouts that are not among the labelled pages; {} is the text.
+LAYOUTS = [
+    '<div class="layout has-sidebar">' + MENU + "<article>{}</article>" + FOOT + "</div>",
+    '<div class="layout with-sidebar">' + MENU + '<div class="x">{}</div><div class="sidebar"><p>Popular now</p></div></div>',
+    '<div class="site no-header">' + MENU + "<main>{}</main></div>",
+    MENU + '<article class="post type-post tag-foo category-legal">{}</article>',
+    MENU + '<article class="post side-effects-of-x">{}</article>',
+    MENU + '<article data-id="sidebar" title="hidden gems of Rome">{}</article>' + FOOT,
+    '<form id="aspnetForm" method="post"><input type="hidden" name="v">' + MENU + "<article>{}</article></form>" + FOOT,
+    '<form id="aspnetForm" method="post">' + MENU + '<div id="ctl00_body">{}</div>' + FOOT + "</form>",
+    '<div id="sidebar-layout">' + MENU + "<div>{}</div></div>" + FOOT,
+    MENU + '<article>{}</article><section id="comments"><article class="comment"><p>A reader says quite a lot of things about all this.</p>'
+    "</article></section>" + FOOT,
+    '<div role="banner"><a href="/">Site</a></div><div class="wrap"><div class="ad-slot"><p>Buy this thing now and be glad about it.</p></div>'
+    '<div class="col">{}</div></div><div class="related-posts"><h3>More</h3><ul><li><a href="/1">One more text</a></li></ul></div>',
+    MENU + "<article>{}<footer><p>Filed under things and more things.</p></footer></article>",
+    "<aside><div class=content><p>A long enough text on the side that is no article at all, is it.</p></div></aside><main>{}</main>",
+]
+
+
+@pytest.mark.parametrize("layout", range(len(LAYOUTS)))
+def test_html_layouts(layout):
+    rng = random.Random(layout)
+    for n in (3, 6):
+        text = prose(rng, n)
+        html = LAYOUTS[layout].format("".join(f"<p>{x}</p>" for x in text))
+        assert main_text(f"<html><head><title>t</title></head><body>{html}</body></html>").split("\n") == text
+
+
+def test_html_inner_parts():
+    rng = random.Random(8)
+    a, b, c = prose(rng, 3)
+    page = (f'{MENU}<article><div class="entry-header"><h1>The title</h1></div><p>{a}</p><p><a href="/x">One link and nothing else</a></p>'
+            f"<p>{b}</p><select><option>one<option>two<p>{c}</p></article>{FOOT}")
+    assert main_text(page).split("\n") == ["The title", a, "One link and nothing else", b, c]
+    assert main_text(f"<article><p>{a}</p><select><option>x</select><p>{b}</p><select><option>y</select></article>").split("\n") == [a, b]
+    assert main_text(f"<article><p>{a}</p><svg><text>x</text><p>{b}</p></article>") == f"{a}\n{b}"
+    assert main_text(f"<article><p>{a}</p><script>var x = '<p>no</p>';") == a
+
+
+def test_html_attributes():
+    found = attributes(' class="a b" data-class="ad" title="x class=menu hidden" CLASS=menu id = \'k\' hidden aria-hidden=true/')
+    assert found["class"] == "a b" and found["id"] == "k" and found["title"] == "x class=menu hidden" and found["hidden"] == ""
+    assert named_words("has-sidebar tag-legal side-effects-of-x postBody side left-side") == {"post", "body", "side", "left"}
+
+
+def test_html_neighbours_decide():
+    """The same short block is text among prose, and other matter among links."""
+    rng = random.Random(2)
+    a, b, c = prose(rng, 3)
+    links = "".join(f'<div><a href="/{i}">{words(rng, 4)}</a></div>' for i in range(3))
+    short = "<div>alpha1 beta2 gamma3</div>"
+    page = f'<div class="c1">{links}{short}{links}</div><div class="c1"><p>{a}</p>{short}<p>{b}</p><p>{c}</p></div><div class="c1">{links}</div>'
+    assert main_text(page).split("\n") == [a, "alpha1 beta2 gamma3", b, c]

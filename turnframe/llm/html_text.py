@@ -2,16 +2,26 @@
 
 A page is cut into flat blocks at block-level tags.  Every block has its word
 count and link density, those of the blocks before and after it, and a few
-marks of its surroundings (inside an article or main element, inside a
-menu, footer, form, advert, comment or the like by element or class name,
-heading, paragraph, list item, sentence end).  A decision tree, trained on the
-small labelled table of ``html_training``, says which blocks are main text.
+marks of its surroundings (inside an article or main element, inside other
+matter, heading, paragraph, list item, sentence end).  A decision tree, trained
+on the small labelled table of ``html_training``, says which blocks are main
+text.
+
+Other matter is marked by element (menu, footer, form, ...) or by a class, id
+or role of one to three parts, one of which names such matter; states and
+topics (``has-sidebar``, ``tag-legal``, ``side-effects-of-x``) name none.  A mark
+holds for all blocks inside, unless the element has the page's article or main
+element in it, or, for names that layouts use freely, most of the page's words
+(and is no part of the main text).
+Article and main elements are marked by reader comments only.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined by a line feed.  Scripts, styles and comments are no
 text.  Null or empty html gives an empty text; broken markup is read as far as
-it goes (an open comment or script runs to the end); very long pages are read
-whole; repeated rows are each returned; an empty table gives an empty result.
+it goes: an open comment, script or style runs to the end, any other element
+without text that is not closed ends at the next block.  Very long pages are
+read whole; repeated rows are each returned; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -39,55 +49,103 @@ VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "area", "base", "col"
 ASIDE = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "legend", "option", "label",
          "input", "head"}
 MAIN = {"article", "main"}
+FIRM_TAGS = {"nav", "footer", "aside", "menu", "dialog"}
+OPEN_ENDED = {"script", "style"}
 # Words of class names, ids and roles.
-ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored",
-               "promo", "promotion", "banner", "sidebar", "side", "aside", "rail", "nav", "navbar", "navigation",
-               "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "foot", "comment", "comments",
-               "disqus", "reply", "replies", "respond", "discussion", "cookie", "cookies", "consent", "gdpr", "notice",
-               "notices", "alert", "popup", "modal", "overlay", "share", "sharing", "social", "related", "recommended",
-               "recommendations", "subscribe", "subscription", "newsletter", "signup", "login", "form", "search",
-               "widget", "widgets", "copyright", "legal", "disclaimer", "pagination", "pager", "skip", "toolbar",
-               "tags", "outbrain", "taboola", "contentinfo", "complementary", "dialog", "announcement", "toc"}
+COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
+FIRM_WORDS = COMMENT_WORDS | {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "outbrain", "taboola",
+    "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup",
+    "login", "share", "sharing", "social", "related", "recommended", "recommendations", "copyright", "disclaimer", "breadcrumb",
+    "breadcrumbs", "pagination", "pager"}
+LAYOUT_WORDS = {"promotion", "banner", "sidebar", "aside", "rail", "nav", "navbar", "navigation", "menu", "header", "masthead", "footer",
+                "foot", "form", "search", "widget", "widgets", "toolbar", "contentinfo", "complementary", "dialog", "announcement", "toc",
+                "discussion"}
+# names of other matter only when they stand alone
+LONE_WORDS = {"side", "legal", "tags", "notice", "notices", "alert", "skip"}
+TOP_WORDS = {"header", "masthead"}
 MAIN_WORDS = {"article", "main", "content", "post", "entry", "story", "body", "articlebody", "maincontent", "text"}
+# a name that begins like this tells a state or a topic
+TOPICS = ("has-", "with-", "without-", "no-", "not-", "is-", "hide-", "show-", "tag-", "category-", "cat-", "type-", "format-", "status-",
+          "single-", "topic-", "lang-", "theme-")
+MOST = 0.6
 
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HEADING = re.compile(r"h[1-6]$")
+_BLOCK_EDGE = re.compile(r"</?(?:p|div|section|article|main|body|html|h[1-6]|ul|ol|li|table|tr|td|footer|header|nav|aside|form|blockquote|pre)\b", re.I)
 FEATURES = ["words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_main",
             "in_aside", "heading", "paragraph", "item", "sentence", "page_has_main"]
 
 
-def _marks(tag: str, attrs: str) -> tuple[int, int]:
-    """(1 if the element holds main text, 1 if it holds other matter)."""
-    main, aside = tag in MAIN, tag in ASIDE
-    if attrs and tag not in ("html", "body"):
-        for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id", "role"):
-                words = {x.lower() for x in _NAME.findall(value)}
-                aside = aside or bool(words & ASIDE_WORDS)
-                main = main or bool(words & MAIN_WORDS)
-            elif name == "style":
-                aside = aside or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-            elif name == "hidden" or value.lower() == "true":
-                aside = True
-    return int(main and not aside), int(aside)
+def attributes(raw: str) -> dict[str, str]:
+    """The attributes of a tag by name; the first of a name holds."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def named_words(value: str) -> set[str]:
+    """The words of a class, id or role that can name matter."""
+    words: set[str] = set()
+    for name in value.split():
+        if name.lower().replace("_", "-").startswith(TOPICS):
+            continue
+        parts = [x.lower() for x in _NAME.findall(name) if not x.isdigit()]
+        if len(parts) <= 3:
+            words |= {x for x in parts if x not in LONE_WORDS or len(parts) == 1}
+    return words
+
+
+class _Element:
+    __slots__ = ("tag", "parent", "main", "mark", "words", "mains")
+
+    def __init__(self, tag: str, parent: int, main: bool, mark: str):
+        self.tag, self.parent, self.main, self.mark = tag, parent, main, mark
+        self.words = self.mains = 0
+
+
+def _marks(tag: str, raw: str) -> tuple[bool, str]:
+    """(whether the element is for main text, the kind of mark as other matter:
+    hidden, comment, firm, layout, top or none)."""
+    main = tag in MAIN
+    mark = "layout" if tag in ASIDE else "top" if tag == "header" else ""
+    if raw and tag not in ("html", "body"):
+        a = attributes(raw)
+        words = named_words(" ".join(a.get(k, "") for k in ("class", "id", "role")))
+        if tag in MAIN:
+            mark = "comment" if words & COMMENT_WORDS else ""
+        elif words & COMMENT_WORDS:
+            mark = "comment"
+        elif words & FIRM_WORDS:
+            mark = "firm"
+        elif words & TOP_WORDS:
+            mark = mark or "top"
+        elif words & (LAYOUT_WORDS | LONE_WORDS):
+            mark = "layout"
+        main = main or bool(words & MAIN_WORDS)
+        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(
+                r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
+            mark = "hidden"
+    return main and not mark, mark
 
 
 class _Page:
-    """Collects the blocks of one page: (text, link characters, in_main,
-    in_aside, kind)."""
+    """Collects the elements of one page and its blocks: (text, words in
+    links, element, kind)."""
 
     def __init__(self):
-        self.open: list[tuple[str, int, int]] = []
-        self.main = self.aside = self.links = 0
+        self.elements = [_Element("", -1, False, "")]
+        self.open: list[int] = []
+        self.links = 0
         self.parts: list[str] = []
         self.linked = 0
         self.kind = ""
-        self.blocks: list[tuple[str, int, int, int, str]] = []
+        self.blocks: list[tuple[str, int, int, str]] = []
 
     def text(self, raw: str) -> None:
         if raw:
@@ -100,7 +158,7 @@ class _Page:
         if self.parts:
             words = "".join(self.parts).split()
             if words:
-                self.blocks.append((" ".join(words), self.linked, self.main > 0, self.aside > 0, self.kind))
+                self.blocks.append((" ".join(words), self.linked, self.open[-1] if self.open else 0, self.kind))
             self.parts, self.linked = [], 0
 
     def begin(self, tag: str, attrs: str) -> None:
@@ -114,19 +172,18 @@ class _Page:
                 self.close_like(tag)
         if tag in VOID or attrs.endswith("/") and tag not in ("a", "p", "div"):
             return
-        main, aside = _marks(tag, attrs)
-        if tag == "header" and not self.main:
-            main, aside = 0, 1
         if tag == "a":
             self.links += 1
-        self.main += main
-        self.aside += aside
-        self.open.append((tag, main, aside))
+        self.elements.append(_Element(tag, self.open[-1] if self.open else 0, *_marks(tag, attrs)))
+        self.open.append(len(self.elements) - 1)
+
+    def tag_at(self, i: int) -> str:
+        return self.elements[self.open[i]].tag
 
     def close_like(self, tag: str) -> None:
         """A new paragraph, item or cell ends the open one of its kind."""
         for i in range(len(self.open) - 1, -1, -1):
-            t = self.open[i][0]
+            t = self.tag_at(i)
             if t == tag or t == "p":
                 self.pop_to(i)
                 return
@@ -134,28 +191,65 @@ class _Page:
                 return
 
     def pop_to(self, i: int) -> None:
-        for t, main, aside in self.open[i:]:
-            self.main -= main
-            self.aside -= aside
-            self.links -= t == "a"
+        self.links -= sum(self.elements[e].tag == "a" for e in self.open[i:])
         del self.open[i:]
 
     def end(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
         for i in range(len(self.open) - 1, -1, -1):
-            t = self.open[i][0]
+            t = self.tag_at(i)
             if t == tag:
                 self.pop_to(i)
                 break
             if tag in INLINE and t not in INLINE:
                 break  # an inline end tag does not close blocks
         if tag not in INLINE:
-            self.kind = self.open[-1][0] if self.open else ""
-
-
-def blocks_of(html: str) -> list[tuple[str, int, int, int, str]]:
-    """The flat text blocks of a page in page order."""
+            self.kind = self.tag_at(-1) if self.open else ""
+
+    def judged(self) -> list[tuple[str, int, bool, bool, str]]:
+        """The blocks with whether they lie in main text and in other
+        matter."""
+        els = self.elements
+        for text, _, e, _ in self.blocks:
+            els[e].words += text.count(" ") + 1
+        for e in reversed(els):  # children come after their parents
+            if e.parent >= 0:
+                els[e.parent].words += e.words
+                els[e.parent].mains += e.mains + (e.tag in MAIN and e.mark == "")
+        in_main, in_aside = [False] * len(els), [False] * len(els)
+        total, mains = els[0].words, els[0].mains
+        for i, e in enumerate(els):
+            up = e.parent if i else 0
+            in_main[i] = in_main[up] or e.main
+            most = e.words > MOST * total and not in_main[up] and e.tag not in FIRM_TAGS
+            if e.mark == "hidden":
+                other = True
+            elif e.mark in ("comment", "firm"):
+                other = not (most and mains and e.mains == mains)
+            elif e.mark == "layout":
+                other = not (e.mains or most)
+            else:
+                other = e.mark == "top" and not (in_main[up] or e.mains or most)
+            in_aside[i] = in_aside[up] or other
+        return [(text, linked, in_main[e], in_aside[e], kind) for text, linked, e, kind in self.blocks]
+
+
+def _raw_end(tag: str, html: str, at: int) -> int:
+    """Where the matter of an element without text ends."""
+    m = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+    if tag in OPEN_ENDED:
+        return m.end() if m else len(html)
+    again = re.compile(rf"<{re.escape(tag)}\b", re.I).search(html, at, m.start() if m else len(html)) if tag in ("select", "textarea", "title") else None
+    if m and not again:
+        return m.end()
+    edge = _BLOCK_EDGE.search(html, at)
+    return edge.start() if edge else len(html)
+
+
+def blocks_of(html: str) -> list[tuple[str, int, bool, bool, str]]:
+    """The flat text blocks of a page in page order: (text, words in links,
+    in main text, in other matter, kind)."""
     page, at, n = _Page(), 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
@@ -171,12 +265,11 @@ def blocks_of(html: str) -> list[tuple[str, int, int, int, str]]:
             page.end(tag)
         elif tag in RAW:
             if not (m[3] or "").endswith("/") or tag in ("script", "style", "title", "textarea"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+                at = _raw_end(tag, html, at)
         else:
             page.begin(tag, m[3] or m[6] or "")
     page.flush()
-    return page.blocks
+    return page.judged()
 
 
 def block_features(blocks) -> np.ndarray:

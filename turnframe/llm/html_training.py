@@ -44,6 +44,13 @@ AFTER = [FOOTER, SIDEBAR + FOOTER, COMMENTS + FOOTER, SIDEBAR_DIV + FORM + FOOTE
 # pages without an article element or telling names: short lines by link lists are other matter
 OPEN_BEFORE = [MENU_DIVS + LINE, LINE + TABLE_MENU, LINE + MENU_DIVS + STAMP, MENU + STAMP]
 OPEN_AFTER = [LINE + RELATED, STAMP + FOOTER_DIV, RELATED + LINE + FOOTER_DIV, LINE + MENU_DIVS]
+# Neutral and misleading names: blocks of one kind, told apart by their words and their neighbours alone.
+NEUTRAL = ['<div class="c1 w2">{}</div>', "<div>{}</div>", '<section class="layout has-sidebar">{}</section>',
+           '<div class="page tag-menu category-legal">{}</div>', '<div class="site no-header" data-id="sidebar" title="hidden ads">{}</div>']
+SHORT_LINES = ["<div>{k:3}</div>", "<p>{k:2}</p>", "<ul><li>{k:4}</li><li>{k:3}</li></ul>", '<p><a href="/11">{k:5}</a></p>', "<div>{k:1}.</div>"]
+LINKED_LINES = ['<div>{d:3}</div><div><a href="/12">{d:4}</a></div>', '<p>{d:2}</p><p><a href="/13">{d:5}</a> <a href="/14">{d:3}</a></p>',
+                '<ul><li>{d:4}</li><li><a href="/15">{d:3}</a></li><li>{d:3}</li><li><a href="/16">{d:4}</a></li></ul>',
+                '<p><a href="/17">{d:5}</a></p><p><a href="/18">{d:4}</a></p><p><a href="/19">{d:6}</a></p>']
 INSIDE = [AD, COMMENTS, SIDEBAR, NOTICE, FORM, MENU, RELATED]
 
 
@@ -56,8 +63,9 @@ def _fill(layout: str, rng: random.Random) -> str:
 
 
 def labelled_pages(seed: int = 11) -> list[str]:
-    """About 270 pages: every article form with several surroundings, with
-    other matter inside the article, and pages without article elements."""
+    """About 430 pages: every article form with several surroundings, with
+    other matter inside the article, pages without article elements, and pages
+    whose names say nothing or mislead."""
     rng = random.Random(seed)
     pages = []
     for i, body in enumerate(WHOLE):
@@ -77,4 +85,19 @@ def labelled_pages(seed: int = 11) -> list[str]:
     for before in BEFORE:
         for after in AFTER[:6:2]:
             pages.append(before + f"<div>{PLAIN}</div>" + after)
+    for i, wrap in enumerate(NEUTRAL):
+        for j, short in enumerate(SHORT_LINES):
+            text = "<p>{k:35}.</p>" + short + "<p>{k:50}.</p>" + SHORT_LINES[(i + j) % 5] + "<p>{k:28}.</p>"
+            for links in LINKED_LINES:
+                before = wrap.format(MENU_DIVS + links) if (i + j) % 2 else links
+                pages.append(before + wrap.format(text) + wrap.format(links + RELATED))
+    for body in (f"<article>{TEXT}</article>", f"<main>{PLAIN}</main>"):
+        for j, short in enumerate(SHORT_LINES):
+            cut = body.index("</p>") + 4
+            for extra in (RELATED, LINKED_LINES[3]):
+                pages.append(MENU + body[:cut] + short + body[cut:].replace("</p>", "</p>" + extra, 2) + FOOTER)
+    for body in (f"<article>{PLAIN}</article>", f'<article class="post">{LONG}</article>', f"<main>{TEXT}</main>", f"<div>{PLAIN}</div>"):
+        for line in ('<p><a href="/20">{k:5}</a></p>', '<p><a href="/21">{k:9}</a></p>', '<div><a href="/22">{k:4}</a></div>'):
+            ends = [m.end() for m in re.finditer("</p>", body)]
+            pages += [MENU + body[:cut] + line + body[cut:] + FOOTER for cut in ends[:-1]]
     return [f"<html><head><title>d</title></head><body>{_fill(p, rng)}</body></html>" for p in pages]
