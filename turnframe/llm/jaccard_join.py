@@ -20,9 +20,10 @@ D = (a + b) (100 - s) / (100 + s).
   signatures and still lose no pair.
 
 Signatures are dealt to tasks and sorted; every group is read as a stream.
-First each member is compared with the group's first one (as many pairs as
-members), and the links found give provisional components.  Then the pairs of
-different components in groups of up to ``GROUP`` are compared.  Sets that
+First each member is compared with one of its groups' first ones (a pair a
+member), and the links found give provisional components.  Then the members of
+other components than their group's first one are compared with it, and the
+pairs of different components in groups of up to ``GROUP``.  Sets that
 had to leave out more than their slack in larger groups are joined exactly by
 their rarest shingles (prefix filter).  A pair first has to pass on parity
 sketches (a bit for about each element: bits that differ are at most the
@@ -409,6 +410,11 @@ def _labelled(rows: DataFrame, components: DataFrame) -> DataFrame:
     return rows.join(c, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(class, leader) rows as pairs a < b."""
+    return pairs.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
+
+
 def _pairs_between(rows: DataFrame) -> DataFrame:
     """Pairs of classes of different components with a common signature."""
     x = rows.select("sig", F.col("class").alias("a"), F.col("component").alias("ca"))
@@ -441,22 +447,25 @@ def similar_classes(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR, g
     marked = sigs.repartition("sig").sortWithinPartitions("sig", "class")
     shared = materialize(marked.mapInArrow(_shared_groups, "sig long, class long, left int, leader long"), "shared")
     real = shared.where("sig <> class")
-    stars = real.where("class <> leader").select(F.least("class", "leader").alias("a"),
-                                                 F.greatest("class", "leader").alias("b")).distinct()
-    links = run.verified(stars)
+    # each class with the smallest of its groups' first ones: a pair a class settles most of a large family
+    first = _ordered(real.where("class <> leader").groupBy("class").agg(F.min("leader").alias("leader")))
+    links = run.verified(materialize(first, "first-pairs"))
     components = materialize(connected_components(links), "components")
     # groups that still hold more than one component
     rows = materialize(_labelled(real, components), "labelled")
-    open_ = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("component").alias("lo"),
-                                    F.max("component").alias("hi")).where("lo <> hi").select("sig", "size")
-    rows = materialize(rows.join(open_, "sig"), "open-groups")
-    small = rows.where(F.col("size") <= group)
-    more = run.verified(_pairs_between(small).join(stars, ["a", "b"], "left_anti"))
-    links = links.unionByName(more)
+    mixed = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                    F.max(F.when(F.col("class") == F.col("leader"), F.col("component"))).alias("lead"))
+    mixed = mixed.where("lo <> hi").select("sig", "size", "lead")
+    rows = materialize(rows.join(mixed, "sig"), "open-groups")
+    stars = _ordered(rows.where("class <> leader and component <> lead").select("class", "leader"))
+    more = stars.unionByName(_pairs_between(rows.where(F.col("size") <= group))).distinct().join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(run.verified(more))
     components = materialize(connected_components(links), "components")
+    large = _labelled(rows.where(F.col("size") > group).drop("component"), components)
+    still = large.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
     # classes that left out more in large groups than their slack allows
     weight = F.when(F.col("sig").bitwiseAND(1) == 1, 2).otherwise(1)
-    out = rows.where(F.col("size") > group).groupBy("class", F.col("sig").bitwiseAND(2).alias("parity")) \
+    out = large.join(still, "sig", "left_semi").groupBy("class", F.col("sig").bitwiseAND(2).alias("parity")) \
         .agg(F.sum(weight).alias("lost"), F.min("left").alias("left")).where("lost > left").select("class") \
         .unionByName(shared.where("sig = class").select("class")).distinct()
     heads = _labelled(run.rare_heads(materialize(out, "exceptions")), components)
