@@ -19,7 +19,7 @@ from turnframe.llm.langid import ByteGru, op6
 from turnframe.llm.mixing import mix_sources
 from turnframe.llm.ngram_lm import MU, score_texts
 from turnframe.llm.quality_model import grade_documents, train
-from turnframe.llm.token_files import join_crc32, read_token_files, token_files, write_token_files
+from turnframe.llm.token_files import TextEncoder, join_crc32, read_token_files, token_files, write_token_files
 
 SF = "/root/testdata/sf0.01"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -103,6 +103,18 @@ def test_coder_round_trip():
     assert (decode_blocks(data[5:], [1500])[0] == blocks[5]).all()
 
 
+def test_texts_encoded_by_pieces():
+    t = Tokenizer.from_file(TOKENIZER)
+    with open(TOKENIZER, encoding="utf-8") as f:
+        encode = TextEncoder(f.read(), keep=500)
+    rng = random.Random(6)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85", "it's", "a", "Abc", "12", "3.5", "é漢", "!?", "<|endoftext|>",
+             "<|", "_", "'ll", "\u200b", "x" * 40, "\x00", "\ufeff"]
+    for _ in range(40):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(30)] + [None, ""]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_joined_checksums():
     a, b = b"first part", b"second part, longer"
     assert join_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)

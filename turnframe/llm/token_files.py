@@ -25,6 +25,7 @@ gives an empty folder.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -40,50 +41,69 @@ from .staging import checkpoint_root, materialize, texts
 from .text import pieces
 
 BLOCK_IDS = 2048
-LANES = 1024
-READ_LANES = 512  # a lane of the decoder also holds the ranks of all ids
+LANES = 4096
 PART_BYTES = 32 << 20
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 END_ID = 2
 BLOCK_SCHEMA = ("part int, block long, start long, n_ids long, crc32 long, data binary, doc_ids array<long>, "
                 "doc_parts array<long>, doc_sizes array<long>, doc_ends array<boolean>")
 
-_SPACES = re.compile(r"\s\s")
+# White space but its last character, a word with the space before it, other white space.
+_PIECES = re.compile(r"\s+(?!\S)| ?\S+|\s")
+# These split a text otherwise than Python's white space does, or are tokens of their own.
+_WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+_LINE = "\n"
 
 
 class TextEncoder:
     """Ids of texts by a byte-level BPE tokenizer, with words seen before
-    kept.  Its pretokens never pass a single space or line feed between two
-    other characters, so such texts are encoded by word; others whole."""
+    kept.  Its pretokens never pass the ends of ``_PIECES``, so texts are
+    encoded piece by piece, new words together with a line feed (a token of
+    its own) between them."""
 
     def __init__(self, tokenizer_json: str, keep: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         if self.tokenizer.get_vocab_size() > VOCABULARY:
             raise ValueError(f"ids must be below {VOCABULARY}")
+        line = self._ids([_LINE])[0]
+        self.line = line[0] if len(line) == 1 else None
         self.keep, self.known = keep, {}
 
-    def _encode(self, strings: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in found]
+    def _ids(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        words = [w for w in new if w[-1] not in _LINE and not w.isspace()] if self.line is not None else []
+        for at in range(0, len(words), 4096):
+            some = words[at:at + 4096]
+            ids = np.array(self._ids([_LINE.join(some)])[0], "<u2")
+            cuts = np.flatnonzero(ids == self.line)
+            if len(cuts) != len(some) - 1:
+                break  # not such a tokenizer
+            raw = ids.tobytes()
+            starts, ends = [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)]
+            self.known.update(zip(some, [raw[i:j] for i, j in zip(starts, ends)]))
+        rest = [w for w in new if w not in self.known]
+        self.known.update(zip(rest, [np.array(x, "<u2").tobytes() for x in self._ids(rest)]))
 
     def __call__(self, strings: list[str | None]) -> list[bytes]:
         """The ids of every text as 16-bit integers."""
         out: list[bytes] = [b""] * len(strings)
-        by_word, whole = [], []
+        by_piece, whole = [], []
         for i, s in enumerate(strings):
             if s:
-                (whole if _SPACES.search(s) or "\0" in s else by_word).append(i)
-        for i, x in zip(whole, self._encode([strings[i] for i in whole])):
-            out[i] = x
-        words = [strings[i].replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for i in by_word]
+                (whole if _WHOLE.search(s) else by_piece).append(i)
+        for i, x in zip(whole, self._ids([strings[i] for i in whole])):
+            out[i] = np.array(x, "<u2").tobytes()
+        cut = [_PIECES.findall(strings[i]) for i in by_piece]
         if len(self.known) > self.keep:
             self.known.clear()
-        new = list({w for ws in words for w in ws} - self.known.keys())
-        self.known.update(zip(new, self._encode(new)))
+        self._learn(list(set().union(*cut) - self.known.keys()))
         get = self.known.__getitem__
-        for i, ws in zip(by_word, words):
+        for i, ws in zip(by_piece, cut):
             out[i] = b"".join(map(get, ws))
         return out
 
@@ -255,7 +275,7 @@ def _join_pieces(batches):
             names=["part", "start", "doc_id", "n", "crc", "ids"])
 
 
-def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False, lanes: int = READ_LANES) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False, lanes: int = LANES) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of every
     document in a folder of token files."""
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder)
