@@ -15,7 +15,7 @@ from corpus_texts import words
 from turnframe.llm.eliasfano import EliasFano, NgramTrie
 from turnframe.llm.html_text import FEATURES, attributes, main_text, named_words, trained_tree
 from turnframe.llm.idcoder import decode_blocks, encode_blocks
-from turnframe.llm.langid import ByteGru, op6
+from turnframe.llm.langid import ByteGru, identify, op6, train as train_langid, training_words
 from turnframe.llm.mixing import mix_sources
 from turnframe.llm.ngram_lm import MU, score_texts
 from turnframe.llm.quality_model import grade_documents, train
@@ -191,6 +191,24 @@ def test_language_on_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in held)
 
 
+def test_language_sample(spark):
+    """Every language is sampled, long words are whole, and the rows' places
+    do not matter."""
+    rng = random.Random(4)
+    rows = [(i, words(rng, 20), "en") for i in range(400)] + [(1000 + i, "漢字仮名交文" * 40, "zz") for i in range(3)]
+    rows += [(5, "other text", "en"), rows[7], rows[8], (None, "no id", "fr"), (9000, None, "qq"), (9001, "text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = training_words(docs, train_docs=60, lang_docs=4)
+    assert found == training_words(docs.repartition(7), train_docs=60, lang_docs=4)
+    assert set(found[1]) == {"en", "zz", "fr"} and max(map(len, found[0])) == 48
+    whole = len("漢字仮名交文".encode()) * 40
+    assert sum(len(w) for w, x in zip(*found) if x == "zz") == 3 * whole
+    a, b = train_langid(docs, 60), train_langid(docs.repartition(5), 60)
+    assert a.langs == b.langs and all((a.p[k] == b.p[k]).all() for k in a.p)
+    out = {r["doc_id"]: r["lang_pred"] for r in identify(docs, a).collect()}
+    assert all(out[1000 + i] == "zz" for i in range(3)) and out[3] == "en"
+
+
 def test_gru_gradient():
     m = ByteGru.new(["a", "b", "c"], 4)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}

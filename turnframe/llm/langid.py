@@ -7,10 +7,12 @@ The state starts anew at white space, so a word's labels depend on its bytes
 alone and equal words of a batch are run once.  Words over ``SEGMENT`` bytes
 run as several segments; no byte is left out.
 
-Trained in numpy by backpropagation through time on the driver, on at most
-``TRAIN_DOCS`` labelled documents (those with the smallest hash of their id
-among the training fold) and ``WORDS_PER_DOC`` words of each.  Predictions use
-the text only.
+Trained in numpy by backpropagation through time on the driver, on
+``WORDS_PER_DOC`` whole words of each of at most ``TRAIN_DOCS`` labelled
+documents, the same number of every language and at least ``LANG_DOCS`` of each
+(those with the smallest hashes of id and text in the training fold), so rare
+languages are learned and the model does not depend on how rows are dealt.
+Predictions use the text only.
 
 Null text or text without a letter: language ``und``, score 0.  Without any
 labelled training document every language is ``und``.  Repeated rows are each
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import held_out_hash, texts
@@ -32,6 +34,7 @@ from .text import Words, mix, pieces
 SEGMENT = 48
 HIDDEN = 16
 TRAIN_DOCS = 3000
+LANG_DOCS = 50
 WORDS_PER_DOC = 64
 EPOCHS = 3
 BATCH = 256
@@ -228,32 +231,48 @@ def _predict(shared):
     return run
 
 
-def _sample_words(batches):
-    for b in pieces(batches, 1):
-        w = Words(b.column(1))
-        strings, h, ok = w.strings(), w.hashes(), _letter_words(w)
-        rows = []
-        for i in range(w.n_docs):
-            at = np.arange(w.first[i], w.first[i + 1])
-            at = at[ok[at]]
-            order = np.argsort(mix(h[at] + np.uint64(i)), kind="stable")[:WORDS_PER_DOC]
-            rows.append([strings[j][:SEGMENT] for j in at[np.sort(order)]])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.binary()))], names=["lang", "words"])
+def _sample_words(words_per_doc):
+    def run(batches):
+        for b in pieces(batches, 2):
+            w = Words(b.column(2))
+            strings, h, ok = w.strings(), w.hashes(), _letter_words(w)
+            keys = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            rows = []
+            for i in range(w.n_docs):
+                at = np.arange(w.first[i], w.first[i + 1])
+                at = at[ok[at]]
+                order = np.argsort(mix(h[at] + keys[i]), kind="stable")[:words_per_doc]
+                rows.append([strings[j] for j in at[np.sort(order)]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.binary()))], names=["lang", "key", "words"])
+    return run
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> ByteGru:
-    """Fits the network on documents (doc_id, text, lang) of the given rows."""
+def training_words(docs: DataFrame, train_docs: int = TRAIN_DOCS, lang_docs: int = LANG_DOCS,
+                   words_per_doc: int = WORDS_PER_DOC) -> tuple[list[bytes], list[str]]:
+    """(spans of at most SEGMENT bytes, their languages) of the sampled words;
+    the same however the rows are dealt."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                     F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    # only ids meet in one place; the texts are read where they are
-    ids = d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    sample = d.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
-    rows = sample.mapInArrow(_sample_words, "lang string, words array<binary>").limit(train_docs).collect()
+    d = d.select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
+    langs = d.select("lang").distinct().count()
+    each = max(lang_docs, train_docs // max(1, langs))
+    # only keys meet in one place, the first of each language; the texts are read where they are
+    first = Window.partitionBy("lang").orderBy("key")
+    keys = d.select("lang", "key").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= each)
+    sample = d.join(F.broadcast(keys.select("lang", "key")), ["lang", "key"], "left_semi").select("lang", "key", "text")
+    found = sample.mapInArrow(_sample_words(words_per_doc), "lang string, key long, words array<binary>").dropDuplicates(["lang", "key"])
     words, labels = [], []
-    for r in rows:
-        words += [bytes(x) for x in r["words"]]
-        labels += [r["lang"]] * len(r["words"])
-    return fit(words, labels)
+    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["key"])):
+        for x in map(bytes, r["words"]):
+            spans = [x[i:i + SEGMENT] for i in range(0, len(x), SEGMENT)]
+            words += spans
+            labels += [r["lang"]] * len(spans)
+    return words, labels
+
+
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> ByteGru:
+    """Fits the network on documents (doc_id, text, lang) of the given rows."""
+    return fit(*training_words(docs, train_docs))
 
 
 def identify(docs: DataFrame, model: ByteGru) -> DataFrame:
