@@ -25,19 +25,26 @@ def test_turn_index_has_no_single_partition_over_rows(spark):
     assert got == list(range(n))
 
 
-def test_assembly_windows_are_blockwise(spark):
-    plan = _plan(assemble_messages(fx.fx_lines(spark, SF)))
-    assert "hashpartitioning(source_path" in plan
-    # Every row-level window is keyed by (file, block), never by the file alone.
-    for line in plan.splitlines():
-        if "Window [" in line and "__inc" in line:
-            assert "__blk" in line
+def test_assembly_moves_lines_once(spark):
+    lines = spark.createDataFrame([("f", i, f"[1/2/23, 10:00:{i % 60:02d}] A: x") for i in range(50)],
+                                  "source_path string, line_no long, value string")
+    df = assemble_messages(lines, block_lines=8)
+    plan = _plan(df)
+    # both branches read one exchange of lines; the only other one holds the blocks' edges
+    assert {x.split("hashpartitioning(")[1].split(")")[0].count(",") for x in plan.splitlines() if "Exchange hashpartitioning" in x} == {1, 2}
+    assert plan.count("REPARTITION_BY_COL") == 2 and plan.count("Exchange hashpartitioning") == 3
+    assert len(df.collect()) == 50
+    final = assemble_messages(fx.fx_lines(spark, SF))
+    final.collect()
+    last = _plan(final).split("Initial Plan")[0]
+    # the input (two readers of its own) is scanned once, not once a branch
+    assert "ReusedExchange" in last and last.count("FileScan parquet") == 2
 
 
 def test_turns_pipeline_runs(spark):
     t = export_turns(fx.fx_lines(spark, SF))
     idx = turn_index(t.where("length(text) > 0"), tiebreak=[path_order()])
-    assert idx.count() == 67
+    assert idx.count() == 83
 
 
 def _optimized(df):

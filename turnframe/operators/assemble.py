@@ -2,11 +2,9 @@
 
 Two physical routes with the same result:
 
-* ``assemble_messages(lines)`` for a line table (any size of file): each
-  line finds its owning header with a bounded block window plus a carried
-  "last header" from earlier blocks (``ordinals.running_before``), then
-  lines are grouped by ``(file, owning header)`` with map-side partial
-  ``collect_list`` and joined in line order.
+* ``assemble_messages(lines)`` for a line table (any size of file): lines are
+  dealt once by bounded blocks of a file, messages are joined inside their
+  block, and only the fragments at the blocks' edges are stitched after it.
 * ``parse_export_text(files)`` for whole files held one per row (the
   ``binaryFile`` route): all work happens inside the row with array
   functions, so there is no shuffle at all.
@@ -14,14 +12,13 @@ Two physical routes with the same result:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.memo import with_once
 from ..functions.text import NEWLINE_REGEX, drop_trailing_empty
 from .headers import checked_timestamps, is_header, with_header
-from ..session import materialize
-from .ordinals import DEFAULT_BLOCK, running_before
+from .ordinals import DEFAULT_BLOCK
 
 MESSAGE = ["source_path", "source_file", "line_start", "timestamp", "speaker", "text"]
 
@@ -31,40 +28,50 @@ def base_name(path_col):
 
 
 def assemble_messages(lines: DataFrame, on_bad: str = "fail", block_lines: int = DEFAULT_BLOCK,
-                      path_col: str = "source_path", stage: bool = True) -> DataFrame:
+                      path_col: str = "source_path") -> DataFrame:
     """Lines ``(source_path, line_no, value)`` -> one row per message.
 
     Output: ``source_path, source_file, line_start, timestamp, speaker,
     text``.  Lines before a file's first header are dropped (P-2);
     continuation lines, blank ones included, are appended with "\\n".
 
-    The owner of a line needs two passes over the parsed lines (block
-    summaries, then the lines with their carry).  With ``stage`` the parsed
-    line table is written once under the checkpoint folder and both passes
-    read it (the summary pass reads three columns), instead of recomputing
-    the input and the header parse twice.
+    Lines move once, by (file, block of ``block_lines``).  Inside a block a
+    window finds each line's header and the lines of one header are joined,
+    both on that one partitioning.  Only the block's lines before its first
+    header and those of its last header (at most two fragments a block) can
+    belong to a message that crosses a block's edge; they alone are grouped
+    again, by file.  The lines are neither staged nor read twice: both kinds
+    of fragments come from the same exchange.
     """
+    block = F.floor(F.col("line_no") / F.lit(block_lines)).alias("block")
     parsed = with_header(lines.select(F.col(path_col).alias("source_path"), "line_no", "value"))
-    if stage:
-        parsed = materialize(parsed, "lines")
-    owned = running_before(
-        parsed, ["source_path"], F.floor(F.col("line_no") / F.lit(block_lines)), [F.col("line_no")],
-        F.when(F.col("h.is_header"), F.col("line_no")), "line_start", how="max", inclusive=True)
-    owned = owned.where(F.col("line_start").isNotNull())
-    part = F.when(F.col("h.is_header"), F.col("h.text")).otherwise(F.col("value"))
-    grouped = owned.groupBy("source_path", "line_start").agg(
-        F.first(F.when(F.col("h.is_header"), F.struct(F.col("h.ts").alias("ts"), F.col("h.speaker").alias("speaker"))),
-                ignorenulls=True).alias("hd"),
-        F.collect_list(F.struct(F.col("line_no"), part.alias("part"))).alias("parts"),
-    )
+    # flat columns, so that every reader of the exchange asks for the same ones
+    parsed = parsed.select("source_path", block, "line_no", F.when(F.col("h.is_header"), F.col("line_no")).alias("head"),
+                           F.col("h.ts").alias("ts"), F.col("h.speaker").alias("speaker"),
+                           F.when(F.col("h.is_header"), F.col("h.text")).otherwise(F.col("value")).alias("part"))
+    dealt = parsed.repartition("source_path", "block")
+    inside = Window.partitionBy("source_path", "block").orderBy("line_no")
+    owned = dealt.withColumn("line_start", F.max("head").over(inside.rowsBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("last_head", F.max("head").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "part"))), lambda x: x["part"]), "\n")
+    fragments = owned.groupBy("source_path", "block", "line_start", "last_head").agg(
+        F.min(F.when(F.col("head").isNotNull(), F.struct("ts", "speaker"))).alias("hd"), joined.alias("text"))
+    whole = fragments.where(F.col("line_start") < F.col("last_head")).select("source_path", "line_start", "hd", "text")
+    edges = fragments.where(F.col("line_start").isNull() | (F.col("line_start") == F.col("last_head")))
+    # a block's first fragment belongs to the last header of an earlier block
+    earlier = Window.partitionBy("source_path").orderBy("block", F.col("line_start").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    edges = edges.withColumn("owner", F.max("line_start").over(earlier)).where(F.col("owner").isNotNull())
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line_start", "text"))), lambda x: x["text"]), "\n")
+    stitched = edges.groupBy("source_path", "owner").agg(F.min("hd").alias("hd"), text.alias("text")) \
+        .withColumnRenamed("owner", "line_start").select("source_path", "line_start", "hd", "text")
     where = F.concat(F.col("source_path"), F.lit(" line "), F.col("line_start").cast("string"))
-    messages = grouped.select(
+    messages = whole.unionByName(stitched).select(
         "source_path",
         base_name(F.col("source_path")).alias("source_file"),
         F.col("line_start").cast("long").alias("line_start"),
         F.col("hd.ts").alias("__ts"),
         F.col("hd.speaker").alias("speaker"),
-        F.array_join(F.transform(F.array_sort("parts"), lambda x: x["part"]), "\n").alias("text"),
+        "text",
     )
     return checked_timestamps(messages, where, on_bad).select(MESSAGE)
 
