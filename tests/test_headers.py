@@ -118,3 +118,28 @@ def test_bad_timestamp_fails_counters(spark):
         parse_counters(assemble_messages(df)).collect()
     row = parse_counters(assemble_messages(df, on_bad="null")).first()
     assert (row["raw_messages"], row["bad_timestamps"]) == (2, 1)
+
+
+def test_iso_grammar(spark):
+    """Every form of date, time and offset against datetime.fromisoformat."""
+    from datetime import datetime
+
+    from turnframe.functions.timestamps import is_aware, iso_sort_key
+
+    dates = ["2023-12-07", "20231207", "2023-W49", "2023W49", "2023-W49-4", "2023W494", "2020-W53-7", "2021-W53-1", "2023-W00-1", "2023-W54",
+             "2023-12", "2023", "2023-13-01", "2023-02-29", "2024-02-29", "0000-01-01", "2023-1-1", " 2023-12-07", "２０２３-12-07",
+             "2023-W49-8", "2023-W49-0", "2023-1207", "202312-07", "2023-W494", ""]
+    times = ["", "T09", "T09:15", "T09:15:50", "T0915", "T091550", "T09:15:50.1", " 09:15:50,123456", "T09:15:50.1234567", "T091550.5", "x09:15",
+             "\n09:15", "T25:00", "T09:60", "T09:15:60", "T09:1550", "T0915:50", "T9:15", "T"]
+    zones = ["", "Z", "+02:00", "-0530", "+14", "+02:00:30", "+020030.5", "+24:00", "+02:60", "z", "+2", "-00:00"]
+    values = [d + t + z for d in dates for t in times for z in (zones if t else [""])]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    key = F.date_format(iso_sort_key(F.col("v")), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    for r in df.select("v", key.alias("k"), is_aware(F.col("v")).alias("aware")).collect():
+        try:
+            t = datetime.fromisoformat(r["v"])
+        except ValueError:
+            assert r["k"] is None, r["v"]
+            continue
+        at = (t - t.utcoffset()).replace(tzinfo=None) if t.tzinfo else t
+        assert (r["k"], r["aware"]) == (at.strftime("%Y-%m-%d %H:%M:%S.%f"), t.tzinfo is not None), r["v"]
