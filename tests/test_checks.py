@@ -49,3 +49,13 @@ def test_dataset_checks(spark):
 def test_an_order_is_needed():
     with pytest.raises(ValueError, match="order equal times"):
         input_order(["timestamp", "text"])
+
+
+def test_key_rejects(spark):
+    rows = [(k, "2023-01-01T00:00:%02d" % i, "A", " " if k == "blank" else f"t{i}", "f", i, i)
+            for k, n in (("one", 1), ("blank", 5), ("two", 2), ("many", 9), (None, 1)) for i in range(n)]
+    turns = spark.createDataFrame(rows, "k string, timestamp string, speaker string, text string, source_file string, "
+                                        "line_start long, input_line long")
+    ds = build_dataset(turns, chunk_turns=4, prompt_turns=2, stride=1, min_turns=2, partition_by=["k"])
+    assert {(r["k"], r["reason"]) for r in ds.rejects.collect()} == {("one", "no examples"), ("blank", "no turns"), (None, "no examples")}
+    assert {r["k"] for r in ds.examples.select("k").distinct().collect()} == {"two", "many"}

@@ -9,7 +9,7 @@ import pytest
 from turnframe.plans.dataset import build_dataset
 from turnframe.plans.exports import parse_exports
 from turnframe.sources.exports import count_input_files, explode_lines, read_export_lines, read_exports
-from turnframe.sources.sinks import append_transcript, verify_counts, write_splits, write_stats, write_turns
+from turnframe.sources.sinks import append_transcript, read_appended, verify_counts, write_splits, write_stats, write_turns
 
 H = "[12/7/23, 09:15:{:02d}] {}: {}"
 
@@ -98,9 +98,40 @@ def test_outputs(spark, tmpdir_path):
     train = spark.read.json(f"{tmpdir_path}/ds/train").orderBy("meta.chunk_index").collect()
     assert [r["meta"]["chunk_index"] for r in train] == [0, 1, 2, 3]
     lines = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "transcript_id long, line_no long, line string")
-    append_transcript(lines, f"{tmpdir_path}/tr")
-    append_transcript(lines, f"{tmpdir_path}/tr")
-    assert spark.read.text(f"{tmpdir_path}/tr").count() == 4
+    assert [append_transcript(lines, f"{tmpdir_path}/tr") for _ in range(2)] == [1, 2]
+    assert [r["line"] for r in read_appended(spark, f"{tmpdir_path}/tr").orderBy("position").collect()] == ["a", "b", "a", "b"]
+
+
+def test_appends_keep_their_order(spark, tmpdir_path):
+    """Many part files a batch, and appenders at the same time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, make = f"{tmpdir_path}/log", "transcript_id long, line_no long, line string"
+    batches = [[(t, i, f"{b}/{t}/{i}") for t in range(3) for i in range(1, 200)] for b in range(5)]
+    for rows in batches[:2]:
+        append_transcript(spark.createDataFrame(rows[::-1], make).repartition(7), path)
+    append_transcript(spark.createDataFrame([], make), path)
+    with ThreadPoolExecutor(3) as pool:
+        numbers = list(pool.map(lambda rows: append_transcript(spark.createDataFrame(rows, make), path), batches[2:]))
+    assert sorted(numbers) == [4, 5, 6] and not [n for n in os.listdir(path) if n.startswith("_append")]
+    order = [0, 1] + [2 + i for i in sorted(range(3), key=lambda i: numbers[i])]
+    got = [(r["position"], r["line"]) for r in read_appended(spark, path).orderBy("position").collect()]
+    assert got == list(enumerate(x for b in order for _, _, x in batches[b]))
+
+
+def test_counters_of_the_run_that_writes(spark, tmpdir_path):
+    from turnframe.plans.exports import parse_exports, write_parsed
+
+    for i in range(4):
+        _write(f"{tmpdir_path}/in/f{i}.txt", ("\n".join(f"[1/2/23, 10:00:{k:02d}] {'Meta AI' if k == 3 else 'Ann'}: "
+                                              + ("image omitted" if k == 5 else "Sam left" if k == 7 else f"m{k}") for k in range(20))).encode())
+    flags = dict(drop_system=True, drop_media=True, strip_edits=True)
+    parsed = parse_exports(spark, f"{tmpdir_path}/in", **flags)
+    row = write_parsed(parsed.messages, f"{tmpdir_path}/out", parsed.input_files, **flags).first()
+    assert row.asDict() == parsed.counters.first().asDict()
+    assert (row["input_files"], row["raw_messages"], row["dropped_speaker"], row["dropped_system"], row["dropped_media"], row["written"]) == \
+        (4, 80, 4, 4, 4, 68)
+    assert spark.read.json(f"{tmpdir_path}/out").count() == 68
 
 
 def test_lone_cr_line_reader(spark, tmpdir_path):

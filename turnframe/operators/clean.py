@@ -86,7 +86,6 @@ def parse_counters(messages: DataFrame, input_files=None, exclude_speakers=tuple
     (an empty file still counts); without it, distinct paths seen in
     ``messages`` are counted."""
     tagged = with_drop_reason(messages, exclude_speakers, drop_system, drop_media, strip_edits)
-    r = F.col("drop_reason")
     if input_files is None:
         files = F.count_distinct("source_path")
     elif isinstance(input_files, int):
@@ -94,8 +93,13 @@ def parse_counters(messages: DataFrame, input_files=None, exclude_speakers=tuple
         files = F.lit(input_files)
     else:
         files = F.lit(input_files.count())
-    return tagged.agg(
-        files.cast("long").alias("input_files"),
+    return tagged.agg(files.cast("long").alias("input_files"), *counter_columns())
+
+
+def counter_columns() -> list:
+    """The message counters as aggregates over rows with ``drop_reason``."""
+    r = F.col("drop_reason")
+    return [
         F.count(F.lit(1)).alias("raw_messages"),
         F.count_if(r == "speaker").alias("dropped_speaker"),
         F.count_if(r == "system").alias("dropped_system"),
@@ -105,4 +109,4 @@ def parse_counters(messages: DataFrame, input_files=None, exclude_speakers=tuple
         # timestamp here also fails the run under on_bad='fail', as a bad
         # date aborts the reference.
         F.count_if(F.col("timestamp").isNull()).alias("bad_timestamps"),
-    )
+    ]

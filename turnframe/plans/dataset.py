@@ -48,6 +48,19 @@ class Dataset:
     windows: DataFrame
     examples: DataFrame
     stats: DataFrame
+    rejects: DataFrame | None = None
+
+
+def key_rejects(turns: DataFrame, keys: list[str], chunk_turns: int, stride: int, min_turns: int, val_ratio: float,
+                test_ratio: float) -> DataFrame:
+    """V-4, V-5 of per-key datasets: ``(keys, reason)`` of the keys without a
+    valid turn, an example or a training row.  One aggregate a key, counted in
+    part before it moves; the rest follows from its length."""
+    n = turns.groupBy(*keys).agg(F.count_if(~is_blank(F.col("text"))).alias("n"))
+    examples = layout_columns(F.col("n"), chunk_turns, stride, min_turns)["windows"]
+    train_n, _, _ = split_sizes(F.col("examples"), val_ratio, test_ratio)
+    reason = (F.when(F.col("n") == 0, "no turns").when(F.col("examples") == 0, "no examples").when(train_n <= 0, "no training rows"))
+    return n.withColumn("examples", examples).withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*keys, "reason")
 
 
 def build_dataset(turns: DataFrame, chunk_turns: int = C.DEFAULT_CHUNK_TURNS,
@@ -65,11 +78,13 @@ def build_dataset(turns: DataFrame, chunk_turns: int = C.DEFAULT_CHUNK_TURNS,
     (``operators.windows.count_windows``), build messages with array
     functions, label splits from the closed-form example count.
     ``dataset_checks`` refuses an input without turns or examples (from the
-    known length, no extra job); off, it gives empty examples.
+    known length, no extra job); off, it gives empty examples.  With
+    ``partition_by``, ``rejects`` names the keys that have none.
     """
     checks.check_settings(val_ratio, test_ratio, chunk_turns=chunk_turns, prompt_turns=prompt_turns, stride=stride,
                           min_turns=min_turns)
     keys = list(partition_by or [])
+    given = turns
     # The reference re-reads turns: blank texts are dropped, fields stripped.
     turns = (turns.where(~is_blank(F.col("text")))
              .withColumn("speaker", strip(F.col("speaker"))).withColumn("text", strip(F.col("text"))))
@@ -86,7 +101,8 @@ def build_dataset(turns: DataFrame, chunk_turns: int = C.DEFAULT_CHUNK_TURNS,
         total = layout_columns(F.col("timeline_turns"), chunk_turns, stride, min_turns)["windows"]
         train_n, val_n, _ = split_sizes(total, val_ratio, test_ratio)
         ex = ex.withColumn("split", split_label(F.col("chunk_index"), train_n, val_n)).drop("timeline_turns")
-        return Dataset(indexed, None, windows, ex, stats)
+        rejects = key_rejects(given, keys, chunk_turns, stride, min_turns, val_ratio, test_ratio)
+        return Dataset(indexed, None, windows, ex, stats, rejects)
     n = total
     if dataset_checks:
         checks.check_sizes(n, layout(n, chunk_turns, stride, min_turns).windows)

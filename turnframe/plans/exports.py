@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators.assemble import assemble_messages, parse_export_text
-from ..operators.clean import clean_turns, parse_counters
+from ..operators.clean import clean_turns, counter_columns, parse_counters, with_drop_reason
+from ..session import materialize
 from ..sources.exports import _is_file, count_input_files, export_index, read_export_lines
+from ..sources.sinks import write_turns
 
 WHOLE_FILE_LIMIT = 64 << 20
 
@@ -77,6 +79,27 @@ def parse_exports(spark: SparkSession, path: str, exclude_speakers=tuple(C.DEFAU
     return ParsedExports(n_files, messages, turns, counters, rejects)
 
 
+def write_parsed(messages: DataFrame, out_dir: str, input_files: int | None = None,
+                 exclude_speakers=tuple(C.DEFAULT_EXCLUDE_SPEAKERS), drop_system: bool = False, drop_media: bool = False,
+                 strip_edits: bool = False, minimal: bool = False) -> DataFrame:
+    """Writes the kept turns (S-7) and returns the counters row (A-3) of that
+    same run: the messages are parsed and classified once.
+
+    The counters are metrics observed on the rows as they are staged.  The
+    staging is a plain write without a shuffle behind the metrics, so each
+    task's rows count once, however often a task runs; the sorted output is
+    written from the staged rows."""
+    tagged = with_drop_reason(messages, exclude_speakers, drop_system, drop_media, strip_edits)
+    seen = Observation()
+    staged = materialize(tagged.observe(seen, *counter_columns()), "tagged")
+    kept = staged.where(F.col("drop_reason").isNull()).withColumn("text", F.col("clean_text"))
+    write_turns(kept, out_dir, minimal=minimal)
+    if input_files is None:
+        input_files = staged.select("source_path").distinct().count()
+    found = {"input_files": input_files, **seen.get}
+    return messages.sparkSession.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
+
+
 def header_rejects(messages: DataFrame) -> DataFrame:
     """Messages parsed with ``on_bad='quarantine'`` whose header date does
     not exist."""

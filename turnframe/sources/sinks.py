@@ -8,11 +8,16 @@ whose concatenation in name order is the reference's file order.
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import checks
+from ..operators.ordinals import global_ordinal
 from ..session import materialize
+from .exports import read_export_lines
 
 SPLITS = ("train", "val", "test")
 
@@ -56,10 +61,47 @@ def write_stats(stats: DataFrame, out_dir: str) -> None:
     stats.coalesce(1).write.mode("overwrite").json(f"{out_dir}/split_stats")
 
 
-def append_transcript(lines: DataFrame, path: str, line_col: str = "line") -> None:
-    """S-10: append stripped non-blank lines, in transcript and line order."""
+BATCH = "batch-"
+
+
+def append_transcript(lines: DataFrame, path: str, line_col: str = "line") -> int:
+    """S-10: append stripped non-blank lines, in transcript and line order,
+    as the next numbered batch of a folder; returns its number.
+
+    The batch is written aside (readers skip names that begin with ``_``) and
+    put in place by one rename that fails if the number is taken, so a batch
+    is there whole or not at all, and appenders at the same time get numbers
+    of their own.  Part files in name order are the append order."""
+    spark = lines.sparkSession
     order = [c for c in ("transcript_id", "line_no") if c in lines.columns]
-    lines.orderBy(*order).select(F.col(line_col).alias("value")).write.mode("append").text(path)
+    aside = f"{path}/_append-{uuid.uuid4().hex}"
+    lines.orderBy(*order).select(F.col(line_col).alias("value")).write.text(aside)
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.FileContext.getFileContext(hadoop.Path(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    while True:
+        number = 1 + max(_batches(spark, path), default=0)
+        try:
+            files.rename(hadoop.Path(aside), hadoop.Path(f"{path}/{BATCH}{number:010d}"), no_options)
+            return number
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(hpath)] if fs.exists(hpath) else []
+    return [int(n[len(BATCH):]) for n in names if n.startswith(BATCH)]
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """``(position, line)`` of all lines appended to a folder, numbered from
+    0 in append order."""
+    lines = read_export_lines(spark, path, glob=None)
+    numbered, _ = global_ordinal(lines, ["source_path", "line_no"], "position", label="appended")
+    return numbered.select("position", F.col("value").alias("line"))
 
 
 def verify_counts(spark: SparkSession, out_dir: str) -> DataFrame:
