@@ -32,7 +32,8 @@ from turnframe.operators.windows import count_windows, window_members  # noqa: E
 from turnframe.plans.dataset import build_dataset, export_turns, path_order  # noqa: E402
 from turnframe.operators.chat import context_lines, generated_lines, inference_prompts, line_counts, tag_lines  # noqa: E402
 from turnframe.operators.render import TOKEN_REGEX, render_chat, text_tokens  # noqa: E402
-from turnframe.plans.exports import header_rejects  # noqa: E402
+from turnframe.functions.timestamps import is_aware, iso_sort_key  # noqa: E402
+from turnframe.plans.exports import header_rejects, parse_exports, write_parsed  # noqa: E402
 from turnframe.session import checkpoint_root  # noqa: E402
 from turnframe.sources import sinks  # noqa: E402
 from turnframe.sources.exports import explode_lines, read_chat_dataset, read_jsonl_lines  # noqa: E402
@@ -363,7 +364,50 @@ def q_append_transcript(spark, d):
     path, lines = _folder(spark, "transcript"), _context(spark, d)
     sinks.append_transcript(lines, path)
     sinks.append_transcript(lines, path)
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+    return sinks.read_appended(spark, path).groupBy("line").agg(F.count("*").alias("n"))
+
+
+def q_append_order(spark, d):
+    """Three appends to one transcript folder, read back in their order."""
+    path, lines = _folder(spark, "transcript"), _context(spark, d)
+    for k in range(3):
+        sinks.append_transcript(lines.where(F.col("transcript_id") % 3 == k), path)
+    return sinks.read_appended(spark, path)
+
+
+def q_parse_with_counters(spark, d):
+    """The counters of the run that wrote the turns, and the turns read."""
+    path = _folder(spark, "turns")
+    counters = write_parsed(_messages(spark, d), path, **README_FLAGS)
+    read = turns_from_json(read_jsonl_lines(spark, path)).agg(F.count("*").alias("turns_read"))
+    return counters.join(F.broadcast(read))  # two rows of totals
+
+
+def q_parse_routes(spark, d):
+    """Real files of several messages, read whole and line by line."""
+    path = _folder(spark, "exports")
+    fx.fx_route_files(spark, d).repartition("file").write.partitionBy("file").text(path)
+    out = None
+    for route in ("whole", "lines"):
+        m = parse_exports(spark, path, route=route).messages.withColumn("route", F.lit(route))
+        out = m if out is None else out.unionByName(m)
+    folder = F.element_at(F.split("source_path", "/"), -2)
+    return out.select("route", folder.alias("folder"), "line_start", "timestamp", "speaker", "text")
+
+
+def q_iso_times(spark, d):
+    """Sort keys of times in all ISO forms."""
+    key = iso_sort_key(F.col("value"))
+    return fx.fx_iso_times(spark, d).select(
+        "event_id", F.date_format(key, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("sort_key"),
+        F.when(key.isNotNull(), is_aware(F.col("value"))).alias("aware"))
+
+
+def q_per_key_rejects(spark, d):
+    """Users without a turn or an example, from the dataset of every user."""
+    ds = build_dataset(fx.fx_key_events(spark, d), chunk_turns=64, prompt_turns=16, stride=8, min_turns=60,
+                       partition_by=["user_id"], tiebreak=["event_id"])
+    return ds.rejects
 
 
 def q_read_chat_dataset(spark, d):
@@ -454,6 +498,11 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "verify_counts": q_verify_counts,
         "verify_counts_empty_splits": q_verify_counts_empty_splits,
         "append_transcript": q_append_transcript,
+        "append_order": q_append_order,
+        "parse_with_counters": q_parse_with_counters,
+        "parse_routes": q_parse_routes,
+        "iso_times": q_iso_times,
+        "per_key_rejects": q_per_key_rejects,
         "read_chat_dataset": q_read_chat_dataset,
         "quarantine_headers": q_quarantine_headers,
         "quarantine_json": q_quarantine_json,
@@ -561,7 +610,7 @@ def library_oracles() -> dict[str, str]:
               trim(body, {ws}) AS text,
               CASE sel WHEN 5 THEN 'unknown' WHEN 6 THEN 'None' ELSE source_file END AS source_file,
               CAST(CASE sel WHEN 4 THEN 0 ELSE turn END AS BIGINT) AS line_start,
-              CAST(conv_id * 8 + turn + 1 AS BIGINT) AS input_line
+              CAST(conv_id * 16 + turn + 1 AS BIGINT) AS input_line
             FROM j WHERE sel NOT IN (0, 1, 2) AND length(trim(body, {ws})) > 0""",
         "context_lines": ctx + " SELECT transcript_id, line_no, line FROM ctx_lines",
         "inference_prompts": ctx + f""",
@@ -618,7 +667,7 @@ def _file_oracles(msgs: str, win: str, ex: str, split: str, ctx: str) -> dict[st
     """Round trips give what was written, rejects what was spoiled."""
     ws = O.WS_SQL
     json_rows = _with(O.FX_ROWS) + f""",
-            j AS (SELECT *, (conv_id + turn) % 11 AS sel, CAST(conv_id * 8 + turn + 1 AS BIGINT) AS input_line FROM fx_rows),
+            j AS (SELECT *, (conv_id + turn) % 11 AS sel, CAST(conv_id * 16 + turn + 1 AS BIGINT) AS input_line FROM fx_rows),
             good AS (SELECT input_line, ts, speaker, trim(body, {ws}) AS text,
                        CASE sel WHEN 5 THEN 'unknown' WHEN 6 THEN 'None' ELSE source_file END AS source_file,
                        CASE sel WHEN 4 THEN 0 ELSE turn END AS line_start
@@ -636,6 +685,19 @@ def _file_oracles(msgs: str, win: str, ex: str, split: str, ctx: str) -> dict[st
         "verify_counts_empty_splits": msgs + win + counts.format(x="w.chunk_index")
         + "LEFT JOIN w_win w ON s.split = 'train' GROUP BY s.split",
         "append_transcript": ctx + " SELECT line, CAST(2 * count(*) AS BIGINT) AS n FROM ctx_lines GROUP BY line",
+        "append_order": ctx + """ SELECT CAST(row_number() OVER (ORDER BY transcript_id % 3, transcript_id, line_no) - 1 AS BIGINT) AS position, line
+            FROM ctx_lines""",
+        "parse_with_counters": msgs + """
+            SELECT CAST(count(DISTINCT source_file) AS BIGINT) AS input_files, count(*) AS raw_messages,
+              count(*) FILTER (WHERE drop_reason = 'speaker') AS dropped_speaker,
+              count(*) FILTER (WHERE drop_reason = 'system') AS dropped_system,
+              count(*) FILTER (WHERE drop_reason = 'media') AS dropped_media,
+              count(*) FILTER (WHERE drop_reason IS NULL) AS written, CAST(0 AS BIGINT) AS bad_timestamps,
+              count(*) FILTER (WHERE drop_reason IS NULL AND length(clean_text) > 0) AS turns_read
+            FROM fx_reason""",
+        "iso_times": O.ISO_TIMES,
+        "per_key_rejects": O.KEY_REJECTS,
+        "parse_routes": _with(O.FX_ROWS) + O.PARSE_ROUTES,
         "read_chat_dataset": """
             SELECT CASE WHEN conv_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split,
               string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
@@ -644,7 +706,7 @@ def _file_oracles(msgs: str, win: str, ex: str, split: str, ctx: str) -> dict[st
             SELECT 'exports/conv_' || CAST(conv_id AS VARCHAR) || '/turn_' || CAST(turn AS VARCHAR) || '.txt' AS source_path,
                    CAST(2 AS BIGINT) AS line_start, speaker, body AS text FROM fx_msgs WHERE (conv_id + turn) % 29 = 0""",
         "quarantine_json": _with(O.FX_ROWS) + """,
-            k AS (SELECT CAST(1000000000 + conv_id * 8 + turn AS BIGINT) AS input_line, (conv_id * 3 + turn) % 13 AS kind FROM fx_rows)
+            k AS (SELECT CAST(1000000000 + conv_id * 8 + turn AS BIGINT) AS input_line, (conv_id * 3 + turn) % 13 AS kind FROM conversations)
             SELECT input_line, CASE kind WHEN 0 THEN 'not JSON' WHEN 1 THEN 'not an object'
               WHEN 2 THEN 'source_file is no plain value' ELSE 'line_start is no integer of 64 bits' END AS reject
             FROM k WHERE kind <= 4""",

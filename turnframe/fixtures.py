@@ -26,24 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fx_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One synthetic chat message per conversation row, with injected
-    system/media/edit/blank cases and timestamp ties across files."""
+    """One synthetic chat message per conversation row, with its whole text
+    (turn 2k), and after some of them an injected system, media or blank
+    message (turn 2k + 1); edit markers, and timestamp ties across files."""
     c = table(spark, sf_dir, "conversations")
     sel = (F.col("conv_id") * 7 + F.col("turn")) % 23
-    body = (F.when(sel == 1, F.lit("image omitted"))
-            .when(sel == 2, F.lit("Sam left"))
-            .when(sel == 3, F.concat(F.col("text"), F.lit(" <This message was edited>")))
-            .when(sel == 4, F.lit("This message was deleted."))
-            .when(sel == 5, F.lit("   "))
-            .otherwise(F.col("text")))
-    minutes = F.expr("((conv_id div 4) * 10 + turn) div 2 * 37")
+    body = F.when(sel == 3, F.concat(F.col("text"), F.lit(" <This message was edited>"))).otherwise(F.col("text"))
+    more = (F.when(sel == 1, F.lit("image omitted")).when(sel == 2, F.lit("Sam left"))
+            .when(sel == 4, F.lit("This message was deleted.")).when(sel == 5, F.lit("   ")))
+    rows = F.array(F.struct((F.col("turn") * 2).alias("turn"), body.alias("body")),
+                   F.struct((F.col("turn") * 2 + 1).alias("turn"), more.alias("body")))
+    c = c.select("conv_id", "role", F.inline(rows)).where("turn % 2 = 0 or body is not null")
+    minutes = F.expr("((conv_id div 4) * 20 + turn) div 2 * 37")
     return c.select(
         "conv_id", "turn",
         F.concat(F.lit("chat_"), (F.col("conv_id") % 4).cast("string"), F.lit(".txt")).alias("source_file"),
         F.timestamp_add("MINUTE", minutes, F.lit("2023-01-01 00:00:00").cast("timestamp_ntz")).alias("ts"),
         F.when((F.col("conv_id") + F.col("turn")) % 17 == 0, F.lit("Meta AI"))
          .otherwise(F.concat(F.col("role"), F.lit("_"), (F.col("conv_id") % 5).cast("string"))).alias("speaker"),
-        body.alias("body"),
+        "body",
     )
 
 
@@ -116,7 +117,7 @@ def fx_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     js = F.regexp_replace(js, '"' + null_tok + '"', "null")
     js = F.regexp_replace(js, '"' + num_tok + '"', "123")
     js = F.when(sel == 3, js).otherwise(F.regexp_replace(js, '"line_start":"([0-9]+)"', '"line_start":$1'))
-    return r.select((F.col("conv_id") * 8 + F.col("turn") + 1).alias("line_no"), js.alias("value"))
+    return r.select((F.col("conv_id") * 16 + F.col("turn") + 1).alias("line_no"), js.alias("value"))
 
 
 def fx_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,3 +173,51 @@ def fx_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(
         "conv_id",
         F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
+
+
+def fx_key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_events`` with their user; every 50th user has blank texts only."""
+    user = table(spark, sf_dir, "events").select("event_id", "user_id")
+    ev = fx_events(spark, sf_dir).drop("ts").join(user, "event_id")
+    return ev.withColumn("text", F.when(F.col("user_id") % 50 == 0, F.lit(" \t")).otherwise(F.col("text")))
+
+
+def fx_iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(event_id, value)``: event times written in the forms that ISO 8601
+    allows, by ``event_id % 12``; the last three are no such form."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    day = F.col("ts").cast("date")
+    thursday = F.date_add(day, 3 - F.weekday(day))
+    week = F.concat(F.date_format(thursday, "yyyy"), F.lit("{}W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))
+    in_week = lambda dash: F.regexp_replace(week, r"\{\}", dash)
+    number = (F.weekday(day) + 1).cast("string")
+    form = lambda pattern: F.date_format("ts", pattern)
+    forms = [form("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), form("yyyyMMdd'T'HHmmss"),
+             F.concat(in_week("-"), F.lit("-"), number, form("'T'HH:mm")),
+             F.concat(in_week(""), number, form(" HHmmss.SSSSSS"), F.lit("789")), form("yyyy-MM-dd"), in_week("-"),
+             form("yyyy-MM-dd HH:mm:ss'Z'"), form("yyyyMMdd'x'HHmmss'+02:00'"), form("yyyy-MM-dd'T'HH:mm:ss,SSS'-0530'"),
+             form("yyyy-MM"), F.concat(in_week("-"), F.lit("-8")), form("yyyy-MM-dd'T'25:mm")]
+    return e.select("event_id", F.get(F.array(*forms), (F.col("event_id") % 12).cast("int")).alias("value"))
+
+
+CONVS_PER_FILE = 8
+
+
+def fx_route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export files ``(file, content)`` of several messages each, those of
+    ``CONVS_PER_FILE`` conversations, by ``file % 6``: 0 line feeds, 1 CRLF, 2 CR,
+    3 a byte order mark, 4 a byte order mark and a direction mark (the first
+    header has two marks, so it is none), 5 a byte that is no UTF-8 after the
+    first message.  0, 1, 2 and 5 begin with a preamble line."""
+    r = fx_rows(spark, sf_dir).withColumn("file", F.expr(f"conv_id div {CONVS_PER_FILE}"))
+    header = F.concat(F.lit("["), F.date_format("ts", "M/d/yy, HH:mm:ss"), F.lit("] "), F.col("speaker"), F.lit(": "), F.col("body"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", header.alias("m")))), lambda x: x["m"])
+    files = r.groupBy("file").agg(parts.alias("m")).withColumn("kind", F.col("file") % 6)
+    text = F.array_join("m", "\n")
+    bad = F.expr("cast(x'ff' as string)")
+    spoiled = F.concat(F.get("m", F.lit(0)), bad, F.when(F.size("m") > 1, F.lit("\n")).otherwise(F.lit("")),
+                       F.array_join(F.slice("m", 2, F.greatest(F.size("m"), F.lit(1))), "\n"))
+    content = (F.when(F.col("kind") == 3, F.concat(F.lit("\ufeff"), text)).when(F.col("kind") == 4, F.concat(F.lit("\ufeff\u200e"), text))
+               .otherwise(F.concat(F.lit(PREAMBLE + "\n"), F.when(F.col("kind") == 5, spoiled).otherwise(text))))
+    end = F.when(F.col("kind") == 1, F.lit("\r\n")).when(F.col("kind") == 2, F.lit("\r")).otherwise(F.lit("\n"))
+    return files.select("file", F.replace(content, F.lit("\n"), end).alias("content"))

@@ -41,14 +41,14 @@ def trim_ws(expr: str) -> str:
 
 FX_ROWS = """
 fx_rows AS (
-  SELECT conv_id, turn, role, text AS orig_text,
+  SELECT conv_id, 2 * turn + k AS turn, role, text AS orig_text,
     'chat_' || CAST(conv_id % 4 AS VARCHAR) || '.txt' AS source_file,
-    TIMESTAMP '2023-01-01 00:00:00' + to_minutes(CAST((((conv_id // 4) * 10 + turn) // 2) * 37 AS BIGINT)) AS ts,
-    CASE WHEN (conv_id + turn) % 17 = 0 THEN 'Meta AI' ELSE role || '_' || CAST(conv_id % 5 AS VARCHAR) END AS speaker,
-    CASE (conv_id * 7 + turn) % 23 WHEN 1 THEN 'image omitted' WHEN 2 THEN 'Sam left'
-      WHEN 3 THEN text || ' <This message was edited>' WHEN 4 THEN 'This message was deleted.'
-      WHEN 5 THEN '   ' ELSE text END AS body
-  FROM conversations)"""
+    TIMESTAMP '2023-01-01 00:00:00' + to_minutes(CAST((((conv_id // 4) * 20 + 2 * turn + k) // 2) * 37 AS BIGINT)) AS ts,
+    CASE WHEN (conv_id + 2 * turn + k) % 17 = 0 THEN 'Meta AI' ELSE role || '_' || CAST(conv_id % 5 AS VARCHAR) END AS speaker,
+    CASE WHEN k = 0 THEN CASE WHEN sel = 3 THEN text || ' <This message was edited>' ELSE text END
+      ELSE CASE sel WHEN 1 THEN 'image omitted' WHEN 2 THEN 'Sam left' WHEN 4 THEN 'This message was deleted.' ELSE '   ' END END AS body
+  FROM (SELECT conv_id, turn, role, text, (conv_id * 7 + turn) % 23 AS sel, unnest([0, 1]) AS k FROM conversations) c
+  WHERE k = 0 OR sel IN (1, 2, 4, 5))"""
 
 FX_MSGS = FX_ROWS + """,
 fx_msgs AS (
@@ -216,3 +216,24 @@ def windows_by_key_cte(name: str, turns: str, key: str, idx: str, chunk: int, st
   SELECT {key}, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(start_idx AS BIGINT) AS start_turn_index,
     CAST(least({chunk}, n - start_idx) AS BIGINT) AS n_turns
   FROM (SELECT * FROM {name}_regk UNION ALL SELECT * FROM {name}_tail) w)"""
+
+
+ISO_TIMES = """
+WITH k AS (SELECT event_id, CASE event_id % 12 WHEN 0 THEN ts WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('minute', ts)
+    WHEN 3 THEN ts WHEN 4 THEN date_trunc('day', ts) WHEN 5 THEN date_trunc('week', ts) WHEN 6 THEN date_trunc('second', ts)
+    WHEN 7 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 8 THEN date_trunc('millisecond', ts) + INTERVAL 330 MINUTE END AS t FROM events)
+SELECT event_id, strftime(CAST(t AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.%f') AS sort_key, event_id % 12 IN (6, 7, 8) AS aware FROM k
+WHERE event_id % 12 < 9 UNION ALL SELECT event_id, NULL, NULL FROM k WHERE event_id % 12 >= 9"""
+
+KEY_REJECTS = """
+WITH n AS (SELECT user_id, count(*) FILTER (WHERE user_id % 50 <> 0 AND length(trim(props)) > 0) AS n FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN n = 0 THEN 'no turns' ELSE 'no examples' END AS reason FROM n WHERE n < 60"""
+
+PARSE_ROUTES = """,
+f AS (SELECT *, conv_id // 8 AS file, row_number() OVER (PARTITION BY conv_id // 8 ORDER BY conv_id, turn) AS nth,
+        len(string_split(body, chr(10))) AS nl FROM fx_rows),
+g AS (SELECT *, CASE WHEN file % 6 IN (3, 4) THEN 1 ELSE 2 END + coalesce(sum(nl) OVER (PARTITION BY file ORDER BY conv_id, turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_start FROM f)
+SELECT route, 'file=' || CAST(file AS VARCHAR) AS folder, CAST(line_start AS BIGINT) AS line_start, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp,
+  speaker, body || CASE WHEN file % 6 = 5 AND nth = 1 THEN chr(65533) ELSE '' END AS text
+FROM g, (VALUES ('whole'), ('lines')) r(route) WHERE NOT (file % 6 = 4 AND nth = 1)"""
