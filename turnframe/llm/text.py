@@ -8,6 +8,7 @@ word windows work on integer arrays instead of on Python strings.
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,12 @@ def pieces(batches, text_at: int, target: int = CHUNK_BYTES) -> Iterator[pa.Reco
     give_back()
 
 
+def worker_cache(name: str) -> dict:
+    """A dictionary of this Python process that its later tasks find again
+    (task functions come with module variables of their own)."""
+    return sys.__dict__.setdefault("_turnframe_cache", {}).setdefault(name, {})
+
+
 def give_back() -> None:
     """Returns this process's freed memory to the system, where the C library
     can."""

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .idcoder import VOCABULARY, decode_blocks, encode_blocks
 from .staging import checkpoint_root, materialize, texts
-from .text import pieces
+from .text import give_back, pieces, worker_cache
 
 BLOCK_IDS = 2048
 LANES = 4096
@@ -108,16 +108,13 @@ class TextEncoder:
         return out
 
 
-_ENCODERS: dict[int, TextEncoder] = {}
-
-
 def _encoder(tokenizer_json: str) -> TextEncoder:
     """One encoder a worker process, kept over tasks."""
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = TextEncoder(tokenizer_json)
-    return _ENCODERS[key]
+    encoders, key = worker_cache("encoder"), zlib.crc32(tokenizer_json.encode())
+    if key not in encoders:
+        encoders.clear()
+        encoders[key] = TextEncoder(tokenizer_json)
+    return encoders[key]
 
 
 class _PartWriter:
@@ -225,6 +222,7 @@ def _read(lanes, with_ids):
                     yield rows()
         if held:
             yield rows()
+        give_back()
     return run
 
 
@@ -242,17 +240,26 @@ def _gf2_times(matrix: list[int], vector: int) -> int:
     return total
 
 
+def _zero_bytes() -> list[list[int]]:
+    """The maps that move a crc32 on by 1, 2, 4, ... zero bytes."""
+    move, out = [0xEDB88320] + [1 << i for i in range(31)], []  # one zero bit
+    for k in range(3 + 48):
+        if k >= 3:
+            out.append(move)
+        move = [_gf2_times(move, x) for x in move]
+    return out
+
+
+_MOVES = _zero_bytes()
+
+
 def join_crc32(a: int, b: int, size_b: int) -> int:
     """crc32 of two byte strings one after the other, from theirs and the
     second's length: ``a`` is moved on by that many zero bytes (a linear map
-    of its bits, applied by repeated squaring)."""
-    move = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
-    bits = size_b * 8
-    while bits:
-        if bits & 1:
-            a = _gf2_times(move, a)
-        move = [_gf2_times(move, x) for x in move]
-        bits >>= 1
+    of its bits)."""
+    for k in range(size_b.bit_length()):
+        if size_b >> k & 1:
+            a = _gf2_times(_MOVES[k], a)
     return a ^ b
 
 
