@@ -47,6 +47,31 @@ def test_trie_file(tmp_path):
     assert t.pair_value.tolist() == [10, 11, 12]
 
 
+def test_pairs_are_found_through_the_pointers():
+    rng = np.random.default_rng(7)
+    n = 400
+    parent = np.sort(rng.integers(0, n, 3000))
+    code = rng.integers(0, 1 << 32, 3000).astype(np.uint64)
+    order = np.lexsort((code, parent))
+    parent, code = parent[order], code[order]
+    new = np.append(True, (parent[1:] != parent[:-1]) | (code[1:] != code[:-1]))
+    parent, code = parent[new], code[new]
+    words = np.unique(rng.integers(0, 1 << 48, 4 * n).astype(np.uint64))[:n]
+    t = NgramTrie(NgramTrie.build(words, 48, np.zeros(n), parent, code, np.arange(len(code))))
+    at = np.concatenate([np.arange(n), np.full(5, -1)])
+    for c in (code, rng.integers(0, 1 << 32, 200).astype(np.uint64)):
+        w = rng.choice(at, len(c))
+        where = {(int(p), int(x)): i for i, (p, x) in enumerate(zip(parent, code))}
+        assert t.find_pairs(w, c).tolist() == [where.get((int(a), int(b)), -1) for a, b in zip(w, c)]
+    assert t.find_pairs(parent, code).tolist() == list(range(len(code)))
+    # level 2 holds relative codes: without the right span a pair is not there
+    moved = t.pointers
+    t.pointers, _ = EliasFano.view(EliasFano.encode(np.minimum(moved.values() + np.uint64(1), np.uint64(len(code))), len(code) + 1).to_bytes())
+    assert (t.find_pairs(parent, code) == np.arange(len(code))).mean() < 0.9
+    # a level takes little more than its low bytes and two bits a value
+    assert len(t.before.to_bytes()) < len(code) * 6
+
+
 @pytest.mark.parametrize("shard_tokens", [250_000, 40])
 def test_language_model(make_docs, shard_tokens):
     rng = random.Random(8)

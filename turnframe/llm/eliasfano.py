@@ -44,45 +44,55 @@ class EliasFano:
         high = np.frombuffer(buf, np.uint8, size, at + 24 + n * b)
         return cls(n, b, low, high), at + 24 + n * b + size
 
-    def _parts(self):
-        """(low values, number of values before each step)."""
+    def _directory(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each value's one, number of values before each step's
+        end) in the bit vector; the low parts stay packed."""
         if self._decoded is None:
-            low = np.zeros((self.n, 8), np.uint8)
-            low[:, :self.low_bytes] = self.low_part.reshape(self.n, self.low_bytes)
-            zeros = np.flatnonzero(np.unpackbits(self.high, bitorder="little") == 0)
-            self._decoded = low.reshape(-1).view("<u8"), zeros - np.arange(len(zeros))
+            bits = np.unpackbits(self.high, bitorder="little")
+            kind = np.int32 if len(bits) < 1 << 31 else np.int64
+            zeros = np.flatnonzero(bits == 0)
+            self._decoded = np.flatnonzero(bits)[:self.n].astype(kind), (zeros - np.arange(len(zeros))).astype(kind)
         return self._decoded
 
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        """The low parts of the values at some places."""
+        out = np.zeros((len(at), 8), np.uint8)
+        out[:, :self.low_bytes] = self.low_part.reshape(self.n, self.low_bytes)[at]
+        return out.reshape(-1).view("<u8")
+
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The values at some places."""
+        ones, _ = self._directory()
+        top = (ones[at] - at).astype(U64)
+        return (top << U64(8 * self.low_bytes)) | self._low(at) if self.low_bytes < 8 else self._low(at)
+
     def values(self) -> np.ndarray:
-        low, _ = self._parts()
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
-        top = (ones - np.arange(self.n)).astype(U64)
-        return (top << U64(8 * self.low_bytes)) | low if self.low_bytes < 8 else low.copy()
-
-    def find(self, queries: np.ndarray) -> np.ndarray:
-        """Index of each query among strictly increasing values, -1 if it is
-        not there: the successor search within the step of its high part."""
-        low, before = self._parts()
+        return self.access(np.arange(self.n))
+
+    def find(self, queries: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """Index of each query among strictly increasing values, between its
+        ``lo`` and ``hi`` if they are given, or -1 if it is not there: the
+        successor search within the step of its high part."""
+        _, before = self._directory()
         queries = queries.astype(U64)
         shift = 8 * self.low_bytes
         top = (queries >> U64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(queries), np.int64)
         want = queries & U64((1 << shift) - 1) if shift < 64 else queries
         inside = top < len(before)
         t = np.where(inside, top, 0)
-        at = np.where(t > 0, before[np.maximum(t - 1, 0)], 0)
-        end = np.where(inside, np.minimum(before[t], self.n), at)
+        at = np.where(t > 0, before[np.maximum(t - 1, 0)], 0).astype(np.int64)
+        limit = np.where(inside, np.minimum(before[t], self.n), 0).astype(np.int64)
+        if lo is not None:
+            at, limit = np.maximum(at, lo), np.minimum(limit, hi)
+        end = np.maximum(limit, at)
         # halve every query's span until the first value that is not smaller
-        while True:
-            open_ = at < end
-            if not open_.any():
-                break
-            mid = (at + end) // 2
-            less = open_ & (low[np.minimum(mid, max(self.n - 1, 0))] < want)
-            end = np.where(open_ & ~less, mid, end)
-            at = np.where(less, mid + 1, at)
-        limit = np.where(inside, np.minimum(before[t], self.n), 0)
+        while len(open_ := np.flatnonzero(at < end)):
+            mid = (at[open_] + end[open_]) // 2
+            less = self._low(mid) < want[open_]
+            end[open_] = np.where(less, end[open_], mid)
+            at[open_] = np.where(less, mid + 1, at[open_])
         hit = inside & (at < limit)
-        hit[hit] = low[at[hit]] == want[hit]
+        hit[hit] = self._low(at[hit]) == want[hit]
         return np.where(hit, at, -1)
 
 
@@ -91,10 +101,12 @@ class NgramTrie:
 
     Level 1: word codes (Elias-Fano), quantised logarithms and the monotone
     pointers (Elias-Fano) to the words' spans of level 2.  Level 2: the codes
-    of the words before, relative to the word they stand under (its number in
-    front makes the whole level one increasing sequence), and quantised
-    logarithms.  All levels lie one after the other in one buffer and are read
-    in place.
+    of the words before, relative to the word they stand under: a word's codes
+    begin after the last value of the span before it, which makes the level one
+    increasing sequence (Elias-Fano) without the words in it; and quantised
+    logarithms.  A pair is found through its word's two pointers, by successor
+    search in that span alone.  All levels lie one after the other in one
+    buffer and are read in place.
     """
 
     CODE_BITS = 32
@@ -114,10 +126,15 @@ class NgramTrie:
         n = len(words)
         counts = np.bincount(parent, minlength=n) if n else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(counts)])
-        keys = (parent.astype(U64) << U64(cls.CODE_BITS)) | code.astype(U64)
+        last = np.zeros(n, U64)
+        held = counts > 0
+        if held.any():
+            last[held] = code.astype(U64)[ends[1:][held] - 1] + U64(1)
+        begin = np.concatenate([np.zeros(1, U64), np.cumsum(last, dtype=U64)])  # what the spans before take
+        relative = begin[parent] + code.astype(U64)
         return b"".join([EliasFano.encode(words, 1 << word_bits).to_bytes(),
-                         EliasFano.encode(ends, len(keys) + 1).to_bytes(),
-                         EliasFano.encode(keys, max(n, 1) << cls.CODE_BITS).to_bytes(),
+                         EliasFano.encode(ends, len(code) + 1).to_bytes(),
+                         EliasFano.encode(relative, int(begin[-1]) + 1).to_bytes(),
                          word_value.astype("<u2").tobytes(), pair_value.astype("<u2").tobytes()])
 
     @classmethod
@@ -130,11 +147,16 @@ class NgramTrie:
 
     def find_pairs(self, word: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Index in level 2 of ``code`` under each word index, or -1."""
-        known = word >= 0
-        q = (np.where(known, word, 0).astype(U64) << U64(self.CODE_BITS)) | code.astype(U64)
-        return np.where(known, self.before.find(q), -1)
+        out = np.full(len(word), -1)
+        known = np.flatnonzero(word >= 0)
+        if not self.before.n or not len(known):
+            return out
+        lo, hi = (self.pointers.access(word[known] + k).astype(np.int64) for k in (0, 1))
+        begin = np.where(lo > 0, self.before.access(np.maximum(lo - 1, 0)) + U64(1), U64(0))
+        out[known] = self.before.find(begin + code[known].astype(U64), lo, hi)
+        return out
 
     def span(self, word: int) -> tuple[int, int]:
         """Where a word's level 2 begins and ends."""
-        p = self.pointers.values()
-        return int(p[word]), int(p[word + 1])
+        a, b = self.pointers.access(np.array([word, word + 1])).tolist()
+        return a, b
