@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import materialize, texts
-from .text import ALNUM, LOWER
+from .text import ALNUM, LOWER, pieces, worker_cache
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000  # their tables take about 130 MB a worker
 CLASSES = (1, 2, 4, 8)
 _TO_WORDS = bytes(LOWER[b] if ALNUM[LOWER[b]] else 0x20 for b in range(256))
 SCHEMA = "doc_id long, n_words long, hits array<int>, items array<string>"
@@ -107,10 +107,19 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+def _tables(items: list, window: int) -> list[WuManber]:
+    """The tables of one block of items, built once a worker process."""
+    built, key = worker_cache("tables"), hashlib.sha256(repr((window, items)).encode()).digest()
+    if key not in built:
+        built.clear()
+        built[key] = build_tables(items, window)
+    return built[key]
+
+
 def _scan(shared, window):
     def run(batches):
-        tables = build_tables(shared.value, window)
-        for b in batches:
+        tables = _tables(shared.value, window)
+        for b in pieces(batches, 1):
             rows = []
             for text in b.column(1):
                 words = item_words(text.as_py())

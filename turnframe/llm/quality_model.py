@@ -7,7 +7,8 @@ expected grade and the tail probability P(grade >= 2), on which documents are
 selected.
 
 Features are presence of lower-cased words, of word shapes (letters as ``a``
-or ``A``, digits as ``0``, runs cut to three) and of a word repeated at once;
+or ``A``, digits as ``0``: the first two and last three of a word) and of a
+word repeated at once;
 shapes and repeats count in logarithmic shares of the text.  Only features of
 at least ``MIN_DOCS`` training documents whose presence departs from some grade's share
 by ``MIN_Z`` standard errors get a weight, so the many words of a long text
