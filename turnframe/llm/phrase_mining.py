@@ -24,21 +24,22 @@ one row; repeated rows count each; an empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import _STAGED
 from .staging import checkpoint_root, join_groups, materialize
-from .text import U64, Words, give_back, mix, pieces
+from .text import U64, Words, mix, pieces
 
 LONGEST = 5
 THRESHOLD = 100
 TOP = 2000
-SHARDS = 4
+SHARDS = 3
 ACTIVE_ROWS = 2_000_000
 HELD_ROWS = 1_000_000
 BYTES = 8  # of a word's fingerprint in a phrase's name
@@ -187,6 +188,7 @@ def _count_shard(shared, step: int, shards: int, longest: int):
     def run(batches):
         reached = shared.value if shared is not None else None
         counts = {k: _Counts(k) for k in range(2, longest + 1)}
+        sizes: Counter = Counter()  # word occurrences of the languages; their name is empty
         for b in pieces(batches, 1):
             lang = b.column(0).to_pylist()
             w, h, goes_on = word_stream(lang, b.column(1))
@@ -199,12 +201,18 @@ def _count_shard(shared, step: int, shards: int, longest: int):
                 word = [lang[d] + "\n" + raw[i:j].decode() for d, i, j in zip(of, a, e)]
                 yield pa.RecordBatch.from_arrays([names_of([u]), pa.array(np.zeros(len(u), np.int32)), pa.array(word), pa.array(n)],
                                                  names=["p", "start", "word", "n"])
+                for x, k in zip(lang, w.counts.tolist()):
+                    sizes[x] += k
             found = active_phrases(h, goes_on, reached, step, shards, longest) if reached is not None else all_phrases(goes_on, longest)
             for length, at, start in found:
                 start = np.full(len(at), -1, np.int32) if start is None else start
                 counts[length].add([h[at + j] for j in range(length)], start)
                 if counts[length].full():
                     yield counts[length].rows_out()
+        if sizes:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b""] * len(sizes), pa.binary()), pa.array([0] * len(sizes), pa.int32()),
+                 pa.array([x + "\n" for x in sizes]), pa.array(list(sizes.values()), pa.int64())], names=["p", "start", "word", "n"])
         for c in counts.values():
             if (rows := c.rows_out()) is not None:
                 yield rows
@@ -247,40 +255,40 @@ def count_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LO
     all word occurrences)."""
     spark = docs.sparkSession
     dealt = _deal(docs, shards)
-    total, sizes, reached = None, [], Reached([], np.zeros(0, np.int32))
-    table, step, last = None, 0, shards - 1
+    total, table, reached, step, last = None, None, Reached([], np.zeros(0, np.int32)), 0, shards - 1
     while step <= last:
         shared = spark.sparkContext.broadcast(reached) if reached is not None else None
         counted = dealt.where(F.col("shard") == step % shards).select("lang", "text") \
             .mapInArrow(_count_shard(shared, step, shards, longest), COUNTED)
-        counted = counted.groupBy("p", "start", "word").agg(F.sum("n").alias("n"))
         if reached is None:
-            counted = _activated(counted, table, step, shards)
-        counted = counted.withColumn("reach", F.lit(None).cast("int"))
-        if step < shards:
-            counted = materialize(counted, "phrase-counts")
-            words = counted.where("word is not null")
-            sizes.append(words.groupBy(F.expr("substring_index(word, '\n', size(split(word, '\n')) - 1)").alias("lang"))
-                         .agg(F.sum("n").alias("n")))
-        both = counted if total is None else total.unionByName(counted)
+            counted = _activated(counted.groupBy("p", "start", "word").agg(F.sum("n").alias("n")), table, step, shards)
+        both = counted.withColumn("reach", F.lit(None).cast("int"))
+        if total is not None:
+            both = total.unionByName(both)
         # p has one start, as its subphrases reached the threshold in one step each
         both = both.groupBy("p", "start", "word").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"))
-        both = both.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= threshold, F.lit(step))))
+        both = both.withColumn("reach", F.coalesce("reach", F.when((F.col("n") >= threshold) & (_words_in("p") > 0), F.lit(step))))
         done = F.col("start") + shards - 1 <= step
-        total = materialize(both.where(~done | (F.col("n") >= threshold)), "phrase-totals")
-        table = total.where(F.col("reach").isNotNull() & (_words_in("p") < longest)).select("p", "reach")
-        n, latest = table.agg(F.count("*"), F.max("reach")).first()
+        both = both.where(~done | (F.col("n") >= threshold) | (_words_in("p") == 0))
+        begins = F.col("reach").isNotNull() & (_words_in("p") < longest)
+        seen = Observation()
+        total = materialize(both.observe(seen, F.count(F.when(begins, 1)).alias("n"), F.max(F.when(begins, F.col("reach"))).alias("latest")),
+                            "phrase-totals")
+        table = total.where(begins).select("p", "reach")
+        n, latest = seen.get["n"], seen.get["latest"]
         last = max(shards - 1, -1 if latest is None else latest + shards)
+        reached = None
         if n <= active_rows:
             t = table.toArrow()
             reached = Reached(t.column("p").to_pylist(), t.column("reach").to_numpy())
-        else:
-            reached = None
         step += 1
-    langs = sizes[0]
-    for s in sizes[1:]:
-        langs = langs.unionByName(s)
-    return total.select("p", "word", "n"), langs.groupBy("lang").agg(F.sum("n").alias("n"))
+    langs = total.where(_words_in("p") == 0).select(_lang_of("word").alias("lang"), "n")
+    return total.where(_words_in("p") > 0).select("p", "word", "n"), langs
+
+
+def _lang_of(word: str) -> Column:
+    """The language before a word; words have no line feeds."""
+    return F.expr(f"substring_index({word}, '\n', size(split({word}, '\n')) - 1)")
 
 
 # ---------------------------------------------------------------- scores
@@ -293,9 +301,7 @@ def _parts(name: str, pairs) -> Column:
 def best_cuts(counts: DataFrame, langs: DataFrame, longest: int = LONGEST) -> DataFrame:
     """p, a, lang, n, l, r and score of the phrases of two and more words at
     their lowest-scoring cut."""
-    word = F.col("word")
-    lang = F.expr("substring_index(word, '\n', size(split(word, '\n')) - 1)")
-    first = counts.where(word.isNotNull()).select(F.col("p").alias("w"), lang.alias("lang"))
+    first = counts.where("word is not null").select(F.col("p").alias("w"), _lang_of("word").alias("lang"))
     first = join_groups(first, first.groupBy("lang").agg(F.count("*").alias("rows")).join(langs, "lang"), "lang", "rows")
     phrases = counts.where(_words_in("p") >= 2).select("p", F.col("n").alias("a"), F.substring("p", 1, BYTES).alias("w"))
     size = phrases.groupBy("w").agg(F.count("*").alias("rows"))
