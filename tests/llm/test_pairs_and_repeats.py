@@ -9,6 +9,7 @@ import pytest
 
 from corpus_texts import words
 from turnframe.llm import jaccard_join as J
+from turnframe.llm import substring_dedup as D
 from turnframe.llm.components import connected_components
 from turnframe.llm.decontaminate import find_contamination, item_words
 from turnframe.llm.substring_dedup import remove_repeats
@@ -147,6 +148,27 @@ def test_repeats(make_docs):
     assert out[2]["spans"] == [0, 55] and sum(e[1] for e in expect) > 500
 
 
+def test_tree_nodes():
+    """Nodes of every depth: all suffixes with one beginning, found among
+    sorted neighbours."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        words = rng.integers(0, 3, (rng.integers(0, 60), 5)).astype(">u2")
+        words = words[np.lexsort(words.T[::-1])] if len(words) else words
+        common = D.common_prefixes(words)
+        rows = [tuple(w) for w in words.tolist()]
+        for depth in range(1, 6):
+            first, end = D.tree_nodes(common, depth)
+            groups = {}
+            for i, w in enumerate(rows):
+                groups.setdefault(w[:depth], []).append(i)
+            assert list(zip(first.tolist(), end.tolist())) == sorted((g[0], g[-1] + 1) for g in groups.values() if len(g) > 1)
+    h = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+    numbers = D.word_numbers(h)
+    got = D.suffix_words(numbers, np.array([0, 7]), 13).to_pylist()
+    assert got == [numbers[k:k + 13].tobytes() for k in (0, 7)] and D.suffix_words(numbers, np.zeros(0, int), 13).to_pylist() == []
+
+
 def test_repeats_of_repeated_ids(spark):
     rng = random.Random(11)
     a, b, c = words(rng, 30), words(rng, 20), words(rng, 25)

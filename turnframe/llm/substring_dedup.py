@@ -1,22 +1,23 @@
 """Removal of word passages that an earlier document already has.
 
-The index is a sparse set of word suffixes, cut into parts by prefix.  It
-stands for the deep nodes of a suffix tree; no tree is built and suffixes are
-not sorted by their words: windows are grouped by fingerprints.
+Prefix-partitioned suffix trees, without the suffixes that would hang alone:
 
 1. Documents equal word for word to one with a smaller id are settled at once.
 2. Sampling: among the ``PREFIX``-word prefixes that begin inside a window of
    ``WINDOW`` words, the one of smallest hash is sampled.  Equal windows sample
    equal prefixes, so a suffix whose sampled prefixes are in no second document
    would hang alone in the tree and is left out.
-3. Suffixes that are left get a path code, whose leading bits are the
-   fingerprints of their first 4, then 8, then all 13 words, so suffixes of one
-   beginning lie together.  Range partitioning cuts the codes into parts of
-   about ``GROUP_ROWS`` suffixes, at bounds on the fingerprints' bits.
-4. Each part is read in order; suffixes with one path of 13 words are those
-   below a node of that depth.  The smallest document keeps its window, all
-   others lose theirs.  The union of a document's lost windows are
-   its maximal repeated spans.
+3. Suffixes that are left carry their first ``WINDOW`` words as numbers of 16
+   bits.  They are cut at prefixes of as many words as it takes (the bounds of
+   a range partition over these word sequences) into groups of about
+   ``GROUP_ROWS`` suffixes, and each group is sorted by its words.
+4. A group's sorted suffixes and the common prefixes of neighbours are its
+   subtree: a node is a longest run of suffixes that have its depth in words in
+   common.  Below the window no depth is looked at.  The nodes of the window's
+   depth are the deep ones (told apart by a 64-bit fingerprint, too); of the
+   suffixes below one, the smallest document keeps its words, all others lose
+   theirs.  Neighbouring lost windows of a document, put together, are its
+   maximal repeated spans, of any length.
 
 Within a task, occurrences of a prefix or window in several documents are
 settled there, and one row a task goes on, so a passage of very many documents
@@ -35,11 +36,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import keyed, materialize, texts
-from .text import U64, Words, cover, mix, pieces, window_starts, windows
+from .text import U64, Words, cover, give_back, mix, pieces, window_starts, windows
 
 WINDOW = 13
 PREFIX = 7
@@ -135,13 +137,13 @@ def _whole_groups(batches, n_keys: int):
     for b in batches:
         if not b.num_rows:
             continue
-        keys = [b.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)]
         new = np.zeros(b.num_rows, bool)
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
+        for i in range(n_keys):
+            k = b.column(i)
+            new[1:] |= np.asarray(pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False), bool)
         if held:
             end = held[-1].slice(held[-1].num_rows - 1)
-            new[0] = any(end.column(i)[0].as_py() != int(k[0]) for i, k in enumerate(keys))
+            new[0] = any(end.column(i)[0].as_py() != b.column(i)[0].as_py() for i in range(n_keys))
         at = np.flatnonzero(new)
         if len(at):
             cut = int(at[-1])
@@ -167,15 +169,35 @@ def _shared_prefixes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(doc[give]), pa.array(pos.astype(np.int32))], names=["row", "pos"])
 
 
-def path_codes(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(path code, fingerprint of all words) of the window at each position;
-    the code's bits are 20 for 4 words, 20 for 8 and 24 for the window."""
-    whole = windows(h, window)
-    n = len(whole)
-    short, mid = min(4, window), min(8, window)
-    a, b = windows(h, short)[:n], windows(h, mid)[:n]
-    code = (a >> U64(44) << U64(44)) | (b >> U64(44) << U64(24)) | (whole >> U64(40))
-    return code, whole
+def word_numbers(h: np.ndarray) -> np.ndarray:
+    """16 bits for every word; big-endian, so bytes sort as numbers."""
+    return (mix(h ^ U64(0x71C9B8F0A53D2E17)) >> U64(48)).astype(">u2")
+
+
+def suffix_words(numbers: np.ndarray, at: np.ndarray, window: int) -> pa.Array:
+    """The first words of the suffixes from each place on, as bytes."""
+    raw = np.stack([numbers[at + j] for j in range(window)], 1).astype(">u2")  # stack gives native numbers
+    kind = pa.binary(2 * window)
+    return pa.FixedSizeBinaryArray.from_buffers(kind, len(at), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
+def common_prefixes(words: np.ndarray) -> np.ndarray:
+    """Words that each row of sorted suffixes has in common with the row
+    before (0 for the first)."""
+    out = np.zeros(len(words), np.int64)
+    if len(words) > 1:
+        differs = words[1:] != words[:-1]
+        out[1:] = np.where(differs.any(1), differs.argmax(1), words.shape[1])
+    return out
+
+
+def tree_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last + 1) rows below each node of two suffixes or more that
+    have ``depth`` words in common."""
+    joined = common >= depth
+    first = np.flatnonzero(~joined & np.append(joined[1:], False))
+    last = np.flatnonzero(joined & ~np.append(joined[1:], False)) + 1
+    return first, last
 
 
 def _suffix_rows(window, row_is_id):
@@ -186,7 +208,7 @@ def _suffix_rows(window, row_is_id):
             w = Words(b.column(1))
             n = len(w)
             h = w.hashes()
-            code, whole = path_codes(h, window)
+            whole, numbers = windows(h, window), word_numbers(h)
             marks = np.zeros(n + 1, np.int64)
             lists = b.column(2)
             counts = np.diff(lists.offsets.to_numpy())
@@ -206,7 +228,7 @@ def _suffix_rows(window, row_is_id):
             lost = doc > lowest
             go = ~lost
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code[i][go].view(np.int64)), pa.array(whole[i][go].view(np.int64)), pa.array(row[go]),
+                [suffix_words(numbers, i[go], window), pa.array(whole[i][go].view(np.int64)), pa.array(row[go]),
                  pa.array(pos[go].astype(np.int32)), pa.nulls(int(go.sum()), pa.list_(pa.int32())),
                  pa.nulls(int(go.sum()), pa.int64()) if row_is_id else pa.array(doc[go])], names=_SUFFIX)
             # windows settled in this task: one line for each row of the table
@@ -217,24 +239,32 @@ def _suffix_rows(window, row_is_id):
                 offsets = np.append(start, len(at)).astype(np.int32)
                 m = len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(names[rows]), pa.nulls(m, pa.int32()),
+                    [pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(names[rows]), pa.nulls(m, pa.int32()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[at].astype(np.int32))), pa.nulls(m, pa.int64())],
                     names=_SUFFIX)
     return run
 
 
-_SUFFIX = ["code", "path", "row", "pos", "lost", "doc_id"]  # no doc_id where it is the row
+_SUFFIX = ["words", "path", "row", "pos", "lost", "doc_id"]  # no doc_id where it is the row
 
 
-def _lost_leaves(batches):
+def _lost_leaves(window):
     """Suffixes below a deep node whose document is not the node's smallest."""
-    for b in _whole_groups(batches, 2):
-        code, path, row, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        doc = b.column(4).to_numpy(zero_copy_only=False) if b.num_columns > 4 else row
-        edge = np.ones(len(code), bool)
-        edge[1:] = (code[1:] != code[:-1]) | (path[1:] != path[:-1])
-        lost = doc > doc[np.flatnonzero(edge)][np.cumsum(edge) - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(row[lost]), pa.array(pos[lost])], names=["row", "pos"])
+    def run(batches):
+        for b in _whole_groups(batches, 2):
+            raw = b.column(0).cast(pa.binary(2 * window))
+            words = np.frombuffer(raw.buffers()[1], ">u2")[raw.offset * window:][:len(raw) * window].reshape(-1, window)
+            path, row, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            doc = b.column(4).to_numpy(zero_copy_only=False) if b.num_columns > 4 else row
+            common = common_prefixes(words)
+            common[1:][path[1:] != path[:-1]] = np.minimum(common[1:][path[1:] != path[:-1]], window - 1)
+            first, end = tree_nodes(common, window)
+            below = end - first
+            at = np.repeat(first, below) + np.arange(below.sum()) - np.repeat(np.cumsum(below) - below, below)
+            lost = at[doc[at] > np.repeat(doc[first], below)]  # sorted, so a node's smallest document comes first
+            yield pa.RecordBatch.from_arrays([pa.array(row[lost]), pa.array(pos[lost])], names=["row", "pos"])
+        give_back()
+    return run
 
 
 def _cut(window, with_text):
@@ -280,12 +310,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     places = materialize(places.groupBy("row").agg(F.collect_list("pos").alias("places")), "places")
     own_id = [] if row_is_id else ["doc_id"]
     suffixes = _with(known, places).select("row", "text", "places", *own_id) \
-        .mapInArrow(_suffix_rows(window, row_is_id), "code long, path long, row long, pos int, lost array<int>, doc_id long")
+        .mapInArrow(_suffix_rows(window, row_is_id), "words binary, path long, row long, pos int, lost array<int>, doc_id long")
     suffixes = materialize(suffixes, "suffixes")
-    tree = suffixes.where("code is not null")
+    tree = suffixes.where("words is not null")
     parts = max(1, -(-tree.count() // GROUP_ROWS), spark.sparkContext.defaultParallelism)
-    leaves = tree.select("code", "path", "row", "pos", *own_id).repartitionByRange(parts, "code", "path") \
-        .sortWithinPartitions("code", "path", *(own_id or ["row"])).mapInArrow(_lost_leaves, "row long, pos int")
+    leaves = tree.select("words", "path", "row", "pos", *own_id).repartitionByRange(parts, "words", "path") \
+        .sortWithinPartitions("words", "path", *(own_id or ["row"])).mapInArrow(_lost_leaves(window), "row long, pos int")
     one = leaves.groupBy("row").agg(F.collect_list("pos").alias("one"))
     more = suffixes.where("lost is not null").groupBy("row").agg(F.collect_list("lost").alias("more"))
     lost = materialize(one.join(more, "row", "full").select(
