@@ -304,3 +304,28 @@ def test_per_key_splits_are_ordered_by_key(spark, tmpdir_path):
     names = sorted(f for f in os.listdir(f"{tmpdir_path}/ds/train") if f.startswith("part-"))
     seen = [json.loads(line)["source_file"] for f in names for line in open(f"{tmpdir_path}/ds/train/{f}", encoding="utf-8")]
     assert seen == sorted(seen) and set(seen) == {"f0", "f1", "f2"}
+
+
+def test_line_reader_scans_and_mixed_ends(spark, tmpdir_path):
+    """Files of every line end, mark and bad byte read as whole files are;
+    without a lone carriage return the lines come from one scan beside the
+    sketch's, without a shuffle."""
+    text = "\n".join(f"l{i} ü" for i in range(300)).encode()
+    files = {"lf": text, "crlf": text.replace(b"\n", b"\r\n"), "bom": b"\xef\xbb\xbf" + text + b"\n", "bad": b"x\xe2\n\xff\r\n\r\n" + text + b"\xe2\r\n",
+             "end": text + b"\r"}
+    mixed = {"cr": text.replace(b"\n", b"\r"), "mix": b"a\rb\r\nc\n\rd\r\r\n\xe2\ry" + text + b"\r", "one": b"\r", "bomcr": b"\xef\xbb\xbfa\rb"}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for name, data in files.items():
+            _write(f"{tmpdir_path}/plain/{name}.txt", data)
+        for name, data in {**files, **mixed}.items():
+            _write(f"{tmpdir_path}/all/{name}.txt", data)
+        for folder in ("plain", "all"):
+            lines = read_export_lines(spark, f"{tmpdir_path}/{folder}")
+            whole = sorted(tuple(r) for r in explode_lines(read_exports(spark, f"{tmpdir_path}/{folder}")).collect())
+            assert sorted(tuple(r) for r in lines.collect()) == whole
+            if folder == "plain":
+                plan = lines._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+                assert plan.count("FileScan text") == 1 and "Exchange hashpartitioning(value" not in plan and "Window" not in plan
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

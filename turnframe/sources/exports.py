@@ -5,9 +5,8 @@
   extension, or every ``*.txt`` under a folder, recursively.
 * ``explode_lines(files)``: whole-file rows -> numbered lines.
 * ``read_export_lines(path)``: the line reader for files too large for one
-  row: Spark's text source splits files, and line numbers come from
-  per-split counts plus a prefix over splits (no per-file task, no shuffle
-  of lines).
+  row: Spark's text source splits files, and line numbers come from one
+  sketch row a split (no per-file task, no shuffle of lines, two scans).
 * ``read_jsonl_lines``, ``read_transcripts``, ``read_chat_dataset``.
 
 Deviation kept from Spark's file index: names starting with ``_`` or ``.``
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.memo import with_once
 from ..functions.text import NEWLINE_REGEX, drop_trailing_empty
+from ..session import materialize
 
 CHAT_SCHEMA = "messages array<struct<role:string,content:string>>"
 
@@ -90,50 +90,89 @@ def explode_lines(files: DataFrame, path_col: str = "source_path", text_col: str
 def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | None = "*.txt",
                       min_file_size: int | None = None) -> DataFrame:
     """Line-level reader for exports of any size: ``(source_path, line_no,
-    value)``.  Spark's text source splits files; inside a split the rows are
+    value)``, in two scans and without a shuffle of lines.
+
+    The text source cuts files at line feeds; inside a split its rows are
     read in order, so their ``monotonically_increasing_id`` values are
-    consecutive and ``line_no = lines in earlier splits of the file + (id -
-    first id of the split) + 1``.  The only aggregation is one row per split;
-    that table's size is bounded from the file listing, and under
-    ``SPLIT_TABLE_BROADCAST_MAX`` rows it is broadcast, so lines are not
-    shuffled.
-
-    The text source drops a byte order mark at the start of a file; files
-    that have one are found by their size (see ``marked_files``) and line 1
-    gets it back, so both readers give the same lines."""
-    scan = scan_text(spark, path, glob)
+    consecutive.  The first scan makes one row a split (see ``split_sketch``):
+    rows, first id, bytes read.  From it follow the lines before each split
+    and whether a file begins with a byte order mark, which the source drops
+    and line 1 gets back, so both readers give the same lines.  The second scan
+    numbers its rows by ``lines in earlier splits + (id - first id) + 1`` and
+    takes a carriage return off their ends.
+
+    Rows with a carriage return inside are several lines; files with such rows
+    (seen in the sketch) are cut at all line ends by the source, in two more
+    scans of theirs."""
+    sketch = materialize(split_sketch(scan_text(spark, path, glob, lineSep="\n"), min_file_size), "split-sketch")
+    marked = sketch.where("marked").select("source_path", F.lit(True).alias("__marked")).distinct()
+    small = _sketch_bytes(spark, path, glob, min_file_size) <= SPLIT_TABLE_BROADCAST_MAX
+    hint = F.broadcast if small else lambda df: df
+    lone = sketch.where("lone").select("source_path").distinct()
+    rows = _numbered_rows(scan_text(spark, path, glob, lineSep="\n"), sketch.where(~F.col("lone")), min_file_size, hint)
+    lines = rows.withColumn("value", F.replace("value", F.lit("\r"), F.lit("")))  # at most one, the last character
+    if not lone.isEmpty():
+        cut = scan_text(spark, path, glob)
+        places = split_sketch(cut, min_file_size).join(hint(lone), "source_path", "left_semi")
+        lines = lines.unionByName(_numbered_rows(cut, places, min_file_size, hint))
+    mark = F.when(F.col("__marked") & (F.col("line_no") == 1), F.lit("\ufeff")).otherwise(F.lit(""))
+    lines = lines.join(hint(marked), "source_path", "left")
+    return lines.select("source_path", "line_no", F.concat(mark, F.make_valid_utf8(F.col("value"))).alias("value"))
+
+
+def _scanned(scan: DataFrame, min_file_size: int | None) -> DataFrame:
+    """The scan's rows with file, split and id."""
     if min_file_size is not None:
         # Only files larger than this (the others go through the whole-file
         # route); a filter on file metadata, no path list on the driver.
         scan = scan.where(F.col("_metadata.file_size") > F.lit(min_file_size))
-    raw = scan.select(
+    return scan.select(
         metadata_path().alias("source_path"),
         F.col("_metadata.file_block_start").alias("__split"),
+        F.col("_metadata.file_size").alias("__size"),
         F.monotonically_increasing_id().alias("__mid"),
         F.col("value"),
     )
-    splits = raw.groupBy("source_path", "__split").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
-    before = F.sum("__n").over(Window.partitionBy("source_path").orderBy("__split")
-                               .rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.select("source_path", "__split", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
-    # Bound on the split table from the file listing (no content read):
-    # each file has at most ceil(size / maxPartitionBytes) + 1 splits.
+
+
+def split_sketch(scan: DataFrame, min_file_size: int | None = None) -> DataFrame:
+    """One row a split of a text scan: ``(source_path, __split, __first,
+    __before, marked, lone)``: first row id, rows in earlier splits of the
+    file, and of the whole file whether it begins with a byte order mark and
+    whether a row has a carriage return that is not its last character.
+
+    The source takes a byte order mark off: cut at line feeds, a file's
+    values and their line feeds add up to its size, or to one more without a
+    final line feed; with three bytes taken off they add up to less."""
+    raw = _scanned(scan, min_file_size)
+    returns = F.octet_length("value") - F.octet_length(F.replace("value", F.lit("\r"), F.lit("")))
+    lone = (returns > 1) | ((returns == 1) & ~F.endswith("value", F.lit("\r")))
+    found = raw.groupBy("source_path", "__split").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"), F.max("__size").alias("__size"),
+        F.sum(F.octet_length("value") + 1).alias("__read"), F.max(lone).alias("__lone"))
+    file = Window.partitionBy("source_path")
+    before = F.sum("__n").over(file.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1))
+    return found.select("source_path", "__split", "__first", F.coalesce(before, F.lit(0)).alias("__before"),
+                        (F.max("__size").over(file) - F.sum("__read").over(file) >= 2).alias("marked"),
+                        F.max("__lone").over(file).alias("lone"))
+
+
+def _numbered_rows(scan: DataFrame, sketch: DataFrame, min_file_size: int | None, hint) -> DataFrame:
+    """The rows of the files in the sketch with their line numbers."""
+    places = hint(sketch.select("source_path", "__split", "__first", "__before"))
+    number = (F.col("__before") + F.col("__mid") - F.col("__first") + 1).cast("long").alias("line_no")
+    return _scanned(scan, min_file_size).join(places, ["source_path", "__split"]).select("source_path", number, "value")
+
+
+def _sketch_bytes(spark: SparkSession, path: str | list[str], glob: str | None, min_file_size: int | None) -> int:
+    """Bound on the sketch's size from the file listing (no content read):
+    each file has at most ceil(size / maxPartitionBytes) + 1 splits."""
     idx = export_index(spark, path) if glob or not isinstance(path, str) else \
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("source_path"), "length")
     if min_file_size is not None:
         idx = idx.where(F.col("length") > F.lit(min_file_size))
     row_bytes = F.length("source_path") * 4 + SPLIT_ROW_BYTES
-    bound = idx.agg(F.sum((F.ceil(F.col("length") / F.lit(_split_bytes(spark, idx))) + 1) * row_bytes)).first()[0] or 0
-    marked = marked_files(scan_text(spark, path, glob, lineSep="\n"), min_file_size)
-    if bound <= SPLIT_TABLE_BROADCAST_MAX:
-        splits, marked = F.broadcast(splits), F.broadcast(marked)
-    numbered = raw.join(splits, on=["source_path", "__split"], how="inner").select(
-        "source_path",
-        (F.col("__before") + F.col("__mid") - F.col("__first") + 1).cast("long").alias("line_no"),
-        F.make_valid_utf8(F.col("value")).alias("value"))
-    numbered = numbered.join(marked, "source_path", "left")
-    mark = F.when(F.col("__marked") & (F.col("line_no") == 1), F.lit("\ufeff")).otherwise(F.lit(""))
-    return numbered.select("source_path", "line_no", F.concat(mark, F.col("value")).alias("value"))
+    return idx.agg(F.sum((F.ceil(F.col("length") / F.lit(_split_bytes(spark, idx))) + 1) * row_bytes)).first()[0] or 0
 
 
 def scan_text(spark: SparkSession, path: str | list[str], glob: str | None, **options) -> DataFrame:
@@ -143,19 +182,6 @@ def scan_text(spark: SparkSession, path: str | list[str], glob: str | None, **op
     return reader.text(path)
 
 
-def marked_files(scan: DataFrame, min_file_size: int | None = None) -> DataFrame:
-    """Files that begin with a byte order mark, which the text source takes
-    off: cut at line feeds, a file's values and their line feeds add up to
-    its size, or to one more without a final line feed; with three bytes
-    taken off they add up to less."""
-    if min_file_size is not None:
-        scan = scan.where(F.col("_metadata.file_size") > F.lit(min_file_size))
-    sizes = scan.select(metadata_path().alias("source_path"), F.col("_metadata.file_size").alias("__size"),
-                        (F.octet_length("value") + 1).alias("__read"))
-    found = sizes.groupBy("source_path").agg(F.max("__size").alias("__size"), F.sum("__read").alias("__read"))
-    return found.where(F.col("__size") - F.col("__read") >= 2).select("source_path", F.lit(True).alias("__marked"))
-
-
 def _split_bytes(spark: SparkSession, index: DataFrame) -> int:
     """Smallest size at which Spark cuts the listed files, as it sets it."""
     conf = spark._jsparkSession.sessionState().conf()
