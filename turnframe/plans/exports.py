@@ -19,7 +19,7 @@ from ..functions import constants as C
 from ..operators.assemble import assemble_messages, parse_export_text
 from ..operators.clean import clean_turns, counter_columns, parse_counters, with_drop_reason
 from ..session import materialize
-from ..sources.exports import _is_file, count_input_files, export_index, read_export_lines
+from ..sources.exports import count_input_files, export_index, read_export_lines, read_exports
 from ..sources.sinks import write_turns
 
 WHOLE_FILE_LIMIT = 64 << 20
@@ -50,7 +50,7 @@ def parse_exports(spark: SparkSession, path: str, exclude_speakers=tuple(C.DEFAU
         raise FileNotFoundError(f"No .txt files found under: {path}")
     parts = []
     if route == "whole":
-        parts.append(parse_export_text(_contents(spark, path), on_bad=on_bad))
+        parts.append(parse_export_text(read_exports(spark, path), on_bad=on_bad))
     elif route == "lines":
         parts.append(assemble_messages(read_export_lines(spark, path), on_bad=on_bad))
     elif route == "auto":
@@ -59,7 +59,7 @@ def parse_exports(spark: SparkSession, path: str, exclude_speakers=tuple(C.DEFAU
         # filter on the text scan.  No path list reaches the driver.
         has_big = not export_index(spark, path).where(F.col("length") > whole_file_limit).isEmpty()
         parts.append(parse_export_text(
-            _contents(spark, path, max_length=whole_file_limit if has_big else None), on_bad=on_bad))
+            read_exports(spark, path, max_length=whole_file_limit if has_big else None), on_bad=on_bad))
         if has_big:
             parts.append(assemble_messages(read_export_lines(spark, path, min_file_size=whole_file_limit),
                                            on_bad=on_bad))
@@ -104,14 +104,3 @@ def header_rejects(messages: DataFrame) -> DataFrame:
     """Messages parsed with ``on_bad='quarantine'`` whose header date does
     not exist."""
     return messages.where(F.col("timestamp").isNull()).select("source_path", "line_start", "speaker", "text")
-
-
-def _contents(spark: SparkSession, path, max_length: int | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile")
-    if isinstance(path, str) and not _is_file(spark, path):
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
-    raw = reader.load(path)
-    if max_length is not None:
-        raw = raw.where(F.col("length") <= max_length)
-    return raw.select(F.col("path").alias("source_path"),
-                      F.make_valid_utf8(F.col("content").cast("string")).alias("content"))

@@ -63,17 +63,18 @@ def metadata_path(col: str = "_metadata.file_path"):
     return F.regexp_replace(decoded, "^file:///", "file:/")
 
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """``(source_path, content)``, one row per file, sorted by path
-    components when collected in order.  Raises if no file is found."""
+def read_exports(spark: SparkSession, path: str | list[str], max_length: int | None = None) -> DataFrame:
+    """``(source_path, content)``, one row per file: the path itself if it is
+    a file, else every ``*.txt`` below it.  ``max_length`` leaves out longer
+    files (the source reads none of their bytes)."""
     reader = spark.read.format("binaryFile")
-    if _is_file(spark, path):
-        df = reader.load(path)
-    else:
-        df = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    df = df.select(F.col("path").alias("source_path"),
-                   F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-    return df
+    if isinstance(path, str) and not _is_file(spark, path):
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+    raw = reader.load(path)
+    if max_length is not None:
+        raw = raw.where(F.col("length") <= max_length)
+    return raw.select(F.col("path").alias("source_path"),
+                      F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def explode_lines(files: DataFrame, path_col: str = "source_path", text_col: str = "content") -> DataFrame:

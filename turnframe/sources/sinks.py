@@ -27,6 +27,8 @@ def write_turns(turns: DataFrame, path: str, order=("source_path", "line_start")
     sort keeps order across part files)."""
     cols = ["speaker", "text"] if minimal else ["timestamp", "speaker", "text", "source_file", "line_start"]
     sort = [F.split(F.col(c), "/") if c == "source_path" else F.col(c) for c in order if c in turns.columns]
+    if order and not sort:
+        raise ValueError(f"turns have none of the columns {list(order)} to be written by; order=() writes them as they come")
     ordered = turns.orderBy(*sort) if sort else turns
     ordered.select(*cols).write.mode("overwrite").json(path)
 
