@@ -37,3 +37,82 @@ def test_pipeline_stages(spark):
     out = C.run(spark, SF).collect()
     assert out and set(r["doc_id"] for r in out) <= set(r["doc_id"] for r in docs.collect())
     assert sorted(r["start"] for r in out)[0] == 0
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on its own input: near copies, benchmark windows, the mix
+    and the token files, worked out in Python."""
+    import re
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from test_pairs_and_repeats import brute_components
+    from turnframe.llm import pipeline as P
+    from turnframe.session import materialize
+
+    rows = lambda df: sorted((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    good = materialize(P.quality_stage(spark, docs, SF), "t1")
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {i for i, _, _ in rows(good)}
+    judged = [(i, labels[i]) for i, _, _ in rows(docs) if i in labels]
+    assert np.mean([i in kept for i, r in judged if r["quality"] == 1 and r["toxic"] == 0]) > 0.95
+    # a few labels train it here; test_quality_on_held_out is the measure
+    assert np.mean([i in kept for i, r in judged if r["toxic"] == 1 or r["quality"] == 0]) < 0.4
+
+    given = rows(good)
+    low, _ = brute_components([t for _, t, _ in given])
+    single = materialize(P.near_duplicate_stage(spark, good, SF), "t2")
+    assert rows(single) == [given[i] for i in sorted(set(low))] and len(set(low)) < len(given)
+
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in t or ""))
+    grams = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words(r["text"])
+        grams |= {tuple(w[i:i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
+
+    def contaminated(text):
+        w, hit = words(text), set()
+        for n in {len(g) for g in grams}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i:i + n]) in grams:
+                    hit |= set(range(i, i + n))
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    clean = materialize(P.decontamination_stage(spark, single, SF), "t3")
+    assert rows(clean) == [x for x in rows(single) if not contaminated(x[1])]
+
+    mixed = materialize(P.mixing_stage(spark, clean, SF), "t4")
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    have, taken, longest = Counter(), Counter(), Counter()
+    for _, t, x in rows(clean):
+        have[x] += size(t)
+        longest[x] = max(longest[x], size(t))
+    for _, t, x in rows(mixed):
+        taken[x] += size(t)
+    weight = {x: i % 3 + 1 for i, x in enumerate(sorted(have))}
+    target, free = {}, set(have)
+    while True:  # the excess over three times a source goes to the others
+        left = sum(have.values()) - sum(target.values())
+        level = left / sum(weight[x] for x in free)
+        over = {x for x in free if level * weight[x] > 3 * have[x]}
+        if not over:
+            break
+        target.update({x: 3 * have[x] for x in over})
+        free -= over
+    target.update({x: level * weight[x] for x in free})
+    times = Counter(i for i, _, _ in rows(mixed))
+    assert set(rows(mixed)) <= set(rows(clean)) and max(times.values()) <= 3
+    assert all(abs(taken[x] - target[x]) <= longest[x] for x in have)
+
+    t, expect, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), [], 0
+    for i, text, _ in rows(mixed):
+        ids = t.encode(text, add_special_tokens=False).ids + [2]
+        expect.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    out = P.token_stage(spark, mixed, SF).collect()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in out) == expect
