@@ -224,13 +224,18 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     lanes = len(blocks)
     order, size = _by_size([len(b) for b in blocks])
     longest = int(size[0]) if lanes else 0
-    ids, rank = np.zeros((longest, lanes), np.uint16), np.zeros((longest, lanes), np.uint16)
-    distinct = np.zeros(lanes, np.int64)
+    rank, known = np.zeros((longest, lanes), np.uint16), []  # known: each lane's ids in order of rank
     for lane, i in enumerate(order):
         if len(blocks[i]):
-            ids[:size[lane], lane] = blocks[i]
-            rank[:size[lane], lane], known = _first_ranks(blocks[i])
-            distinct[lane] = len(known)
+            rank[:size[lane], lane], ids = _first_ranks(blocks[i])
+            known.append(ids.astype(np.uint16))
+        else:
+            known.append(np.zeros(0, np.uint16))
+    distinct = np.array([len(k) for k in known], np.int64)
+    by_rank = np.zeros((lanes, int(distinct.max(initial=0))), np.uint16)
+    for lane, k in enumerate(known):
+        by_rank[lane, :len(k)] = k
+    del known
     m, coder = _Lanes(lanes, int(distinct.max(initial=0)), False), _Encoder(lanes, longest)
     points = _rebuild_points(longest)
     live = lanes - np.searchsorted(size[::-1], np.arange(longest), "right")
@@ -251,7 +256,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         coder.put(every, coder.range[every] >> _SIXTEEN, start, end - start)
         rows = np.flatnonzero(~(hit2 | hit1))
         if len(rows):
-            _code_order0(m, rows, x[rows], ids[t], coder)
+            _code_order0(m, rows, x[rows], by_rank, coder)
         m.learn(n, x, hit2)
     out: list[bytes] = [b""] * lanes
     for lane, i in enumerate(order):
@@ -259,7 +264,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
-def _code_order0(m: _Lanes, rows, rank, ids, coder: _Encoder) -> None:
+def _code_order0(m: _Lanes, rows, rank, by_rank, coder: _Encoder) -> None:
     top, seen, tot = m.top.take(rows), m.seen.take(rows), m.total.take(rows)
     at = m.base1.take(rows) + rank
     start = m.sums.take(at)
@@ -270,7 +275,7 @@ def _code_order0(m: _Lanes, rows, rank, ids, coder: _Encoder) -> None:
     coder.put(rows, part, start.astype(_U), width.astype(_U))
     new = rows[fresh]
     if len(new):
-        coder.put(new, coder.range[new] >> _SIXTEEN, ids[new].astype(_U), _U(1))
+        coder.put(new, coder.range[new] >> _SIXTEEN, by_rank[new, seen[fresh]].astype(_U), _U(1))
         m.seen[new] += 1
     m.note(rows, rank)
 

@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 
 from .idcoder import VOCABULARY, decode_blocks, encode_blocks
 from .staging import checkpoint_root, materialize, texts
-from .text import give_back, pieces, worker_cache
+from .text import give_back, pieces
 
 BLOCK_IDS = 2048
-LANES = 4096
+LANES = 2560
 PART_BYTES = 32 << 20
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 END_ID = 2
 BLOCK_SCHEMA = ("part int, block long, start long, n_ids long, crc32 long, data binary, doc_ids array<long>, "
                 "doc_parts array<long>, doc_sizes array<long>, doc_ends array<boolean>")
@@ -108,15 +108,6 @@ class TextEncoder:
         return out
 
 
-def _encoder(tokenizer_json: str) -> TextEncoder:
-    """One encoder a worker process, kept over tasks."""
-    encoders, key = worker_cache("encoder"), zlib.crc32(tokenizer_json.encode())
-    if key not in encoders:
-        encoders.clear()
-        encoders[key] = TextEncoder(tokenizer_json)
-    return encoders[key]
-
-
 class _PartWriter:
     """Cuts a part's ids into blocks and codes many blocks at a time."""
 
@@ -166,7 +157,7 @@ class _PartWriter:
 
 def _write(shared, end_id, block_ids, lanes):
     def run(batches):
-        encode = _encoder(shared.value)
+        encode = TextEncoder(shared.value)  # one a task: workers live on for other stages, its words do not
         part = _PartWriter(TaskContext.get().partitionId(), block_ids)
         end = np.array([end_id], "<u2").tobytes()
         for b in pieces(batches, 1, 1 << 19):
@@ -174,9 +165,12 @@ def _write(shared, end_id, block_ids, lanes):
                 part.add(doc_id, np.frombuffer(ids + end, "<u2"))
             if len(part.ready) >= lanes and (rows := part.rows()) is not None:
                 yield rows
+        del encode
         part.close()
         if (rows := part.rows()) is not None:
             yield rows
+        del part
+        give_back()
     return run
 
 
@@ -200,7 +194,7 @@ def _read(lanes, with_ids):
         held: list[dict] = []
 
         def rows():
-            blocks = decode_blocks([r["data"] for r in held], [r["n_ids"] for r in held])
+            blocks = decode_blocks([r.pop("data") for r in held], [r["n_ids"] for r in held])
             out = []
             for r, ids in zip(held, blocks):
                 raw = ids.astype("<u4").tobytes()
