@@ -132,6 +132,20 @@ def _scan(shared, window):
     return run
 
 
+def _scan_and_digest(shared, window):
+    """The report of a single block of items, in one Python worker a task."""
+    scan = _scan(shared, window)
+
+    def run(batches):
+        def alone():
+            for b in scan(batches):
+                one = pa.array(range(b.num_rows + 1), pa.int32())
+                lists = [pa.ListArray.from_arrays(one, b.column(i)) for i in (2, 3)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["doc_id", "n_words", "hits", "items"])
+        return _digest(alone())
+    return run
+
+
 def _digest(batches):
     for b in batches:
         hits, items = [], []
@@ -177,13 +191,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     for block in blocks:
         shared = spark.sparkContext.broadcast([(None if r[0] is None else str(r[0]), r[1]) for r in block.collect()])
         if len(blocks) == 1:
-            found = d.mapInArrow(_scan(shared, window), SCHEMA)
-        else:
-            found = d.select("row", "text").mapInArrow(_scan(shared, window), SCHEMA)
-        parts.append(found)
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", F.array("hits").alias("hits"), F.array("items").alias("items")) \
-            .mapInArrow(_digest, REPORT)
+            return d.mapInArrow(_scan_and_digest(shared, window), REPORT)
+        parts.append(d.select("row", "text").mapInArrow(_scan(shared, window), SCHEMA))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)

@@ -57,8 +57,10 @@ def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches, text_at: int, target: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that one piece has about ``target``
-    bytes of text (a longer text is a piece of its own, never cut).  At the
-    end the worker gives freed memory back: it lives on for other stages."""
+    bytes of text (a longer text is a piece of its own, never cut).  Before
+    and after the worker gives freed memory back: it lives on for other
+    stages."""
+    keep_little()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -79,6 +81,21 @@ def worker_cache(name: str) -> dict:
     return sys.__dict__.setdefault("_turnframe_cache", {}).setdefault(name, {})
 
 
+def keep_little() -> None:
+    """Lets this Python worker return large buffers to the system as soon as
+    they are freed: Arrow takes them from the C library, which maps those of
+    a megabyte and more one by one, where it can."""
+    settings = worker_cache("memory")
+    if "set" not in settings:
+        settings["set"] = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+        if mallopt is not None:
+            mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which then stays as it is
+            mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    give_back()
+
+
 def give_back() -> None:
     """Returns this process's freed memory to the system, where the C library
     can."""

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .idcoder import VOCABULARY, decode_blocks, encode_blocks
 from .staging import checkpoint_root, materialize, texts
-from .text import give_back, pieces
+from .text import give_back, keep_little, pieces
 
 BLOCK_IDS = 2048
 LANES = 2560
@@ -191,6 +191,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
 def _read(lanes, with_ids):
     def run(batches):
+        keep_little()
         held: list[dict] = []
 
         def rows():
