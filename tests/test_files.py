@@ -119,6 +119,17 @@ def test_appends_keep_their_order(spark, tmpdir_path):
     assert got == list(enumerate(x for b in order for _, _, x in batches[b]))
 
 
+def test_partitions_follow_what_the_plan_reads(spark, tmpdir_path):
+    """A join's estimate is the product of its sides; its inputs are not."""
+    from turnframe.session import partitions_for, shuffle_partitions
+
+    spark.range(200_000).selectExpr("id", "uuid() AS v").write.parquet(f"{tmpdir_path}/t")
+    side = lambda n: spark.read.parquet(f"{tmpdir_path}/t").withColumnRenamed("v", n)
+    joined = side("a").join(side("b"), "id").join(side("c"), "id")
+    assert partitions_for(side("a")) == partitions_for(joined) == shuffle_partitions(spark)
+    assert partitions_for(spark.createDataFrame([(i,) for i in range(100)], "i long")) < 100
+
+
 def test_counters_of_the_run_that_writes(spark, tmpdir_path):
     from turnframe.plans.exports import parse_exports, write_parsed
 

@@ -110,11 +110,23 @@ PARTITION_BYTES = 256 << 20
 
 def partitions_for(df: DataFrame) -> int:
     """Number of range partitions for a frame: the session's setting, or
-    more where the optimizer's size estimate asks for it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = -(-size // PARTITION_BYTES)
+    more where the size of its inputs asks for it.
+
+    The optimizer takes a join for as large as the product of its sides, so
+    its estimate counts only up to what the plan's leaves hold together."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    held = sum(_leaf_bytes(leaves.apply(i)) for i in range(leaves.size()))
+    wanted = -(-min(int(str(plan.stats().sizeInBytes())), held) // PARTITION_BYTES)
     return max(shuffle_partitions(df.sparkSession), min(wanted, 100_000))
 
 
+def _leaf_bytes(leaf) -> int:
+    """Size of a leaf of a plan; rows of an RDD have none, their partitions count."""
+    if leaf.getClass().getSimpleName() == "LogicalRDD":
+        return leaf.rdd().getNumPartitions() * PARTITION_BYTES
+    return int(str(leaf.stats().sizeInBytes()))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
