@@ -130,6 +130,14 @@ def test_partitions_follow_what_the_plan_reads(spark, tmpdir_path):
     assert partitions_for(spark.createDataFrame([(i,) for i in range(100)], "i long")) < 100
 
 
+def test_appended_lines_are_read_in_few_partitions(spark, tmpdir_path):
+    lines = spark.range(5000).selectExpr("id % 7 AS transcript_id", "id AS line_no", "concat('line ', id) AS line")
+    append_transcript(lines, f"{tmpdir_path}/log")
+    back = read_appended(spark, f"{tmpdir_path}/log")
+    assert len(back.inputFiles()) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [r["line"] for r in back.orderBy("position").collect()] == [f"line {i}" for k in range(7) for i in range(k, 5000, 7)]
+
+
 def test_counters_of_the_run_that_writes(spark, tmpdir_path):
     from turnframe.plans.exports import parse_exports, write_parsed
 
