@@ -65,3 +65,16 @@ def test_expensive_expressions_evaluated_once(spark):
     assert _optimized(h).count("regexp_replace(") == 1
     js = spark.createDataFrame([(1, '{"timestamp": "t", "speaker": "s", "text": "x"}')], "line_no long, value string")
     assert _optimized(turns_from_json(js)).count("parseJson") == 1
+
+
+def test_timeline_of_joined_turns_has_few_partitions(spark, tmpdir_path):
+    from turnframe import fixtures as fx
+    from turnframe.plans.dataset import build_dataset
+
+    spark.range(20_000).selectExpr("id AS event_id", "timestamp'2023-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) AS ts",
+                                   "id % 200 AS user_id", "'click' AS event_type", "concat('p', id) AS props") \
+        .write.parquet(f"{tmpdir_path}/events.parquet")
+    ds = build_dataset(fx.fx_key_events(spark, tmpdir_path), chunk_turns=64, prompt_turns=16, stride=8, min_turns=60,
+                       partition_by=["user_id"], tiebreak=["event_id"])
+    assert len(ds.indexed.inputFiles()) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [(r["user_id"], r["reason"]) for r in ds.rejects.orderBy("user_id").collect()] == [(u, "no turns") for u in (0, 50, 100, 150)]
