@@ -19,7 +19,7 @@ from ..functions import constants as C
 from ..operators.assemble import assemble_messages, parse_export_text
 from ..operators.clean import clean_turns, counter_columns, parse_counters, with_drop_reason
 from ..session import materialize
-from ..sources.exports import count_input_files, export_index, read_export_lines, read_exports
+from ..sources.exports import count_input_files, export_files, export_index, read_export_lines, read_exports
 from ..sources.sinks import write_turns
 
 WHOLE_FILE_LIMIT = 64 << 20
@@ -45,23 +45,24 @@ def parse_exports(spark: SparkSession, path: str, exclude_speakers=tuple(C.DEFAU
     ``on_bad``: a header date that does not exist fails the run (``fail``),
     gives a NULL timestamp (``null``), or goes to ``rejects`` and not into
     the turns (``quarantine``)."""
-    n_files = count_input_files(spark, path)
+    files = export_files(spark, path)
+    n_files = count_input_files(spark, path, files)
     if n_files == 0:
         raise FileNotFoundError(f"No .txt files found under: {path}")
     parts = []
     if route == "whole":
-        parts.append(parse_export_text(read_exports(spark, path), on_bad=on_bad))
+        parts.append(parse_export_text(read_exports(spark, path, files=files), on_bad=on_bad))
     elif route == "lines":
-        parts.append(assemble_messages(read_export_lines(spark, path), on_bad=on_bad))
+        parts.append(assemble_messages(read_export_lines(spark, path, files=files), on_bad=on_bad))
     elif route == "auto":
         # Small files are read whole through a length filter the binaryFile
         # source pushes down; large ones line by line through a file-size
         # filter on the text scan.  No path list reaches the driver.
-        has_big = not export_index(spark, path).where(F.col("length") > whole_file_limit).isEmpty()
+        has_big = not export_index(spark, path, files).where(F.col("length") > whole_file_limit).isEmpty()
         parts.append(parse_export_text(
-            read_exports(spark, path, max_length=whole_file_limit if has_big else None), on_bad=on_bad))
+            read_exports(spark, path, max_length=whole_file_limit if has_big else None, files=files), on_bad=on_bad))
         if has_big:
-            parts.append(assemble_messages(read_export_lines(spark, path, min_file_size=whole_file_limit),
+            parts.append(assemble_messages(read_export_lines(spark, path, min_file_size=whole_file_limit, files=files),
                                            on_bad=on_bad))
     else:
         raise ValueError("route must be 'auto', 'whole' or 'lines'")

@@ -15,6 +15,8 @@ are skipped when listing a folder (the reference reads them).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,43 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath) and fs.getFileStatus(hpath).isFile()
 
 
-def export_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The input files as ``(source_path, length)`` through Spark's file
-    index (parallel listing; the content column is pruned, so nothing is
-    read): the path itself if it is a file, else every ``*.txt`` below it.
+# Tasks of a listing job: this many, or four a core.
+LISTING_TASKS = 64
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def _few_listing_tasks(spark: SparkSession):
+    """Spark lists folders when a reader is loaded, up to 10,000 of them in a
+    task each, and starting a task takes longer than listing a folder; fewer tasks keep
+    all cores busy."""
+    before = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, str(min(int(before), max(LISTING_TASKS, 4 * spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LISTING, before)
+
+
+def export_files(spark: SparkSession, path: str | list[str], glob: str | None = "*.txt") -> DataFrame:
+    """The input files as ``binaryFile`` rows, listed here and only once: the
+    path itself if it is a file, else every file below it that the glob fits.
     Like Spark's reads, names starting with ``_`` or ``.`` are skipped."""
     reader = spark.read.format("binaryFile")
-    if isinstance(path, str) and not _is_file(spark, path):
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
-    return reader.load(path).select(F.col("path").alias("source_path"), "length")
+    if glob and isinstance(path, str) and not _is_file(spark, path):
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    elif not glob and isinstance(path, str):
+        reader = reader.option("recursiveFileLookup", "true")
+    with _few_listing_tasks(spark):
+        return reader.load(path)
+
+
+def export_index(spark: SparkSession, path: str | list[str], files: DataFrame | None = None) -> DataFrame:
+    """The input files as ``(source_path, length)`` through Spark's file
+    index (parallel listing; the content column is pruned, so nothing is
+    read).  ``files``: those of ``export_files``, if they are listed already."""
+    files = export_files(spark, path) if files is None else files
+    return files.select(F.col("path").alias("source_path"), "length")
 
 
 # Broadcast the per-split table of the line reader up to this many bytes.
@@ -48,10 +78,10 @@ SPLIT_TABLE_BROADCAST_MAX = 64 << 20
 SPLIT_ROW_BYTES = 64  # beside the path
 
 
-def count_input_files(spark: SparkSession, path: str) -> int:
+def count_input_files(spark: SparkSession, path: str, files: DataFrame | None = None) -> int:
     """Number of input files, zero-length ones included (the reference
     counts them; Spark's scan skips them, its file index does not)."""
-    return len(export_index(spark, path)._jdf.inputFiles())  # the array's length, not its paths
+    return len(export_index(spark, path, files)._jdf.inputFiles())  # the array's length, not its paths
 
 
 def metadata_path(col: str = "_metadata.file_path"):
@@ -63,14 +93,12 @@ def metadata_path(col: str = "_metadata.file_path"):
     return F.regexp_replace(decoded, "^file:///", "file:/")
 
 
-def read_exports(spark: SparkSession, path: str | list[str], max_length: int | None = None) -> DataFrame:
+def read_exports(spark: SparkSession, path: str | list[str], max_length: int | None = None,
+                 files: DataFrame | None = None) -> DataFrame:
     """``(source_path, content)``, one row per file: the path itself if it is
     a file, else every ``*.txt`` below it.  ``max_length`` leaves out longer
     files (the source reads none of their bytes)."""
-    reader = spark.read.format("binaryFile")
-    if isinstance(path, str) and not _is_file(spark, path):
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
-    raw = reader.load(path)
+    raw = export_files(spark, path) if files is None else files
     if max_length is not None:
         raw = raw.where(F.col("length") <= max_length)
     return raw.select(F.col("path").alias("source_path"),
@@ -89,7 +117,7 @@ def explode_lines(files: DataFrame, path_col: str = "source_path", text_col: str
 
 
 def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | None = "*.txt",
-                      min_file_size: int | None = None) -> DataFrame:
+                      min_file_size: int | None = None, files: DataFrame | None = None) -> DataFrame:
     """Line-level reader for exports of any size: ``(source_path, line_no,
     value)``, in two scans and without a shuffle of lines.
 
@@ -104,13 +132,14 @@ def read_export_lines(spark: SparkSession, path: str | list[str], glob: str | No
 
     Rows with a carriage return inside are several lines; files with such rows
     (seen in the sketch) are cut at all line ends by the source, in two more
-    scans of theirs."""
-    sketch = materialize(split_sketch(scan_text(spark, path, glob, lineSep="\n"), min_file_size), "split-sketch")
+    scans of theirs.  ``files``: those of ``export_files``, if they are listed already."""
+    scan = scan_text(spark, path, glob, lineSep="\n")
+    sketch = materialize(split_sketch(scan, min_file_size), "split-sketch")
     marked = sketch.where("marked").select("source_path", F.lit(True).alias("__marked")).distinct()
-    small = _sketch_bytes(spark, path, glob, min_file_size) <= SPLIT_TABLE_BROADCAST_MAX
+    small = _sketch_bytes(spark, export_files(spark, path, glob) if files is None else files, min_file_size) <= SPLIT_TABLE_BROADCAST_MAX
     hint = F.broadcast if small else lambda df: df
     lone = sketch.where("lone").select("source_path").distinct()
-    rows = _numbered_rows(scan_text(spark, path, glob, lineSep="\n"), sketch.where(~F.col("lone")), min_file_size, hint)
+    rows = _numbered_rows(scan, sketch.where(~F.col("lone")), min_file_size, hint)
     lines = rows.withColumn("value", F.replace("value", F.lit("\r"), F.lit("")))  # at most one, the last character
     if not lone.isEmpty():
         cut = scan_text(spark, path, glob)
@@ -165,11 +194,10 @@ def _numbered_rows(scan: DataFrame, sketch: DataFrame, min_file_size: int | None
     return _scanned(scan, min_file_size).join(places, ["source_path", "__split"]).select("source_path", number, "value")
 
 
-def _sketch_bytes(spark: SparkSession, path: str | list[str], glob: str | None, min_file_size: int | None) -> int:
+def _sketch_bytes(spark: SparkSession, files: DataFrame, min_file_size: int | None) -> int:
     """Bound on the sketch's size from the file listing (no content read):
     each file has at most ceil(size / maxPartitionBytes) + 1 splits."""
-    idx = export_index(spark, path) if glob or not isinstance(path, str) else \
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("source_path"), "length")
+    idx = files.select(F.col("path").alias("source_path"), "length")
     if min_file_size is not None:
         idx = idx.where(F.col("length") > F.lit(min_file_size))
     row_bytes = F.length("source_path") * 4 + SPLIT_ROW_BYTES
@@ -180,7 +208,8 @@ def scan_text(spark: SparkSession, path: str | list[str], glob: str | None, **op
     reader = spark.read.option("recursiveFileLookup", "true").options(**options)
     if glob and isinstance(path, str) and not _is_file(spark, path):
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path)
+    with _few_listing_tasks(spark):
+        return reader.text(path)
 
 
 def _split_bytes(spark: SparkSession, index: DataFrame) -> int:
