@@ -144,19 +144,20 @@ def test_folders_are_listed_in_few_tasks_and_seldom(spark, tmpdir_path):
 
     for i in range(150):
         _write(f"{tmpdir_path}/in/d{i}/f.txt", f"[1/2/23, 10:00:00] Ann: m{i}\n".encode())
-    tracker, before = spark.sparkContext.statusTracker(), spark.conf.get(E._LISTING)
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    tracker, before = spark.sparkContext.statusTracker(), spark.conf.get(setting)
     for route, most in (("whole", 1), ("lines", 2)):
         group = f"listing-{route}-{tmpdir_path}"
         spark.sparkContext.setJobGroup(group, "listing")
         with pytest.MonkeyPatch.context() as m:
-            m.setattr(E, "LISTING_TASKS", 40)
+            m.setattr(E, "LISTING_TASKS", 40, raising=False)
             parsed = parse_exports(spark, f"{tmpdir_path}/in", route=route)
         stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
         spark.sparkContext.setJobGroup("", "")
         listings = [s.numTasks for s in stages if s is not None and s.numTasks >= 40]
         assert 0 < len(listings) <= most and set(listings) == {40}
         assert parsed.input_files == 150 and parsed.messages.count() == 150
-    assert spark.conf.get(E._LISTING) == before
+    assert spark.conf.get(setting) == before
 
 
 def test_counters_of_the_run_that_writes(spark, tmpdir_path):
