@@ -85,6 +85,33 @@ def test_similar_sets_of_repeated_ids(spark):
         sorted((key(x), len(g), c) for (x, _), g, c in zip(rows, grams, low))
 
 
+def test_texts_with_a_common_passage_are_no_pairs(make_docs, monkeypatch):
+    rng = random.Random(21)
+    passage = words(rng, 30)
+    texts = [f"{words(rng, 6)} {passage} {words(rng, 6)}" for _ in range(120)]  # similar to none
+    base = words(rng, 50)
+    texts += [base + " " + words(rng, 2) for _ in range(4)]
+    pairs = []
+    verified = J._Join.verified
+    monkeypatch.setattr(J._Join, "verified", lambda self, p: pairs.append(p.count()) or verified(self, p))
+    out = {r["doc_id"]: r["component_id"] for r in J.near_duplicates(make_docs(texts)).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_components(texts)[0]
+    assert sum(pairs) <= len(texts) + 20, pairs  # one pair a class at first, then those that the sketches leave
+
+
+def test_folded_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 30, 300, 2000):
+        a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        for differ in (0, 1, n // 10, n):
+            b = np.concatenate([a[differ:], rng.integers(0, 1 << 62, differ).astype(np.uint64)])
+            x, y = J.parity_sketches(np.repeat([0, 1], n), np.concatenate([a, b]), np.array([n, n]))
+            assert len(J.folded(x)) == J.FOLD
+            bits = int(np.bitwise_count(J.folded(x) ^ J.folded(y)).sum())
+            assert bits <= J.least_difference(x, y) <= 2 * differ
+            assert n != 30 or differ < n or bits > 40
+
+
 def test_signatures_meet_unless_out_of_slack():
     rng = np.random.default_rng(4)
     for n in (5, 7, 12, 30, 100, 600):

@@ -26,9 +26,11 @@ other components than their group's first one are compared with it, and the
 pairs of different components in groups of up to ``GROUP``.  Sets that
 had to leave out more than their slack in larger groups are joined exactly by
 their rarest shingles (prefix filter).  A pair first has to pass on parity
-sketches (a bit for about each element: bits that differ are at most the
+sketches (two bits for about each element: bits that differ are at most the
 elements that differ, so no similar pair is lost); what passes is verified on
-its words.
+its words.  The sketches' folds to ``FOLD`` numbers lie beside the rows of
+groups, so the joins that find pairs give only those that pass on them: texts
+with a common passage that are not similar are no pairs.
 
 Null and empty texts have an empty set, size 0, and are linked with nothing.
 Repeated rows and equal texts are one class.  A text of any length is one
@@ -43,7 +45,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -61,6 +63,7 @@ STEP = 1.5
 LOW_SIZE = 0.6
 WEAK = 4.0
 RARE = 3.0
+FOLD = 8  # 64-bit numbers of a folded sketch
 
 
 # ---------------------------------------------------------------- sets
@@ -93,9 +96,9 @@ def _set_keys(doc: np.ndarray, gram: np.ndarray, n_docs: int) -> tuple[np.ndarra
 
 def parity_sketches(doc: np.ndarray, gram: np.ndarray, size: np.ndarray) -> list[bytes]:
     """For every set a bit vector, as long as the power of two that holds
-    its size (64 at least): each bit tells whether the number of elements
-    hashed to it is odd."""
-    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    twice its size (``FOLD`` numbers at least): each bit tells whether the
+    number of elements hashed to it is odd."""
+    bits = np.maximum(64 * FOLD, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
     start = np.concatenate([[0], np.cumsum(bits)])
     at = start[doc] + (mix(gram ^ U64(0x1D8E4E27C47D124F)).astype(np.int64) & (bits[doc] - 1))
     odd = (np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8)
@@ -103,6 +106,11 @@ def parity_sketches(doc: np.ndarray, gram: np.ndarray, size: np.ndarray) -> list
     return [raw[a:b] for a, b in zip((start[:-1] // 8).tolist(), (start[1:] // 8).tolist())]
 
 
+def folded(sketch: bytes) -> np.ndarray:
+    """A parity sketch folded to ``FOLD`` numbers."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, "<i8").reshape(-1, FOLD), axis=0)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """Bits in which two parity sketches differ, the longer one folded."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -118,9 +126,11 @@ def _class_rows(k):
         for b in pieces(batches, 1, SET_BYTES):
             doc, gram = shingle_sets(Words(b.column(1), lower=True), k)
             size, key = _set_keys(doc, gram, b.num_rows)
+            sketches = parity_sketches(doc, gram, size)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(size.astype(np.int64)), pa.array(key),
-                 pa.array(parity_sketches(doc, gram, size), pa.binary())], names=["row", "doc_id", "n_shingles", "class", "sketch"])
+                [b.column(0), b.column(2), pa.array(size.astype(np.int64)), pa.array(key), pa.array(sketches, pa.binary()),
+                 pa.array([folded(x) for x in sketches], pa.list_(pa.int64()))],
+                names=["row", "doc_id", "n_shingles", "class", "sketch", "fold"])
     return run
 
 
@@ -334,11 +344,12 @@ class _Join:
         self.spark: SparkSession = docs.sparkSession
         self.k, self.similar = k, similar
         self.docs = keyed(texts(docs, "doc_id", "text"))[0].select("row", "text", "doc_id")
-        self.rows = materialize(self.docs.mapInArrow(_class_rows(k), "row long, doc_id long, n_shingles long, class long, sketch binary"),
-                                "classes")
+        self.rows = materialize(self.docs.mapInArrow(_class_rows(k), "row long, doc_id long, n_shingles long, class long, "
+                                                     "sketch binary, fold array<long>"), "classes")
         full = self.rows.where("n_shingles > 0")
         self.classes = materialize(full.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row"),
-                                                             F.count("*").alias("members"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "class-ids")
+                                                             F.count("*").alias("members"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
+                                                             F.first("fold").alias("fold")), "class-ids")
 
     def representatives(self) -> DataFrame:
         """Signature rows of one document a class."""
@@ -355,6 +366,10 @@ class _Join:
             docs = self.docs.join(self.classes.select(F.col("first_row").alias("row")), "row", "left_semi")
         return docs.select("row", "text").mapInArrow(_signature_rows(shared, self.k, self.similar), "sig long, class long, left int")
 
+    def sketched(self, rows: DataFrame) -> DataFrame:
+        """Adds each class's size and folded sketch."""
+        return rows.join(self.classes.select("class", "n", "fold"), "class")
+
     def texts_of(self, pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         firsts = self.classes.join(need, "class").select("class", F.col("first_row").alias("row"), "n")
@@ -415,26 +430,51 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
 
 
-def _pairs_between(rows: DataFrame) -> DataFrame:
-    """Pairs of classes of different components with a common signature."""
-    x = rows.select("sig", F.col("class").alias("a"), F.col("component").alias("ca"))
-    y = rows.select("sig", F.col("class").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
+def _may_be_similar(similar: int) -> Column:
+    """Whether the sizes and folded sketches of the classes a and b leave
+    room for a similarity of ``similar`` (bits that differ are at most the
+    elements that differ)."""
+    na, nb = F.col("n_a"), F.col("n_b")
+    differ = [F.bit_count(F.get("fold_a", F.lit(i)).bitwiseXOR(F.get("fold_b", F.lit(i)))) for i in range(FOLD)]
+    fits = (na * 100 >= nb * similar) & (nb * 100 >= na * similar)
+    return fits & (sum(differ[1:], differ[0]) * (100 + similar) <= (na + nb) * (100 - similar))
+
+
+def _sides(rows: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
+    """The rows twice, their columns but ``sig`` named after the classes a
+    and b of a pair."""
+    return tuple(rows.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in cols]) for side in "ab")
+
+
+def _leader_pairs(rows: DataFrame, similar: int) -> DataFrame:
+    """Pairs (class, leader) of sketched rows of groups whose leader is of
+    another component, if they may be similar."""
+    of = ("class", "component", "n", "fold")
+    x, y = _sides(rows.where("component <> lead"), *of)[0], _sides(rows.where(F.col("class") == F.col("leader")), *of)[1]
+    found = x.join(y, "sig").where(_may_be_similar(similar) & (F.col("component_a") != F.col("component_b")))
+    return found.select(F.col("class_a").alias("class"), F.col("class_b").alias("leader"))
+
+
+def _pairs_between(rows: DataFrame, similar: int) -> DataFrame:
+    """Pairs of classes of different components with a common signature that
+    may be similar, from sketched rows."""
+    x, y = _sides(rows, "class", "component", "n", "fold")
+    found = x.join(y, "sig").where((F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")) &
+                                   _may_be_similar(similar))
+    return found.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
 def _rare_pairs_between(heads: DataFrame, similar: int) -> DataFrame:
     """Pairs of classes of different components that may be similar: with
     the common elements c that their sizes ask for, they meet among the
     rarest n - c + 1 of each."""
-    cols = ("class", "component", "n", "place", "head")
-    x = heads.select("sig", *[F.col(c).alias(c + "_a") for c in cols])
-    y = heads.select("sig", *[F.col(c).alias(c + "_b") for c in cols])
+    x, y = _sides(heads, "class", "component", "n", "place", "head", "fold")
     total = F.col("n_a") + F.col("n_b")
     common = F.ceil(total * similar / (100 + similar))
     meet = (F.col("place_a") <= F.col("n_a") - common + 1) & (F.col("place_b") <= F.col("n_b") - common + 1)
     once = F.coalesce(F.get(F.array_intersect("head_a", "head_b"), F.lit(0)) == F.col("x.sig"), F.lit(True))
     on = (F.col("x.sig") == F.col("y.sig")) & (F.col("class_a") < F.col("class_b")) & \
-        (F.col("component_a") != F.col("component_b")) & meet & once
+        (F.col("component_a") != F.col("component_b")) & meet & _may_be_similar(similar) & once
     return x.alias("x").join(y.alias("y"), on).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
@@ -456,9 +496,9 @@ def similar_classes(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR, g
     mixed = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
                                     F.max(F.when(F.col("class") == F.col("leader"), F.col("component"))).alias("lead"))
     mixed = mixed.where("lo <> hi").select("sig", "size", "lead")
-    rows = materialize(rows.join(mixed, "sig"), "open-groups")
-    stars = _ordered(rows.where("class <> leader and component <> lead").select("class", "leader"))
-    more = stars.unionByName(_pairs_between(rows.where(F.col("size") <= group))).distinct().join(first, ["a", "b"], "left_anti")
+    rows = materialize(run.sketched(rows.join(mixed, "sig")), "open-groups")
+    stars = _ordered(_leader_pairs(rows, similar))
+    more = stars.unionByName(_pairs_between(rows.where(F.col("size") <= group), similar)).distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(run.verified(more))
     components = materialize(connected_components(links), "components")
     large = _labelled(rows.where(F.col("size") > group).drop("component"), components)
@@ -468,7 +508,7 @@ def similar_classes(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR, g
     out = large.join(still, "sig", "left_semi").groupBy("class", F.col("sig").bitwiseAND(2).alias("parity")) \
         .agg(F.sum(weight).alias("lost"), F.min("left").alias("left")).where("lost > left").select("class") \
         .unionByName(shared.where("sig = class").select("class")).distinct()
-    heads = _labelled(run.rare_heads(materialize(out, "exceptions")), components)
+    heads = _labelled(run.sketched(run.rare_heads(materialize(out, "exceptions")).drop("n")), components)
     links = links.unionByName(run.verified(_rare_pairs_between(heads, similar)))
     components = materialize(connected_components(links), "components")
     return run.rows, run.classes, links, components
