@@ -77,6 +77,18 @@ def test_phrases(spark, shards, active_rows, top):
     assert any(len(r["phrase"].split()) == 5 for r in out)
 
 
+def test_a_task_adds_up_its_words():
+    import pyarrow as pa
+
+    class Shared:
+        value = PM.Reached([], np.zeros(0, np.int32))
+
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en", "de", "en"], "text": ["A b. ü a", "a ü", None]}) for _ in range(3)]
+    rows = [r for b in PM._count_shard(Shared, 0, 3, 5)(batches) for r in b.to_pylist()]
+    assert {(r["word"], r["n"]) for r in rows if r["p"]} == {("en\na", 6), ("en\nb", 3), ("en\nü", 3), ("de\na", 3), ("de\nü", 3)}
+    assert sum(len(r["p"]) == PM.BYTES for r in rows) == 5  # each word once, not once a batch
+
+
 def test_phrases_interleave():
     """A step counts a phrase only from the step after both subphrases
     reached the threshold, for one cycle."""

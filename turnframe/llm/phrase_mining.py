@@ -28,6 +28,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -184,10 +185,51 @@ class _Counts:
             names=["p", "start", "word", "n"])
 
 
+class _WordCounts:
+    """Adds up a task's words; they keep the text of their first occurrence."""
+
+    def __init__(self):
+        self.parts, self.rows = [], 0
+
+    def add(self, w: Words, h: np.ndarray, lang: list[str]) -> None:
+        u, first, n = np.unique(h, return_index=True, return_counts=True)
+        size = w.ends[first] - w.starts[first]
+        ends = np.cumsum(size)
+        raw = w.buf[np.arange(ends[-1]) + np.repeat(w.starts[first] - ends + size, size)]
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        text = pa.LargeStringArray.from_buffers(len(u), pa.py_buffer(offsets), pa.py_buffer(raw))
+        of = pa.array(lang, pa.large_string()).take(pa.array(w.doc_of()[first]))
+        self.parts.append((u, n, pc.binary_join_element_wise(of, text, pa.scalar("\n", pa.large_string()))))
+        self.rows += len(u)
+        if self.rows > HELD_ROWS:
+            self._fold()
+
+    def _fold(self) -> None:
+        parts, self.parts = self.parts, []
+        u, first, which = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        n = np.bincount(which, weights=np.concatenate([p[1] for p in parts]), minlength=len(u)).astype(np.int64)
+        self.parts.append((u, n, pa.concat_arrays([p[2] for p in parts]).take(pa.array(first))))
+        self.rows = len(u)
+
+    def full(self) -> bool:
+        return self.rows > HELD_ROWS
+
+    def rows_out(self) -> pa.RecordBatch | None:
+        if not self.rows:
+            return None
+        if len(self.parts) > 1:
+            self._fold()
+        u, n, word = self.parts[0]
+        self.parts, self.rows = [], 0
+        return pa.RecordBatch.from_arrays([names_of([u]), pa.array(np.zeros(len(u), np.int32)), word.cast(pa.string()), pa.array(n)],
+                                          names=["p", "start", "word", "n"])
+
+
 def _count_shard(shared, step: int, shards: int, longest: int):
     def run(batches):
         reached = shared.value if shared is not None else None
         counts = {k: _Counts(k) for k in range(2, longest + 1)}
+        words = _WordCounts()
         sizes: Counter = Counter()  # word occurrences of the languages; their name is empty
         for b in pieces(batches, 1):
             lang = b.column(0).to_pylist()
@@ -195,12 +237,9 @@ def _count_shard(shared, step: int, shards: int, longest: int):
             if not len(h):
                 continue
             if step < shards:  # the words' own cycle
-                u, first, n = np.unique(h, return_index=True, return_counts=True)
-                raw, a, e = w.buf.tobytes(), w.starts[first].tolist(), w.ends[first].tolist()
-                of = w.doc_of()[first].tolist()
-                word = [lang[d] + "\n" + raw[i:j].decode() for d, i, j in zip(of, a, e)]
-                yield pa.RecordBatch.from_arrays([names_of([u]), pa.array(np.zeros(len(u), np.int32)), pa.array(word), pa.array(n)],
-                                                 names=["p", "start", "word", "n"])
+                words.add(w, h, lang)
+                if words.full():
+                    yield words.rows_out()
                 for x, k in zip(lang, w.counts.tolist()):
                     sizes[x] += k
             found = active_phrases(h, goes_on, reached, step, shards, longest) if reached is not None else all_phrases(goes_on, longest)
@@ -213,7 +252,7 @@ def _count_shard(shared, step: int, shards: int, longest: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b""] * len(sizes), pa.binary()), pa.array([0] * len(sizes), pa.int32()),
                  pa.array([x + "\n" for x in sizes]), pa.array(list(sizes.values()), pa.int64())], names=["p", "start", "word", "n"])
-        for c in counts.values():
+        for c in (words, *counts.values()):
             if (rows := c.rows_out()) is not None:
                 yield rows
     return run
