@@ -128,6 +128,24 @@ def test_coder_round_trip():
     assert (decode_blocks(data[5:], [1500])[0] == blocks[5]).all()
 
 
+def test_words_seen_again_are_not_encoded_again():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encode = TextEncoder(f.read(), keep=200)
+    direct, learned, learn = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), [], encode._learn
+    encode._learn = lambda new: learned.extend(new) or learn(new)
+    often = [f" often{c}" for c in "abcdefghij"]
+    for k in range(40):
+        rare = [f" {chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i)}" for i in range(20)]
+        text = "".join(w + sign for w in often + rare for sign in (",", ".", "!?", ""))
+        (ids,) = encode([text])
+        assert np.frombuffer(ids, "<u2").tolist() == direct.encode(text, add_special_tokens=False).ids
+    assert all(learned.count(w) == 1 for w in often)  # neither forgotten nor known once for every sign after it
+    assert len(learned) <= 40 * 20 + 20
+
+
 def test_texts_encoded_by_pieces():
     t = Tokenizer.from_file(TOKENIZER)
     with open(TOKENIZER, encoding="utf-8") as f:

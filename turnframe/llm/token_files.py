@@ -43,13 +43,16 @@ from .text import give_back, keep_little, pieces
 BLOCK_IDS = 2048
 LANES = 2560
 PART_BYTES = 32 << 20
-CACHE_WORDS = 100_000
+CACHE_WORDS = 100_000  # half of them of the round before
+JOINED = 512  # new words encoded in one call
 END_ID = 2
 BLOCK_SCHEMA = ("part int, block long, start long, n_ids long, crc32 long, data binary, doc_ids array<long>, "
                 "doc_parts array<long>, doc_sizes array<long>, doc_ends array<boolean>")
 
-# White space but its last character, a word with the space before it, other white space.
-_PIECES = re.compile(r"\s+(?!\S)| ?\S+|\s")
+# A word with the space before it, white space but its last character, other white space.
+# A word of ASCII letters and ASCII signs (no apostrophe) is cut between the two: pretokens end there.
+_SIGN = r"[!-&(-/:-@\[-`{-~]"
+_PIECES = re.compile(rf" ?[A-Za-z]++(?={_SIGN}*+(?!\S))|{_SIGN}++(?!\S)| ?\S++|\s+(?!\S)|\s")
 # These split a text otherwise than Python's white space does, or are tokens of their own.
 _WHOLE = re.compile("[\x1c-\x1f]|<\\|")
 _LINE = "\n"
@@ -70,15 +73,15 @@ class TextEncoder:
             raise ValueError(f"ids must be below {VOCABULARY}")
         line = self._ids([_LINE])[0]
         self.line = line[0] if len(line) == 1 else None
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.before = keep, {}, {}
 
     def _ids(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         words = [w for w in new if w[-1] not in _LINE and not w.isspace()] if self.line is not None else []
-        for at in range(0, len(words), 4096):
-            some = words[at:at + 4096]
+        for at in range(0, len(words), JOINED):
+            some = words[at:at + JOINED]
             ids = np.array(self._ids([_LINE.join(some)])[0], "<u2")
             cuts = np.flatnonzero(ids == self.line)
             if len(cuts) != len(some) - 1:
@@ -99,9 +102,14 @@ class TextEncoder:
         for i, x in zip(whole, self._ids([strings[i] for i in whole])):
             out[i] = np.array(x, "<u2").tobytes()
         cut = [_PIECES.findall(strings[i]) for i in by_piece]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        self._learn(list(set().union(*cut) - self.known.keys()))
+        if len(self.known) > self.keep // 2:
+            self.known, self.before = {}, self.known
+        new = set().union(*cut) - self.known.keys()
+        if self.before:  # words of the round before go on, those not seen again are forgotten with it
+            again = new & self.before.keys()
+            self.known.update(zip(again, map(self.before.__getitem__, again)))
+            new -= again
+        self._learn(list(new))
         get = self.known.__getitem__
         for i, ws in zip(by_piece, cut):
             out[i] = b"".join(map(get, ws))
